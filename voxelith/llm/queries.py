@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .packing import op3_packing
+from .quality_outliers import op2_quality_outliers
+from .secret_scan import op9_secret_scan
 from .tokens import op5_token_files
+from .url_rules import op6_url_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_quality_outliers": op2_quality_outliers,
         "op3_packing": op3_packing,
         "op5_token_files": op5_token_files,
+        "op6_url_rules": op6_url_rules,
+        "op9_secret_scan": op9_secret_scan,
     }
 
 
