@@ -6,22 +6,32 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import decontaminate, license_scan
+from .decontaminate import op4_decontamination
+from .license_scan import op8_license_scan
 from .packing import op3_packing
 from .quality_outliers import op2_quality_outliers
 from .secret_scan import op9_secret_scan
 from .tokens import op5_token_files
+from .toxicity import op1_toxicity
 from .url_rules import op6_url_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
         "op2_quality_outliers": op2_quality_outliers,
         "op3_packing": op3_packing,
+        "op4_decontamination": op4_decontamination,
         "op5_token_files": op5_token_files,
         "op6_url_rules": op6_url_rules,
+        "op8_license_scan": op8_license_scan,
         "op9_secret_scan": op9_secret_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_decontamination": decontaminate.ORACLE_SQL,
+        "op8_license_scan": license_scan.ORACLE_SQL,
+    }
