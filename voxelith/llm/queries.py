@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import decontaminate, license_scan
 from .decontaminate import op4_decontamination
 from .license_scan import op8_license_scan
+from .near_dup import op10_jaccard_join
 from .packing import op3_packing
 from .quality_outliers import op2_quality_outliers
 from .secret_scan import op9_secret_scan
@@ -26,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_token_files": op5_token_files,
         "op6_url_rules": op6_url_rules,
         "op8_license_scan": op8_license_scan,
+        "op10_jaccard_join": op10_jaccard_join,
         "op9_secret_scan": op9_secret_scan,
     }
 

@@ -97,8 +97,8 @@ class ToxicityModel:
 def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 300, rate: float = 0.05, decay: float = 1e-4, least: int = 4, beta: float = 0.0, gamma: float = 1.0) -> ToxicityModel:
     """Fits on lists of distinct feature buckets, one array per text, by Adam over full batches.
 
-    Features that fewer than `least` positives have, or that positives don't
-    have clearly more often than the unlabelled, get no weight. Without
+    Features that fewer than `least` or one in a hundred positives have, or that
+    positives don't have four times as often as the unlabelled, get no weight. Without
     positives or unlabelled texts the score of all texts is the prior.
     """
     size = 1 << BUCKET_BITS
@@ -107,7 +107,7 @@ def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior:
         return ToxicityModel(np.empty(0, np.int64), np.empty(0), base, prior)
     dp = np.bincount(np.concatenate(positive), minlength=size) / len(positive)
     du = np.bincount(np.concatenate(unlabelled), minlength=size) / len(unlabelled)
-    chosen = np.flatnonzero((dp * len(positive) >= least) & (dp > 2 * du))
+    chosen = np.flatnonzero((dp * len(positive) >= max(least, 0.01 * len(positive))) & (dp > 4 * du))
     index = np.full(size, -1)
     index[chosen] = np.arange(len(chosen))
 
