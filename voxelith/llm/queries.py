@@ -13,6 +13,7 @@ from .near_dup import op10_jaccard_join
 from .packing import op3_packing
 from .quality_outliers import op2_quality_outliers
 from .secret_scan import op9_secret_scan
+from .substring_dedup import op7_substring_dedup
 from .tokens import op5_token_files
 from .toxicity import op1_toxicity
 from .url_rules import op6_url_rules
@@ -26,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_decontamination": op4_decontamination,
         "op5_token_files": op5_token_files,
         "op6_url_rules": op6_url_rules,
+        "op7_substring_dedup": op7_substring_dedup,
         "op8_license_scan": op8_license_scan,
         "op10_jaccard_join": op10_jaccard_join,
         "op9_secret_scan": op9_secret_scan,
