@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from . import grid_queries, statistic_queries, window_queries  # noqa: F401
+from .registry import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)
