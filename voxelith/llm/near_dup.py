@@ -4,8 +4,8 @@ Sets of word n-grams fall into bands of sizes; each band and its predecessor
 make one instance with a bound k on the symmetric difference of linked sets. The
 domain of n-grams is partitioned by hash: n1 parts of n2 sub-parts, of which any
 n2 - k2 are enumerated, so that sets within k share a signature. Equal sets are
-one node; nodes that share signatures are compared, a few pivots of each
-signature at a time and only against nodes of other components.
+one node. Nodes that share a signature are compared with its pivots; links among
+nodes that don't link with a pivot are found by their differences from it.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHasher, cut, maybe_broadcast, mix64, ngram_hashes, text_chunks
@@ -105,7 +105,7 @@ class JaccardJoin:
     @staticmethod
     def _instance(place, gram, n_sets, salt, n1, n2, k2, keep_empty):
         cells = n1 * n2
-        slot = place * cells + (mix64(gram + np.uint64((salt % 4) * 0x632BE59BD9B4E019 + 1)) % np.uint64(cells)).astype(np.int64)
+        slot = place * cells + (mix64(gram + np.uint64(((salt % 4) * 0x632BE59BD9B4E019 + 1) % 2**64)) % np.uint64(cells)).astype(np.int64)
         order = np.argsort(slot, kind="stable")
         slot, value = slot[order], mix64(gram[order] ^ np.uint64(0xD6E8FEB86659FD93))
         first = np.flatnonzero(np.diff(slot, prepend=-1))
@@ -119,7 +119,7 @@ class JaccardJoin:
         for number, subset in enumerate(combinations(range(n2), n2 - k2)):
             subset = list(subset)
             total = sums[:, subset].sum(axis=1, dtype=np.uint64)
-            tag = mix64(which * np.uint64(65536) + np.uint64(number)) + np.uint64(salt) * np.uint64(0xA0761D6478BD642F)
+            tag = mix64(which * np.uint64(65536) + np.uint64(number)) + np.uint64(salt * 0xA0761D6478BD642F % 2**64)
             keep = slice(None) if keep_empty else filled[:, subset].any(axis=1)
             rows.append(np.repeat(np.arange(n_sets), n1)[keep])
             sigs.append(mix64(total ^ mix64(tag))[keep])
@@ -187,11 +187,10 @@ class JaccardJoin:
         first = rows.groupBy("sig").agg(F.min("d").alias("pivot"), F.max("d").alias("last")).where("pivot < last").select("sig", "pivot")
         shared = cut(rows.join(first, "sig"), "jaccard-shared")
         sets = self._set_table(texts, shared.select(F.col("d").alias("doc_id")).distinct())
-        fits = self.den * F.least("n", "m") >= self.num * F.greatest("n", "m")
-        lead = shared.where("d = pivot").select("sig", F.col("n").alias("m")).distinct()
-        pairs = shared.where("d > pivot").join(lead, "sig").where(fits).select(F.col("pivot").alias("a"), F.col("d").alias("b")).distinct()
-        tree = stars(self._linked(pairs, sets))
-        tree = self._settle(shared.select("sig", "d", "n"), sets, tree)
+        members = cut(shared.where("d > pivot").select("pivot", "d").distinct(), "jaccard-members")
+        tree = stars(self._linked(members.select(F.col("pivot").alias("a"), F.col("d").alias("b")), sets))
+        tree = self._more_pivots(shared.select("sig", "d", "n"), sets, tree)
+        tree = self._settle(members, sets, tree)
         # A copy's node, then the node's component.
         node = nodes.select("doc_id", F.col("n").alias("n_shingles")).join(copies.distinct(), "doc_id", "left")
         node = node.withColumn("node", F.coalesce("node", "doc_id"))
@@ -201,31 +200,61 @@ class JaccardJoin:
             tree = stars(joint)
         return node.join(tree.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("component_id"))
 
-    def _settle(self, shared: DataFrame, sets: DataFrame, tree: DataFrame) -> DataFrame:
-        """Compares, within each signature that still has several components, pivots in blocks that double.
+    def _rooted(self, rows: DataFrame, tree: DataFrame) -> DataFrame:
+        """rows (with d) and root, the component of d so far."""
+        return rows.join(tree.select(F.col("a").alias("d"), F.col("b").alias("root")), "d", "left").withColumn("root", F.coalesce("root", "d"))
 
-        Pivots come by the order of a hash; each meets the nodes of other
-        components only. A signature is done when one component is left or all of its nodes were pivots.
+    def _more_pivots(self, shared: DataFrame, sets: DataFrame, tree: DataFrame, rounds: int = 2) -> DataFrame:
+        """Compares one more pivot of each signature that has several components with the nodes of the others.
+
+        This ties most of what can be tied, so that few pairs are left to _settle, which alone is exact.
         """
-        start, ranked = 0, None
-        while True:
-            block = 1 if start == 0 else start
-            rows = (shared if ranked is None else ranked).join(tree.select(F.col("a").alias("d"), F.col("b").alias("root")), "d", "left").withColumn("root", F.coalesce("root", "d"))
-            mixed = rows.groupBy("sig").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("size")).where((F.col("r1") < F.col("r2")) & (F.col("size") > start)).select("sig")
-            rows = rows.join(mixed, "sig", "left_semi")
-            if ranked is None:
-                rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("sig").orderBy(F.xxhash64("d"), "d")) - 1)
-            rows = cut(rows, "jaccard-mixed")
-            if rows.isEmpty():
-                return tree
-            ranked = rows.drop("root")
-            pivots = rows.where((F.col("rank") >= start) & (F.col("rank") < start + block)).select("sig", F.col("d").alias("p"), F.col("n").alias("m"), F.col("root").alias("proot"))
-            fits = (self.den * F.least("n", "m") >= self.num * F.greatest("n", "m")) & (F.col("root") != F.col("proot"))
-            pairs = rows.join(pivots, "sig").where(fits).select(F.least("d", "p").alias("a"), F.greatest("d", "p").alias("b")).distinct()
+        for number in range(rounds):
+            rows = self._rooted(shared, tree)
+            pivot = rows.groupBy("sig").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.min(F.struct(F.xxhash64("d", F.lit(number)).alias("h"), "d", "n", "root")).alias("p")).where("r1 < r2").select("sig", "p")
+            fits = (self.den * F.least("n", "p.n") >= self.num * F.greatest("n", "p.n")) & (F.col("root") != F.col("p.root"))
+            pairs = rows.join(pivot, "sig").where(fits).select(F.least("d", "p.d").alias("a"), F.greatest("d", "p.d").alias("b")).distinct()
             found = cut(self._linked(pairs, sets), "jaccard-links")
-            if not found.isEmpty():
-                tree = stars(tree.unionByName(found))
-            start += block
+            if found.isEmpty():
+                break
+            tree = stars(tree.unionByName(found))
+        return tree
+
+    def _settle(self, members: DataFrame, sets: DataFrame, tree: DataFrame) -> DataFrame:
+        """Finds all links between nodes of one pivot that lie in different components still.
+
+        Linked nodes share a signature, hence its pivot. Let D be a node's
+        symmetric difference from the pivot. Nodes a and b differ in
+        |Da| + |Db| - 2 |Da and Db| n-grams, so a link needs an overlap of
+        (|Da| + |Db| - k) / 2; if that is not positive both link with the pivot
+        itself. With D in the order of rarity among the pivot's nodes, such sets
+        meet in their prefixes. Prefixes hold what is peculiar to a node, so a
+        large group of near copies gives few pairs, not the square of its size.
+        """
+        rooted = self._rooted(members, tree)
+        mixed = rooted.groupBy("pivot").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("pivot")
+        rooted = cut(rooted.join(mixed, "pivot"), "jaccard-mixed")
+        if rooted.isEmpty():
+            return tree
+        both = rooted.join(sets.select(F.col("doc_id").alias("pivot"), F.col("grams").alias("x")), "pivot").join(sets.select(F.col("doc_id").alias("d"), F.col("grams").alias("y")), "d")
+        apart = cut(both.select("pivot", "d", "root", F.size("y").alias("n"), F.concat(F.array_except("x", "y"), F.array_except("y", "x")).alias("apart")), "jaccard-apart")
+        rows = apart.select("pivot", "d", F.explode("apart").alias("e"))
+        often = rows.groupBy("pivot", "e").agg(F.count("*").alias("c")).where("c > 1")
+        rare = rows.join(often, ["pivot", "e"], "left").groupBy("pivot", "d").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "e"))).alias("o"))  # as many as the node's and the pivot's n-grams
+        lost, all_ = self.den - self.num, self.den + self.num
+        most = F.floor((F.col("n") + F.floor(F.col("n") * self.den / self.num)) * lost / all_) + 1
+        prefix = apart.select("pivot", "d", "root", "n", F.size("apart").alias("size")).join(rare, ["pivot", "d"])
+        prefix = prefix.select("pivot", "d", "root", "n", "size", F.posexplode(F.slice("o", F.lit(1), most.cast("int"))).alias("at", "r")).where("r.c > 1").select("pivot", "d", "root", "n", "size", "at", F.col("r.e").alias("e"))
+        prefix = cut(prefix, "jaccard-prefixes")
+        k = F.floor((F.col("n") + F.col("m")) * lost / all_)
+        overlap = F.greatest(F.ceil((F.col("size") + F.col("tsize") - k) / 2), F.lit(1))
+        meet = (F.col("root") != F.col("troot")) & ((F.col("size") < F.col("tsize")) | ((F.col("size") == F.col("tsize")) & (F.col("d") < F.col("t")))) & (F.col("at") <= F.col("size") - overlap) & (F.col("tat") <= F.col("tsize") - overlap)
+        # The smaller difference has the shorter prefix: half of the differences that a link allows.
+        short = prefix.where(F.col("at") <= (most / 2))
+        long = prefix.select("pivot", "e", F.col("d").alias("t"), F.col("root").alias("troot"), F.col("n").alias("m"), F.col("size").alias("tsize"), F.col("at").alias("tat"))
+        pairs = short.join(long, ["pivot", "e"]).where(meet).select(F.least("d", "t").alias("a"), F.greatest("d", "t").alias("b")).distinct()
+        found = cut(self._linked(pairs, sets), "jaccard-links")
+        return tree if found.isEmpty() else stars(tree.unionByName(found))
 
 
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:
