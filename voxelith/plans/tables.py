@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,10 +27,37 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
+#: Lets Spark remove a query's shuffle files as soon as the query has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def settings(spark: SparkSession, **values: str):
+    """Session settings for the queries run inside; names with __ for dots. Former values come back."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def write_parquet(df: DataFrame, path: str, **options) -> None:
+    """Write df; once the files are there, the shuffle files that led to them go."""
+    with settings(df.sparkSession, **{CLEANUP: "true"}):
+        df.write.options(**options).parquet(path)
+
+
 def cut(df: DataFrame, tag: str, **options) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it: the lineage ends here."""
     path = shared_path(df.sparkSession, tag)
-    df.write.options(**options).parquet(path)
+    write_parquet(df, path, **options)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
