@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fixpoint_queries, graph_queries, grid_queries, statistic_queries, window_queries  # noqa: F401
+from . import field_queries, fixpoint_queries, graph_queries, grid_queries, statistic_queries, window_queries  # noqa: F401
 from .registry import QUERIES, SQL
 
 
