@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.tables import cut
+from ..plans.tables import cut, drop
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -31,7 +31,8 @@ def stars(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        now = cut(small, "components")
+        now, last = cut(small, "components"), now
+        drop(last)
         mark, before = _mark(now), mark
         if mark == before:
             return now

@@ -58,7 +58,18 @@ def cut(df: DataFrame, tag: str, **options) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it: the lineage ends here."""
     path = shared_path(df.sparkSession, tag)
     write_parquet(df, path, **options)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Removes tables that cut() has written, once nothing reads them any more."""
+    for df in tables:
+        if path := getattr(df, "_written", None):
+            sc = df.sparkSession.sparkContext
+            at = sc._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def maybe_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
