@@ -1,56 +1,14 @@
-"""Shared helpers: intermediate tables, size-checked broadcasts, word hashing."""
+"""Shared helpers: hashing of the words of whole Arrow batches."""
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from ..plans.tables import BROADCAST_ROWS, cut, drop, maybe_broadcast, shared_path, write_parquet  # noqa: F401
 
 #: Whitespace that separates words: U+0020 and U+0009 to U+000D, nothing else.
 WORD_SPACE = " \t\n\x0b\x0c\r"
 
-#: Rows (of a few dozen bytes) up to which a counted side may be broadcast.
-BROADCAST_ROWS = 200_000
-
-
-def shared_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the folder that driver and executors share.
-
-    The cluster names it in spark.checkpoint.dir. Only where that is unset (a
-    single machine, tests) a temporary folder is made and set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        set_by_us = spark.sparkContext.getCheckpointDir()
-        if not set_by_us:
-            import tempfile
-
-            spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="voxelith-"))
-            set_by_us = spark.sparkContext.getCheckpointDir()
-        base = set_by_us
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, tag: str, **options) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it: the lineage ends here."""
-    spark = df.sparkSession
-    path = shared_path(spark, tag)
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def maybe_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """df with a broadcast hint if it has at most BROADCAST_ROWS rows, else df unchanged.
-
-    Give narrow tables only. The count stops at the bound, so it is cheap for
-    large inputs; beyond the bound Spark plans a shuffled join.
-    """
-    if rows is None:
-        rows = df.limit(BROADCAST_ROWS + 1).count()
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
 
 # --- hashing of whole Arrow string batches with numpy -----------------------
 

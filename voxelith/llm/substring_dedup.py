@@ -104,6 +104,8 @@ class FingerprintIndex:
 
 #: A start and 24 bits of a digest of the text, which tells rows with the same id apart.
 VERSION = 1 << 24
+#: Above every start: document and start in one number that sorts, so that minima are hash aggregates.
+ORDER = 1 << 55
 
 
 def _version(text: bytes) -> int:
@@ -208,10 +210,13 @@ def drop_repeats(docs: DataFrame, batches: int = 2, digest: bool = False, id_col
     places = reduce(DataFrame.unionByName, found).groupBy("doc_id").agg(F.collect_set("pos").alias("places"))
     if single:
         places = places.join(copied, "doc_id", "left_anti")
-    windows = cut(_windows(texts.join(places, "doc_id").select("doc_id", "text", "places")), "windows")
-    first = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "at")).alias("f"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = windows.join(first, ["w1", "w2"]).where((F.col("doc_id") > F.col("f.doc_id")) | (F.floor(F.col("at") / VERSION) > F.floor(F.col("f.at") / VERSION)))
-    covered = later.groupBy("doc_id").agg(F.collect_list("at").alias("ats"))
+    places = cut(places, "window-places")
+    windows = _windows(texts.join(places, "doc_id").select("doc_id", "text", "places"))
+    # The windows are made twice, which costs less than to keep them; each time their shuffles go when the job ends.
+    order = F.col("doc_id").cast("decimal(20,0)") * F.lit(ORDER).cast("decimal(17,0)") + F.col("at").cast("decimal(17,0)")
+    first = cut(windows.groupBy("w1", "w2").agg(F.min(order).alias("f"), F.count("*").alias("n")).where("n > 1").drop("n"), "window-firsts")
+    later = windows.join(first, ["w1", "w2"]).where(F.floor(order / VERSION) > F.floor(F.col("f") / VERSION))
+    covered = cut(later.groupBy("doc_id").agg(F.collect_list("at").alias("ats")), "window-covered")
     marked = copies.withColumn("copy", F.lit(single))
     both = texts.join(covered, "doc_id", "left").join(F.broadcast(marked) if n_copies <= 200_000 else marked, "doc_id", "left")
     return _cut_words(both.select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "ats"), digest)
