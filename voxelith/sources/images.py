@@ -114,5 +114,5 @@ def read_raw(spark: SparkSession, path: str, kind: str = "<f4") -> DataFrame:
 
 def read_text_image(spark: SparkSession, path: str) -> DataFrame:
     """path, y, x, val of images with a text line per row of numbers. Line numbers hold within a file, so a file is one split."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.posexplode(F.split(F.regexp_replace("value", r"\s+$", ""), "\n")).alias("y", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.posexplode(F.split(F.regexp_replace("value", r"\s+$", ""), "\n")).alias("y", "line"))
     return lines.select("path", "y", F.posexplode(F.split(F.trim("line"), r"\s+")).alias("x", "v")).where("v <> ''").select("path", "y", "x", F.col("v").cast("double").alias("val"))
