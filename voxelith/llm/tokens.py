@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -17,16 +19,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import maybe_broadcast, shared_path
+from ..plans.tables import settings
+from .common import maybe_broadcast, shared_path, write_parquet
 
-#: Fixed value: the pre-token pattern of the byte-level vocabulary, for texts without the characters of UNSAFE.
-PIECES = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: Fixed value: the pre-token pattern of the byte-level vocabulary, written out for texts without the characters of
+#: UNSAFE: letters below U+0250, ASCII digits, the white space that is left.
+_LETTER, _SPACE = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", " \t\n\x0b\x0c\r\x85\xa0"
+PIECES = re.compile(f" ?[{_LETTER}]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^{_SPACE}{_LETTER}0-9]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 
 #: Characters whose class differs between regex engines or Unicode versions; such texts go to the library whole.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 UNSAFE = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe]|[^\x00-ɏ‐-‧‰-⁞₠-₿]")
 
-#: Kept pre-tokens of each Python worker; about 150 bytes each. The store starts anew when full.
-KEPT_PIECES = 1_000_000
+#: Kept pre-tokens of each Python worker, in two halves of about 150 bytes each: when the newer half is full it
+#: becomes the older one, and what is used from there moves up.
+KEPT_PIECES = 800_000
 
 
 def default_tokenizer() -> str:
@@ -48,7 +55,7 @@ class TokenEncoder(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.kept, self.model = kept, self.tokenizer.model
+        self.half, self.older, self.model = kept // 2, {}, self.tokenizer.model
         plain = isinstance(self.tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel) and self.tokenizer.normalizer is None
         self.by_piece = plain and not self.tokenizer.pre_tokenizer.add_prefix_space
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -56,17 +63,25 @@ class TokenEncoder(dict):
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
     def __missing__(self, piece: str) -> bytes:
+        if (ids := self.older.get(piece)) is not None:
+            self[piece] = ids
+            return ids
         found = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
-        ids = self[piece] = np.array([t.id for t in found], "<u4").tobytes()
-        return ids
+        ids = array("I", [t.id for t in found])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        out = self[piece] = ids.tobytes()
+        return out
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if not self.by_piece or UNSAFE.search(text):
+        unsafe = any(c in text for c in SEPARATORS) if text.isascii() else UNSAFE.search(text)
+        if not self.by_piece or unsafe:
             (e,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
             return np.array(e.ids, "<u4").tobytes()
-        if len(self) > self.kept:
+        if len(self) > self.half:
+            self.older = dict(self)
             self.clear()
         return b"".join(map(self.__getitem__, PIECES.findall(text)))
 
@@ -142,7 +157,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
                 yield made(rows)
 
     ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(encode, FILE_SCHEMA).write.options(**FILE_OPTIONS).parquet(path)
+    with settings(docs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch="1000"):
+        write_parquet(ordered.mapInArrow(encode, FILE_SCHEMA), path, **FILE_OPTIONS)
 
 
 def read_token_files(spark, path: str) -> DataFrame:
