@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelith.llm.common import shared_path
+from voxelith.llm.common import cut, maybe_broadcast, shared_path, write_parquet
 from voxelith.llm.decontaminate import drop_leaks
 from voxelith.llm.near_dup import JaccardJoin
 from voxelith.llm.packing import pack
@@ -21,14 +21,14 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the classifier calls toxic. It learns from labelled rows of the training fold alone."""
     model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), usable=fold(F.col("doc_id")) != 1)
     bad = score_toxicity(docs, model).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(maybe_broadcast(cut(bad, "toxic-ids")), "doc_id", "left_anti").select(*docs.columns)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest id of each group that links of similarity 0.8 on five words reach."""
     groups = JaccardJoin(words=5, num=80, den=100).components(docs)
     more = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(more, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(maybe_broadcast(cut(more, "duplicate-ids")), "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +65,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES) - 1:
             path = shared_path(spark, f"pipeline-{name}")
-            docs.write.parquet(path)
+            write_parquet(docs, path)
             docs = spark.read.parquet(path)
     return docs
 

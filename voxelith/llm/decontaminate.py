@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut
+from .common import BROADCAST_ROWS, cut, maybe_broadcast
 
 #: Fixed masks: word positions that count. The last one skips none.
 MASKS = ((0, 1, 3, 5, 6, 9, 11), (0, 2, 3, 6, 7, 8, 10), (0, 1, 4, 5, 8, 9, 12), (0, 1, 2, 3, 4, 5, 6))
@@ -83,18 +83,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, overlap: int = 20, similar
         hits = hits.join(F.broadcast(seeds), ["mask", "key"]).where(f"NOT coalesce({before} = before, false)")
         pairs = hits.select("doc_id", "doc_words", "item_id", (F.col("pos") - F.col("at")).alias("diag")).join(F.broadcast(items), "item_id")
     else:  # an index of any size: narrow windows meet the seeds in a shuffled join, then the hits their texts
-        keyed = windows.select("doc_id", F.xxhash64("doc_words").alias("version"), "pos", F.explode(F.expr(keys)).alias("s")).select("doc_id", "version", "pos", F.col("s.mask").alias("mask"), F.col("s.key").alias("key")).where("key IS NOT NULL")
-        hits = keyed.join(seeds, ["mask", "key"]).select("doc_id", "version", "item_id", (F.col("pos") - F.col("at")).alias("diag")).distinct()
+        keyed = windows.select(F.col("doc_id").alias("hit_id"), F.xxhash64("doc_words").alias("hit_version"), "pos", F.explode(F.expr(keys)).alias("s")).select("hit_id", "hit_version", "pos", F.col("s.mask").alias("mask"), F.col("s.key").alias("key")).where("key IS NOT NULL")
+        hits = keyed.join(seeds, ["mask", "key"]).select("hit_id", "hit_version", "item_id", (F.col("pos") - F.col("at")).alias("diag")).distinct()
         texts = doc.withColumn("version", F.xxhash64("doc_words"))
-        same = [hits["doc_id"].eqNullSafe(texts["doc_id"]), hits["version"] == texts["version"]]
-        pairs = hits.join(texts, same).select(texts["doc_id"], "doc_words", "item_id", "diag").join(items, "item_id")
+        pairs = hits.join(texts, F.expr("hit_id <=> doc_id AND hit_version = version")).select("doc_id", "doc_words", "item_id", "diag").join(items, "item_id")
     return _verified(pairs, overlap, similarity)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """docs without the rows whose text shares a passage with an item; all columns stay, rows with null ids too."""
     leaks = find_leaks(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(leaks, id_col, "left_anti").select(*docs.columns)
+    return docs.join(maybe_broadcast(cut(leaks, "leak-ids")), id_col, "left_anti").select(*docs.columns)
 
 
 def op4_decontamination(spark, sf_dir: str) -> DataFrame:

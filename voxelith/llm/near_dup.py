@@ -19,8 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, cut, maybe_broadcast, mix64, ngram_hashes, text_chunks
-from .components import stars
+from ..operators.components import stars
+from .common import BROADCAST_ROWS, WordHasher, cut, drop, maybe_broadcast, mix64, ngram_hashes, text_chunks
+
+
+#: Classes of a sketch; nodes of a signature up to which all of them are compared (a row gives 3.5 pairs at most).
+SKETCH, FEW = 128, 8
 
 
 @dataclass(frozen=True)
@@ -128,27 +132,60 @@ class JaccardJoin:
     # -- tables -------------------------------------------------------------
 
     def _node_table(self, docs: DataFrame) -> DataFrame:
-        """doc_id, n, s1, s2 (a 128-bit digest of the set), signatures of every row; written."""
-        schema = "doc_id bigint, n bigint, s1 bigint, s2 bigint, signatures array<bigint>"
+        """doc_id, n, s1, s2 (a 128-bit digest of the set) and sketch of every row; written.
+
+        The sketch counts the n-grams of each of 128 classes, up to 255: the sum
+        of two sketches' differences is never more than the sets' difference.
+        """
 
         def run(batches):
             for b in batches:
                 for i, j, data, off in text_chunks(b.column(1), 1 << 20):
                     row, gram = self.sets(data, off)
                     n = j - i
-                    size = np.bincount(row, minlength=n)
                     digests = [np.zeros(n, np.uint64), np.zeros(n, np.uint64)]
                     first = np.flatnonzero(np.diff(row, prepend=-1))
                     if len(first):
                         digests[0][row[first]] = np.add.reduceat(mix64(gram), first)
                         digests[1][row[first]] = np.add.reduceat(mix64(gram + np.uint64(0x5851F42D4C957F2D)), first)
-                    r, s = self.signatures(row, gram, n)
-                    order = np.argsort(r, kind="stable")
-                    ends = np.concatenate([[0], np.cumsum(np.bincount(r, minlength=n))]).astype(np.int32)
-                    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(s[order].view(np.int64)))
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i, n), pa.array(size.astype(np.int64)), *(pa.array(d.view(np.int64)) for d in digests), lists], ["doc_id", "n", "s1", "s2", "signatures"])
+                    size = np.bincount(row, minlength=n).astype(np.int64)
+                    classes = np.bincount(row * SKETCH + (mix64(gram) >> np.uint64(57)).astype(np.int64), minlength=n * SKETCH)
+                    sketch = np.minimum(classes, 255).astype(np.uint8).reshape(n, SKETCH)
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i, n), pa.array(size), *(pa.array(d.view(np.int64)) for d in digests), pa.array([r.tobytes() for r in sketch], pa.binary())], ["doc_id", "n", "s1", "s2", "sketch"])
+
+        return cut(docs.mapInArrow(run, "doc_id bigint, n bigint, s1 bigint, s2 bigint, sketch binary"), "jaccard-nodes")
+
+    def _plausible(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+        """The pairs (a, b) that sizes and sketches don't rule out; no pair that links is ruled out."""
+        lost, all_ = self.den - self.num, self.den + self.num
+        side = lambda d, n, k: nodes.select(F.col("doc_id").alias(d), F.col("n").alias(n), F.col("sketch").alias(k))
+        both = pairs.join(side("a", "n", "x"), "a").join(side("b", "m", "y"), "b").where(self.den * F.least("n", "m") >= self.num * F.greatest("n", "m"))
+
+        def run(batches):
+            for b in batches:
+                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16) for c in ("x", "y"))
+                apart = np.abs(x - y).sum(axis=1, dtype=np.int64)
+                n, m = (b.column(c).to_numpy() for c in ("n", "m"))
+                keep = np.flatnonzero(apart <= (n + m) * lost // all_)
+                yield pa.RecordBatch.from_arrays([b.column(c).take(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
+
+        return both.mapInArrow(run, "a bigint, b bigint").distinct()
+
+    def _signature_rows(self, docs: DataFrame) -> DataFrame:
+        """sig, d, n: a row for each signature of each document with n-grams."""
 
-        return cut(docs.mapInArrow(run, schema), "jaccard-nodes")
+        def run(batches):
+            for b in batches:
+                ids = b.column(0).to_numpy(zero_copy_only=False)
+                for i, j, data, off in text_chunks(b.column(1), 1 << 20):
+                    row, gram = self.sets(data, off)
+                    size = np.bincount(row, minlength=j - i).astype(np.int32)
+                    r, s = self.signatures(row, gram, j - i)
+                    for k in range(0, len(r), 1 << 16):
+                        part = r[k : k + (1 << 16)]
+                        yield pa.RecordBatch.from_arrays([pa.array(s[k : k + (1 << 16)].view(np.int64)), pa.array(ids[i + part].astype(np.int64)), pa.array(size[part])], ["sig", "d", "n"])
+
+        return docs.mapInArrow(run, "sig bigint, d bigint, n int")
 
     def _set_table(self, docs: DataFrame, ids: DataFrame) -> DataFrame:
         """doc_id and its n-gram hashes, for the documents named in ids; written."""
@@ -182,15 +219,32 @@ class JaccardJoin:
         copies = equal.where("copies > 1").select("n", "s1", "s2", "node")
         copies = cut(usable.select("doc_id", "n", "s1", "s2").join(copies, ["n", "s1", "s2"]).select("doc_id", "node"), "jaccard-copies")
         others = copies.where("doc_id <> node").select("doc_id").distinct()
-        # One row per node and signature; only signatures of two nodes or more go on.
-        rows = usable.join(maybe_broadcast(others), "doc_id", "left_anti").select(F.explode("signatures").alias("sig"), F.col("doc_id").alias("d"), F.col("n").cast("int").alias("n"))
-        first = rows.groupBy("sig").agg(F.min("d").alias("pivot"), F.max("d").alias("last")).where("pivot < last").select("sig", "pivot")
-        shared = cut(rows.join(first, "sig"), "jaccard-shared")
-        sets = self._set_table(texts, shared.select(F.col("d").alias("doc_id")).distinct())
-        members = cut(shared.where("d > pivot").select("pivot", "d").distinct(), "jaccard-members")
-        tree = stars(self._linked(members.select(F.col("pivot").alias("a"), F.col("d").alias("b")), sets))
-        tree = self._more_pivots(shared.select("sig", "d", "n"), sets, tree)
-        tree = self._settle(members, sets, tree)
+        # One row per node and signature. They are made twice: first to find the signatures that several rows have, then to
+        # keep the rows of these. That takes less disk than to keep them all.
+        rows = self._signature_rows(texts.where("doc_id IS NOT NULL").join(maybe_broadcast(others), "doc_id", "left_anti"))
+        found = cut(rows.groupBy("sig").agg(F.count("*").alias("k")).where("k > 1").select("sig"), "jaccard-signatures")
+        several = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found.hint("shuffle_hash")
+        kept = cut(rows.join(several, "sig"), "jaccard-rows")
+        drop(found)
+        groups = kept.groupBy("sig").agg(F.min("d").alias("pivot"), F.count("*").alias("size"))
+        shared = cut(kept.join(groups, "sig"), "jaccard-shared")
+        drop(kept)
+        # A signature of few nodes compares them all; one of more nodes compares them with its pivot, the smallest id.
+        few, many = shared.where(F.col("size") <= FEW), shared.where(F.col("size") > FEW)
+        members = cut(many.where("d > pivot").select("pivot", "d").distinct(), "jaccard-members")
+        pairs = few.select("sig", F.col("d").alias("a")).join(few.select("sig", F.col("d").alias("b")), "sig").where("a < b").select("a", "b")
+        pairs = pairs.unionByName(members.select(F.col("pivot").alias("a"), F.col("d").alias("b"))).distinct()
+        pairs = cut(self._plausible(pairs, usable.select("doc_id", "n", "sketch")), "jaccard-pairs")
+        ends = [pairs.select(F.col("a").alias("doc_id")), pairs.select("b"), members.select("pivot"), members.select("d")]
+        sets = self._set_table(texts, ends[0].union(ends[1]).union(ends[2]).union(ends[3]).distinct())
+        # One pair of each node first; of the others only those whose ends that didn't tie.
+        tree = self._tied(None, pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets)
+        apart = self._rooted(self._rooted(pairs, tree, "a", "ra"), tree, "b", "rb").where("ra <> rb").select("a", "b")
+        tree = self._tied(tree, apart, sets)
+        if not members.isEmpty():
+            tree = self._more_pivots(many.select("sig", "d", "n"), sets, tree)
+            tree = self._settle(members, sets, tree)
+        drop(shared, members, pairs, sets)
         # A copy's node, then the node's component.
         node = nodes.select("doc_id", F.col("n").alias("n_shingles")).join(copies.distinct(), "doc_id", "left")
         node = node.withColumn("node", F.coalesce("node", "doc_id"))
@@ -200,61 +254,74 @@ class JaccardJoin:
             tree = stars(joint)
         return node.join(tree.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("component_id"))
 
-    def _rooted(self, rows: DataFrame, tree: DataFrame) -> DataFrame:
-        """rows (with d) and root, the component of d so far."""
-        return rows.join(tree.select(F.col("a").alias("d"), F.col("b").alias("root")), "d", "left").withColumn("root", F.coalesce("root", "d"))
+    @staticmethod
+    def _rooted(rows: DataFrame, tree: DataFrame, node: str = "d", root: str = "root") -> DataFrame:
+        """rows with the component of a node so far."""
+        return rows.join(tree.select(F.col("a").alias(node), F.col("b").alias(root)), node, "left").withColumn(root, F.coalesce(root, node))
+
+    def _tied(self, tree: DataFrame | None, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """tree with the pairs that link."""
+        found = cut(self._linked(pairs, sets), "jaccard-links")
+        if tree is not None and found.isEmpty():
+            return tree
+        out = stars(found if tree is None else tree.unionByName(found))
+        drop(found)
+        if tree is not None:
+            drop(tree)
+        return out
 
-    def _more_pivots(self, shared: DataFrame, sets: DataFrame, tree: DataFrame, rounds: int = 2) -> DataFrame:
-        """Compares one more pivot of each signature that has several components with the nodes of the others.
+    def _more_pivots(self, shared: DataFrame, sets: DataFrame, tree: DataFrame) -> DataFrame:
+        """Compares another pivot of each signature that has several components with the nodes of the others.
 
         This ties most of what can be tied, so that few pairs are left to _settle, which alone is exact.
         """
-        for number in range(rounds):
-            rows = self._rooted(shared, tree)
-            pivot = rows.groupBy("sig").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.min(F.struct(F.xxhash64("d", F.lit(number)).alias("h"), "d", "n", "root")).alias("p")).where("r1 < r2").select("sig", "p")
-            fits = (self.den * F.least("n", "p.n") >= self.num * F.greatest("n", "p.n")) & (F.col("root") != F.col("p.root"))
-            pairs = rows.join(pivot, "sig").where(fits).select(F.least("d", "p.d").alias("a"), F.greatest("d", "p.d").alias("b")).distinct()
-            found = cut(self._linked(pairs, sets), "jaccard-links")
-            if found.isEmpty():
-                break
-            tree = stars(tree.unionByName(found))
-        return tree
+        rows = self._rooted(shared, tree)
+        pivot = rows.groupBy("sig").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.min(F.struct(F.xxhash64("d").alias("h"), "d", "n", "root")).alias("p")).where("r1 < r2").select("sig", "p")
+        fits = (self.den * F.least("n", "p.n") >= self.num * F.greatest("n", "p.n")) & (F.col("root") != F.col("p.root"))
+        pairs = rows.join(pivot, "sig").where(fits).groupBy("d", F.col("root").alias("r"), "p.root").agg(F.min("p.d").alias("p"))
+        return self._tied(tree, pairs.select(F.least("d", "p").alias("a"), F.greatest("d", "p").alias("b")).distinct(), sets)
 
     def _settle(self, members: DataFrame, sets: DataFrame, tree: DataFrame) -> DataFrame:
         """Finds all links between nodes of one pivot that lie in different components still.
 
-        Linked nodes share a signature, hence its pivot. Let D be a node's
-        symmetric difference from the pivot. Nodes a and b differ in
-        |Da| + |Db| - 2 |Da and Db| n-grams, so a link needs an overlap of
-        (|Da| + |Db| - k) / 2; if that is not positive both link with the pivot
-        itself. With D in the order of rarity among the pivot's nodes, such sets
-        meet in their prefixes. Prefixes hold what is peculiar to a node, so a
-        large group of near copies gives few pairs, not the square of its size.
+        Linked nodes share a signature, hence its pivot and the root of the
+        pivot's component. Let D be a node's symmetric difference from that
+        root. Nodes a and b differ in |Da| + |Db| - 2 |Da and Db| n-grams, so a
+        link needs an overlap of (|Da| + |Db| - k) / 2; if that is not positive
+        both link with the root itself, which D's size tells. With D in the
+        order of rarity among the root's nodes, such sets meet in their
+        prefixes. Prefixes hold what is peculiar to a node, so a large group of
+        near copies gives few pairs, not the square of its size.
         """
-        rooted = self._rooted(members, tree)
-        mixed = rooted.groupBy("pivot").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("pivot")
-        rooted = cut(rooted.join(mixed, "pivot"), "jaccard-mixed")
+        by_root = self._rooted(members, tree, "pivot", "ref").select("ref", "d").unionByName(self._rooted(members, tree, "pivot", "ref").select("ref", F.col("pivot").alias("d"))).where("ref <> d").distinct()
+        rooted = self._rooted(by_root, tree)
+        mixed = rooted.where("root <> ref").select("ref").distinct()
+        rooted = cut(rooted.join(mixed, "ref", "left_semi"), "jaccard-mixed")
         if rooted.isEmpty():
             return tree
-        both = rooted.join(sets.select(F.col("doc_id").alias("pivot"), F.col("grams").alias("x")), "pivot").join(sets.select(F.col("doc_id").alias("d"), F.col("grams").alias("y")), "d")
-        apart = cut(both.select("pivot", "d", "root", F.size("y").alias("n"), F.concat(F.array_except("x", "y"), F.array_except("y", "x")).alias("apart")), "jaccard-apart")
-        rows = apart.select("pivot", "d", F.explode("apart").alias("e"))
-        often = rows.groupBy("pivot", "e").agg(F.count("*").alias("c")).where("c > 1")
-        rare = rows.join(often, ["pivot", "e"], "left").groupBy("pivot", "d").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "e"))).alias("o"))  # as many as the node's and the pivot's n-grams
+        refs = cut(rooted.select(F.col("ref").alias("doc_id")).distinct(), "jaccard-refs")
+        both = rooted.join(sets.join(refs, "doc_id", "left_semi").select(F.col("doc_id").alias("ref"), F.col("grams").alias("x")), "ref").join(sets.select(F.col("doc_id").alias("d"), F.col("grams").alias("y")), "d")
+        apart = cut(both.select("ref", "d", "root", F.size("y").alias("n"), F.size("x").alias("rn"), F.concat(F.array_except("x", "y"), F.array_except("y", "x")).alias("apart")), "jaccard-apart")
         lost, all_ = self.den - self.num, self.den + self.num
+        direct = apart.where("root <> ref").where(F.size("apart") * all_ <= (F.col("n") + F.col("rn")) * lost).select(F.least("ref", "d").alias("a"), F.greatest("ref", "d").alias("b"))
+        rows = apart.select("ref", "d", F.explode("apart").alias("e"))
+        often = rows.groupBy("ref", "e").agg(F.count("*").alias("c")).where("c > 1")
+        rare = rows.join(often, ["ref", "e"], "left").groupBy("ref", "d").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "e"))).alias("o"))  # as many as the node's and the root's n-grams
         most = F.floor((F.col("n") + F.floor(F.col("n") * self.den / self.num)) * lost / all_) + 1
-        prefix = apart.select("pivot", "d", "root", "n", F.size("apart").alias("size")).join(rare, ["pivot", "d"])
-        prefix = prefix.select("pivot", "d", "root", "n", "size", F.posexplode(F.slice("o", F.lit(1), most.cast("int"))).alias("at", "r")).where("r.c > 1").select("pivot", "d", "root", "n", "size", "at", F.col("r.e").alias("e"))
+        prefix = apart.select("ref", "d", "root", "n", F.size("apart").alias("size")).join(rare, ["ref", "d"])
+        prefix = prefix.select("ref", "d", "root", "n", "size", F.posexplode(F.slice("o", F.lit(1), most.cast("int"))).alias("at", "r")).where("r.c > 1").select("ref", "d", "root", "n", "size", "at", F.col("r.e").alias("e"))
         prefix = cut(prefix, "jaccard-prefixes")
         k = F.floor((F.col("n") + F.col("m")) * lost / all_)
         overlap = F.greatest(F.ceil((F.col("size") + F.col("tsize") - k) / 2), F.lit(1))
         meet = (F.col("root") != F.col("troot")) & ((F.col("size") < F.col("tsize")) | ((F.col("size") == F.col("tsize")) & (F.col("d") < F.col("t")))) & (F.col("at") <= F.col("size") - overlap) & (F.col("tat") <= F.col("tsize") - overlap)
         # The smaller difference has the shorter prefix: half of the differences that a link allows.
         short = prefix.where(F.col("at") <= (most / 2))
-        long = prefix.select("pivot", "e", F.col("d").alias("t"), F.col("root").alias("troot"), F.col("n").alias("m"), F.col("size").alias("tsize"), F.col("at").alias("tat"))
-        pairs = short.join(long, ["pivot", "e"]).where(meet).select(F.least("d", "t").alias("a"), F.greatest("d", "t").alias("b")).distinct()
-        found = cut(self._linked(pairs, sets), "jaccard-links")
-        return tree if found.isEmpty() else stars(tree.unionByName(found))
+        long = prefix.select("ref", "e", F.col("d").alias("t"), F.col("root").alias("troot"), F.col("n").alias("m"), F.col("size").alias("tsize"), F.col("at").alias("tat"))
+        pairs = cut(short.join(long, ["ref", "e"]).where(meet).select(F.least("d", "t").alias("a"), F.greatest("d", "t").alias("b")).distinct().unionByName(direct), "jaccard-last")
+        drop(rooted, refs, apart, prefix)
+        tree = self._tied(tree, pairs, sets)
+        drop(pairs)
+        return tree
 
 
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:

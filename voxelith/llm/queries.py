@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, license_scan
+from . import decontaminate, license_scan, url_rules
 from .decontaminate import op4_decontamination
 from .license_scan import op8_license_scan
 from .near_dup import op10_jaccard_join
@@ -37,5 +37,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_decontamination": decontaminate.ORACLE_SQL,
+        "op6_url_rules": url_rules.ORACLE_SQL,
         "op8_license_scan": license_scan.ORACLE_SQL,
     }

@@ -40,11 +40,11 @@ def url_path(url: Column) -> Column:
 
 def listed_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     """The longest rule that fits the host or a parent domain and the start of the path, and its verdict; else nulls."""
-    rule = verdict = None
+    rule = verdict = F.lit(None).cast("string")
     for what, h, p in sorted(rules, key=lambda r: (len(r[1]) + len(r[2]), r)):
         fits = ((host == h) | host.endswith(f".{h}")) & path.startswith(p)
-        rule = F.when(fits, F.lit(h + p)) if rule is None else F.when(fits, F.lit(h + p)).otherwise(rule)
-        verdict = F.when(fits, F.lit(what)) if verdict is None else F.when(fits, F.lit(what)).otherwise(verdict)
+        rule = F.when(fits, F.lit(h + p)).otherwise(rule)
+        verdict = F.when(fits, F.lit(what)).otherwise(verdict)
     return rule, verdict
 
 
@@ -145,3 +145,36 @@ def judge_urls(pages: DataFrame, labels: DataFrame | None = None, rules=RULES, m
 def op6_url_rules(spark, sf_dir: str) -> DataFrame:
     """The verdict of every page."""
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"))
+
+
+def _rule_sql(column: str) -> str:
+    parts = []
+    for what, h, p in sorted(RULES, key=lambda r: (-len(r[1]) - len(r[2]), r)):
+        parts.append(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h + p if column == 'rule' else what}'")
+    return f"CASE {' '.join(parts)} END"
+
+
+_NONE = "CAST([] AS VARCHAR[])"
+#: The same rows in SQL: frequent token sets level by level, their rules, and the best rule of each page.
+ORACLE_SQL = f"""
+WITH RECURSIVE u AS (SELECT page_id, coalesce(url, '') AS url, translate(regexp_extract(coalesce(url, ''), '{SHAPE}', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(coalesce(url, ''), '{SHAPE}', 2) AS path FROM pages),
+ p AS (SELECT *, list_filter(string_split(host, '.'), lambda x: x <> '') AS ls, list_filter(string_split(path, '/'), lambda x: x <> '') AS ss, {_rule_sql('rule')} AS rule, {_rule_sql('verdict')} AS listed FROM u),
+ k AS (SELECT page_id, host, path, rule, listed, list_sort(list_distinct(list_concat(
+   CASE WHEN contains(url, '://') THEN ['scheme=' || lower(split_part(url, '://', 1))] ELSE {_NONE} END,
+   CASE WHEN len(ls) > 0 THEN list_transform(range(1, least(len(ls), 3) + 1), lambda i: 'domain=' || array_to_string(ls[len(ls) - i + 1 : len(ls)], '.')) ELSE {_NONE} END,
+   list_transform(ls[1 : greatest(len(ls) - 2, 0)], lambda x: 'label=' || x),
+   list_transform(ss, lambda x, i: 'path' || CAST(least(i, 9) AS VARCHAR) || '=' || x),
+   CASE WHEN regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1) <> '' THEN ['ext=' || regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)] ELSE {_NONE} END,
+   list_transform(list_filter(string_split(regexp_extract(url, '(?s)\\?([^#]*)', 1), '&'), lambda x: x <> ''), lambda x: 'query=' || split_part(x, '=', 1)),
+   CASE WHEN contains(url, '#') THEN ['fragment'] ELSE {_NONE} END))) AS tokens FROM p),
+ least_n AS (SELECT ceil(0.01 * count(*)) AS m, count(*) AS n FROM k WHERE listed IS NOT NULL),
+ t AS (SELECT page_id, listed, unnest(tokens) AS token FROM k WHERE listed IS NOT NULL),
+ lv AS (SELECT page_id, listed, [token] AS items FROM (SELECT *, count(*) OVER (PARTITION BY token) AS c FROM t) WHERE c >= (SELECT m FROM least_n)
+   UNION ALL SELECT page_id, listed, items FROM (SELECT lv.page_id, lv.listed, list_append(lv.items, t.token) AS items, count(*) OVER (PARTITION BY list_append(lv.items, t.token)) AS c FROM lv JOIN t ON t.page_id = lv.page_id AND t.token > lv.items[len(lv.items)]) WHERE c >= (SELECT m FROM least_n)),
+ a AS (SELECT items, count(*) AS c FROM lv GROUP BY items),
+ r AS (SELECT lv.items, lv.listed AS label, count(*) / max(a.c) AS conf, count(*) / max(least_n.n) AS supp FROM lv JOIN a ON a.items = lv.items CROSS JOIN least_n GROUP BY lv.items, lv.listed HAVING count(*) >= max(least_n.m) AND count(*) / max(a.c) >= 0.8),
+ idle AS (SELECT DISTINCT r.items, r.label FROM (SELECT *, unnest(items) AS one FROM r) r JOIN r s ON s.label = r.label AND s.items = list_filter(r.items, lambda x: x <> r.one) AND s.conf >= r.conf),
+ kept AS (SELECT * FROM r ANTI JOIN idle USING (items, label)),
+ hit AS (SELECT k.page_id, min(struct_pack(c := -conf, s := -supp, a := array_to_string(kept.items, ' '), l := label)) AS b FROM k JOIN kept ON list_has_all(k.tokens, kept.items) GROUP BY k.page_id)
+SELECT k.page_id, host, path, rule, coalesce(listed, b.l, 'allow') AS verdict, b.a AS mined_rule FROM k LEFT JOIN hit USING (page_id)
+"""
