@@ -69,7 +69,7 @@ _distance_query("fx03_city_distance", "city")
 _distance_query("fx03_chess_distance", "chess")
 
 
-@query("fx02_spaced_distance", f"WITH {G.GRID3}, seed AS (SELECT x, y, z FROM grid3 WHERE mask = 0) SELECT a.x, a.y, a.z, round(min((a.x - b.x) * (a.x - b.x) * 0.25 + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) * 4.0), 6) AS d FROM grid3 a, seed b GROUP BY 1, 2, 3")
+@query("fx02_spaced_distance", f"WITH {G.GRID3}, seed AS (SELECT x, y, z FROM grid3 WHERE mask = 0) SELECT a.x, a.y, a.z, round(CAST(min((a.x - b.x) * (a.x - b.x) * 0.25 + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) * 4.0) AS DOUBLE), 6) AS d FROM grid3 a, seed b GROUP BY 1, 2, 3")
 def fx02s(spark, sf):
     return distance(G.grid3(spark, sf), "mask = 0", (0.5, 1.0, 2.0, 1.0), dims=DIMS).select("x", "y", "z", F.round("d", 6).alias("d"))
 
