@@ -25,6 +25,8 @@ from .common import BROADCAST_ROWS, WordHasher, cut, drop, maybe_broadcast, mix6
 
 #: Classes of a sketch; nodes of a signature up to which all of them are compared (a row gives 3.5 pairs at most).
 SKETCH, FEW = 128, 8
+#: Nodes by root, about, that tell which differences are common; n-grams of all roots up to which they are broadcast.
+SAMPLE, BROADCAST_GRAMS = 32, 2_000_000
 
 
 @dataclass(frozen=True)
@@ -36,9 +38,9 @@ class JaccardJoin:
     den: int = 100
     #: Below `whole` differences all subsets of one part are enumerated, empty ones too: no link is lost. From there on
     #: parts without n-grams give no signature; a link is lost only if all parts that agree are empty. Below `twice`
-    #: differences two independent partitions make this rarer than 2e-6 for sets at the very threshold; beyond, one does.
+    #: differences two independent partitions make this rarer than 1e-7 for sets at the very threshold; beyond, one does.
     whole: int = 8
-    twice: int = 40
+    twice: int = 25
 
     @cached_property
     def bands(self) -> np.ndarray:
@@ -299,26 +301,33 @@ class JaccardJoin:
         rooted = cut(rooted.join(mixed, "ref", "left_semi"), "jaccard-mixed")
         if rooted.isEmpty():
             return tree
-        refs = cut(rooted.select(F.col("ref").alias("doc_id")).distinct(), "jaccard-refs")
-        both = rooted.join(sets.join(refs, "doc_id", "left_semi").select(F.col("doc_id").alias("ref"), F.col("grams").alias("x")), "ref").join(sets.select(F.col("doc_id").alias("d"), F.col("grams").alias("y")), "d")
-        apart = cut(both.select("ref", "d", "root", F.size("y").alias("n"), F.size("x").alias("rn"), F.concat(F.array_except("x", "y"), F.array_except("y", "x")).alias("apart")), "jaccard-apart")
+        counted = rooted.groupBy("ref").agg(F.count("*").alias("size"))
+        refs = cut(counted.select(F.col("ref").alias("doc_id"), F.ceil(F.col("size") / SAMPLE).alias("every")), "jaccard-refs")
+        own = sets.join(refs.select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("ref"), F.col("grams").alias("x"))
+        if own.agg(F.coalesce(F.sum(F.size("x")), F.lit(0))).first()[0] <= BROADCAST_GRAMS:
+            own = F.broadcast(own)
+        both = rooted.join(sets.select(F.col("doc_id").alias("d"), F.col("grams").alias("y")), "d").join(own, "ref")
+        apart = both.select("ref", "d", "root", F.size("y").alias("n"), F.size("x").alias("rn"), F.concat(F.array_except("y", "x"), F.array_except("x", "y")).alias("apart"))
+        # What many of a root's nodes have goes to the end. A sample of nodes tells it; any order gives the same links.
+        some = rooted.join(refs.withColumnRenamed("doc_id", "ref"), "ref").where(F.pmod(F.xxhash64("d"), F.col("every")) == 0).select("ref", "d").distinct()
+        often = apart.join(some, ["ref", "d"], "left_semi").select("ref", F.explode("apart").alias("e")).groupBy("ref", "e").agg(F.count("*").alias("c")).where("c > 1")
+        common = cut(often.groupBy("ref").agg(F.sort_array(F.collect_list(F.struct("c", "e"))).alias("o")).select("ref", F.col("o.e").alias("common")), "jaccard-common")  # by a bounded sample
         lost, all_ = self.den - self.num, self.den + self.num
-        direct = apart.where("root <> ref").where(F.size("apart") * all_ <= (F.col("n") + F.col("rn")) * lost).select(F.least("ref", "d").alias("a"), F.greatest("ref", "d").alias("b"))
-        rows = apart.select("ref", "d", F.explode("apart").alias("e"))
-        often = rows.groupBy("ref", "e").agg(F.count("*").alias("c")).where("c > 1")
-        rare = rows.join(often, ["ref", "e"], "left").groupBy("ref", "d").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "e"))).alias("o"))  # as many as the node's and the root's n-grams
-        most = F.floor((F.col("n") + F.floor(F.col("n") * self.den / self.num)) * lost / all_) + 1
-        prefix = apart.select("ref", "d", "root", "n", F.size("apart").alias("size")).join(rare, ["ref", "d"])
-        prefix = prefix.select("ref", "d", "root", "n", "size", F.posexplode(F.slice("o", F.lit(1), most.cast("int"))).alias("at", "r")).where("r.c > 1").select("ref", "d", "root", "n", "size", "at", F.col("r.e").alias("e"))
-        prefix = cut(prefix, "jaccard-prefixes")
+        most = (F.floor((F.col("n") + F.floor(F.col("n") * self.den / self.num)) * lost / all_) + 1).cast("int")
+        late = F.coalesce("common", F.array().cast("array<bigint>"))
+        first = F.slice(F.concat(F.sort_array(F.array_except("apart", late)), F.array_intersect(late, "apart")), F.lit(1), most)
+        start = apart.join(maybe_broadcast(common), "ref", "left").select("ref", "d", "root", "n", "rn", F.size("apart").alias("size"), most.alias("most"), first.alias("first"))
+        start = cut(start, "jaccard-prefixes")
+        direct = start.where("root <> ref").where(F.col("size") * all_ <= (F.col("n") + F.col("rn")) * lost).select(F.least("ref", "d").alias("a"), F.greatest("ref", "d").alias("b"))
+        prefix = start.select("ref", "d", "root", "n", "size", "most", F.posexplode("first").alias("at", "e")).withColumn("e", F.xxhash64("ref", "e"))
         k = F.floor((F.col("n") + F.col("m")) * lost / all_)
         overlap = F.greatest(F.ceil((F.col("size") + F.col("tsize") - k) / 2), F.lit(1))
         meet = (F.col("root") != F.col("troot")) & ((F.col("size") < F.col("tsize")) | ((F.col("size") == F.col("tsize")) & (F.col("d") < F.col("t")))) & (F.col("at") <= F.col("size") - overlap) & (F.col("tat") <= F.col("tsize") - overlap)
         # The smaller difference has the shorter prefix: half of the differences that a link allows.
-        short = prefix.where(F.col("at") <= (most / 2))
-        long = prefix.select("ref", "e", F.col("d").alias("t"), F.col("root").alias("troot"), F.col("n").alias("m"), F.col("size").alias("tsize"), F.col("at").alias("tat"))
-        pairs = cut(short.join(long, ["ref", "e"]).where(meet).select(F.least("d", "t").alias("a"), F.greatest("d", "t").alias("b")).distinct().unionByName(direct), "jaccard-last")
-        drop(rooted, refs, apart, prefix)
+        short = prefix.where(F.col("at") <= F.col("most") / 2).drop("ref", "most")
+        long = prefix.select("e", F.col("d").alias("t"), F.col("root").alias("troot"), F.col("n").alias("m"), F.col("size").alias("tsize"), F.col("at").alias("tat"))
+        pairs = cut(short.join(long, "e").where(meet).select(F.least("d", "t").alias("a"), F.greatest("d", "t").alias("b")).distinct().unionByName(direct), "jaccard-last")
+        drop(rooted, refs, common, start)
         tree = self._tied(tree, pairs, sets)
         drop(pairs)
         return tree
