@@ -244,8 +244,7 @@ class JaccardJoin:
         apart = self._rooted(self._rooted(pairs, tree, "a", "ra"), tree, "b", "rb").where("ra <> rb").select("a", "b")
         tree = self._tied(tree, apart, sets)
         if not members.isEmpty():
-            tree = self._more_pivots(many.select("sig", "d", "n"), sets, tree)
-            tree = self._settle(members, sets, tree)
+            tree = self._settle(many.select("sig", "d"), nodes, sets, tree)
         drop(shared, members, pairs, sets)
         # A copy's node, then the node's component.
         node = nodes.select("doc_id", F.col("n").alias("n_shingles")).join(copies.distinct(), "doc_id", "left")
@@ -272,33 +271,25 @@ class JaccardJoin:
             drop(tree)
         return out
 
-    def _more_pivots(self, shared: DataFrame, sets: DataFrame, tree: DataFrame) -> DataFrame:
-        """Compares another pivot of each signature that has several components with the nodes of the others.
-
-        This ties most of what can be tied, so that few pairs are left to _settle, which alone is exact.
-        """
-        rows = self._rooted(shared, tree)
-        pivot = rows.groupBy("sig").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.min(F.struct(F.xxhash64("d").alias("h"), "d", "n", "root")).alias("p")).where("r1 < r2").select("sig", "p")
-        fits = (self.den * F.least("n", "p.n") >= self.num * F.greatest("n", "p.n")) & (F.col("root") != F.col("p.root"))
-        pairs = rows.join(pivot, "sig").where(fits).groupBy("d", F.col("root").alias("r"), "p.root").agg(F.min("p.d").alias("p"))
-        return self._tied(tree, pairs.select(F.least("d", "p").alias("a"), F.greatest("d", "p").alias("b")).distinct(), sets)
-
-    def _settle(self, members: DataFrame, sets: DataFrame, tree: DataFrame) -> DataFrame:
-        """Finds all links between nodes of one pivot that lie in different components still.
-
-        Linked nodes share a signature, hence its pivot and the root of the
-        pivot's component. Let D be a node's symmetric difference from that
-        root. Nodes a and b differ in |Da| + |Db| - 2 |Da and Db| n-grams, so a
-        link needs an overlap of (|Da| + |Db| - k) / 2; if that is not positive
-        both link with the root itself, which D's size tells. With D in the
-        order of rarity among the root's nodes, such sets meet in their
-        prefixes. Prefixes hold what is peculiar to a node, so a large group of
-        near copies gives few pairs, not the square of its size.
+    def _settle(self, many: DataFrame, nodes: DataFrame, sets: DataFrame, tree: DataFrame) -> DataFrame:
+        """Finds all links between nodes of one signature that lie in different components still.
+
+        Each signature takes as its reference the root of its largest
+        component, so a group of near copies mostly has one. Linked nodes share
+        a signature, hence its reference. Let D be a node's symmetric
+        difference from that. Nodes a and b differ in |Da| + |Db| - 2 |Da and Db|
+        n-grams, so a link needs an overlap of (|Da| + |Db| - k) / 2; if that is
+        not positive both link with the reference itself, which D's size tells.
+        With D in the order of rarity among the reference's nodes, such sets meet
+        in their prefixes. Prefixes hold what is peculiar to a node, so a large
+        group of near copies gives few pairs, not the square of its size.
         """
-        by_root = self._rooted(members, tree, "pivot", "ref").select("ref", "d").unionByName(self._rooted(members, tree, "pivot", "ref").select("ref", F.col("pivot").alias("d"))).where("ref <> d").distinct()
-        rooted = self._rooted(by_root, tree)
-        mixed = rooted.where("root <> ref").select("ref").distinct()
-        rooted = cut(rooted.join(mixed, "ref", "left_semi"), "jaccard-mixed")
+        rows = self._rooted(many, tree)
+        large = tree.groupBy(F.col("b").alias("root")).agg(F.count("*").alias("size"))
+        by_size = F.struct((-F.coalesce("size", F.lit(0))).alias("s"), F.col("root").alias("ref"))
+        chosen = rows.join(large, "root", "left").groupBy("sig").agg(F.min(by_size).alias("m"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2")
+        rooted = rows.join(chosen.select("sig", F.col("m.ref").alias("ref")), "sig").where("d <> ref").select("ref", "d", "root").distinct()
+        rooted = cut(rooted, "jaccard-mixed")
         if rooted.isEmpty():
             return tree
         counted = rooted.groupBy("ref").agg(F.count("*").alias("size"))
@@ -306,12 +297,16 @@ class JaccardJoin:
         own = sets.join(refs.select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("ref"), F.col("grams").alias("x"))
         if own.agg(F.coalesce(F.sum(F.size("x")), F.lit(0))).first()[0] <= BROADCAST_GRAMS:
             own = F.broadcast(own)
-        both = rooted.join(sets.select(F.col("doc_id").alias("d"), F.col("grams").alias("y")), "d").join(own, "ref")
-        apart = both.select("ref", "d", "root", F.size("y").alias("n"), F.size("x").alias("rn"), F.concat(F.array_except("y", "x"), F.array_except("x", "y")).alias("apart"))
-        # What many of a root's nodes have goes to the end. A sample of nodes tells it; any order gives the same links.
-        some = rooted.join(refs.withColumnRenamed("doc_id", "ref"), "ref").where(F.pmod(F.xxhash64("d"), F.col("every")) == 0).select("ref", "d").distinct()
-        often = apart.join(some, ["ref", "d"], "left_semi").select("ref", F.explode("apart").alias("e")).groupBy("ref", "e").agg(F.count("*").alias("c")).where("c > 1")
+
+        def apart_from(some: DataFrame) -> DataFrame:
+            both = some.join(sets.select(F.col("doc_id").alias("d"), F.col("grams").alias("y")), "d").join(own, "ref")
+            return both.select("ref", "d", "root", F.size("y").alias("n"), F.size("x").alias("rn"), F.concat(F.array_except("y", "x"), F.array_except("x", "y")).alias("apart"))
+
+        # What many of a reference's nodes have goes to the end. A sample of nodes tells it; any order gives the same links.
+        some = rooted.join(refs.withColumnRenamed("doc_id", "ref"), "ref").where(F.pmod(F.xxhash64("d"), F.col("every")) == 0).select("ref", "d", "root")
+        often = apart_from(some).select("ref", F.explode("apart").alias("e")).groupBy("ref", "e").agg(F.count("*").alias("c")).where("c > 1")
         common = cut(often.groupBy("ref").agg(F.sort_array(F.collect_list(F.struct("c", "e"))).alias("o")).select("ref", F.col("o.e").alias("common")), "jaccard-common")  # by a bounded sample
+        apart = apart_from(rooted)
         lost, all_ = self.den - self.num, self.den + self.num
         most = (F.floor((F.col("n") + F.floor(F.col("n") * self.den / self.num)) * lost / all_) + 1).cast("int")
         late = F.coalesce("common", F.array().cast("array<bigint>"))
@@ -326,7 +321,8 @@ class JaccardJoin:
         # The smaller difference has the shorter prefix: half of the differences that a link allows.
         short = prefix.where(F.col("at") <= F.col("most") / 2).drop("ref", "most")
         long = prefix.select("e", F.col("d").alias("t"), F.col("root").alias("troot"), F.col("n").alias("m"), F.col("size").alias("tsize"), F.col("at").alias("tat"))
-        pairs = cut(short.join(long, "e").where(meet).select(F.least("d", "t").alias("a"), F.greatest("d", "t").alias("b")).distinct().unionByName(direct), "jaccard-last")
+        pairs = short.join(long, "e").where(meet).select(F.least("d", "t").alias("a"), F.greatest("d", "t").alias("b")).distinct().unionByName(direct)
+        pairs = cut(self._plausible(pairs, nodes.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "sketch")), "jaccard-last")
         drop(rooted, refs, common, start)
         tree = self._tied(tree, pairs, sets)
         drop(pairs)
