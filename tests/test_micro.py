@@ -118,3 +118,73 @@ def test_strong_components(spark):
     e = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (3, 4), (4, 3), (5, 5)], "a long, b long")
     n = spark.createDataFrame([(k,) for k in range(1, 7)], "node long")
     assert {r.node: r.scc for r in R.strong_components(n, e).collect()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 6}
+
+
+def test_reaction_alone(spark):
+    from voxelith.operators.diffusion import react_diffuse
+
+    one = spark.createDataFrame([(0, 0, 0, 0, 0, 0.8)], "vol_id long, x int, y int, z int, t int, c double")
+    for order in ("jacobi", "raster"):
+        assert abs(react_diffuse(one, "c", 1, speed=(0, 0, 0, 0), order=order).first().c - 0.824) < 1e-12
+
+
+def test_raster_order_uses_new_values(spark):
+    from voxelith.operators.diffusion import react_diffuse
+
+    row = spark.createDataFrame([(0, x, 0, 0, 0, float(x == 0)) for x in range(3)], "vol_id long, x int, y int, z int, t int, c double")
+    kw = dict(rounds=1, k=(0, 0, 0, 0), speed=(0.5, 0, 0, 0), rate=1.0, ndim=1)
+    synchronous = [r.c for r in react_diffuse(row, "c", **kw).orderBy("x").collect()]
+    in_place = [r.c for r in react_diffuse(row, "c", order="raster", **kw).orderBy("x").collect()]
+    assert synchronous == [0.5, 0.5, 0.0] and in_place == [0.5, 0.25, 0.125]
+
+
+def test_hull_holds_its_points(spark):
+    import numpy as np
+
+    from voxelith.operators import hulls as H
+
+    rng = np.random.default_rng(3)
+    pts = rng.integers(0, 15, (60, 3))
+    df = spark.createDataFrame([(0, *map(int, p), 0) for p in pts], "vol_id long, x int, y int, z int, t int")
+    planes = H.hull_facets(df)
+    for f in planes.collect():
+        assert (pts @ np.array([f.nx, f.ny, f.nz]) <= f.offset + 1e-6).all()
+    assert H.carve(df, planes).count() == len(pts)
+    corners = spark.createDataFrame([(0, x, y, z, 0) for x in (0, 4) for y in (0, 4) for z in (0, 4)], df.schema)
+    cube = spark.createDataFrame([(0, x, y, z, 0) for x in range(-1, 6) for y in range(-1, 6) for z in range(-1, 6)], df.schema)
+    assert H.carve(cube, H.hull_facets(corners)).count() == 125
+    flat = df.withColumn("z", F.lit(0))
+    assert H.hull_facets(flat).count() == 0
+
+
+def test_depth_first_times(spark):
+    from voxelith.operators.segments import depth_first
+
+    e = spark.createDataFrame([(0, 1, 2), (0, 2, 3), (0, 1, 3), (0, 4, 1)], "graph_id long, a long, b long")
+    assert {r.node: (r.found, r.done) for r in depth_first(e).collect()} == {1: (0, 5), 2: (1, 4), 3: (2, 3), 4: (6, 7)}
+
+
+def test_agglomeration_takes_the_cheapest_pair(spark):
+    from voxelith.operators.segments import agglomerate
+
+    sizes = spark.createDataFrame([(1, 5), (2, 1), (3, 4), (4, 4)], "node long, size long")
+    touch = spark.createDataFrame([(1, 2, 1.0, 2), (3, 4, 1.0, 1), (2, 3, 1.0, 1)], "a long, b long, w double, cut long")
+    assert {r.node: r.root for r in agglomerate(sizes, touch, 3).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
+def test_filled_links_join_dead_ends(spark):
+    from voxelith.operators.descent import descent_links
+
+    gen = spark.createDataFrame([(0, 0, 0, 0, 0, 1), (0, 1, 0, 0, 0, 1), (0, 2, 0, 0, 0, 1), (0, 3, 0, 0, 0, 2)], "vol_id long, x int, y int, z int, t int, wave int")
+    plain = {(r.a, r.b) for r in descent_links(gen, (4, 1, 1, 1), 1, fill=False).collect()}
+    filled = {(r.a, r.b) for r in descent_links(gen, (4, 1, 1, 1), 1).collect()}
+    assert plain == {(2, 3)} and filled == {(2, 3), (1, 2), (0, 1)}
+
+
+def test_relocation_keeps_ties(spark):
+    from voxelith.operators.descent import relocate
+
+    row = spark.createDataFrame([(0, x, 0, 0, 0, float(d)) for x, d in enumerate([3, 1, 2, 3])], "vol_id long, x int, y int, z int, t int, d double")
+    clicks = spark.createDataFrame([(7, 0, 1, 0, 0, 0), (8, 0, 3, 0, 0, 0)], "click int, vol_id long, x int, y int, z int, t int")
+    got = {(r.click, r.x) for r in relocate(row, clicks, box=(2, 0, 0, 0)).collect()}
+    assert got == {(7, 0), (7, 3), (8, 3)}
