@@ -203,7 +203,11 @@ class JaccardJoin:
 
     def _linked(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sets link."""
-        both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("y")), "b")
+        x, y = (sets.select(F.col("doc_id").alias(d), F.col("grams").alias(g)) for d, g in (("a", "x"), ("b", "y")))
+        if pairs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # then only the sets in question travel
+            pairs = F.broadcast(pairs)
+            y = y.join(F.broadcast(pairs.select("b").distinct()), "b", "left_semi")
+        both = x.join(pairs, "a").join(y, "b")
         common = F.size(F.array_intersect("x", "y"))
         return both.select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), common.alias("c")).where(self.den * F.col("c") >= self.num * (F.col("n") + F.col("m") - F.col("c"))).select("a", "b")
 
@@ -299,7 +303,7 @@ class JaccardJoin:
             own = F.broadcast(own)
 
         def apart_from(some: DataFrame) -> DataFrame:
-            both = some.join(sets.select(F.col("doc_id").alias("d"), F.col("grams").alias("y")), "d").join(own, "ref")
+            both = sets.select(F.col("doc_id").alias("d"), F.col("grams").alias("y")).join(maybe_broadcast(some), "d").join(own, "ref")
             return both.select("ref", "d", "root", F.size("y").alias("n"), F.size("x").alias("rn"), F.concat(F.array_except("y", "x"), F.array_except("x", "y")).alias("apart"))
 
         # What many of a reference's nodes have goes to the end. A sample of nodes tells it; any order gives the same links.
