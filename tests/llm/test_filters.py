@@ -147,6 +147,24 @@ def test_wrapped_sentence(make):
     assert got.licences == ["MPL"]
 
 
+def test_every_sentence_and_rule_in_original_form(make):
+    texts = dict(L.SENTENCES)
+    wrap = lambda t, end: re.sub(r"(.{20,40}?) ", lambda m: m[1] + end, t)
+    ways = {
+        "line": lambda t: t,
+        "wrapped": lambda t: wrap(t, "\n"),
+        "crlf": lambda t: wrap(t, "\r\n"),
+    }
+    cases = [(way, ids) for way in ways for ids in [*((i,) for i in texts), *(r[1] for r in L.RULES)]]
+    rows = [(k, "Intro. " + ways[way](" ".join(texts[i] if texts[i][-1] in ".:" else texts[i] + "." for i in ids)) + " More text follows.") for k, (way, ids) in enumerate(cases)]
+    got = {r.doc_id: r for r in L.scan_licences(make(rows)).collect()}
+    names = {ids: name for name, ids in L.RULES}
+    for k, (way, ids) in enumerate(cases):
+        # a header cut after "Version 2.0" also starts with the short form
+        assert [x for x in got[k].sentence_ids if x in ids or x != "apache-short"] == list(ids), (way, ids)
+        assert ids not in names or names[ids] in got[k].licences, (way, ids)
+
+
 # --- url rules ------------------------------------------------------------------
 
 

@@ -1,10 +1,10 @@
 """Licences by sentence identifiers and ordered rules (operator 8).
 
-A text is cut into fragments at line ends and sentence ends. A fragment, or the
-run of fragments up to the next sentence end (for sentences that wrap over
-lines), is normalised and looked up among known licence sentences. The
-identifiers found, in order, are matched against rules: ordered identifier
-sequences that name a licence.
+A text is cut into fragments at line ends, sentence ends and colons, and the
+fragments are normalised. From each fragment on, the runs of one and more
+fragments are compared with the known licence sentences, so that these may wrap
+over lines and hold end marks. The identifiers found, in order, are matched
+against rules: ordered identifier sequences that name a licence.
 """
 
 from __future__ import annotations
@@ -80,33 +80,41 @@ def normal(text: str) -> str:
     return re.sub(MARKS, " ", "".join(c.lower() if c.isascii() else c for c in text)).strip(" ")
 
 
-def normal_column(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.translate(text, UPPER, LOWER), MARKS, " "))
-
-
 def _longest_wrap(sentences) -> int:
     """A known sentence wraps over no more fragments than it has words."""
     return max(len(normal(s).split()) for _, s in sentences)
 
 
+def _fragments(text: Column) -> Column:
+    """Normal forms of the parts of a text between line ends and end marks, without empty ones."""
+    plain = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), r"[.!?:][ \t]+|\r\n?", "\n")
+    plain = F.regexp_replace(plain, r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+", " ")
+    return F.filter(F.split(F.regexp_replace(plain, r" *\n[ \n]*", "\n"), "\n"), lambda f: F.trim(f) != "")
+
+
 def licence_sentences(text: Column, sentences=SENTENCES) -> Column:
-    """Array of identifiers of the known sentences in a text, in order."""
-    known = F.create_map(*(F.lit(x) for i, s in sentences for x in (normal(s), i)))
-    starts = F.array(*(F.lit(x) for x in sorted({normal(s).split()[0] for _, s in sentences})))
+    """Array of identifiers of the known sentences in a text, in order; of those with the same start the shorter first."""
+    forms: dict[str, list] = {}
+    for i, s in sorted(sentences, key=lambda x: len(normal(x[1]))):
+        forms.setdefault(normal(s).split()[0], []).append(F.struct(F.lit(normal(s)).alias("form"), F.lit(i).alias("id")))
+    known = F.create_map(*(x for w, entries in forms.items() for x in (F.lit(w), F.array(*entries))))
     wrap = _longest_wrap(sentences)
-    marked = F.regexp_replace(F.coalesce(text, F.lit("")), r"([.!?])[ \t]+", "$1\n")
-    fragments = F.filter(F.split(marked, "\n"), lambda f: F.length(f) > 0)
+
+    def fits(run, form):
+        size = F.length(form)
+        return (F.translate(F.substring(run, F.lit(1), size), "\n", " ") == form) & F.substring(run, size + 1, F.lit(1)).isin("", "\n")
 
     def identify(all_fragments):
         def one(f, i):
-            plain = normal_column(f)
-            run = F.array_join(F.slice(all_fragments, i + 1, F.lit(wrap)), " ")
-            whole = F.coalesce(F.try_element_at(known, plain), F.when(~F.rlike(f, F.lit(r"[.!?]\s*$")), F.try_element_at(known, normal_column(F.regexp_extract(run, r"^(.*?[.!?:])(?: |$)", 1)))))
-            return F.when(F.array_contains(starts, F.substring_index(plain, " ", 1)), whole)
+            entries = F.try_element_at(known, F.substring_index(f, " ", 1))
+            run = F.array_join(F.slice(all_fragments, i + 1, F.lit(wrap)), "\n")
+            ids = lambda r: F.transform(F.filter(entries, lambda e: fits(r, e["form"])), lambda e: e["id"])
+            return F.when(entries.isNotNull(), F.element_at(F.transform(F.array(run), ids), 1))
 
-        return F.filter(F.transform(all_fragments, one), lambda x: x.isNotNull())
+        return F.flatten(F.filter(F.transform(all_fragments, one), lambda x: x.isNotNull()))
 
-    return F.element_at(F.transform(F.array(fragments), identify), 1)
+    trimmed = F.transform(_fragments(text), lambda f: F.trim(f))
+    return F.element_at(F.transform(F.array(trimmed), identify), 1)
 
 
 def matched_licences(ids: Column, rules=RULES) -> Column:
