@@ -1,3 +1,5 @@
+import itertools
+import math
 import random
 import re
 import zlib
@@ -115,6 +117,30 @@ def test_large_index_gives_the_same(spark, make, monkeypatch):
     assert D.find_leaks(make(rows), bench).collect() == small and len(small) == 1
 
 
+def test_all_substitutions_within_the_tolerance(spark, make):
+    """Every placement of the most substitutions that 0.8 allows, for items of 4 to 12 words; a sample and all runs for longer ones."""
+    rng = random.Random(5)
+    items, rows, want = [], [], {}
+    for n in range(4, 26):
+        words = [f"i{n}w{k}" for k in range(n)]
+        items.append((n, " ".join(words)))
+        size = min(n, 20)
+        d = size - math.ceil(0.8 * size)
+        places = list(itertools.combinations(range(size), d))
+        even = tuple((j + 1) * size // (d + 1) - (j + 1 == d) for j in range(d))
+        if len(places) > 100:
+            places = [*rng.sample(places, 100), even, *(tuple(4 * j + k for j in range(d)) for k in range(4))]
+        for gone in places:
+            changed = ["other" if k in gone else w for k, w in enumerate(words[:size])]
+            want[len(rows)] = (n, size - len(set(gone)), size)
+            rows.append((len(rows), " ".join(["before", *changed, "after"])))
+        over = ["other" if k in range(d + 1) else w for k, w in enumerate(words[:size])]
+        rows.append((len(rows), " ".join(over)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: (r.item_id, r.equal, r.compared) for r in D.find_leaks(make(rows), bench).collect()}
+    assert got == want
+
+
 # --- licences -----------------------------------------------------------------
 
 

@@ -1,20 +1,23 @@
-"""Benchmark decontamination by spaced-seed hashing (operator 4).
-
-Each window of words is hashed under fixed masks that skip some of its words,
-so a substituted word at a skipped place leaves the hash alone. Hashes of the
-benchmark items form an index; windows of every text are looked up in it, and
-around each hit the aligned words of text and item are compared, substitutions
-allowed. Hashes are computed and looked up in one generated stage.
+"""Benchmark decontamination by seed hashing (operator 4).
+
+Of n aligned words with at most d substitutions, some ceil((n - d) / (d + 1))
+neighbours are equal (pigeonhole). Runs of that many words are hashed, so every
+passage within the tolerance holds a seed. Hashes of the benchmark items form an
+index; runs of every text are looked up in it, and around each hit the aligned
+words of text and item are compared, substitutions allowed. Hashes are computed
+and looked up in one generated stage.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, cut, maybe_broadcast
 
-#: Fixed masks: word positions that count. The last one skips none.
+#: Fixed masks of the SQL: word positions that count. The last one skips none.
 MASKS = ((0, 1, 3, 5, 6, 9, 11), (0, 2, 3, 6, 7, 8, 10), (0, 1, 4, 5, 8, 9, 12), (0, 1, 2, 3, 4, 5, 6))
 
 #: Items with fewer words are too general to tell a leak and match nothing.
@@ -26,27 +29,39 @@ def words_of(text, name: str):
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "").alias(name)
 
 
+def least_equal(size: int, similarity: float) -> int:
+    """Equal words that `size` aligned words need, as _verified counts them."""
+    return math.ceil(similarity * size)
+
+
+def seed_length(size: int, similarity: float) -> int:
+    """Neighbouring equal words that any `size` aligned words with the least equal ones hold."""
+    equal = least_equal(size, similarity)
+    return max(1, -(-equal // (size - equal + 1)))
+
+
 def _key(words: str, at: str, mask) -> str:
     """SQL: hash of the words at `at` + mask; null if the window reaches over either end."""
     items = ", ".join(f"get({words}, {at} + {k})" for k in mask)
     return f"CASE WHEN {at} >= 0 AND {at} + {max(mask)} < size({words}) THEN xxhash64({items}) END"
 
 
-def seed_index(benchmark: DataFrame, masks=MASKS, id_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, list]:
+def seed_index(benchmark: DataFrame, overlap: int = 20, similarity: float = 0.8, id_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, list]:
     """Items (item_id, item_words as hashes), their seeds (mask, key, item_id, at, before) and all masks in use.
 
     before is the key one word earlier: a hit whose predecessor hits too is the
-    same diagonal and needs no second look. Items shorter than the contiguous
-    mask get one of their own length.
+    same diagonal and needs no second look. An item has the seeds of its own
+    length class, those of `overlap` words if it is longer.
     """
     items = benchmark.select(F.col(id_col).alias("item_id"), words_of(F.col(text_col).cast("string"), "w")).where(F.size("w") >= LEAST_WORDS).distinct()
     items = cut(items.select("item_id", F.expr("transform(w, x -> xxhash64(x))").alias("item_words")), "benchmark-items")
-    least = min(max(m) + 1 for m in masks)
-    short = [r[0] for r in items.select(F.size("item_words").alias("n")).where(f"n < {least}").distinct().orderBy("n").collect()]  # fewer than `least` values
-    used = [*masks, *(tuple(range(n)) for n in short)]
-    keys = "array(" + ", ".join(f"named_struct('mask', {i}, 'key', {_key('item_words', 'at', m)}, 'before', {_key('item_words', '(at - 1)', m)})" for i, m in enumerate(used)) + ")"
+    sizes = [r[0] for r in items.select(F.least(F.size("item_words"), F.lit(overlap)).alias("n")).distinct().orderBy("n").collect()]  # at most `overlap` values
+    lengths = sorted({seed_length(n, similarity) for n in sizes})
+    used = [tuple(range(n)) for n in lengths]
+    mask_of = "CASE least(size(item_words), {0}) {1} END".format(overlap, " ".join(f"WHEN {n} THEN {lengths.index(seed_length(n, similarity))}" for n in sizes)) if sizes else "0"
+    keys = "array(" + ", ".join(f"named_struct('mask', {i}, 'key', {_key('item_words', 'at', m)}, 'before', {_key('item_words', '(at - 1)', m)})" for i, m in enumerate(used or MASKS)) + ")"
     seeds = items.select("item_id", "item_words", F.explode(F.sequence(F.lit(0), F.size("item_words") - 1)).alias("at"))
-    seeds = seeds.select("item_id", "at", F.explode(F.expr(keys)).alias("s")).where("s.key IS NOT NULL").select(F.col("s.mask").alias("mask"), F.col("s.key").alias("key"), "item_id", "at", F.col("s.before").alias("before"))
+    seeds = seeds.select("item_id", "at", F.expr(mask_of).alias("own"), F.explode(F.expr(keys)).alias("s")).where("s.key IS NOT NULL AND s.mask = own").select(F.col("s.mask").alias("mask"), F.col("s.key").alias("key"), "item_id", "at", F.col("s.before").alias("before"))
     return items, cut(seeds, "benchmark-seeds"), used
 
 
@@ -63,15 +78,16 @@ def _verified(pairs: DataFrame, overlap: int, similarity: float) -> DataFrame:
     return pairs.where(F.col("equal") >= F.ceil(F.lit(similarity) * F.col("compared"))).groupBy("doc_id", "item_id").agg(F.max("equal").cast("long").alias("equal"), F.max("compared").cast("long").alias("compared"))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, overlap: int = 20, similarity: float = 0.8, masks=MASKS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, overlap: int = 20, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, equal, compared for every text that shares a passage with an item.
 
     A passage: `overlap` aligned words (all words of a shorter item) of which the
-    share `similarity` is equal, holding a seed. Null and empty texts and items
+    share `similarity` is equal. Null and empty texts and items
     match nothing; rows with the same id count as one; null ids stay null;
     ties (several passages) give the best; an empty table on either side gives no rows.
     """
-    items, seeds, used = seed_index(benchmark, masks, item_col, item_text_col)
+    items, seeds, used = seed_index(benchmark, overlap, similarity, item_col, item_text_col)
+    used = used or MASKS
     small = seeds.count() <= BROADCAST_ROWS
     doc = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col).cast("string"), "w"))
     doc = doc.select("doc_id", F.expr("transform(w, x -> xxhash64(x))").alias("doc_words")).where(F.size("doc_words") >= LEAST_WORDS)
