@@ -1,5 +1,6 @@
 import base64
 import gzip
+import random
 import re
 from urllib.parse import quote
 
@@ -53,3 +54,32 @@ def test_redaction(make):
     got = {r.doc_id: r for r in S.redact_secrets(docs).collect()}
     assert got[1].text.startswith("a [SECRET]") and got[1].n_chars == len(got[1].text) and "abcdef0123" not in got[1].text
     assert got[2].text is None and got[3].text == "clean" and S.redact_secrets(docs).columns == docs.columns
+
+
+def found(text):
+    spans = [s for s in S.scan(text)[1] if s[0] == "assign" and s not in S.scan(text)[0]]
+    return bool(spans) and all(0 <= a < b <= len(text) for _, a, b in spans)
+
+
+def test_layers_with_any_characters():
+    for odd in ("\ufeff", "\u00a0", "\u3000", "\u200b", "\0", "\x1b", "\ue000"):
+        data = f"{odd}A=1\n{TOKEN}\n{odd}".encode()
+        assert found(base64.b64encode(data).decode()) and found(base64.b64encode(gzip.compress(data)).decode())
+
+
+def wrapped(data, width, end, indent=""):
+    run = base64.b64encode(data).decode()
+    return end.join(indent + run[k : k + width] for k in range(0, len(run), width))
+
+
+def test_wrapped_base64():
+    rng = random.Random(3)
+    noise = "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(90))
+    for width in (20, 64, 76):
+        for end in ("\n", "\r\n"):
+            for pad in range(0, 60, 7):
+                data = (noise[: 20 + pad] + TOKEN + noise[pad:]).encode()
+                for body in (data, gzip.compress(data)):
+                    block = wrapped(body, width, end)
+                    for text in (block, f"key: {block}", f"intro{end}data{end}{block}{end}end{end}of the text", wrapped(body, width, end, "  ")):
+                        assert found(text), (width, end, pad)

@@ -2,8 +2,8 @@
 
 A text is the first layer. Every layer is searched for secrets and unwrapped:
 percent-encoding and Unicode escapes give one new layer for the whole layer,
-each base64 run or compressed run of bytes a layer of its own. New layers go on
-the worklist until none is left; a layer seen before at the same place is a
+each base64 run (also one wrapped over lines) or compressed run of bytes a layer
+of its own. New layers go on the worklist until none is left; a layer seen before at the same place is a
 cycle and is not taken again. Spans found in a layer are mapped to the text.
 """
 
@@ -16,6 +16,8 @@ import lzma
 import re
 import zlib
 from collections import deque
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,10 @@ ESCAPES = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1
 ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]+)\}|\\[uUx]([0-9A-Fa-f]+)")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 
+#: Base64 lines that follow one another; the first may start within its line.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{4,}+(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]++)+={0,2}")
+PIECE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+
 #: Bytes that one compressed layer may give; a larger one is not opened, and counted in n_unopened.
 LAYER_BYTES = 16 << 20
 
@@ -53,12 +59,12 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def as_text(data: bytes) -> str | None:
-    """UTF-8 text without control characters, or None."""
+    """UTF-8 text, whatever its characters, or None."""
     try:
         text = data.decode()
     except UnicodeDecodeError:
         return None
-    return text if len(text) >= 4 and all(c.isprintable() or c in "\t\n\r" for c in text) else None
+    return text if len(text) >= 4 else None
 
 
 def inflate(data: bytes) -> bytes | None | bool:
@@ -86,6 +92,29 @@ def inflate(data: bytes) -> bytes | None | bool:
         return None
 
 
+def wrapped_runs(text: str) -> Iterator[tuple[str, int, int]]:
+    """Base64 runs over several lines, joined, with their places.
+
+    Lines of an encoding are equally long but for the last one, and the first
+    one where it shares its line; next to it may stand lines that only look alike.
+    """
+    for m in WRAPPED.finditer(text):
+        pieces = [p.span() for p in PIECE.finditer(text, *m.span())]
+        sizes = [b - a for a, b in pieces]
+        n, i, tried = len(pieces), 0, {(0, len(pieces))}
+        while i < n:
+            k = i
+            while k + 1 < n and sizes[k + 1] == sizes[i]:
+                k += 1
+            after = k + 2 if k + 1 < n and sizes[k + 1] < sizes[i] + 3 else k + 1
+            tried.update((first, last) for first in (max(i - 1, 0), i) for last in (k + 1, after) if last - first > 1)
+            i = k + 1
+        for first, last in sorted(tried):
+            run = "".join(text[a:b] for a, b in pieces[first:last])
+            if len(run) >= 16:
+                yield run, pieces[first][0], pieces[last - 1][1]
+
+
 class Layer:
     """Decoded text; where its characters come from: starts and ends by character, or one span for all."""
 
@@ -156,13 +185,14 @@ def unwrapped(layer: Layer) -> tuple[list[Layer], int]:
                 parts.append((*m.span(), new.decode("utf-16-be", "replace")))
         if parts:
             out.append(layer.replaced(parts))
-    for m in BASE64.finditer(text):
-        run = m[0].rstrip("=").replace("-", "+").replace("_", "/")
+    runs = ((m[0], *m.span()) for m in BASE64.finditer(text))
+    for run, start, end in chain(runs, wrapped_runs(text) if "\n" in text else ()):
+        run = run.rstrip("=").replace("-", "+").replace("_", "/")
         if len(run) % 4 == 1:
             continue
-        below = opened(base64.b64decode(run + "=" * (-len(run) % 4)), *m.span())
+        below = opened(base64.b64decode(run + "=" * (-len(run) % 4)), start, end)
         if below:
-            out.append(Layer(below, span=layer.place(*m.span())))
+            out.append(Layer(below, span=layer.place(start, end)))
     return out, unopened
 
 
