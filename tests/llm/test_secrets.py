@@ -1,9 +1,14 @@
 import base64
+import bz2
 import gzip
+import lzma
 import random
 import re
+import zlib
 from urllib.parse import quote
 
+import zstandard
+
 from voxelith.llm import secret_scan as S
 
 TOKEN = 'token = "abcdef0123456789ABCDEF"'
@@ -83,3 +88,23 @@ def test_wrapped_base64():
                     block = wrapped(body, width, end)
                     for text in (block, f"key: {block}", f"intro{end}data{end}{block}{end}end{end}of the text", wrapped(body, width, end, "  ")):
                         assert found(text), (width, end, pad)
+
+
+def test_large_layers_are_read_to_the_end(monkeypatch):
+    monkeypatch.setattr(S, "LAYER_BYTES", 40_000)
+    monkeypatch.setattr(S, "SHARED", 4_000)
+    monkeypatch.setattr(S, "CHUNK", 1_000)
+    coded = base64.b64encode(gzip.compress(TOKEN.encode())).decode()
+    prose = "many plain words, and é. " * 8_000
+    packers = (gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.ZstdCompressor().compress, lambda d: gzip.compress(bz2.compress(d)))
+    for pack in packers:
+        for at in (0, 39_990, 40_000, 79_985, len(prose)):
+            for secret in (TOKEN, coded):
+                text = base64.b64encode(pack((prose[:at] + " " + secret + " " + prose[at:]).encode())).decode()
+                assert found(text) and S.scan(text)[2] == 0
+    assert S.scan(base64.b64encode(gzip.compress(b"0" * 50_000)).decode())[2] == 1
+
+
+def test_further_members():
+    for pack in (gzip.compress, bz2.compress, lzma.compress, zstandard.ZstdCompressor().compress):
+        assert found(base64.b64encode(pack(b"first member ") + pack(TOKEN.encode())).decode())

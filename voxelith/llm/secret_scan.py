@@ -3,24 +3,27 @@
 A text is the first layer. Every layer is searched for secrets and unwrapped:
 percent-encoding and Unicode escapes give one new layer for the whole layer,
 each base64 run (also one wrapped over lines) or compressed run of bytes a layer
-of its own. New layers go on the worklist until none is left; a layer seen before at the same place is a
-cycle and is not taken again. Spans found in a layer are mapped to the text.
+of its own. New layers go on the worklist until none is left; a layer seen before
+at the same place is a cycle and is not taken again. Large compressed layers are
+read as a stream of overlapping blocks. Spans found in a layer are mapped to the
+text.
 """
 
 from __future__ import annotations
 
 import base64
 import bz2
+import codecs
 import hashlib
 import lzma
 import re
 import zlib
-from collections import deque
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,8 +45,14 @@ BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{4,}+(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]++)+={0,2}")
 PIECE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 
-#: Bytes that one compressed layer may give; a larger one is not opened, and counted in n_unopened.
-LAYER_BYTES = 16 << 20
+#: Bytes of a block of a compressed layer, and characters that a block shares with the next one.
+LAYER_BYTES, SHARED = 16 << 20, 4 << 20
+#: Bytes read at once.
+CHUNK = 1 << 20
+#: Compressions straight within one another that are followed; more are counted in n_unopened.
+MOST_DEPTH = 64
+#: What ends an encoded run. If the characters that two blocks share have none, a run may be cut: counted in n_unopened.
+BREAK = re.compile(r"[^A-Za-z0-9+/_%\\{}\s-]|\S[ \t]+[^\s]")
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -67,29 +76,114 @@ def as_text(data: bytes) -> str | None:
     return text if len(text) >= 4 else None
 
 
-def inflate(data: bytes) -> bytes | None | bool:
-    """The content of compressed bytes; None if they aren't such, False if it is too large."""
+class Reader:
+    """Chunks of bytes as a file with a look ahead."""
+
+    def __init__(self, chunks):
+        self.chunks, self.rest = iter(chunks), b""
+
+    def peek(self, n: int) -> bytes:
+        while len(self.rest) < n and (more := next(self.chunks, None)) is not None:
+            self.rest += more
+        return self.rest[:n]
+
+    def read(self, n: int) -> bytes:
+        self.peek(1)
+        out, self.rest = self.rest[:n], self.rest[n:]
+        return out
+
+
+def _decompressor(head: bytes):
+    if head[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if len(head) > 2 and head[0] & 15 == 8 and (head[0] * 256 + head[1]) % 31 == 0:
+        return zlib.decompressobj()
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if head[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
+    return None
+
+
+def content(chunks) -> Iterator[bytes]:
+    """The content of compressed bytes in chunks, member after member; none if they aren't such. A damaged end is left out."""
+    source = Reader(chunks)
     try:
-        if data[:2] == b"\x1f\x8b":
-            step = zlib.decompressobj(31)
-        elif len(data) > 2 and data[0] & 15 == 8 and (data[0] * 256 + data[1]) % 31 == 0:
-            step = zlib.decompressobj()
-        elif data[:3] == b"BZh":
-            step = bz2.BZ2Decompressor()
-        elif data[:6] == b"\xfd7zXZ\x00":
-            step = lzma.LZMADecompressor()
-        elif data[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-
-            with zstandard.ZstdDecompressor().stream_reader(data) as reader:
-                out = reader.read(LAYER_BYTES + 1)
-            return False if len(out) > LAYER_BYTES else out
-        else:
-            return None
-        out = step.decompress(data, LAYER_BYTES + 1)
-        return False if len(out) > LAYER_BYTES else out
-    except Exception:  # noqa: BLE001  bytes that only look compressed
-        return None
+        while True:
+            head = source.peek(6)
+            if head[:4] == b"\x28\xb5\x2f\xfd":
+                with zstandard.ZstdDecompressor().stream_reader(source, read_size=CHUNK, read_across_frames=True) as reader:
+                    while out := reader.read(CHUNK):
+                        yield out
+                return
+            step = _decompressor(head)
+            if step is None:
+                return
+            data = source.read(CHUNK)
+            while True:
+                out = step.decompress(data, CHUNK)
+                if out:
+                    yield out
+                if step.eof:
+                    break
+                tail = getattr(step, "unconsumed_tail", b"")
+                data = tail or (source.read(CHUNK) if getattr(step, "needs_input", True) else b"")
+                if not data and not out:
+                    return
+            source.rest = (step.unused_data + source.rest).lstrip(b"\0")
+    except (zlib.error, lzma.LZMAError, zstandard.ZstdError, OSError, EOFError, ValueError):  # bytes that only look compressed
+        return
+
+
+def inflated(data: bytes, depth: int) -> Iterator[bytes]:
+    """What is left of the data after `depth` decompressions, in chunks."""
+    chunks: Iterator[bytes] = iter([data])
+    for _ in range(depth):
+        chunks = content(chunks)
+    return chunks
+
+
+def texts_of(data: bytes, unopened: list[int]) -> Iterator[str]:
+    """The text in compressed bytes, whole or, if it is large, in overlapping blocks."""
+    for depth in range(1, MOST_DEPTH + 1):
+        size, valid, decoder, kept = 0, True, codecs.getincrementaldecoder("utf-8")(), bytearray()
+        for chunk in inflated(data, depth):
+            size += len(chunk)
+            if len(kept) <= LAYER_BYTES:
+                kept += chunk
+            if valid:
+                try:
+                    decoder.decode(chunk)
+                except UnicodeDecodeError:
+                    valid = False
+            if not valid and size > LAYER_BYTES:
+                break
+        if not size or (size <= LAYER_BYTES and kept == data):
+            return
+        if size <= LAYER_BYTES:
+            if (text := as_text(bytes(kept))) is not None:
+                yield text
+                return
+        elif valid:
+            del kept
+            yield from _blocks(inflated(data, depth), unopened)
+            return
+    unopened[0] += 1
+
+
+def _blocks(chunks: Iterator[bytes], unopened: list[int]) -> Iterator[str]:
+    decoder, parts, size, cut = codecs.getincrementaldecoder("utf-8")(), [], 0, False
+    for chunk in chunks:
+        parts.append(decoder.decode(chunk))
+        size += len(parts[-1])
+        if size >= LAYER_BYTES:
+            text = "".join(parts)
+            parts = [text[-SHARED:]]
+            size = len(parts[0])
+            cut = cut or not BREAK.search(parts[0])
+            yield text
+    yield "".join(parts)
+    unopened[0] += cut
 
 
 def wrapped_runs(text: str) -> Iterator[tuple[str, int, int]]:
@@ -148,23 +242,16 @@ class Layer:
         return Layer("".join([*text, self.text[at:]]), np.concatenate([*first, starts[at:]]), np.concatenate([*last, ends[at:]]))
 
 
-def unwrapped(layer: Layer) -> tuple[list[Layer], int]:
-    """The layers one step below, and how many were too large to open."""
-    text, out, unopened = layer.text, [], 0
-
-    def opened(data: bytes, start: int, end: int) -> str | None:
-        nonlocal unopened
-        inner = inflate(data)
-        if inner is False:
-            unopened += 1
-        elif inner:
-            if below := as_text(inner):
-                out.append(Layer(below, span=layer.place(start, end)))
-            elif inflate(inner) is not None:
-                opened(inner, start, end)
-        elif inner is None:
-            return as_text(data)
-        return None
+def unwrapped(layer: Layer, unopened: list[int]) -> Iterator[Layer]:
+    """The layers one step below; unopened[0] counts what couldn't be read whole."""
+    text = layer.text
+
+    def opened(data: bytes, start: int, end: int) -> Iterator[Layer]:
+        span = layer.place(start, end)
+        if (below := as_text(data)) is not None:
+            yield Layer(below, span=span)
+        for below in texts_of(data, unopened):
+            yield Layer(below, span=span)
 
     if "%" in text:
         parts = []
@@ -173,9 +260,9 @@ def unwrapped(layer: Layer) -> tuple[list[Layer], int]:
             try:
                 parts.append((*m.span(), data.decode()))
             except UnicodeDecodeError:
-                opened(data, *m.span())
+                yield from opened(data, *m.span())
         if parts:
-            out.append(layer.replaced(parts))
+            yield layer.replaced(parts)
     if "\\" in text:
         parts = []
         for m in ESCAPES.finditer(text):
@@ -184,37 +271,35 @@ def unwrapped(layer: Layer) -> tuple[list[Layer], int]:
                 new = b"".join(p.to_bytes(2, "big") if p < 0x10000 else chr(p).encode("utf-16-be") for p in points)
                 parts.append((*m.span(), new.decode("utf-16-be", "replace")))
         if parts:
-            out.append(layer.replaced(parts))
+            yield layer.replaced(parts)
     runs = ((m[0], *m.span()) for m in BASE64.finditer(text))
     for run, start, end in chain(runs, wrapped_runs(text) if "\n" in text else ()):
         run = run.rstrip("=").replace("-", "+").replace("_", "/")
-        if len(run) % 4 == 1:
-            continue
-        below = opened(base64.b64decode(run + "=" * (-len(run) % 4)), start, end)
-        if below:
-            out.append(Layer(below, span=layer.place(start, end)))
-    return out, unopened
+        if len(run) % 4 != 1:
+            yield from opened(base64.b64decode(run + "=" * (-len(run) % 4)), start, end)
 
 
 def scan(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], int]:
-    """Spans in the text itself, all spans, and layers too large to open; each list by start, then kind, then end."""
+    """Spans in the text itself, all spans, and layers not read whole; each list by start, then kind, then end."""
     if not text:
         return [], [], 0
     order = lambda s: (s[1], KINDS.index(s[0]), s[2])
     base = sorted(base_spans(text), key=order)
-    found, unopened, seen = set(base), 0, set()
-    work = deque([Layer(text)])
+    found, unopened, seen = set(base), [0], set()
+    top = Layer(text)
+    work = [(top, unwrapped(top, unopened))]  # depth first: of a large layer only one block is held
     while work:
-        layer = work.popleft()
-        below, more = unwrapped(layer)
-        unopened += more
-        for x in below:
-            mark = (hashlib.blake2b(x.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), x.span)
-            if x.text and x.text != layer.text and mark not in seen:
-                seen.add(mark)
-                found.update((k, *x.place(a, b)) for k, a, b in base_spans(x.text))
-                work.append(x)
-    return base, sorted(found, key=order), unopened
+        layer, below = work[-1]
+        x = next(below, None)
+        if x is None:
+            work.pop()
+            continue
+        mark = (hashlib.blake2b(x.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), x.span)
+        if x.text and x.text != layer.text and mark not in seen:
+            seen.add(mark)
+            found.update((k, *x.place(a, b)) for k, a, b in base_spans(x.text))
+            work.append((x, unwrapped(x, unopened)))
+    return base, sorted(found, key=order), unopened[0]
 
 
 def redacted(text: str, spans: list[tuple[str, int, int]], mask: str = "[SECRET]") -> str:
