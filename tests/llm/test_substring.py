@@ -58,6 +58,26 @@ def test_runs_are_compacted(spark, make):
     assert len(index.runs) == 1
 
 
+def test_calls_on_one_index(spark, make):
+    """A later call removes what repeats texts of earlier calls: brute force over their union."""
+    rows = corpus()
+    calls = [rows[:25], rows[25:50], rows[50:]]
+    calls[1] = [*calls[1], (3, rows[40][1]), (12, rows[41][1]), (12, rows[0][1]), (7, rows[7][1])]
+    calls[2] = [*calls[2], (80, rows[6][1]), (81, "new words " + rows[27][1]), (82, rows[6][1]), (83, None)]
+    for most_runs in (1, 4):
+        index, so_far = FingerprintIndex(spark, most_runs=most_runs), []
+        for call in calls:
+            so_far = so_far + call
+            every = brute(so_far)
+            want = result(drop_repeats(make(call), 2, index=index))
+            texts = {(-1 if i is None else i, len((t or "").split())): (i, t) for i, t in call}
+            assert len(want) == len(call) and all(w in every for w in want)
+            assert {w[:2] for w in want} == set(texts)
+        assert len(index.runs) <= most_runs
+    removed = {r[0]: r[2:] for r in want}
+    assert removed[80] == removed[82] == (len(rows[6][1].split()), "")
+
+
 def test_repeated_ids(make):
     text = " ".join(f"a{k}" for k in range(30))
     got = result(drop_repeats(make([(1, text), (1, text), (2, text)])))

@@ -6,7 +6,8 @@ windows mostly share one, so the index holds about one fingerprint for seven
 words. A batch of documents becomes an immutable run, bucketed and sorted by
 fingerprint; a new run is merge-joined with the older runs bucket by bucket,
 without a shuffle. What matches is verified on the whole windows of the texts
-concerned. Runs are merged into one when there are too many.
+concerned; an index that serves several calls keeps its texts for that. Runs are
+merged into one when there are too many.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHasher, cut, ngram_hashes, shared_path, text_chunks
+from .common import WordHasher, cut, ngram_hashes, shared_path, text_chunks, write_parquet
 
 WINDOW, GRAM = 20, 8
 
@@ -64,12 +65,21 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 class FingerprintIndex:
-    """Sorted runs of fingerprints. append(batch) writes a run and gives what has to be verified."""
+    """Sorted runs of fingerprints. append(batch) writes a run and gives what has to be verified.
 
-    def __init__(self, spark: SparkSession, most_runs: int = 4, buckets: int | None = None):
-        self.spark, self.most_runs = spark, most_runs
+    With keep_texts the batches themselves are stored too: later calls compare
+    their windows with those of the earlier texts, which fingerprints can't tell.
+    """
+
+    def __init__(self, spark: SparkSession, most_runs: int = 4, buckets: int | None = None, keep_texts: bool = True):
+        self.spark, self.most_runs, self.keep_texts = spark, most_runs, keep_texts
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs: list[str] = []
+        self.sources: list[str] = []
+
+    def texts(self) -> DataFrame | None:
+        """doc_id, text of all stored batches so far."""
+        return self.spark.read.parquet(*self.sources) if self.sources else None
 
     def _write(self, rows: DataFrame) -> str:
         name = f"fingerprints_{uuid.uuid4().hex}"
@@ -82,6 +92,11 @@ class FingerprintIndex:
 
         Every joined side is bucketed alike: runs meet bucket by bucket.
         """
+        if self.keep_texts:
+            path = shared_path(self.spark, "fingerprint-texts")
+            write_parquet(docs, path)
+            docs = self.spark.read.parquet(path)
+            self.sources.append(path)
         name = self._write(fingerprints(docs))
         new = self.spark.table(name)
         counts = new.groupBy("h").agg(F.count("*").alias("n_new"))
@@ -186,9 +201,14 @@ def drop_repeats(docs: DataFrame, batches: int = 2, digest: bool = False, id_col
     all of their windows start earlier. Null texts have no words. A null id is
     compared with nothing. Rows with the same id are separate texts at the same
     place: none starts earlier than the other at the same word. An empty table gives no rows.
+    With an index of earlier calls, windows of its texts count like those of docs;
+    what the earlier calls gave stays, also if docs have smaller ids.
     """
     spark = docs.sparkSession
-    index = index or FingerprintIndex(spark)
+    index = index or FingerprintIndex(spark, keep_texts=False)
+    if index.runs and not index.keep_texts:
+        raise ValueError("an index for several calls needs keep_texts")
+    history = index.texts()
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     named = texts.where("doc_id IS NOT NULL AND text IS NOT NULL")
     digests = cut(named.select("doc_id", F.md5("text").alias("digest")), "text-digests")
@@ -208,13 +228,17 @@ def drop_repeats(docs: DataFrame, batches: int = 2, digest: bool = False, id_col
         found.append(index.append(part))
         index.compact()
     places = reduce(DataFrame.unionByName, found).groupBy("doc_id").agg(F.collect_set("pos").alias("places"))
+    if history is not None:
+        places = cut(places, "index-places")  # also of earlier texts, whose ids may be those of copies
+        earlier = _windows(history.join(places, "doc_id").select("doc_id", "text", "places"))
     if single:
         places = places.join(copied, "doc_id", "left_anti")
     places = cut(places, "window-places")
     windows = _windows(texts.join(places, "doc_id").select("doc_id", "text", "places"))
+    known = windows if history is None else windows.unionByName(earlier)
     # The windows are made twice, which costs less than to keep them; each time their shuffles go when the job ends.
     order = F.col("doc_id").cast("decimal(20,0)") * F.lit(ORDER).cast("decimal(17,0)") + F.col("at").cast("decimal(17,0)")
-    first = cut(windows.groupBy("w1", "w2").agg(F.min(order).alias("f"), F.count("*").alias("n")).where("n > 1").drop("n"), "window-firsts")
+    first = cut(known.groupBy("w1", "w2").agg(F.min(order).alias("f"), F.count("*").alias("n")).where("n > 1").drop("n"), "window-firsts")
     later = windows.join(first, ["w1", "w2"]).where(F.floor(order / VERSION) > F.floor(F.col("f") / VERSION))
     covered = cut(later.groupBy("doc_id").agg(F.collect_list("at").alias("ats")), "window-covered")
     marked = copies.withColumn("copy", F.lit(single))
