@@ -188,3 +188,15 @@ def test_relocation_keeps_ties(spark):
     clicks = spark.createDataFrame([(7, 0, 1, 0, 0, 0), (8, 0, 3, 0, 0, 0)], "click int, vol_id long, x int, y int, z int, t int")
     got = {(r.click, r.x) for r in relocate(row, clicks, box=(2, 0, 0, 0)).collect()}
     assert got == {(7, 0), (7, 3), (8, 3)}
+
+
+def test_whole_inputs_are_registered(spark):
+    """The hull is that of all foreground, and suppliers merge to 90 clusters."""
+    from voxelith.plans import catalog
+    from voxelith.sources import grids
+
+    queries = catalog.queries()
+    keys = ("x", "y", "z")
+    sf = "/root/testdata/sf0.01"
+    assert {tuple(r) for r in queries["app_convexify"](spark, sf).collect()} == {tuple(r) for r in grids.balls(spark, sf).where("mask = 1").select(*keys).collect()}
+    assert queries["gr15_agglomeration"](spark, sf).select("root").distinct().count() == 90

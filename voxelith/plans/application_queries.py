@@ -37,9 +37,8 @@ def figure(spark, sf):
 
 @query("app_convexify")
 def convex(spark, sf):
-    """Voxels of the balls inside the hull of the balls of the first four nations."""
-    b = G.balls(spark, sf).where("mask = 1").select(*W.KEY)
-    return W.convexify(b, b.where("x < 12 AND y < 12")).select("x", "y", "z")
+    """Voxels of the balls inside the hull of their own surface."""
+    return W.convexify(G.balls(spark, sf).where("mask = 1").select(*W.KEY)).select("x", "y", "z")
 
 
 @query("app_core_partition", f"WITH RECURSIVE {ENDS}, c AS (SELECT peak, count(*) AS size FROM pk GROUP BY peak HAVING count(*) >= 20), l AS (SELECT peak, CAST(row_number() OVER (ORDER BY peak) AS INT) AS label FROM c) SELECT x, y, z, label FROM pk JOIN l USING (peak)")
