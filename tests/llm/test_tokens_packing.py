@@ -10,7 +10,7 @@ os.environ["TOKENIZERS_PARALLELISM"] = "false"
 from voxelith.llm import packing, tokens  # noqa: E402
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
-ROWS = [(5, "Hello world, it's 3 o'clock"), (2, None), (3, ""), (9, "naïve  café\n\n\tend "), (9, "naïve  café\n\n\tend "), (None, "no id"), (1, "word " * 3000), (4, "日本語 text\x1c²³")]
+ROWS = [(5, "Hello world, it's 3 o'clock"), (2, None), (3, ""), (9, "naïve  café\n\n\tend "), (9, "naïve  café\n\n\tend "), (None, "no id"), (1, "word " * 3000), (4, "日本語 text\x1c²³"), (6, "a <|endoftext|> b <|endoftext|>")]
 
 
 @pytest.fixture(scope="module")
@@ -18,7 +18,6 @@ def library():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -26,7 +25,7 @@ def test_encoder_equals_library(library):
     rng = random.Random(3)
     pool = [chr(c) for c in (*range(0x250), *range(0x2010, 0x2060), 0x301, 0x4E00, 0x1F600)] + list(" \n'sre") * 40
     enc = tokens.TokenEncoder(PATH, kept=50)
-    for text in ["".join(rng.choice(pool) for _ in range(rng.randint(0, 80))) for _ in range(500)] + ["<|endoftext|> x"]:
+    for text in ["".join(rng.choice(pool) for _ in range(rng.randint(0, 80))) for _ in range(500)] + ["<|endoftext|> x", "a<|endoftext|>", "a <|endoftext|><|endoftext| >"]:
         assert np.frombuffer(enc.encode(text), "<u4").tolist() == library(text)
 
 
@@ -73,23 +72,38 @@ def check_pieces(pieces, lengths, capacity):
     return padding
 
 
-def test_packer_is_whole_and_tight():
-    rng = random.Random(1)
-    lengths = {k: rng.choice([1, 2, 30, 400, 1023, 1024, 1025, 5000]) + rng.randint(0, 40) for k in range(700)}
-    p = packing.Packer(1024, 64, 128)
-    windows = [w for k, n in lengths.items() for w in p.add(k, n)] + p.close()
+def pieces_of(windows):
     pieces = []
     for seq, w in enumerate(windows):
         at = 0
         for key, start, length in w:
             pieces.append((key, start, length, seq, at))
             at += length
-    assert check_pieces(pieces, lengths, 1024) <= 0.01 * sum(lengths.values())
+    return pieces
+
+
+@pytest.mark.parametrize("seed, capacity, windows, fill, n", [(1, 1024, 64, 0.94, 700), (2, 1024, 64, 1.0, 700), (3, 16, 4, 0.9, 300), (4, 1024, 64, 0.94, 3), (5, 7, 3, 0.5, 40), (6, 1024, 64, 0.94, 0)])
+def test_packer_is_whole_and_without_padding(seed, capacity, windows, fill, n):
+    rng = random.Random(seed)
+    lengths = {k: rng.choice([1, 2, 30, 400, 1023, 1024, 1025, 5000]) + rng.randint(0, 40) for k in range(n)}
+    p = packing.Packer(capacity, windows, fill)
+    made = [w for k, m in lengths.items() for w in p.add(k, m)] + p.close()
+    assert check_pieces(pieces_of(made), lengths, capacity) == 0
+    short = [w for w in made if sum(x[2] for x in w) < capacity]
+    assert sum(x[2] for w in short for x in w) < capacity
 
 
 def test_window_count_rises():
-    windows = packing.fill_windows([(k, 0, 600) for k in range(5)], 1024, 0)
+    windows = packing.fit_windows([(k, 0, 600) for k in range(5)], 1024)
     assert len(windows) == 5  # no two of them fit in one
+    rng = random.Random(7)
+    for _ in range(40):
+        pieces = [(k, 0, rng.randint(1, 100)) for k in range(rng.randint(1, 40))]
+        windows = packing.fit_windows(pieces, 100)
+        assert sorted(p for w in windows for p in w) == pieces and max(sum(p[2] for p in w) for w in windows) <= 100
+        fewer = packing.difference([p[2] for p in pieces], len(windows) - 1) if len(windows) > 1 else []
+        least = -(-sum(p[2] for p in pieces) // 100)
+        assert len(windows) == least or max(sum(pieces[i][2] for i in g) for g in fewer) > 100
 
 
 def test_difference_is_near_equal():

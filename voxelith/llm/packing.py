@@ -4,8 +4,9 @@ Documents are cut into whole windows and a rest. The rests of a batch are
 partitioned by the largest differencing method (Karmarkar and Karp 1982): every
 rest starts as a partial partition with one occupied slot; the two partial
 partitions of the largest imbalance merge, the fullest slot of one meeting the
-emptiest of the other. If the fullest window exceeds the capacity by more than
-may be trimmed, the number of windows rises by one and the batch is done again.
+emptiest of the other. If the fullest window exceeds the capacity, the number of
+windows rises by one and the batch is done again. The little room that near-equal
+windows leave is filled with the ids of the documents that follow.
 """
 
 from __future__ import annotations
@@ -62,84 +63,94 @@ def difference(sizes, k: int) -> list[list[int]]:
     return groups
 
 
-def fill_windows(pieces: list[tuple], capacity: int, trim: int) -> list[list[tuple]]:
-    """Pieces (key, start, length) into windows of at most capacity.
-
-    The count starts at the fewest windows that hold all and rises while
-    differencing overfills one by more than trim. What is then over, at most
-    trim a window, is cut from its last pieces into windows with room.
-    """
+def fit_windows(pieces: list[tuple], capacity: int, least: int = 1) -> list[list[tuple]]:
+    """Pieces (key, start, length) in near-equal windows, none over capacity: at least `least`, more while one is exceeded."""
     sizes = [p[2] for p in pieces]
-    k = max(1, -(-sum(sizes) // capacity))
+    k = max(least, -(-sum(sizes) // capacity))
     while True:
         groups = difference(sizes, k)
-        windows = [[pieces[i] for i in g] for g in groups]
-        sums = [sum(p[2] for p in w) for w in windows]
-        if max(sums) <= capacity + trim:
-            break
+        if max(sum(sizes[i] for i in g) for g in groups) <= capacity:
+            return [[pieces[i] for i in g] for g in groups if g]
         k += 1
-    over = []
-    for w, s in zip(windows, sums):
-        while s > capacity:
-            key, start, length = w.pop()
-            moved = min(length, s - capacity)
-            if moved < length:
-                w.append((key, start, length - moved))
-            over.append((key, start + length - moved, moved))
-            s -= moved
-    for w in windows:
-        room = capacity - sum(p[2] for p in w)
-        while room and over:
-            key, start, length = over.pop()
-            moved = min(length, room)
-            w.append((key, start, moved))
-            room -= moved
-            if moved < length:
-                over.append((key, start + moved, length - moved))
-    return [w for w in windows if w]
 
 
 class Packer:
-    """Takes documents one by one, gives finished windows (lists of (key, start, length))."""
+    """Takes documents one by one, gives finished windows (lists of (key, start, length)).
 
-    def __init__(self, capacity: int = 1024, batch: int = 64, trim: int = 128):
-        self.capacity, self.limit, self.trim = capacity, batch * capacity, trim
+    A batch is done when its rests fill the share `fill` of so many windows;
+    below 1 the windows mostly needn't rise in number.
+    """
+
+    def __init__(self, capacity: int = 1024, windows: int = 64, fill: float = 0.94):
+        self.capacity, self.windows, self.limit = capacity, windows, int(fill * windows * capacity)
         self.rests: list[tuple] = []
         self.held = 0
+        self.open: list[tuple[int, list[tuple]]] = []  # room, window
 
     def add(self, key, length: int) -> list[list[tuple]]:
-        whole = length - length % self.capacity
-        out = [[(key, s, self.capacity)] for s in range(0, whole, self.capacity)]
-        rest = length - whole
-        if self.held + rest >= self.limit:
-            now = self.limit - self.held
-            batch = self.rests + ([(key, whole, now)] if now else [])
-            self.rests, self.held = [], 0
-            out += fill_windows(batch, self.capacity, self.trim)
-            whole, rest = whole + now, rest - now
-        if rest:
-            self.rests.append((key, whole, rest))
-            self.held += rest
+        out, start = self._fill(key, 0, length)
+        while length - start >= self.capacity:
+            out.append([(key, start, self.capacity)])
+            start += self.capacity
+        if start < length:
+            self.rests.append((key, start, length - start))
+            self.held += length - start
+        if self.held >= self.limit:
+            out += self._batch(self.windows)
+        return out
+
+    def _fill(self, key, start: int, length: int) -> tuple[list[list[tuple]], int]:
+        """Windows that the ids from start on make full, and where the ids that are left start."""
+        out = []
+        while self.open and start < length:
+            room, window = self.open.pop()
+            moved = min(length - start, room)
+            window.append((key, start, moved))
+            start += moved
+            if moved == room:
+                out.append(window)
+            else:
+                self.open.append((room - moved, window))
+        return out, start
+
+    def _batch(self, least: int = 1) -> list[list[tuple]]:
+        """The full windows of the rests; the others are open."""
+        out = []
+        for w in fit_windows(self.rests, self.capacity, least):
+            room = self.capacity - sum(p[2] for p in w)
+            if room:
+                self.open.append((room, w))
+            else:
+                out.append(w)
+        self.rests, self.held = [], 0
         return out
 
     def close(self) -> list[list[tuple]]:
-        """The last batch: what doesn't fill whole windows goes to windows of powers of two, which need no padding."""
-        last, out = self.held % self.capacity, []
-        while last:
-            size = 1 << (last.bit_length() - 1)
-            last -= size
+        """The last batch. The emptiest windows go to fill the others; what is left, less than a window, is cut to powers of two."""
+        out = self._batch() if self.rests else []
+        self.open.sort(key=lambda w: -w[0])
+        pieces: list[tuple] = []
+        while self.open:
+            pieces += self.open.pop(0)[1]
+            while pieces and self.open:
+                key, start, length = pieces.pop()
+                full, rest = self._fill(key, start, start + length)
+                out += full
+                if rest < start + length:
+                    pieces.append((key, rest, start + length - rest))
+        left = sum(p[2] for p in pieces)
+        while left:
+            size = 1 << (left.bit_length() - 1)
+            left -= size
             window = []
             while size:
-                key, start, length = self.rests.pop()
+                key, start, length = pieces.pop()
                 moved = min(length, size)
                 if moved < length:
-                    self.rests.append((key, start, length - moved))
-                window.append((key, start + length - moved, moved))
+                    pieces.append((key, start + moved, length - moved))
+                window.append((key, start, moved))
                 size -= moved
             out.append(window)
-        if self.rests:
-            out += fill_windows(self.rests, self.capacity, self.trim)
-        self.rests, self.held = [], 0
         return out
 
 
@@ -156,22 +167,22 @@ PIECE_SCHEMA = T.StructType(
 )
 
 
-def pack(docs: DataFrame, capacity: int = 1024, batch: int = 64, trim: int = 128, tokenizer: str | None = None, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 1024, windows: int = 64, fill: float = 0.94, tokenizer: str | None = None, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
     Each id of each document, end_id included, lies in exactly one piece.
-    Sequences have capacity ids at most and are full but for batches whose count
-    of windows had to rise; the last of a partition are cut to powers of two.
+    Sequences have capacity ids; the last of a partition, with less than capacity
+    ids together, have powers of two, so none is padded.
     Null and empty texts have end_id alone; a null id stays null; rows with the
     same id are documents of their own. An empty table gives no rows. Packing
-    is local to a partition: no shuffle, and memory holds one batch of rests and the current document.
+    is local to a partition: no shuffle, and memory holds two batches of rests and the current document.
     """
     tokenizer = tokenizer or default_tokenizer()
 
     def run(batches):
         from pyspark import TaskContext
 
-        enc, packer = encoder(tokenizer), Packer(capacity, batch, trim)
+        enc, packer = encoder(tokenizer), Packer(capacity, windows, fill)
         end = np.array([end_id], "<u4").tobytes()
         sequence, number = TaskContext.get().partitionId() << 40, 0
         held: dict[int, list] = {}  # row number -> doc_id, ids, ids not yet given out
@@ -198,10 +209,10 @@ def pack(docs: DataFrame, capacity: int = 1024, batch: int = 64, trim: int = 128
             for key, text in zip(b.column(0).to_pylist(), b.column(1)):
                 ids = enc.encode(text.as_py()) + end
                 held[number] = [key, ids, len(ids) // 4]
-                windows = packer.add(number, len(ids) // 4)
+                full = packer.add(number, len(ids) // 4)
                 number += 1
-                done += windows
-                size += len(windows)
+                done += full
+                size += len(full)
                 if size >= 512:
                     yield rows(done)
                     done, size = [], 0

@@ -45,7 +45,7 @@ def default_tokenizer() -> str:
 class TokenEncoder(dict):
     """Pre-token -> bytes of its ids. encode(text) -> bytes of all ids.
 
-    Strings of special tokens in a text are ordinary text. Null and empty texts have no ids.
+    Texts with the string of an added token go to the library whole. Null and empty texts have no ids.
     """
 
     def __init__(self, path: str, kept: int = KEPT_PIECES):
@@ -54,7 +54,7 @@ class TokenEncoder(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.half, self.older, self.model = kept // 2, {}, self.tokenizer.model
         plain = isinstance(self.tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel) and self.tokenizer.normalizer is None
         self.by_piece = plain and not self.tokenizer.pre_tokenizer.add_prefix_space
@@ -77,7 +77,7 @@ class TokenEncoder(dict):
         if not text:
             return b""
         unsafe = any(c in text for c in SEPARATORS) if text.isascii() else UNSAFE.search(text)
-        if not self.by_piece or unsafe:
+        if not self.by_piece or unsafe or any(a in text for a in self.added):
             (e,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
             return np.array(e.ids, "<u4").tobytes()
         if len(self) > self.half:
