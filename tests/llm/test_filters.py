@@ -2,6 +2,7 @@ import itertools
 import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -236,7 +237,7 @@ def base_rule(text):
         if count[tuple(w[k : k + 5])] > 1:
             cover.update(range(k, k + 5))
     lines = [x for x in (text or "").split("\n") if WORD.search(x)]
-    return len(w), sum(map(len, w)), sum((text or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(cover)
+    return len(w), sum(map(len, w)), sum((text or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(cover), len(set(w)), sum(unicodedata.category(c)[0] in "PS" for c in text or "")
 
 
 def quality_rows():
@@ -251,48 +252,83 @@ def quality_rows():
 
 
 def test_base_statistics(make):
-    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in Q.text_statistics(make(quality_rows()), ["doc_id"]).collect())
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.n_distinct, r.n_marks) for r in Q.text_statistics(make(quality_rows()), ["doc_id"]).collect())
     assert got == sorted((-1 if i is None else i, *base_rule(t)) for i, t in quality_rows())
 
 
-def brute_mcd(x, share=0.75, steps=3):
-    """The same estimate with numpy, on one cell."""
+def brute_mcd(x, share=0.75, tries=60, seed=0):
+    """Plain concentration steps with numpy from many random subsets; the least determinant. Mean, covariance, inner rows."""
     x = np.array(x, float)
     n, p = x.shape
-    floor = np.array([Q.FEATURES[f] for f in Q.NAMES], float)
-    least = lambda v, s: np.sort(v)[int(np.ceil(s * len(v))) - 1]
-    tens = np.trunc(x / 10)
-    median = np.array([least(tens[:, i], 0.5) for i in range(p)])
-    mad = np.array([least(np.abs(tens[:, i] - median[i]), 0.5) for i in range(p)])
-    mean, cov = median * 10, np.diag((mad * 10 * 1.4826) ** 2)
-
-    def d2(mean, cov):
-        low = np.zeros((p, p))
-        for i in range(p):
-            for j in range(i + 1):
-                v = cov[j, i] - low[i, :j] @ low[j, :j]
-                low[i, j] = np.sqrt(max(v, floor[i] ** 2)) if i == j else v / low[j, j]
-        z = np.linalg.solve(low, (x - mean).T)
-        return (z**2).sum(axis=0)
-
-    bins = lambda d: np.floor(Q.BINS * np.log(d + 1e-3) + 0.5)
-    for _ in range(steps):
-        b = bins(d2(mean, cov))
-        inner = x[b <= least(b, share)]
-        mean = inner.mean(axis=0)
-        cov = inner.T @ inner / len(inner) - np.outer(mean, mean)
-    d = d2(mean, cov)
-    return d / max(np.exp(least(bins(d), 0.5) / Q.BINS) / Q.CHI2_MEDIAN, 1.0)
-
-
-def test_outliers_equal_numpy(make):
-    docs = make(quality_rows())
-    got = Q.quality_outliers(docs, groups=("lang",)).where("NOT base_failed").orderBy("doc_id", "n_words").collect()
-    stats = Q.transformed(Q.text_statistics(docs, ["doc_id"])).where("n_words >= 10 AND 100 * n_repeat_words <= 20 * n_words").orderBy("doc_id", "n_words").collect()
-    want = brute_mcd([[r[f] for f in Q.NAMES] for r in stats])
-    assert np.allclose([r.distance2 for r in got], want, rtol=1e-6)
-    kept = {r.doc_id: r.kept for r in got}
-    assert not any(kept[300 + k] for k in range(6)) and all(kept[i] for i in range(260))
+    h, rng, best = int(np.ceil(share * n)), np.random.default_rng(seed), None
+    for _ in range(tries):
+        inner, last = rng.choice(n, p + 2, replace=False), np.inf
+        while True:
+            mean, cov = x[inner].mean(0), np.cov(x[inner].T, bias=True)
+            det = np.linalg.slogdet(cov + 1e-6 * np.eye(p))[1]
+            if det >= last - 1e-9 and len(inner) == h:
+                break
+            last = det if len(inner) == h else np.inf
+            d2 = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov + 1e-6 * np.eye(p)), x - mean)
+            inner = np.argsort(d2, kind="stable")[:h]
+        if best is None or det < best[0]:
+            best = det, mean, cov
+    return best
+
+
+def as_rows(spark, x, cell="c"):
+    return spark.createDataFrame([(cell, *map(int, r)) for r in np.round(x)], "cell string, " + ", ".join(f"{n} long" for n in Q.NAMES))
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_determinant_is_as_small_as_that_of_many_random_starts(spark, seed):
+    rng = np.random.default_rng(seed)
+    a = rng.normal(size=(5, 5))
+    x = rng.normal(size=(240, 5)) @ a * 300 + 4000
+    x[:50] = rng.normal(size=(50, 5)) * 60 + 4000 + 2500 * rng.normal(size=5)  # a fifth of the rows elsewhere, in a clump
+    det, mean, _ = brute_mcd(np.round(x))
+    got = Q._least_determinant(as_rows(spark, x), 0.75).collect()[0]
+    assert 2 * got.log_det <= det + 0.02 and got.df == 5
+    far = Q.mcd_distances(as_rows(spark, x)).collect()
+    bad = {tuple(r[n] for n in Q.NAMES) for r in far if r.d2 > Q.CHI2[4][1]}
+    assert {tuple(map(int, r)) for r in np.round(x[:50])} <= bad and len(bad) <= 54
+
+
+def test_correlation_decides(spark):
+    """Rows usual in every statistic alone, not in two together: scales without covariance can't tell them."""
+    rng = np.random.default_rng(5)
+    t = rng.normal(size=300)
+    x = np.c_[t, t + 0.05 * rng.normal(size=300), rng.normal(size=(300, 3))] * 500 + 3000
+    x[0], x[1] = [3400, 2600, 3000, 3000, 3000], [3400, 3400, 3000, 3000, 3000]
+    rows = {tuple(r[n] for n in Q.NAMES): r.d2 for r in Q.mcd_distances(as_rows(spark, x)).collect()}
+    assert rows[3400, 2600, 3000, 3000, 3000] > Q.CHI2[4][1] > 10 > rows[3400, 3400, 3000, 3000, 3000]
+
+
+def test_constant_statistics(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(100, 5)) * 300 + 2000
+    x[:, 2], x[:, 4] = 7, x[:, 0]  # constant, and the same as another
+    x[0, 0] = x[0, 4] = 9000
+    got = Q.mcd_distances(as_rows(spark, x)).collect()
+    assert {r.df for r in got} == {3} and [r.f_words for r in got if r.d2 > Q.CHI2[2][1]] == [9000]
+    one = Q.mcd_distances(as_rows(spark, np.full((30, 5), 12))).collect()
+    assert {(r.df, r.d2) for r in one} == {(0, 0.0)}
+
+
+def test_cells_are_judged_apart(spark):
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(size=(60, 5)) * 100 + 1000, rng.normal(size=(60, 5)) * 100 + 5000
+    both = as_rows(spark, x, "x").unionByName(as_rows(spark, y, "y"))
+    apart = {tuple(r[n] for n in Q.NAMES): r.d2 for c, v in (("x", x), ("y", y)) for r in Q.mcd_distances(as_rows(spark, v, c)).collect()}
+    assert {tuple(r[n] for n in Q.NAMES): r.d2 for r in Q.mcd_distances(both).collect()} == apart
+
+
+def test_outliers(make):
+    rows = quality_rows()
+    got = {r.doc_id: r for r in Q.quality_outliers(make(rows)).collect()}
+    assert not any(got[300 + k].kept for k in range(6))
+    assert sum(got[i].kept for i in range(260)) >= 250
+    assert all(got[i].base_failed and not got[i].kept for i in (400, 401, 402, 403, 404))
 
 
 def test_quality_odd_tables(make):
