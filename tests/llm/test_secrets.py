@@ -4,8 +4,9 @@ import gzip
 import lzma
 import random
 import re
+import time
 import zlib
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import zstandard
 
@@ -43,7 +44,7 @@ def test_percent_spans_are_exact():
 
 
 def test_cycles_and_bombs_end():
-    text = "a%25" * 50 + base64.b64encode(gzip.compress(b"0" * (S.LAYER_BYTES + 10))).decode()
+    text = "a%25" * 50 + " " + base64.b64encode(gzip.compress(b"0" * (S.LAYER_BYTES + 10))).decode()
     assert S.scan(text)[2] == 1
 
 
@@ -108,3 +109,97 @@ def test_large_layers_are_read_to_the_end(monkeypatch):
 def test_further_members():
     for pack in (gzip.compress, bz2.compress, lzma.compress, zstandard.ZstdCompressor().compress):
         assert found(base64.b64encode(pack(b"first member ") + pack(TOKEN.encode())).decode())
+
+
+def raw_deflate(data):
+    step = zlib.compressobj(9, zlib.DEFLATED, -15)
+    return step.compress(data) + step.flush()
+
+
+def test_other_encodings_of_bytes():
+    noise = "".join(chr(random.Random(2).randint(97, 122)) for _ in range(40))
+    for data in (TOKEN.encode("utf-16"), TOKEN.encode("utf-16-le"), TOKEN.encode("utf-16-be"), raw_deflate(f"{noise} {TOKEN} {noise}".encode()), b"\xff " + TOKEN.encode() + b" \x80", f"\x01{TOKEN}".encode()):
+        assert found(base64.b64encode(data).decode()), data
+        assert found(base64.b64encode(gzip.compress(data)).decode()), data
+    assert found("".join(f"%{b:02x}" for b in b"\xe9 " + TOKEN.encode()))
+    assert found(base64.b64encode(TOKEN.encode()).decode().rstrip("=") + "A" * ((1 - len(base64.b64encode(TOKEN.encode()).rstrip(b"="))) % 4))
+
+
+def test_many_layers_within_one_another():
+    data = TOKEN.encode()
+    for _ in range(10_000):
+        data = zlib.compress(data, 0)
+    start = time.time()
+    assert found(base64.b64encode(data).decode()) and time.time() - start < 60
+
+
+def test_chains_of_escapes():
+    start = time.time()
+    assert found("%" + "25" * 400_000 + "74oken%20=%20abcdef0123456789zz")
+    assert found("\\" + "u005c" * 200_000 + "u0074oken = abcdef0123456789zz")
+    assert time.time() - start < 20
+
+
+def test_layers_at_one_place_are_taken_once():
+    seen = []
+    real = S.opened
+
+    def spy(raw, unopened):
+        seen.append(raw.mark())
+        return real(raw, unopened)
+
+    S.opened, before = spy, S.opened
+    try:
+        S.scan((base64.b64encode(gzip.compress(b"plain words here")).decode() + " ") * 3)
+    finally:
+        S.opened = before
+    assert len(seen) == len(set(seen)) == 6  # three places, packed and unpacked
+
+
+def peeled(text):
+    """All values of secrets in the text and below, by plain recursion."""
+    values = {text[a:b] for _, a, b in brute(text)}
+    for run in set(re.findall(r"[A-Za-z0-9+/]{16,}={0,2}", text)):
+        try:
+            data = base64.b64decode(run, validate=True)
+        except ValueError:
+            continue
+        for open_ in (zlib.decompress, gzip.decompress, bz2.decompress, lzma.decompress, lambda d: zstandard.ZstdDecompressor().decompressobj().decompress(d), lambda d: d):
+            try:
+                values |= peeled(open_(data).decode())
+            except Exception:
+                continue
+    for below in (re.sub(r"(?:%[0-9A-Fa-f]{2})+", lambda m: unquote(m[0]), text), re.sub(r"\\u([0-9a-f]{4})", lambda m: chr(int(m[1], 16)), text)):
+        if below != text:
+            values |= peeled(below)
+    return values
+
+
+def test_random_nestings_equal_recursion():
+    rng = random.Random(11)
+    packers = (zlib.compress, gzip.compress, bz2.compress, lzma.compress, zstandard.ZstdCompressor().compress)
+    steps = (lambda t: quote(t, safe=""), lambda t: "".join(f"\\u{ord(c):04x}" for c in t), lambda t: base64.b64encode(t.encode()).decode(), lambda t: base64.b64encode(rng.choice(packers)(t.encode())).decode())
+    texts, original = [], S.base_spans
+    for _ in range(60):
+        parts = []
+        for k in range(rng.randint(1, 3)):
+            part = f"say secret={rng.randrange(10**15):015d}x now"
+            for _ in range(rng.randint(0, 4)):
+                part = rng.choice(steps)(part)
+            parts.append(part)
+        texts.append(" some words ".join(parts))
+    for text in texts:
+        values = set()
+
+        def spy(t):
+            spans = original(t)
+            values.update(t[a:b] for _, a, b in spans)
+            return spans
+
+        S.base_spans = spy
+        try:
+            spans = S.scan(text)[1]
+        finally:
+            S.base_spans = original
+        assert peeled(text) <= values
+        assert all(0 <= a < b <= len(text) for _, a, b in spans)

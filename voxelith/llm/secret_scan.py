@@ -1,12 +1,12 @@
 """Secrets in plain and encoded text, by a recursive decoding worklist (operator 9).
 
-A text is the first layer. Every layer is searched for secrets and unwrapped:
-percent-encoding and Unicode escapes give one new layer for the whole layer,
-each base64 run (also one wrapped over lines) or compressed run of bytes a layer
-of its own. New layers go on the worklist until none is left; a layer seen before
-at the same place is a cycle and is not taken again. Large compressed layers are
-read as a stream of overlapping blocks. Spans found in a layer are mapped to the
-text.
+A text is the first layer. Every layer of text is searched for secrets and
+unwrapped: percent-encoding and Unicode escapes give one new layer for the whole
+layer, each base64 run (also one wrapped over lines) a layer of bytes. Bytes are
+decompressed into new bytes, or read as text. New layers, of either kind, go on
+the worklist until none is left; a layer seen before at the same place is a cycle
+and is not taken again. Large compressed layers are read as a stream of
+overlapping blocks. Spans found in a layer are mapped to the text.
 """
 
 from __future__ import annotations
@@ -36,9 +36,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
-PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-ESCAPES = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2})+")
-ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]+)\}|\\[uUx]([0-9A-Fa-f]+)")
+#: An escaped escape character (%25, \\u005c) and what it escapes count as one: a chain of them is one step, not one layer each.
+PERCENT = re.compile(r"(?:%(?:25)*[0-9A-Fa-f]{2})+")
+PERCENT_CHAIN = re.compile(r"%(?:25)+(?=[0-9A-Fa-f]{2})")
+ESCAPES = re.compile(r"(?:\\(?:u005[Cc]|x5[Cc])*(?:u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|u\{[0-9A-Fa-f]{1,6}\}|x[0-9A-Fa-f]{2}))+")
+ESCAPE = re.compile(r"\\(?:(?:u005[Cc]|x5[Cc])*(?=[uUx]))(?:u\{([0-9A-Fa-f]{1,6})\}|u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|x([0-9A-Fa-f]{2}))")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 
 #: Base64 lines that follow one another; the first may start within its line.
@@ -49,8 +51,10 @@ PIECE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 LAYER_BYTES, SHARED = 16 << 20, 4 << 20
 #: Bytes read at once.
 CHUNK = 1 << 20
-#: Compressions straight within one another that are followed; more are counted in n_unopened.
+#: Compressions straight within one another, each of them over LAYER_BYTES, that are followed; more are counted in n_unopened.
 MOST_DEPTH = 64
+#: Bytes that aren't UTF-8 are text with up to one in so many characters replaced.
+LOSSY = 8
 #: What ends an encoded run. If the characters that two blocks share have none, a run may be cut: counted in n_unopened.
 BREAK = re.compile(r"[^A-Za-z0-9+/_%\\{}\s-]|\S[ \t]+[^\s]")
 
@@ -67,13 +71,21 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+def codec_of(head: bytes) -> str:
+    """utf-16-le or -be for bytes with such a mark, or with NULs in every other place; else utf-8."""
+    if head[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        return "utf-16-le" if head[:1] == b"\xff" else "utf-16-be"
+    nulls = [head[k::2].count(0) for k in (0, 1)]
+    if max(nulls) * 5 > len(head) and min(nulls) * 20 <= len(head) and len(head) >= 8:
+        return "utf-16-le" if nulls[1] > nulls[0] else "utf-16-be"
+    return "utf-8"
+
+
 def as_text(data: bytes) -> str | None:
-    """UTF-8 text, whatever its characters, or None."""
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if len(text) >= 4 else None
+    """The text that bytes hold, a few bad characters replaced; None if they look like no text."""
+    text = data.decode(codec_of(data[:1024]), "replace")
+    bad = text.count("\ufffd")
+    return text if len(text) >= 4 and bad * LOSSY <= len(text) else None
 
 
 class Reader:
@@ -105,18 +117,21 @@ def _decompressor(head: bytes):
     return None
 
 
-def content(chunks) -> Iterator[bytes]:
-    """The content of compressed bytes in chunks, member after member; none if they aren't such. A damaged end is left out."""
+def content(chunks, bare: bool = False) -> Iterator[bytes]:
+    """The content of compressed bytes in chunks, member after member; none if they aren't such. A damaged end is left out.
+
+    bare: a deflate stream without a head.
+    """
     source = Reader(chunks)
     try:
         while True:
             head = source.peek(6)
-            if head[:4] == b"\x28\xb5\x2f\xfd":
+            if head[:4] == b"\x28\xb5\x2f\xfd" and not bare:
                 with zstandard.ZstdDecompressor().stream_reader(source, read_size=CHUNK, read_across_frames=True) as reader:
                     while out := reader.read(CHUNK):
                         yield out
                 return
-            step = _decompressor(head)
+            step = zlib.decompressobj(-15) if bare else _decompressor(head)
             if step is None:
                 return
             data = source.read(CHUNK)
@@ -130,50 +145,76 @@ def content(chunks) -> Iterator[bytes]:
                 data = tail or (source.read(CHUNK) if getattr(step, "needs_input", True) else b"")
                 if not data and not out:
                     return
+            if bare:
+                return
             source.rest = (step.unused_data + source.rest).lstrip(b"\0")
     except (zlib.error, lzma.LZMAError, zstandard.ZstdError, OSError, EOFError, ValueError):  # bytes that only look compressed
         return
 
 
-def inflated(data: bytes, depth: int) -> Iterator[bytes]:
+def _is_bare(data: bytes) -> bool:
+    """Whether all of the bytes are one deflate stream without a head."""
+    step = zlib.decompressobj(-15)
+    try:
+        rest, size = data, 0
+        while rest and not step.eof:
+            size += len(step.decompress(rest, CHUNK))
+            rest = step.unconsumed_tail
+        return step.eof and not step.unused_data and size >= 4
+    except zlib.error:
+        return False
+
+
+def inflated(data: bytes, depth: int, bare: bool = False) -> Iterator[bytes]:
     """What is left of the data after `depth` decompressions, in chunks."""
     chunks: Iterator[bytes] = iter([data])
-    for _ in range(depth):
-        chunks = content(chunks)
+    for k in range(depth):
+        chunks = content(chunks, bare and k == 0)
     return chunks
 
 
-def texts_of(data: bytes, unopened: list[int]) -> Iterator[str]:
-    """The text in compressed bytes, whole or, if it is large, in overlapping blocks."""
-    for depth in range(1, MOST_DEPTH + 1):
-        size, valid, decoder, kept = 0, True, codecs.getincrementaldecoder("utf-8")(), bytearray()
-        for chunk in inflated(data, depth):
-            size += len(chunk)
-            if len(kept) <= LAYER_BYTES:
-                kept += chunk
-            if valid:
-                try:
-                    decoder.decode(chunk)
-                except UnicodeDecodeError:
-                    valid = False
-            if not valid and size > LAYER_BYTES:
-                break
-        if not size or (size <= LAYER_BYTES and kept == data):
+def _head(chunks: Iterator[bytes], size: int) -> bytes:
+    """The first chunks, until they have more than size bytes."""
+    out = bytearray()
+    for chunk in chunks:
+        out += chunk
+        if len(out) > size:
+            break
+    return bytes(out)
+
+
+def opened(raw: Raw, unopened: list[int]) -> Iterator[Raw | Layer]:
+    """The layers straight below bytes: their content if they are compressed, else their text."""
+    data, span = raw.data, raw.span
+    bare = False
+    inner = _head(inflated(data, 1), LAYER_BYTES)
+    if not inner:
+        if (text := as_text(data)) is not None:
+            yield Layer(text, span=span)
             return
-        if size <= LAYER_BYTES:
-            if (text := as_text(bytes(kept))) is not None:
-                yield text
-                return
-        elif valid:
-            del kept
-            yield from _blocks(inflated(data, depth), unopened)
+        bare = _is_bare(data)
+        inner = _head(inflated(data, 1, True), LAYER_BYTES) if bare else b""
+    depth = 1
+    while len(inner) > LAYER_BYTES:
+        below = _head(inflated(data, depth + 1, bare), LAYER_BYTES)
+        if not below:
+            if as_text(inner) is not None:
+                del inner
+                for block in _blocks(inflated(data, depth, bare), unopened):
+                    yield Layer(block, span=span)
             return
-    unopened[0] += 1
+        inner, depth = below, depth + 1
+        if depth > MOST_DEPTH:
+            unopened[0] += 1
+            return
+    if inner:
+        yield Raw(inner, span)
 
 
 def _blocks(chunks: Iterator[bytes], unopened: list[int]) -> Iterator[str]:
-    decoder, parts, size, cut = codecs.getincrementaldecoder("utf-8")(), [], 0, False
-    for chunk in chunks:
+    first = next(chunks, b"")
+    decoder, parts, size, cut = codecs.getincrementaldecoder(codec_of(first[:1024]))("replace"), [], 0, False
+    for chunk in chain([first], chunks):
         parts.append(decoder.decode(chunk))
         size += len(parts[-1])
         if size >= LAYER_BYTES:
@@ -209,12 +250,25 @@ def wrapped_runs(text: str) -> Iterator[tuple[str, int, int]]:
                 yield run, pieces[first][0], pieces[last - 1][1]
 
 
+class Raw:
+    """Decoded bytes and the span that they come from."""
+
+    def __init__(self, data: bytes, span: tuple[int, int]):
+        self.data, self.span = data, span
+
+    def mark(self) -> tuple:
+        return hashlib.blake2b(self.data, digest_size=16).digest(), self.span, "bytes"
+
+
 class Layer:
     """Decoded text; where its characters come from: starts and ends by character, or one span for all."""
 
     def __init__(self, text: str, starts=None, ends=None, span=None):
         self.text, self.starts, self.ends, self.span = text, starts, ends, span
 
+    def mark(self) -> tuple:
+        return hashlib.blake2b(self.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), self.span
+
     def place(self, start: int, end: int) -> tuple[int, int]:
         if self.span:
             return self.span
@@ -242,31 +296,22 @@ class Layer:
         return Layer("".join([*text, self.text[at:]]), np.concatenate([*first, starts[at:]]), np.concatenate([*last, ends[at:]]))
 
 
-def unwrapped(layer: Layer, unopened: list[int]) -> Iterator[Layer]:
-    """The layers one step below; unopened[0] counts what couldn't be read whole."""
+def unwrapped(layer: Layer) -> Iterator[Layer | Raw]:
+    """The layers one step below a text."""
     text = layer.text
-
-    def opened(data: bytes, start: int, end: int) -> Iterator[Layer]:
-        span = layer.place(start, end)
-        if (below := as_text(data)) is not None:
-            yield Layer(below, span=span)
-        for below in texts_of(data, unopened):
-            yield Layer(below, span=span)
-
     if "%" in text:
         parts = []
         for m in PERCENT.finditer(text):
-            data = bytes.fromhex(m[0].replace("%", ""))
-            try:
-                parts.append((*m.span(), data.decode()))
-            except UnicodeDecodeError:
-                yield from opened(data, *m.span())
+            data = bytes.fromhex(PERCENT_CHAIN.sub("%", m[0]).replace("%", ""))
+            parts.append((*m.span(), data.decode("utf-8", "replace")))
+            if "\ufffd" in parts[-1][2]:
+                yield Raw(data, layer.place(*m.span()))
         if parts:
             yield layer.replaced(parts)
     if "\\" in text:
         parts = []
         for m in ESCAPES.finditer(text):
-            points = [int(a or b, 16) for a, b in ESCAPE.findall(m[0])]
+            points = [int("".join(found), 16) for found in ESCAPE.findall(m[0])]
             if max(points) < 0x110000:
                 new = b"".join(p.to_bytes(2, "big") if p < 0x10000 else chr(p).encode("utf-16-be") for p in points)
                 parts.append((*m.span(), new.decode("utf-16-be", "replace")))
@@ -275,8 +320,8 @@ def unwrapped(layer: Layer, unopened: list[int]) -> Iterator[Layer]:
     runs = ((m[0], *m.span()) for m in BASE64.finditer(text))
     for run, start, end in chain(runs, wrapped_runs(text) if "\n" in text else ()):
         run = run.rstrip("=").replace("-", "+").replace("_", "/")
-        if len(run) % 4 != 1:
-            yield from opened(base64.b64decode(run + "=" * (-len(run) % 4)), start, end)
+        run = run[: len(run) - (len(run) % 4 == 1)]
+        yield Raw(base64.b64decode(run + "=" * (-len(run) % 4)), layer.place(start, end))
 
 
 def scan(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], int]:
@@ -286,19 +331,25 @@ def scan(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
     order = lambda s: (s[1], KINDS.index(s[0]), s[2])
     base = sorted(base_spans(text), key=order)
     found, unopened, seen = set(base), [0], set()
-    top = Layer(text)
-    work = [(top, unwrapped(top, unopened))]  # depth first: of a large layer only one block is held
+    work = [unwrapped(Layer(text))]  # depth first: of a large layer only one block is held
+    seen.add((hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), None))
     while work:
-        layer, below = work[-1]
-        x = next(below, None)
+        x = next(work[-1], None)
         if x is None:
             work.pop()
             continue
-        mark = (hashlib.blake2b(x.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), x.span)
-        if x.text and x.text != layer.text and mark not in seen:
-            seen.add(mark)
+        if (mark := x.mark()) in seen:
+            continue
+        seen.add(mark)
+        if isinstance(x, Raw):
+            below = opened(x, unopened)
+            first, x = next(below, None), None
+            if isinstance(first, Raw):  # the only one: bytes in bytes hold no more than the last
+                below, first = iter((first,)), None
+            work.append(chain((first,), below) if first is not None else below)
+        elif x.text:
             found.update((k, *x.place(a, b)) for k, a, b in base_spans(x.text))
-            work.append((x, unwrapped(x, unopened)))
+            work.append(unwrapped(x))
     return base, sorted(found, key=order), unopened[0]
 
 
