@@ -99,13 +99,14 @@ def test_leaks(spark, make):
         (1, "nothing"),
         (None, " ".join(item)),
         (8, " ".join(item[10:35])),
+        (9, "x a b y"),
     ]
     bench = spark.createDataFrame([(0, " ".join(item), 1), (1, None, 2), (2, "", 3), (3, "Four, short words here.", 4), (4, "a b", 5)], "item_id long, text string, doc_id long")
     got = {(r.doc_id, r.item_id): (r.equal, r.compared) for r in D.find_leaks(make(rows), bench).collect()}
-    assert set(got) == {(1, 0), (2, 0), (7, 3), (None, 0), (8, 0)}
+    assert set(got) == {(1, 0), (2, 0), (7, 3), (None, 0), (8, 0), (9, 4)}
     assert got[1, 0] == (20, 20) and got[2, 0][0] >= 16
-    kept = D.drop_leaks(make(rows), bench)
-    assert sorted(r.doc_id for r in kept.where("doc_id IS NOT NULL").collect()) == [3, 4, 5, 6]
+    kept = D.drop_leaks(make(rows + [(None, "null id, nothing"), (None, " ".join(item))]), bench)
+    assert sorted((-1 if r.doc_id is None else r.doc_id) for r in kept.collect()) == [-1, 1, 3, 4, 5, 6]  # the other text of id 1 stays
     assert kept.columns == make(rows).columns
     assert D.find_leaks(make(rows).limit(0), bench).count() == 0 and D.find_leaks(make(rows), bench.limit(0)).count() == 0
 
@@ -119,10 +120,10 @@ def test_large_index_gives_the_same(spark, make, monkeypatch):
 
 
 def test_all_substitutions_within_the_tolerance(spark, make):
-    """Every placement of the most substitutions that 0.8 allows, for items of 4 to 12 words; a sample and all runs for longer ones."""
+    """Every placement of the most substitutions that 0.8 allows, for items of 1 to 12 words; a sample and all runs for longer ones."""
     rng = random.Random(5)
     items, rows, want = [], [], {}
-    for n in range(4, 26):
+    for n in range(1, 26):
         words = [f"i{n}w{k}" for k in range(n)]
         items.append((n, " ".join(words)))
         size = min(n, 20)
@@ -137,11 +138,42 @@ def test_all_substitutions_within_the_tolerance(spark, make):
             rows.append((len(rows), " ".join(["before", *changed, "after"])))
         over = ["other" if k in range(d + 1) else w for k, w in enumerate(words[:size])]
         rows.append((len(rows), " ".join(over)))
+    assert D.FAMILIES[0][1] == ((0, 1, 2, 4, 5), (0, 1, 3, 7, 8), (0, 1, 2, 3, 4)) and any(m != tuple(range(len(m))) for _, f in D.FAMILIES for m in f)
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {r.doc_id: (r.item_id, r.equal, r.compared) for r in D.find_leaks(make(rows), bench).collect()}
     assert got == want
 
 
+@pytest.mark.parametrize("similarity", [0.8, 0.9, 0.7, 0.5, 1.0])
+def test_masks_meet_every_placement(similarity):
+    for n in range(1, 21 if similarity >= 0.8 else 13):
+        d = n - D.least_equal(n, similarity)
+        masks = D.masks_for(n, similarity)
+        windows = [sum(1 << (k + o) for k in m) for m in masks for o in range(n - max(m))]
+        for gone in itertools.combinations(range(n), d):
+            bits = sum(1 << k for k in gone)
+            assert any(not bits & w for w in windows), (n, gone)
+
+
+def test_sql_twin_gives_the_same(spark, make, tmp_path):
+    import duckdb
+
+    rng = random.Random(2)
+    words = [f"q{k}" for k in range(60)]
+    items = [(k, " ".join(rng.choice(words) for _ in range(rng.randint(0, 30)))) for k in range(40)]
+    rows = []
+    for i in range(150):
+        w = items[rng.randrange(40)][1].split()
+        w = [rng.choice(words) if rng.random() < 0.15 else x for x in w]
+        rows.append((i, " ".join([*(rng.choice(words) for _ in range(rng.randint(0, 20))), *w])))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(tuple(r) for r in D.find_leaks(make(rows), bench).collect())
+    import pandas as pd
+
+    documents, benchmark = pd.DataFrame(rows, columns=["doc_id", "text"]), pd.DataFrame(items, columns=["item_id", "text"])  # noqa: F841
+    assert got == sorted(duckdb.sql(D.ORACLE_SQL).fetchall()) and len(got) > 100
+
+
 # --- licences -----------------------------------------------------------------
 
 
