@@ -41,6 +41,45 @@ SENTENCES = (
     ("cc0-short", "Licensed under CC0 1.0."),
     ("unlicense-1", "This is free and unencumbered software released into the public domain."),
     ("rights", "All rights reserved."),
+    ("apache2-short", "Licensed under the Apache License 2.0."),
+    ("apache-released", "Released under the Apache License, Version 2.0."),
+    ("gpl3-short-2", "Released under the GNU General Public License, version 3."),
+    ("gpl3-short-3", "Licensed under the GNU General Public License, version 3."),
+    ("gpl2-short", "This work is licensed under the GNU General Public License, version 2."),
+    ("gpl2-short-2", "Licensed under the GNU General Public License, version 2."),
+    ("gpl2-only", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."),
+    ("gpl-copy", "You should have received a copy of the GNU General Public License along with this program."),
+    ("lgpl3-free", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("agpl3-free", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("lgpl-warranty", "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."),
+    ("bsd3-short", "Licensed under the BSD 3-Clause License."),
+    ("bsd2-short", "Licensed under the BSD 2-Clause License."),
+    ("isc-short", "Licensed under the ISC License."),
+    ("mpl2-short", "Licensed under the Mozilla Public License 2.0."),
+    ("mpl2-copy", "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("epl2-form", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("epl2-short", "Licensed under the Eclipse Public License 2.0."),
+    ("bsl1-form", "Distributed under the Boost Software License, Version 1.0."),
+    ("zlib-as-is", "This software is provided 'as-is', without any express or implied warranty."),
+    ("zlib-grant", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
+    ("zlib-origin", "The origin of this software must not be misrepresented; you must not claim that you wrote the original software."),
+    ("cc-by-work", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("cc-by-sa-work", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("cc-by-nc-work", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("cc-by-nd-work", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("cc-by-nc-sa-work", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("cc-by-nd-short", "Licensed under CC BY-ND 4.0."),
+    ("cc-by-nc-sa-short", "Licensed under CC BY-NC-SA 4.0."),
+    ("cc0-dedication", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("unlicense-2", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("spdx-mit", "SPDX-License-Identifier: MIT"),
+    ("spdx-apache2", "SPDX-License-Identifier: Apache-2.0"),
+    ("spdx-gpl2", "SPDX-License-Identifier: GPL-2.0-only"),
+    ("spdx-gpl3", "SPDX-License-Identifier: GPL-3.0-or-later"),
+    ("spdx-bsd2", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("spdx-bsd3", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("spdx-mpl2", "SPDX-License-Identifier: MPL-2.0"),
+    ("spdx-isc", "SPDX-License-Identifier: ISC"),
 )
 
 #: Licence and the identifiers that name it, in order; other known sentences may stand between.
@@ -66,6 +105,42 @@ RULES = (
     ("CC-BY-SA-4.0", ("cc-by-sa-short",)),
     ("CC0-1.0", ("cc0-short",)),
     ("Unlicense", ("unlicense-1",)),
+    ("Unlicense", ("unlicense-2",)),
+    ("Apache-2.0", ("apache2-short",)),
+    ("Apache-2.0", ("apache-released",)),
+    ("GPL-3.0", ("gpl3-short-2",)),
+    ("GPL-3.0", ("gpl3-short-3",)),
+    ("GPL-3.0", ("gpl-free", "gpl-copy")),
+    ("GPL-2.0", ("gpl2-short",)),
+    ("GPL-2.0", ("gpl2-short-2",)),
+    ("GPL-2.0", ("gpl2-only",)),
+    ("GPL-2.0", ("gpl2-free", "gpl-copy")),
+    ("LGPL-3.0", ("lgpl3-free",)),
+    ("AGPL-3.0", ("agpl3-free",)),
+    ("BSD-3-Clause", ("bsd3-short",)),
+    ("BSD-2-Clause", ("bsd2-short",)),
+    ("ISC", ("isc-short",)),
+    ("MPL-2.0", ("mpl2-short",)),
+    ("EPL-2.0", ("epl2-form",)),
+    ("EPL-2.0", ("epl2-short",)),
+    ("BSL-1.0", ("bsl1-form",)),
+    ("Zlib", ("zlib-as-is", "zlib-grant", "zlib-origin")),
+    ("CC-BY-4.0", ("cc-by-work",)),
+    ("CC-BY-SA-4.0", ("cc-by-sa-work",)),
+    ("CC-BY-NC-4.0", ("cc-by-nc-work",)),
+    ("CC-BY-ND-4.0", ("cc-by-nd-work",)),
+    ("CC-BY-ND-4.0", ("cc-by-nd-short",)),
+    ("CC-BY-NC-SA-4.0", ("cc-by-nc-sa-work",)),
+    ("CC-BY-NC-SA-4.0", ("cc-by-nc-sa-short",)),
+    ("CC0-1.0", ("cc0-dedication",)),
+    ("MIT", ("spdx-mit",)),
+    ("Apache-2.0", ("spdx-apache2",)),
+    ("GPL-2.0", ("spdx-gpl2",)),
+    ("GPL-3.0", ("spdx-gpl3",)),
+    ("BSD-2-Clause", ("spdx-bsd2",)),
+    ("BSD-3-Clause", ("spdx-bsd3",)),
+    ("MPL-2.0", ("spdx-mpl2",)),
+    ("ISC", ("spdx-isc",)),
 )
 
 #: ASCII characters that aren't letters or digits; a run of them is one space in the normal form.
@@ -148,20 +223,16 @@ def _quoted(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
-_STARTS = ", ".join(_quoted(x) for x in sorted({normal(s).split()[0] for _, s in SENTENCES}))
-_NORMAL = "trim(regexp_replace(translate({0}, '" + UPPER + "', '" + LOWER + "'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g'), ' ')"
-
-#: The same result in SQL: fragments as rows, rules as patterns over the joined identifiers.
+#: The same result in SQL: fragments as rows, each compared with the known sentences of its first word; rules as patterns.
 ORACLE_SQL = f"""
 WITH known(id, s) AS (VALUES {", ".join(f"({_quoted(i)}, {_quoted(normal(s))})" for i, s in SENTENCES)}),
  rules(name, pattern) AS (VALUES {", ".join(f"({_quoted(n)}, {_quoted('%,' + ',%,'.join(s) + ',%')})" for n, s in RULES)}),
- f AS (SELECT doc_id, list_filter(string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \\t]+', '\\1' || chr(10), 'g'), chr(10)), lambda x: length(x) > 0) AS fs FROM documents),
+ plain AS (SELECT doc_id, regexp_replace(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.!?:][ \t]+|\r\n?', chr(10), 'g') AS x FROM documents),
+ f AS (SELECT doc_id, list_filter(list_transform(string_split(x, chr(10)), lambda y: trim(regexp_replace(y, '[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' ')), lambda y: y <> '') AS fs FROM plain),
  p AS (SELECT doc_id, fs, unnest(fs) AS fragment, unnest(range(len(fs))) AS i FROM f),
- q AS (SELECT doc_id, i, {_NORMAL.format("fragment")} AS plain,
-   CASE WHEN NOT regexp_matches(fragment, '[.!?]\\s*$') THEN {_NORMAL.format("regexp_extract(array_to_string(fs[i + 1 : i + " + str(_longest_wrap(SENTENCES)) + "], ' '), '^(.*?[.!?:])(?: |$)', 1)")} END AS run FROM p),
- hit AS (SELECT doc_id, i, coalesce(a.id, b.id) AS id FROM q LEFT JOIN known a ON a.s = plain LEFT JOIN known b ON b.s = run
-   WHERE split_part(plain, ' ', 1) IN ({_STARTS}) AND coalesce(a.id, b.id) IS NOT NULL),
- ids AS (SELECT doc_id, string_agg(id, ',' ORDER BY i) AS sentence_ids FROM hit GROUP BY doc_id),
+ q AS (SELECT doc_id, i, split_part(fragment, ' ', 1) AS word, array_to_string(fs[i + 1 : i + {_longest_wrap(SENTENCES)}], chr(10)) AS run FROM p WHERE split_part(fragment, ' ', 1) IN (SELECT split_part(s, ' ', 1) FROM known)),
+ hit AS (SELECT doc_id, i, id, length(s) AS size FROM q JOIN known ON split_part(s, ' ', 1) = word AND replace(substr(run, 1, length(s)), chr(10), ' ') = s AND substr(run, length(s) + 1, 1) IN ('', chr(10))),
+ ids AS (SELECT doc_id, string_agg(id, ',' ORDER BY i, size) AS sentence_ids FROM hit GROUP BY doc_id),
  lic AS (SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS licences FROM ids JOIN rules ON (',' || replace(sentence_ids, ',', ',,') || ',') LIKE pattern GROUP BY doc_id)
 SELECT doc_id, coalesce(sentence_ids, '') AS sentence_ids, coalesce(licences, '') AS licences FROM documents LEFT JOIN ids USING (doc_id) LEFT JOIN lic USING (doc_id)
 """
