@@ -78,3 +78,47 @@ def test_large_group_of_near_copies(make):
 
 def test_empty(make):
     assert JaccardJoin().components(make([(1, "a")]).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n, num", [(3, 90), (5, 80)])
+def test_popular_passages(make, n, num):
+    """Texts of unlike sizes share whole passages; small and large near copies of them link across."""
+    rng = random.Random(n)
+    passages = [[f"p{k}x{j}" for j in range(30)] for k in range(4)]
+    rows, i = [], 0
+    for _ in range(60):
+        text = [f"u{rng.randrange(10**6)}" for _ in range(rng.choice([6, 15, 40, 90]))]
+        for p in rng.sample(passages, rng.randint(1, 4)):
+            at = rng.randint(0, len(text))
+            text[at:at] = p
+        for _ in range(rng.choice([1, 1, 3])):
+            near = list(text)
+            for _ in range(rng.randint(0, 3)):
+                near[rng.randrange(len(near))] = f"v{rng.randrange(10**6)}"
+            rows.append((i, " ".join(near)))
+            i += 1
+    got = {r.doc_id: r.component_id for r in JaccardJoin(n, num).components(make(rows)).collect()}
+    assert got == brute(rows, n, num, 100)
+
+
+def test_signatures_lose_no_pair():
+    """Any two sets within the bound share a signature that one of them can't do without."""
+    import numpy as np
+
+    join, rng = JaccardJoin(5, 80), np.random.default_rng(3)
+    for size in (4, 9, 20, 26, 33, 60, 120):
+        for _ in range(60):
+            base = rng.integers(1, 2**63, size, dtype=np.uint64)
+            lost = rng.integers(0, size // 9 + 1)
+            a, b = np.sort(base), np.sort(np.concatenate([base[lost:], rng.integers(1, 2**63, rng.integers(0, size // 9 + 1), dtype=np.uint64)]))
+            if 100 * (size - lost) < 80 * (lost + len(b)):
+                continue
+            row, gram = np.repeat([0, 1], [len(a), len(b)]), np.concatenate([a, b])
+            r, s, plan, spare = join.signatures(row, gram, 2)
+            own = [{(p, x): sp for q, x, p, sp in zip(r, s, plan, spare) if q == k} for k in (0, 1)]
+            both = own[0].keys() & own[1].keys()
+            if lost == 0 and len(b) == size:
+                assert own[0] == own[1]
+                continue
+            # the shared signatures of some plan are more than what either set can spare there
+            assert any(len([x for x in both if x[0] == p]) > max(own[0][x], own[1][x]) for p, x0 in both for x in [(p, x0)])

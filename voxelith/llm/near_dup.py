@@ -3,9 +3,12 @@
 Sets of word n-grams fall into bands of sizes; each band and its predecessor
 make one instance with a bound k on the symmetric difference of linked sets. The
 domain of n-grams is partitioned by hash: n1 parts of n2 sub-parts, of which any
-n2 - k2 are enumerated, so that sets within k share a signature. Equal sets are
-one node. Nodes that share a signature are compared with its pivots; links among
-nodes that don't link with a pivot are found by their differences from it.
+n2 - k2 are enumerated, so that sets within k share a signature. There are more
+parts than k asks for, so that such sets share several signatures: a set with
+fewer popular or empty ones than that doesn't need them, and leaves the large
+groups. Equal sets are one node. Nodes that share a signature are compared with
+its pivots; links among nodes that don't link with a pivot are found by their
+differences from it.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import stars
+from ..plans.tables import settings
 from .common import BROADCAST_ROWS, WordHasher, cut, drop, maybe_broadcast, mix64, ngram_hashes, text_chunks
 
 
@@ -36,11 +41,12 @@ class JaccardJoin:
     words: int = 3
     num: int = 90
     den: int = 100
-    #: Below `whole` differences all subsets of one part are enumerated, empty ones too: no link is lost. From there on
-    #: parts without n-grams give no signature; a link is lost only if all parts that agree are empty. Below `twice`
-    #: differences two independent partitions make this rarer than 1e-7 for sets at the very threshold; beyond, one does.
+    #: Below `whole` differences all subsets of parts but k of one level are enumerated. From there on there is one level
+    #: of k + 1 parts and `spare` of k more. Sets with more empty parts than are spare make signatures of another partition
+    #: too; those of the last of `partitions` keep their empty parts. So no link is lost.
     whole: int = 8
-    twice: int = 25
+    spare: float = 0.25
+    partitions: int = 5
 
     @cached_property
     def bands(self) -> np.ndarray:
@@ -83,35 +89,47 @@ class JaccardJoin:
 
     # -- signatures ---------------------------------------------------------
 
-    def signatures(self, row: np.ndarray, gram: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
-        """(row, signature) for sorted distinct (row, n-gram)."""
+    def signatures(self, row: np.ndarray, gram: np.ndarray, n_rows: int) -> tuple[np.ndarray, ...]:
+        """(row, signature, plan, spare) for sorted distinct (row, n-gram).
+
+        plan numbers the instance and its partition; spare is how many popular
+        signatures the set can do without there, below 0 if none.
+        """
         size = np.bincount(row, minlength=n_rows)
         own = np.searchsorted(self.bands, size)
-        out_row, out_sig = [], []
+        out: list[list] = [[], [], [], []]
         for instance in np.unique(np.concatenate([own[size > 0], own[size > 0] + 1])):
             k = self.most_differences(int(instance))
-            member = (size > 0) & ((own == instance) | (own + 1 == instance))
-            pick = member[row]
-            ids = np.flatnonzero(member)
-            place = np.searchsorted(ids, row[pick])
-            if k == 0:
-                plans = [(1, 1, 0)]
-            elif k < self.whole:
-                plans = [(1, k + 3, k)]
-            else:
-                plans = [(k + 1, 1, 0)] * (2 if k < self.twice else 1)
-            for number, (n1, n2, k2) in enumerate(plans):
-                r, s = self._instance(place, gram[pick], len(ids), int(instance) * 4 + number, n1, n2, k2, keep_empty=k < self.whole)
-                out_row.append(ids[r])
-                out_sig.append(s)
-        if not out_row:
-            return np.empty(0, np.int64), np.empty(0, np.uint64)
-        return np.concatenate(out_row), np.concatenate(out_sig)
+            if k == 0:  # only equal sets link
+                continue
+            ids = np.flatnonzero((size > 0) & ((own == instance) | (own + 1 == instance)))
+            for number in range(self.partitions):
+                member = np.zeros(n_rows, bool)
+                member[ids] = True
+                pick = member[row]
+                place = np.searchsorted(ids, row[pick])
+                n1, n2, subset = (1, k + 4, 3) if k < self.whole else (k + 1 + max(2, int(k * self.spare)), 1, 1)
+                shared = n2 - k if k < self.whole else n1 - k
+                last = k < self.whole or number == self.partitions - 1
+                r, s, spare = self._partition(place, gram[pick], len(ids), int(instance) * 8 + number, n1, n2, subset, shared, last)
+                for column, value in zip(out, (ids[r], s, np.full(len(r), int(instance) * 8 + number, np.int32), spare[r])):
+                    column.append(value)
+                ids = ids[spare < 0]
+                if last or not len(ids):
+                    break
+        types = (np.int64, np.uint64, np.int32, np.int32)
+        return tuple(np.concatenate(c).astype(t) if c else np.empty(0, t) for c, t in zip(out, types))
 
     @staticmethod
-    def _instance(place, gram, n_sets, salt, n1, n2, k2, keep_empty):
+    def _partition(place, gram, n_sets, plan, n1, n2, subset, shared, last):
+        """Signatures of one partition, and by set the number of them beyond which popular ones count.
+
+        Sets within k share `shared` parts at least (subsets of that many, if
+        they are enumerated). Of a set with fewer empty ones some shared one has
+        n-grams, so empty ones give no signature; else only in the last partition.
+        """
         cells = n1 * n2
-        slot = place * cells + (mix64(gram + np.uint64(((salt % 4) * 0x632BE59BD9B4E019 + 1) % 2**64)) % np.uint64(cells)).astype(np.int64)
+        slot = place * cells + (mix64(gram + np.uint64(((plan % 8) * 0x632BE59BD9B4E019 + 1) % 2**64)) % np.uint64(cells)).astype(np.int64)
         order = np.argsort(slot, kind="stable")
         slot, value = slot[order], mix64(gram[order] ^ np.uint64(0xD6E8FEB86659FD93))
         first = np.flatnonzero(np.diff(slot, prepend=-1))
@@ -121,15 +139,19 @@ class JaccardJoin:
             filled[slot[first]] = True
         sums, filled = sums.reshape(n_sets * n1, n2), filled.reshape(n_sets * n1, n2)
         which = np.tile(np.arange(n1, dtype=np.uint64), n_sets)
+        owner = np.repeat(np.arange(n_sets), n1)
+        subsets = [list(c) for c in combinations(range(n2), subset)]
+        full = [filled[:, c].any(axis=1) for c in subsets]
+        empty = np.bincount(owner, sum((~f).astype(np.int64) for f in full), n_sets).astype(np.int64)
+        spare = np.where(empty < comb(shared, subset), comb(shared, subset) - 1 - empty, -1)
         rows, sigs = [], []
-        for number, subset in enumerate(combinations(range(n2), n2 - k2)):
-            subset = list(subset)
-            total = sums[:, subset].sum(axis=1, dtype=np.uint64)
-            tag = mix64(which * np.uint64(65536) + np.uint64(number)) + np.uint64(salt * 0xA0761D6478BD642F % 2**64)
-            keep = slice(None) if keep_empty else filled[:, subset].any(axis=1)
-            rows.append(np.repeat(np.arange(n_sets), n1)[keep])
+        for number, (c, f) in enumerate(zip(subsets, full)):
+            total = sums[:, c].sum(axis=1, dtype=np.uint64)
+            tag = mix64(which * np.uint64(65536) + np.uint64(number)) + np.uint64(plan * 0xA0761D6478BD642F % 2**64)
+            keep = f | ((spare < 0)[owner] if last else False)
+            rows.append(owner[keep])
             sigs.append(mix64(total ^ mix64(tag))[keep])
-        return np.concatenate(rows), np.concatenate(sigs)
+        return np.concatenate(rows), np.concatenate(sigs), spare
 
     # -- tables -------------------------------------------------------------
 
@@ -174,20 +196,19 @@ class JaccardJoin:
         return both.mapInArrow(run, "a bigint, b bigint").distinct()
 
     def _signature_rows(self, docs: DataFrame) -> DataFrame:
-        """sig, d, n: a row for each signature of each document with n-grams."""
+        """sig, d, plan, spare: a row for each signature of each document with n-grams."""
 
         def run(batches):
             for b in batches:
                 ids = b.column(0).to_numpy(zero_copy_only=False)
                 for i, j, data, off in text_chunks(b.column(1), 1 << 20):
                     row, gram = self.sets(data, off)
-                    size = np.bincount(row, minlength=j - i).astype(np.int32)
-                    r, s = self.signatures(row, gram, j - i)
+                    r, s, plan, spare = self.signatures(row, gram, j - i)
                     for k in range(0, len(r), 1 << 16):
-                        part = r[k : k + (1 << 16)]
-                        yield pa.RecordBatch.from_arrays([pa.array(s[k : k + (1 << 16)].view(np.int64)), pa.array(ids[i + part].astype(np.int64)), pa.array(size[part])], ["sig", "d", "n"])
+                        part = slice(k, k + (1 << 16))
+                        yield pa.RecordBatch.from_arrays([pa.array(s[part].view(np.int64)), pa.array(ids[i + r[part]].astype(np.int64)), pa.array(plan[part]), pa.array(spare[part])], ["sig", "d", "plan", "spare"])
 
-        return docs.mapInArrow(run, "sig bigint, d bigint, n int")
+        return docs.mapInArrow(run, "sig bigint, d bigint, plan int, spare int")
 
     def _set_table(self, docs: DataFrame, ids: DataFrame) -> DataFrame:
         """doc_id and its n-gram hashes, for the documents named in ids; written."""
@@ -219,24 +240,32 @@ class JaccardJoin:
         each keeps its own n_shingles; a null id links with nothing and has a null component; an empty table gives no rows.
         """
         texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+        with settings(docs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch="1000"):  # batches of a few MB of text
+            return self._components(texts)
+
+    def _components(self, texts: DataFrame) -> DataFrame:
         nodes = self._node_table(texts)
         usable = nodes.where("n > 0 AND doc_id IS NOT NULL")
         equal = usable.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
         copies = equal.where("copies > 1").select("n", "s1", "s2", "node")
-        copies = cut(usable.select("doc_id", "n", "s1", "s2").join(copies, ["n", "s1", "s2"]).select("doc_id", "node"), "jaccard-copies")
+        copies = cut(usable.select("doc_id", "n", "s1", "s2").join(maybe_broadcast(copies), ["n", "s1", "s2"]).select("doc_id", "node"), "jaccard-copies")
         others = copies.where("doc_id <> node").select("doc_id").distinct()
         # One row per node and signature. They are made twice: first to find the signatures that several rows have, then to
         # keep the rows of these. That takes less disk than to keep them all.
         rows = self._signature_rows(texts.where("doc_id IS NOT NULL").join(maybe_broadcast(others), "doc_id", "left_anti"))
-        found = cut(rows.groupBy("sig").agg(F.count("*").alias("k")).where("k > 1").select("sig"), "jaccard-signatures")
+        found = cut(rows.groupBy("sig").agg(F.count("*").alias("k")).where("k > 1").select("sig", "k"), "jaccard-signatures")
         several = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found.hint("shuffle_hash")
         kept = cut(rows.join(several, "sig"), "jaccard-rows")
         drop(found)
-        groups = kept.groupBy("sig").agg(F.min("d").alias("pivot"), F.count("*").alias("size"))
-        shared = cut(kept.join(groups, "sig"), "jaccard-shared")
-        drop(kept)
+        # Popular signatures matter only to nodes that have more of them than the parts to spare.
+        popular = kept.where(F.col("k") > FEW)
+        bound = popular.groupBy("d", "plan").agg(F.count("*").alias("bad"), F.min("spare").alias("spare")).where("bad > spare").select("d", "plan")
+        popular = cut(popular.select("sig", "d", "plan").join(maybe_broadcast(cut(bound, "jaccard-bound")), ["d", "plan"], "left_semi").select("sig", "d"), "jaccard-popular")
+        groups = popular.groupBy("sig").agg(F.min("d").alias("pivot"), F.count("*").alias("size"))
+        shared = cut(popular.join(groups.where("size > 1"), "sig"), "jaccard-shared")
         # A signature of few nodes compares them all; one of more nodes compares them with its pivot, the smallest id.
-        few, many = shared.where(F.col("size") <= FEW), shared.where(F.col("size") > FEW)
+        few = kept.where(F.col("k") <= FEW).select("sig", "d").unionByName(shared.where(F.col("size") <= FEW).select("sig", "d"))
+        many = shared.where(F.col("size") > FEW)
         members = cut(many.where("d > pivot").select("pivot", "d").distinct(), "jaccard-members")
         pairs = few.select("sig", F.col("d").alias("a")).join(few.select("sig", F.col("d").alias("b")), "sig").where("a < b").select("a", "b")
         pairs = pairs.unionByName(members.select(F.col("pivot").alias("a"), F.col("d").alias("b"))).distinct()
@@ -249,7 +278,7 @@ class JaccardJoin:
         tree = self._tied(tree, apart, sets)
         if not members.isEmpty():
             tree = self._settle(many.select("sig", "d"), nodes, sets, tree)
-        drop(shared, members, pairs, sets)
+        drop(kept, popular, shared, members, pairs, sets)
         # A copy's node, then the node's component.
         node = nodes.select("doc_id", F.col("n").alias("n_shingles")).join(copies.distinct(), "doc_id", "left")
         node = node.withColumn("node", F.coalesce("node", "doc_id"))
@@ -333,6 +362,33 @@ class JaccardJoin:
         return tree
 
 
+#: Ids that stand in for null ones start here, above those of documents.
+NO_ID = 1 << 62
+
+
+def drop_near_copies(docs: DataFrame, join: JaccardJoin, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the documents of a group but that of the smallest id; all columns stay.
+
+    Rows with the same id are one document; of those that also have the same
+    text one stays. Rows without an id get one from their text, above all others. Null and empty
+    texts are in no group, but repeated rows of one id are one here too. An empty table gives no rows.
+    """
+    text = docs[text_col].cast("string")
+    stand_in = F.lit(NO_ID) + F.xxhash64(text).bitwiseAND(F.lit(NO_ID - 1))
+    own = F.coalesce(docs[id_col].cast("long"), stand_in)
+    groups = cut(join.components(docs.select(own.alias("doc_id"), text.alias("text"))), "jaccard-groups")
+    more = cut(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("id_")).distinct(), "duplicate-ids")
+    kept = docs.join(maybe_broadcast(more), own == more["id_"], "left_anti")
+    again = cut(groups.groupBy(F.col("doc_id").alias("id_")).agg(F.count("*").alias("n")).where("n > 1").select("id_"), "repeated-ids")
+    if again.isEmpty():
+        return kept
+    several = kept.join(maybe_broadcast(again), own == again["id_"], "left_semi")
+    names = [f"c_{k}" for k in range(len(docs.columns))]
+    one = several.select(own.alias("id_"), F.md5(text).alias("text_"), F.struct(*(several[c].alias(n) for c, n in zip(docs.columns, names))).alias("row_")).dropDuplicates(["id_", "text_"])
+    one = one.select(*(F.col(f"row_.{n}").alias(c) for c, n in zip(docs.columns, names)))
+    return kept.join(maybe_broadcast(again), own == again["id_"], "left_anti").unionByName(one)
+
+
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """Set sizes and components of all documents: three words, 0.9."""
     return JaccardJoin().components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
