@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tokens import default_tokenizer, encoder
+from .tokens import KEPT_PIECES, default_tokenizer, encoder
 
 
 def difference(sizes, k: int) -> list[list[int]]:
@@ -182,7 +182,7 @@ def pack(docs: DataFrame, capacity: int = 1024, windows: int = 64, fill: float =
     def run(batches):
         from pyspark import TaskContext
 
-        enc, packer = encoder(tokenizer), Packer(capacity, windows, fill)
+        enc, packer = encoder(tokenizer, KEPT_PIECES // 2), Packer(capacity, windows, fill)
         end = np.array([end_id], "<u4").tobytes()
         sequence, number = TaskContext.get().partitionId() << 40, 0
         held: dict[int, list] = {}  # row number -> doc_id, ids, ids not yet given out

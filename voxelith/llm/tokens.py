@@ -86,14 +86,14 @@ class TokenEncoder(dict):
         return b"".join(map(self.__getitem__, PIECES.findall(text)))
 
 
-_ENCODERS: dict[str, TokenEncoder] = {}
+_ENCODERS: dict[tuple[str, int], TokenEncoder] = {}
 
 
-def encoder(path: str) -> TokenEncoder:
-    """One encoder for each file and Python worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = TokenEncoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, kept: int = KEPT_PIECES) -> TokenEncoder:
+    """One encoder for each file (and number of kept pre-tokens) and Python worker."""
+    if (path, kept) not in _ENCODERS:
+        _ENCODERS[path, kept] = TokenEncoder(path, kept)
+    return _ENCODERS[path, kept]
 
 
 FILE_SCHEMA = T.StructType(
