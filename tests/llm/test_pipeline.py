@@ -50,3 +50,33 @@ def test_stages(spark, tmp_path):
     for i, r in after.items():
         assert b"".join(x for _, x in sorted(got[i])) == enc.encode(r.text) + np.array([0], "<u4").tobytes()
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF).select("doc_id").collect()} == ids(tables[4])
+
+
+def test_stages_on_odd_rows(spark, make):
+    from pyspark.sql import functions as F
+    from voxelith.llm import toxicity
+
+    first = spark.read.parquet(f"{SF}/documents.parquet")
+    model = toxicity.fit_toxicity(first, spark.read.parquet(f"{SF}/labels.parquet"), usable=toxicity.fold(F.col("doc_id")) != 1)
+    scored = toxicity.score_toxicity(first, model).join(first, "doc_id")
+    bad = scored.where("predicted = 1").orderBy("doc_id").first().text
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    plain = " ".join(f"plain{k}" for k in range(60))
+    rows = [(1, bad), (1, plain), (None, bad), (2, item), (None, item), (2, plain), (2, plain), (3, plain + " more"), (None, plain), (4, "alone"), (None, "alone"), (None, "other"), (None, "other"), (5, None), (None, None), (6, ""), (7, "x " * 200_000), (1, plain)]
+    docs = make(rows)
+    texts = lambda df: sorted(((r.doc_id is None, r.doc_id or 0), r.text or "") for r in df.collect())
+    key = lambda i: (i is None, i or 0)
+    out = toxicity.drop_toxic(docs, model)
+    assert out.columns == docs.columns and texts(out) == sorted((key(i), t or "") for i, t in rows if t != bad)
+    out = corpus_pipeline.jaccard_join(spark, docs.where(F.col("text").isNull() | (F.col("text") != bad)), SF)
+    left = [(1, plain), (2, item), (4, "alone"), (5, None), (6, ""), (7, "x " * 200_000), (None, "other"), (None, None)]
+    got = texts(out)
+    assert out.columns == docs.columns
+    assert [x for x in got if x[1] in ("alone", "other", "")] == sorted((key(i), t or "") for i, t in left if t in ("alone", "other", "", None))
+    assert [x for x in got if x[1] == plain] == [(key(1), plain)] and not [x for x in got if x[1].endswith("more")]
+    out = corpus_pipeline.decontamination(spark, docs, SF)
+    assert out.columns == docs.columns and texts(out) == sorted((key(i), t or "") for i, t in rows if t != item)
+    assert corpus_pipeline.secrets(spark, docs, SF).count() == len(rows)
+    assert {r[0] for r in corpus_pipeline.packing(spark, docs, SF).select("doc_id").collect()} == {i for i, _ in rows}
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0

@@ -180,34 +180,65 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column | None = Non
         "p": known.where("y = 1").select("doc_id").distinct().orderBy(*order).limit(most_positive),
         "u": texts.where(usable).select("doc_id").orderBy(*order).limit(most_unlabelled).distinct(),
     }
-    sides = [_collect_features(texts.join(F.broadcast(ids), "doc_id").select("text").limit(4 * most)) for ids, most in ((chosen["p"], most_positive), (chosen["u"], most_unlabelled))]
+    sides = []
+    for ids, most in ((chosen["p"], most_positive), (chosen["u"], most_unlabelled)):  # an id may have several texts
+        rows = texts.join(F.broadcast(ids), "doc_id").withColumn("version", F.xxhash64("text")).dropDuplicates(["doc_id", "version"])
+        sides.append(_collect_features(rows.orderBy(*order, F.col("version")).limit(most).select("text")))
     return train_nnpu(*sides, prior)
 
 
+def _scorer(model: ToxicityModel):
+    """A function from an Arrow string column to scores."""
+    buckets, weights, bias = model.buckets, model.weights, model.bias
+
+    def scores(tables: list, column) -> np.ndarray:
+        if not tables:
+            table, wanted = np.zeros(1 << BUCKET_BITS), np.zeros(1 << BUCKET_BITS, bool)
+            table[buckets], wanted[buckets] = weights, True
+            tables += [table, wanted]
+        table, wanted = tables
+        z = np.full(len(column), bias)
+        for i, j, data, off in text_chunks(column):
+            pairs = _FEATURES.pairs(data, off, wanted)
+            z[i:j] += np.bincount(pairs >> BUCKET_BITS, table[pairs & ((1 << BUCKET_BITS) - 1)], j - i)
+        return 0.5 * (1 + np.tanh(0.5 * z))
+
+    return scores
+
+
 def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, predicted of every row, from the whole text. Null and empty texts get the score of no features.
 
     Only the text is read. Ids may be null or repeated; an empty table gives no rows. No shuffle.
     """
-    buckets, weights, bias = model.buckets, model.weights, model.bias
+    scores = _scorer(model)
 
     def run(batches):
-        table = np.zeros(1 << BUCKET_BITS)
-        table[buckets] = weights
-        wanted = np.zeros(1 << BUCKET_BITS, bool)
-        wanted[buckets] = True
+        tables: list = []
         for b in batches:
-            z = np.full(b.num_rows, bias)
-            for i, j, data, off in text_chunks(b.column(1)):
-                pairs = _FEATURES.pairs(data, off, wanted)
-                z[i:j] += np.bincount(pairs >> BUCKET_BITS, table[pairs & ((1 << BUCKET_BITS) - 1)], j - i)
-            score = 0.5 * (1 + np.tanh(0.5 * z))
+            score = scores(tables, b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))], schema.names)
 
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
+def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """docs without the rows whose text scores threshold or more; all columns stay.
+
+    Each row is judged by its own text, whatever its id. Null and empty texts
+    have no features. An empty table gives no rows. No shuffle.
+    """
+    at, scores = docs.columns.index(text_col), _scorer(model)
+
+    def run(batches):
+        tables: list = []
+        for b in batches:
+            yield b.filter(pa.array(scores(tables, b.column(at)) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 3."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 3
