@@ -1,7 +1,10 @@
 """The text pipeline: toxicity, near duplicates, decontamination, secrets, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all documents that its
-predecessor kept; all but the last return the columns of documents.
+predecessor kept; all but the last return the columns of documents. Rows are
+judged one by one, so null and repeated ids, and further columns of any name but
+the documents' own, make no difference unless a stage says so. Null and empty
+texts are neither toxic nor copies nor leaks. No rows in give no rows out.
 """
 
 from __future__ import annotations
@@ -9,40 +12,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelith.llm.common import cut, maybe_broadcast, shared_path, write_parquet
+from voxelith.llm.common import shared_path, write_parquet
 from voxelith.llm.decontaminate import drop_leaks
-from voxelith.llm.near_dup import JaccardJoin
+from voxelith.llm.near_dup import JaccardJoin, drop_near_copies
 from voxelith.llm.packing import pack
 from voxelith.llm.secret_scan import redact_secrets
-from voxelith.llm.toxicity import fit_toxicity, fold, score_toxicity
+from voxelith.llm.toxicity import drop_toxic, fit_toxicity, fold
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the classifier calls toxic. It learns from labelled rows of the training fold alone."""
+    """Drops rows whose text the classifier calls toxic. It learns from labelled rows of the training fold alone."""
     model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), usable=fold(F.col("doc_id")) != 1)
-    bad = score_toxicity(docs, model).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(maybe_broadcast(cut(bad, "toxic-ids")), "doc_id", "left_anti").select(*docs.columns)
+    return drop_toxic(docs, model)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each group that links of similarity 0.8 on five words reach."""
-    groups = JaccardJoin(words=5, num=80, den=100).components(docs)
-    more = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(maybe_broadcast(cut(more, "duplicate-ids")), "doc_id", "left_anti").select(*docs.columns)
+    """Keeps the document of the smallest id of each group that links of similarity 0.8 on five words reach.
+
+    Rows with the same id are one document: they stay or go together, but of
+    rows that also have the same text one stays. Rows without an id come after
+    all others; of those with the same text one stays.
+    """
+    return drop_near_copies(docs, JaccardJoin(words=5, num=80, den=100))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a passage of a benchmark item."""
+    """Drops rows whose text holds a passage of a benchmark item."""
     return drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks secrets, plain or encoded, and counts the characters anew. All documents stay."""
+    """Masks secrets, plain or encoded, and counts the characters anew. All rows stay; a null text stays null."""
     return redact_secrets(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences of the documents left: doc_id, start, length, ids, doc_tokens, sequence_id, offset."""
+    """Pieces of token sequences of the rows left: doc_id, start, length, ids, doc_tokens, sequence_id, offset.
+
+    Rows with the same id, or none, are documents of their own; a null or empty text has the end id alone.
+    """
     return pack(docs)
 
 
