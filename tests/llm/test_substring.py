@@ -78,6 +78,32 @@ def test_calls_on_one_index(spark, make):
     assert removed[80] == removed[82] == (len(rows[6][1].split()), "")
 
 
+def test_index_is_reopened(spark, make, tmp_path):
+    """A session that knows the folder alone goes on where the last one ended; a place without a manifest is a new index."""
+    rows = corpus()
+    path = f"file://{tmp_path}/index"
+    first = FingerprintIndex(spark, most_runs=2, path=path)
+    result(drop_repeats(make(rows[:40]), 3, index=first))
+    for run in first.runs:  # another session has no tables in its catalog
+        spark.sql(f"DROP TABLE {run['keys']}")
+    again = FingerprintIndex(spark, most_runs=2, path=path)
+    assert again.runs == first.runs and again.sources == first.sources and again.version == 3
+    got = result(drop_repeats(make(rows[40:]), 1, index=again))
+    every = brute(rows)
+    assert len(got) == len(rows[40:]) and all(g in every for g in got)
+    again.remove()
+    assert not list(tmp_path.iterdir())
+
+
+def test_frequent_keys_in_a_shuffled_join(make, monkeypatch):
+    from voxelith.llm import substring_dedup as S
+
+    monkeypatch.setattr(S, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(S, "HOT", 5)
+    rows = corpus()
+    assert result(drop_repeats(make(rows), 2)) == brute(rows)
+
+
 def test_repeated_ids(make):
     text = " ".join(f"a{k}" for k in range(30))
     got = result(drop_repeats(make([(1, text), (1, text), (2, text)])))

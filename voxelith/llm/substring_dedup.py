@@ -3,16 +3,19 @@
 Each window of 20 words is represented by its minimiser: the least hash among
 its 8-word sequences. Equal windows have equal minimisers, and neighbouring
 windows mostly share one, so the index holds about one fingerprint for seven
-words. A batch of documents becomes an immutable run, bucketed and sorted by
-fingerprint; a new run is merge-joined with the older runs bucket by bucket,
-without a shuffle. What matches is verified on the whole windows of the texts
-concerned; an index that serves several calls keeps its texts for that. Runs are
-merged into one when there are too many.
+words. A batch of documents becomes an immutable run: the fingerprints' keys with
+their counts, bucketed and sorted, and their places. A new run's keys are
+merge-joined with those of the older runs bucket by bucket, without a shuffle;
+each key is one row there, however often it occurs. Places of keys that match are
+verified on the whole windows of the texts concerned. The keys of the runs are
+merged into one run when there are too many. A manifest in the index's folder
+names the runs, so a later session can go on with it.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 from functools import reduce
 
@@ -21,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHasher, cut, ngram_hashes, shared_path, text_chunks, write_parquet
+from ..plans.tables import CLEANUP, settings
+from .common import BROADCAST_ROWS, WordHasher, cut, drop, maybe_broadcast, ngram_hashes, shared_path, text_chunks, write_parquet
 
 WINDOW, GRAM = 20, 8
 
@@ -47,6 +51,9 @@ def _minimisers(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, starts + place[starts], least[starts]
 
 
+PLACES = "h bigint, doc_id bigint, pos int"
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """h, doc_id, pos: the distinct minimisers of all windows of each text (doc_id, text), pos a word number."""
 
@@ -61,60 +68,130 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 row = np.searchsorted(bounds, place, "right") - 1
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[i + row].astype(np.int64)), pa.array((place - bounds[row]).astype(np.int32))], ["h", "doc_id", "pos"])
 
-    return docs.mapInArrow(run, "h bigint, doc_id bigint, pos int")
+    return docs.mapInArrow(run, PLACES)
+
+
+#: Places of one key from which its rows are dealt over SALTS tasks in a shuffled join.
+HOT, SALTS = 10_000, 64
 
 
 class FingerprintIndex:
-    """Sorted runs of fingerprints. append(batch) writes a run and gives what has to be verified.
+    """Sorted runs of fingerprints. append(batch) writes a run and gives the places that have to be verified.
 
     With keep_texts the batches themselves are stored too: later calls compare
     their windows with those of the earlier texts, which fingerprints can't tell.
+    With a path, the index is one that an earlier session left there, if there is one.
     """
 
-    def __init__(self, spark: SparkSession, most_runs: int = 4, buckets: int | None = None, keep_texts: bool = True):
+    def __init__(self, spark: SparkSession, most_runs: int = 4, buckets: int | None = None, keep_texts: bool = True, path: str | None = None):
         self.spark, self.most_runs, self.keep_texts = spark, most_runs, keep_texts
+        self.path = path or shared_path(spark, "fingerprint-index")
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.runs: list[str] = []
-        self.sources: list[str] = []
+        self.version, self.runs, self.sources = 0, [], []  # a run: its keys' table, buckets, and folders of places
+        if path:
+            self._open()
+
+    # -- manifest ------------------------------------------------------------
+
+    def _files(self, name: str = ""):
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+        return at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _open(self) -> None:
+        at, files = self._files()
+        found = [f.getPath().getName() for f in files.listStatus(at)] if files.exists(at) else []
+        versions = sorted(f for f in found if f.startswith("manifest-") and files.exists(self._files(f"{f}/_SUCCESS")[0]))
+        if not versions:
+            return
+        state = json.loads(self.spark.read.text(f"{self.path}/{versions[-1]}").first()[0])
+        self.version, self.runs, self.sources = state["version"], state["runs"], state["sources"]
+        for run in self.runs:
+            if not self.spark.catalog.tableExists(run["keys"]):
+                self.spark.sql(f"CREATE TABLE {run['keys']} (h BIGINT, n BIGINT) USING parquet CLUSTERED BY (h) SORTED BY (h) INTO {run['buckets']} BUCKETS LOCATION '{self.path}/{run['keys']}'")
+
+    def _save(self) -> None:
+        self.version += 1
+        state = json.dumps({"version": self.version, "runs": self.runs, "sources": self.sources})
+        self.spark.createDataFrame([(state,)], "value string").coalesce(1).write.text(f"{self.path}/manifest-{self.version:08d}")
+
+    # -- runs ------------------------------------------------------------------
 
     def texts(self) -> DataFrame | None:
         """doc_id, text of all stored batches so far."""
         return self.spark.read.parquet(*self.sources) if self.sources else None
 
-    def _write(self, rows: DataFrame) -> str:
+    def _write_keys(self, counted: DataFrame) -> dict:
+        """A run of h, n (one row for each h; counted is partitioned by h)."""
         name = f"fingerprints_{uuid.uuid4().hex}"
-        writer = rows.repartition(self.buckets, "h").sortWithinPartitions("h").write.format("parquet").bucketBy(self.buckets, "h").sortBy("h")
-        writer.option("path", shared_path(self.spark, "fingerprints")).saveAsTable(name)
-        return name
+        with settings(self.spark, **{CLEANUP: "true", "spark__sql__shuffle__partitions": str(self.buckets)}):
+            counted.write.format("parquet").bucketBy(self.buckets, "h").sortBy("h").option("path", f"{self.path}/{name}").saveAsTable(name)
+        return {"keys": name, "buckets": self.buckets, "places": []}
+
+    def _at(self, places: list[str], matched: DataFrame) -> DataFrame:
+        """doc_id, pos of the places whose keys are among matched (h, n)."""
+        rows = self.spark.read.schema(PLACES).parquet(*places)
+        if matched.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+            return rows.join(F.broadcast(matched.select("h")), "h", "left_semi").select("doc_id", "pos")
+        # Frequent keys, at most one for HOT rows, go to SALTS tasks each.
+        hot = cut(matched.where(F.col("n") >= HOT).select("h"), "fingerprint-hot")
+        salts = F.sequence(F.lit(0), F.when(F.col("n") >= HOT, SALTS - 1).otherwise(0))
+        keys = matched.select("h", F.explode(salts).alias("salt"))
+        dealt = rows.join(maybe_broadcast(hot.withColumn("hot", F.lit(True))), "h", "left")
+        dealt = dealt.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", "pos"), F.lit(SALTS)).cast("int")).otherwise(0))
+        return dealt.join(keys, ["h", "salt"], "left_semi").select("doc_id", "pos")
 
     def append(self, docs: DataFrame) -> DataFrame:
-        """Adds the documents (doc_id, text) as a run; doc_id, pos of fingerprints, old and new, that match another.
+        """Adds the documents (doc_id, text) as a run; doc_id, pos of fingerprints, old and new, that match another; written.
 
-        Every joined side is bucketed alike: runs meet bucket by bucket.
+        The joined keys are bucketed alike: runs meet bucket by bucket.
         """
         if self.keep_texts:
-            path = shared_path(self.spark, "fingerprint-texts")
+            path = f"{self.path}/texts-{uuid.uuid4().hex}"
             write_parquet(docs, path)
             docs = self.spark.read.parquet(path)
             self.sources.append(path)
-        name = self._write(fingerprints(docs))
-        new = self.spark.table(name)
-        counts = new.groupBy("h").agg(F.count("*").alias("n_new"))
-        matches = [counts]
+        folder = f"{self.path}/places-{uuid.uuid4().hex}"
+        write_parquet(fingerprints(docs), folder)
+        run = self._write_keys(self.spark.read.schema(PLACES).parquet(folder).groupBy("h").agg(F.count("*").alias("n")))
+        run["places"] = [folder]
+        new = self.spark.table(run["keys"])
+        known = new
+        for k, old in enumerate(self.runs):
+            known = known.join(self.spark.table(old["keys"]).select("h", F.col("n").alias(f"n_{k}")), "h", "left")
+        olds = [F.col(f"n_{k}") for k in range(len(self.runs))]
+        known = cut(known.where(reduce(lambda a, b: a | b, (c.isNotNull() for c in olds), F.col("n") > 1)), "fingerprint-matches")
+        found = [self._at([folder], known.select("h", "n"))]
         for k, old in enumerate(self.runs):
-            matches[0] = matches[0].join(self.spark.table(old).select("h").distinct().withColumn(f"in_{k}", F.lit(1)), "h", "left")
-        known = reduce(lambda a, b: a | b, (F.col(f"in_{k}").isNotNull() for k in range(len(self.runs))), F.lit(False))
-        found = [new.join(matches[0].where((F.col("n_new") > 1) | known).select("h"), "h", "left_semi").select("doc_id", "pos")]
-        for old in self.runs:
-            found.append(self.spark.table(old).join(new.select("h").distinct(), "h", "left_semi").select("doc_id", "pos"))
-        self.runs.append(name)
-        return reduce(DataFrame.unionByName, found)
+            found.append(self._at(old["places"], known.where(olds[k].isNotNull()).select("h", olds[k].alias("n"))))
+        out = cut(reduce(DataFrame.unionByName, found), "fingerprint-found")
+        drop(known)
+        self.runs.append(run)
+        self.compact()
+        self._save()
+        return out
 
     def compact(self) -> None:
-        """Merges all runs into one if there are more than most_runs. The old runs stay readable for plans made before."""
-        if len(self.runs) > self.most_runs:
-            merged = reduce(DataFrame.unionByName, (self.spark.table(r) for r in self.runs))
-            self.runs = [self._write(merged)]
+        """Merges the keys of all runs into one run if there are more than most_runs; the old runs' tables go. Places stay."""
+        if len(self.runs) <= self.most_runs:
+            return
+        rows = reduce(DataFrame.unionByName, (self.spark.table(r["keys"]) for r in self.runs))
+        merged = self._write_keys(rows.groupBy("h").agg(F.sum("n").alias("n")))
+        merged["places"] = [p for r in self.runs for p in r["places"]]
+        self._remove(self.runs)
+        self.runs = [merged]
+
+    def _remove(self, runs: list[dict]) -> None:
+        for run in runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {run['keys']}")
+            at, files = self._files(run["keys"])
+            files.delete(at, True)
+
+    def remove(self) -> None:
+        """Deletes the index."""
+        self._remove(self.runs)
+        at, files = self._files()
+        files.delete(at, True)
+        self.runs, self.sources = [], []
 
 
 #: A start and 24 bits of a digest of the text, which tells rows with the same id apart.
@@ -191,7 +268,7 @@ def _cut_words(texts: DataFrame, digest: bool) -> DataFrame:
     return texts.mapInArrow(run, OUT)
 
 
-def drop_repeats(docs: DataFrame, batches: int = 2, digest: bool = False, id_col: str = "doc_id", text_col: str = "text", index: FingerprintIndex | None = None) -> DataFrame:
+def drop_repeats(docs: DataFrame, batches: int = 6, digest: bool = False, id_col: str = "doc_id", text_col: str = "text", index: FingerprintIndex | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept of every row.
 
     Removed is each word covered by a window of 20 words that also starts
@@ -205,6 +282,7 @@ def drop_repeats(docs: DataFrame, batches: int = 2, digest: bool = False, id_col
     what the earlier calls gave stays, also if docs have smaller ids.
     """
     spark = docs.sparkSession
+    own = index is None
     index = index or FingerprintIndex(spark, keep_texts=False)
     if index.runs and not index.keep_texts:
         raise ValueError("an index for several calls needs keep_texts")
@@ -226,7 +304,8 @@ def drop_repeats(docs: DataFrame, batches: int = 2, digest: bool = False, id_col
         if single:  # with several texts for an id, copies go in too
             part = part.join(copied, "doc_id", "left_anti")
         found.append(index.append(part))
-        index.compact()
+    if own:
+        index.remove()
     places = reduce(DataFrame.unionByName, found).groupBy("doc_id").agg(F.collect_set("pos").alias("places"))
     if history is not None:
         places = cut(places, "index-places")  # also of earlier texts, whose ids may be those of copies
