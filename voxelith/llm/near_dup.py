@@ -30,6 +30,9 @@ from .common import BROADCAST_ROWS, WordHasher, cut, drop, maybe_broadcast, mix6
 
 #: Classes of a sketch; nodes of a signature up to which all of them are compared (a row gives 3.5 pairs at most).
 SKETCH, FEW = 128, 8
+#: Bits of a table that tells signatures of one node apart from most others before a shuffle: 16 MB, whatever the input. With
+#: more shared signatures than half of them it isn't made.
+FILTER_BITS = 1 << 27
 #: Nodes by root, about, that tell which differences are common; n-grams of all roots up to which they are broadcast.
 SAMPLE, BROADCAST_GRAMS = 32, 2_000_000
 
@@ -195,8 +198,18 @@ class JaccardJoin:
 
         return both.mapInArrow(run, "a bigint, b bigint").distinct()
 
-    def _signature_rows(self, docs: DataFrame) -> DataFrame:
-        """sig, d, plan, spare: a row for each signature of each document with n-grams."""
+    @staticmethod
+    def _filter(found: DataFrame):
+        """A broadcast bit table in which every signature of found has its bit set; None if there are too many."""
+        if found.count() > FILTER_BITS // 2:
+            return None
+        words = found.selectExpr(f"shiftrightunsigned(sig & {FILTER_BITS - 1}, 6) AS w", "shiftleft(1L, CAST(sig & 63 AS INT)) AS bit").groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()
+        table = np.zeros(FILTER_BITS // 64, np.uint64)
+        table[words["w"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+        return found.sparkSession.sparkContext.broadcast(table)
+
+    def _signature_rows(self, docs: DataFrame, filter_=None) -> DataFrame:
+        """sig, d, plan, spare: a row for each signature of each document with n-grams; those that filter_ rules out are left out."""
 
         def run(batches):
             for b in batches:
@@ -204,6 +217,10 @@ class JaccardJoin:
                 for i, j, data, off in text_chunks(b.column(1), 1 << 20):
                     row, gram = self.sets(data, off)
                     r, s, plan, spare = self.signatures(row, gram, j - i)
+                    if filter_ is not None:
+                        at = s & np.uint64(FILTER_BITS - 1)
+                        keep = np.flatnonzero((filter_.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1))
+                        r, s, plan, spare = r[keep], s[keep], plan[keep], spare[keep]
                     for k in range(0, len(r), 1 << 16):
                         part = slice(k, k + (1 << 16))
                         yield pa.RecordBatch.from_arrays([pa.array(s[part].view(np.int64)), pa.array(ids[i + r[part]].astype(np.int64)), pa.array(plan[part]), pa.array(spare[part])], ["sig", "d", "plan", "spare"])
@@ -252,10 +269,14 @@ class JaccardJoin:
         others = copies.where("doc_id <> node").select("doc_id").distinct()
         # One row per node and signature. They are made twice: first to find the signatures that several rows have, then to
         # keep the rows of these. That takes less disk than to keep them all.
-        rows = self._signature_rows(texts.where("doc_id IS NOT NULL").join(maybe_broadcast(others), "doc_id", "left_anti"))
+        single = texts.where("doc_id IS NOT NULL").join(maybe_broadcast(others), "doc_id", "left_anti")
+        rows = self._signature_rows(single)
         found = cut(rows.groupBy("sig").agg(F.count("*").alias("k")).where("k > 1").select("sig", "k"), "jaccard-signatures")
         several = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found.hint("shuffle_hash")
-        kept = cut(rows.join(several, "sig"), "jaccard-rows")
+        filter_ = self._filter(found)
+        kept = cut(self._signature_rows(single, filter_).join(several, "sig"), "jaccard-rows")
+        if filter_ is not None:
+            filter_.unpersist()
         drop(found)
         # Popular signatures matter only to nodes that have more of them than the parts to spare.
         popular = kept.where(F.col("k") > FEW)
