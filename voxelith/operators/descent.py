@@ -43,18 +43,24 @@ def reach(links: DataFrame, starts: DataFrame, most: int | None = None) -> DataF
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
+        if n % 8 == 0:
+            seen = cut(seen, "reach-seen")
     return seen
 
 
 def core_labels(links: DataFrame, cores: DataFrame) -> DataFrame:
     """node, label: cores (node, label) spread against the links; in a round the smallest label wins, the first one stays."""
     front = seen = cut(cores.groupBy("node").agg(F.min("label").alias("label")), "core-labels")
+    n = 0
     while True:
+        n += 1
         back = front.join(links, front["node"] == links["b"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("label"))
         front = cut(back.join(seen.select("node"), "node", "left_anti"), "core-labels")
         if front.isEmpty():
             return seen
         seen = seen.unionByName(front)
+        if n % 8 == 0:
+            seen = cut(seen, "core-seen")
 
 
 def pruned(links: DataFrame) -> DataFrame:
@@ -110,17 +116,23 @@ def separation_wave(labels: DataFrame, waves_of: DataFrame, ndim: int = 3) -> Da
     return pairs.groupBy(F.col("label").alias("la"), F.col("nl").alias("lb")).agg(F.min(F.greatest("wave", "nw")).alias("wave"))
 
 
-def erode_until_apart(fg: DataFrame, protect: DataFrame, most: int = 20, ndim: int = 3) -> DataFrame:
-    """KEY, layer: the erosion at which each voxel goes (border voxels first), protected ones never (null)."""
+def erode_until_apart(fg: DataFrame, protect: DataFrame, most: int | None = None, ndim: int = 3) -> DataFrame:
+    """KEY, layer: the erosion at which each voxel goes (border voxels first), protected ones never (null).
+
+    Erosion ends when nothing is left to take, or after `most` layers.
+    """
     from .stencil import surface
 
-    left, out = fg.select(*KEY), None
-    for n in range(1, most + 1):
+    left, out, n = fg.select(*KEY), None, 0
+    while most is None or n < most:
+        n += 1
         rim = surface(left, ndim).join(protect.select(*KEY), KEY, "left_anti")
         rim = cut(rim.withColumn("layer", F.lit(n)), "erosion")
         if rim.isEmpty():
             break
         out = rim if out is None else out.unionByName(rim)
+        if n % 8 == 0:
+            out = cut(out, "erosion")
         left = cut(left.join(rim.select(*KEY), KEY, "left_anti"), "erosion-left")
     rest = left.withColumn("layer", F.lit(None).cast("int"))
     return rest if out is None else out.unionByName(rest)

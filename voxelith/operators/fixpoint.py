@@ -103,6 +103,8 @@ def compete(fg: DataFrame, seeds: DataFrame, offs, most: int | None = None) -> D
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
+        if step % 8 == 0:
+            seen = cut(seen, "compete-seen")
     return seen
 
 

@@ -121,3 +121,27 @@ def gaussian_taps(sigma: float, length: int, normalise: bool = True) -> list[flo
 def gradient(vox: DataFrame, axes: str = "xyz", value: str = "val") -> DataFrame:
     """g_x ..: central differences (next - previous), the centre's value at borders."""
     return vox.withColumns({f"g_{a}": F.coalesce(step(value, a, 1), F.col(value)) - F.coalesce(step(value, a, -1), F.col(value)) for a in axes})
+
+
+def particle_values(vox: DataFrame, particles: DataFrame, ndim: int, value: str, default) -> DataFrame:
+    """particles with the value at their place by the first ndim axes, the others being 0; the default where there is no voxel."""
+    if ndim not in (1, 2, 3, 4):
+        raise ValueError(f"{ndim} dimensions")
+    used = AXES[:ndim]
+    flat = vox.where(" AND ".join(f"{a} = 0" for a in AXES[ndim:]) or "true").select("vol_id", *used, F.col(value).alias("found_"))
+    return particles.join(flat, ["vol_id", *used], "left").withColumn(value, F.coalesce("found_", F.lit(default))).drop("found_")
+
+
+def set_particle_values(vox: DataFrame, particles: DataFrame, ndim: int, value: str) -> DataFrame:
+    """KEY and value of vox, with the particles' value at their places (first ndim axes, the others 0); places outside vox are ignored.
+
+    Of several particles at a place the greatest value counts.
+    """
+    if ndim not in (1, 2, 3, 4):
+        raise ValueError(f"{ndim} dimensions")
+    used = AXES[:ndim]
+    new = particles.groupBy("vol_id", *used).agg(F.max(value).alias("new_"))
+    hit = F.col("new_").isNotNull()
+    for a in AXES[ndim:]:
+        hit = hit & (F.col(a) == 0)
+    return vox.join(new, ["vol_id", *used], "left").select(*KEY, F.when(hit, F.col("new_")).otherwise(F.col(value)).alias(value))

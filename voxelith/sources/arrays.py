@@ -37,6 +37,26 @@ def load_scalar(df: DataFrame, array: str, default=None) -> Column:
     return F.coalesce(F.get(F.col(array), F.lit(0)), F.lit(default))
 
 
+def store_scalar(spark, value, element: str = "double") -> DataFrame:
+    """One row with one value of an element class; an unknown class is an error."""
+    if element not in ELEMENTS:
+        raise ValueError(f"unknown element class {element!r}")
+    return spark.range(1).select(F.lit(value).cast(ELEMENTS[element]).alias("value"))
+
+
+def read_gamma(spark, path: str, dim: int) -> tuple[float, float, DataFrame]:
+    """tau, lambda and the four neighbour matrices (m 1..4, i, j, value) of a text file of numbers: tau, lambda, then the matrices by rows.
+
+    Numbers left out at the end are an error, further ones are ignored.
+    """
+    words = spark.read.text(path, wholetext=True).first()[0].split()[: 2 + 4 * dim * dim]
+    values = [float(w) for w in words]
+    if len(values) < 2 + 4 * dim * dim:
+        raise ValueError(f"{path}: {len(values)} numbers, {2 + 4 * dim * dim} wanted")
+    cells = [(k // dim**2 + 1, k // dim % dim, k % dim, v) for k, v in enumerate(values[2:])]
+    return values[0], values[1], spark.createDataFrame(cells, "m int, i int, j int, value double")
+
+
 def store_array(vox: DataFrame, dims: tuple[int, ...], element: str = "double", value: str = "val") -> DataFrame:
     """vol_id, data: flat arrays in index order. A volume's array is one value, so this is for volumes that fit one."""
     nx, ny, nz = (*dims, 1, 1, 1)[:3]
