@@ -305,3 +305,63 @@ def test_scores_and_files(spark, tmp_path):
         A.store_scalar(spark, 1, "complex")
     with pytest.raises(ValueError):
         S.particle_values(rows, rows, 5, "v", 0)
+
+
+def test_spanning_forest(spark):
+    from voxelith.operators.graphs import spanning_forest
+
+    rng = random.Random(6)
+    edges = {(a, b): rng.choice([1.0, 2.0, 3.0, 5.5]) for a, b in ((rng.randrange(60), rng.randrange(60)) for _ in range(110)) if a != b}
+    best = {}
+    for (a, b), w in edges.items():
+        k = (min(a, b), max(a, b))
+        best[k] = min(w, best.get(k, w))
+    root = list(range(60))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    want = []
+    for w, a, b in sorted((w, a, b) for (a, b), w in best.items()):
+        if find(a) != find(b):
+            root[find(a)] = find(b)
+            want.append((a, b, w))
+    got = spanning_forest(spark.createDataFrame([(a, b, w) for (a, b), w in edges.items()], "a long, b long, w double"))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_numbered(spark):
+    from voxelith.plans.tables import numbered
+
+    rows = [(g, k * 7 % 101) for g, n in ((1, 101), (2, 3), (5, 40)) for k in range(n)]
+    got = numbered(spark.createDataFrame(rows, "g int, k int"), ["g"], ["k"], "place", first=0).collect()
+    want = {(g, k): place for g in (1, 2, 5) for place, k in enumerate(sorted(k for h, k in rows if h == g))}
+    assert {(r.g, r.k): r.place for r in got} == want and len(got) == len(rows)
+
+
+def test_separation_rounds(spark):
+    from voxelith.operators.descent import erode_until_apart, separation_rounds
+
+    # two blocks with a bridge of 3 x 3, which the second erosion cuts; a third block stands apart
+    cells = {(x, y, z) for x, y, z in product(range(17), range(5), range(5)) if x < 5 or x > 11} | {(x, y, z) for x, y, z in product(range(5, 12), range(1, 4), range(1, 4))}
+    cells |= {(x + 20, y, z) for x, y, z in product(range(3), repeat=3)}
+    cores = points(spark, [(2, 2, 2), (14, 2, 2), (21, 1, 1)])
+    fg = table(spark, {p: 1 for p in cells})
+    layers = erode_until_apart(fg, cores)
+    got = separation_rounds(layers, cores, (30, 5, 5, 1))
+    assert sorted(tuple(r) for r in got.collect()) == [(0, 1, 2)]
+    assert layers.where("layer IS NULL").count() == 3
+
+
+def test_scratch_tables_go(spark):
+    import os
+
+    from voxelith.plans.tables import clear, cut, shared_folder
+
+    df = cut(spark.range(3), "scratch")
+    folder = shared_folder(spark).removeprefix("file:").replace("//", "/")
+    assert df.count() == 3 and any(f.startswith("scratch-") for f in os.listdir(folder))
+    clear(spark)
+    assert not os.path.exists(folder)

@@ -138,6 +138,59 @@ def erode_until_apart(fg: DataFrame, protect: DataFrame, most: int | None = None
     return rest if out is None else out.unionByName(rest)
 
 
+def separation_rounds(layers: DataFrame, cores: DataFrame, dims, ndim: int = 3) -> DataFrame:
+    """la < lb, round: the erosion that first parts two core labels that hang together before; pairs never parted have no row.
+
+    layers is the outcome of erode_until_apart(), cores (KEY, label). One components run for each layer.
+    """
+    from .fixpoint import components
+
+    layers = cut(layers.select(*KEY, "layer"), "separation-layers")
+    last = layers.agg(F.max("layer")).first()[0] or 0
+    pairs, out = None, None
+    for n in range(last + 1):  # the depth of the volume
+        left = layers.where(F.col("layer").isNull() | (F.col("layer") > n)).select(*KEY)
+        parts = components(left, offsets(ndim, "face"), dims).select(*KEY, F.col("label").alias("part")).join(cores.select(*KEY, "label"), KEY)
+        parts = parts.select("vol_id", "part", "label").distinct()
+        both = parts.select("vol_id", "part", F.col("label").alias("la")).join(parts.select("vol_id", "part", F.col("label").alias("lb")), ["vol_id", "part"])
+        now = cut(both.where("la < lb").select("la", "lb").distinct(), "separation-pairs")
+        if n:
+            gone = cut(pairs.join(now, ["la", "lb"], "left_anti").withColumn("round", F.lit(n)), "separation-gone")
+            out = gone if out is None else out.unionByName(gone)
+        pairs = now
+    return out if out is not None else pairs.limit(0).withColumn("round", F.lit(0))
+
+
+def particle_kinds(gen: DataFrame, links: DataFrame, dims, ndim: int = 3) -> DataFrame:
+    """KEY, i, surface, medial, inflection of each particle (KEY), by its neighbours and its links a -> b.
+
+    surface: a face neighbour is missing. medial: no descendant, or 2 (ndim - 1)
+    ascendants. inflection: on the surface, with two descendants or more.
+    """
+    from .stencil import gather
+
+    faces = offsets(ndim, "face")
+    rows = gather(gen.select(*KEY), faces, {}, []).select(*KEY, linear_index(dims).alias("i"), (F.col("n_near") < len(faces)).alias("surface"))
+    down = links.groupBy(F.col("a").alias("i")).agg(F.countDistinct("b").alias("down"))
+    up = links.groupBy(F.col("b").alias("i")).agg(F.countDistinct("a").alias("up"))
+    both = rows.join(down, "i", "left").join(up, "i", "left").na.fill(0, ["down", "up"])
+    return both.select(*KEY, "i", "surface", ((F.col("up") >= 2 * (ndim - 1)) | (F.col("down") == 0)).alias("medial"), (F.col("surface") & (F.col("down") >= 2)).alias("inflection"))
+
+
+def neighbour_labels(places: DataFrame, labels: DataFrame, ndim: int = 3) -> DataFrame:
+    """KEY, label, n: how many of each place's neighbours have a label."""
+    sent = shifted(labels, offsets(ndim), ["label"]).select(*KEY, "label")
+    return places.select(*KEY).join(sent, KEY).groupBy(*KEY, "label").agg(F.count("*").alias("n"))
+
+
+def dominant_labels(counts: DataFrame, by: list[str], proportion: float) -> DataFrame:
+    """by, label: the label of the greatest count n if that is more than proportion times the second's, else -1; ties go to the smaller label."""
+    order = Window.partitionBy(*by).orderBy(F.desc("n"), "label")
+    two = counts.withColumns({"r": F.row_number().over(order), "second": F.lead("n").over(order)}).where("r = 1")
+    kind = counts.schema["label"].dataType
+    return two.select(*by, F.when(F.col("n") > proportion * F.coalesce("second", F.lit(0)), F.col("label")).otherwise(F.lit(-1).cast(kind)).alias("label"))
+
+
 def plane_sides(surface: DataFrame, origin: dict[str, float], normal: dict[str, float]) -> DataFrame:
     """surface with side: 1 where normal . (p - origin) > 0, else 0."""
     dot = sum(F.lit(float(normal.get(a, 0))) * (F.col(a) - F.lit(float(origin.get(a, 0)))) for a in AXES)

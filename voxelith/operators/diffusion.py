@@ -7,7 +7,6 @@ place in index order, as a grouped map by volume, for results that depend on tha
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.tables import cut
+from ..plans.tables import cut, numbered
 from .components import stars
 from .stencil import AXES, KEY, causal, linear_index, offsets, shifted
 
@@ -39,7 +39,7 @@ def components(fg: DataFrame, offs, dims, same: list[str] = ()) -> DataFrame:
     edges = voxel_edges(fg, offs, dims, same).select(node("a").alias("a"), node("b").alias("b"))
     tree = stars(edges).select(F.col("a").alias("node_"), F.col("b").alias("root_"))
     rooted = rows.join(tree, "node_", "left").withColumn("root_", F.coalesce("root_", "node_"))
-    roots = rooted.where("node_ = root_").select("vol_id", "root_").withColumn("label", F.row_number().over(Window.partitionBy("vol_id").orderBy("root_")))
+    roots = numbered(rooted.where("node_ = root_").select("vol_id", "root_"), ["vol_id"], ["root_"], "label")
     return rooted.join(roots, ["vol_id", "root_"]).drop("i_", "node_", "root_")
 
 
@@ -48,7 +48,7 @@ def keep_sizes(labelled: DataFrame, least: int = 1, most: int | None = None) ->
     sizes = labelled.groupBy("vol_id", "label").agg(F.count("*").alias("size")).where(F.col("size") >= least)
     if most is not None:
         sizes = sizes.where(F.col("size") <= most)
-    sizes = sizes.withColumn("new_", F.row_number().over(Window.partitionBy("vol_id").orderBy("label")))
+    sizes = numbered(sizes, ["vol_id"], ["label"], "new_")
     return labelled.join(sizes, ["vol_id", "label"]).drop("label").withColumnRenamed("new_", "label")
 
 

@@ -14,16 +14,16 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
     edges = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w").where("a < b").groupBy("a", "b").agg(F.min("w").alias("w")), "mst-edges")
     chosen = edges.limit(0)
     now = edges.select("a", "b", "w", F.col("a").alias("ra"), F.col("b").alias("rb"))
-    while True:
-        ends = now.select("ra", "a", "b", "w").unionByName(now.select(F.col("rb").alias("ra"), "a", "b", "w"))
-        best = ends.groupBy("ra").agg(F.min(F.struct("w", "a", "b")).alias("e")).select("e.a", "e.b", "e.w").distinct()
+    while True:  # edges between roots: a round's components are those of the roots it joins
+        ends = now.select(F.col("ra").alias("r"), "w", "a", "b", "ra", "rb").unionByName(now.select(F.col("rb").alias("r"), "w", "a", "b", "ra", "rb"))
+        best = ends.groupBy("r").agg(F.min(F.struct("w", "a", "b", "ra", "rb")).alias("e")).select("e.*").distinct()
         best = cut(best, "mst-round")
         if best.isEmpty():
             return chosen.select("a", "b", "w")
-        chosen = cut(chosen.unionByName(best).distinct(), "mst-chosen")
-        tree = stars(chosen)
-        ra, rb = tree.select("a", F.col("b").alias("ra")), tree.select(F.col("a").alias("b"), F.col("b").alias("rb"))
-        now = edges.join(ra, "a", "left").join(rb, "b", "left").withColumns({"ra": F.coalesce("ra", "a"), "rb": F.coalesce("rb", "b")}).where("ra <> rb")
+        chosen = cut(chosen.unionByName(best.select("a", "b", "w")), "mst-chosen")
+        tree = stars(best.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+        ra, rb = tree.select(F.col("a").alias("ra"), F.col("b").alias("na")), tree.select(F.col("a").alias("rb"), F.col("b").alias("nb"))
+        now = now.join(ra, "ra", "left").join(rb, "rb", "left").withColumns({"ra": F.coalesce("na", "ra"), "rb": F.coalesce("nb", "rb")}).where("ra <> rb")
         now = cut(now.select("a", "b", "w", "ra", "rb"), "mst-left")
 
 

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.tables import cut
+from ..plans.tables import cut, numbered
 from .fixpoint import components, voxel_edges, waves
 from .stencil import AXES, KEY, gather, linear_index, near, offsets, shifted
 
@@ -147,7 +147,7 @@ def agglomerate(sizes: DataFrame, contacts: DataFrame, clusters: int) -> DataFra
 
 def particles(fg: DataFrame, dims) -> DataFrame:
     """fg with id: the rank of each voxel in raster order within its volume."""
-    return fg.withColumn("id", F.row_number().over(Window.partitionBy("vol_id").orderBy(linear_index(dims))) - 1)
+    return numbered(fg.withColumn("index_", linear_index(dims)), ["vol_id"], ["index_"], "id", first=0).drop("index_")
 
 
 def graph_of(fg: DataFrame, offs, dims) -> DataFrame:

@@ -68,12 +68,13 @@ def descent(spark, sf):
 
 @query("app_make_graph_structure")
 def structure(spark, sf):
-    """Shortest paths over catchments from the first one that touches another."""
+    """Shortest paths over catchments between the ends of the first contact."""
     b = G.balls(spark, sf)
     part = P.cut(P.climb(W.depth_of(b, BDIMS), S.offsets(3), "d", BDIMS), "catchments")
-    first = M.catchment_links(part, S.offsets(3, "face")).agg(F.min("pa")).first()[0]
-    start = dict(zip("xyz", (first % 24, first // 24 % 24, first // 576)))
-    return W.make_graph_structure(b, start, start, BDIMS)["tree"].select("node", "dist")
+    first = M.catchment_links(part, S.offsets(3, "face")).agg(F.min(F.struct("pa", "pb"))).first()[0]
+    source, sink = (dict(zip("xyz", (i % 24, i // 24 % 24, i // 576))) for i in first)
+    found = W.make_graph_structure(b, source, sink, BDIMS)
+    return found["tree"].select("node", "dist").join(found["path"], "node", "left")
 
 
 @query("app_surface_cutting")

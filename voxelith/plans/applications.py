@@ -6,7 +6,7 @@ name where there are several results. vol_id stays a key throughout.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import descent as Q
@@ -19,7 +19,7 @@ from ..operators import stencil as S
 from ..operators.distance import distance
 from ..operators.proximity import in_balls
 from ..operators.series import dtw
-from .tables import cut
+from .tables import cut, numbered
 
 KEY = S.KEY
 
@@ -71,21 +71,26 @@ def free_growth_check(vox: DataFrame, seeds: DataFrame, dims, spacing=(1.0, 1.0,
     return {"depth": depth, "growth": growth, "surface": edge, "valid": valid}
 
 
-def straight_growth(vox: DataFrame, seeds: DataFrame, dims, proportion: float = 0.5) -> dict[str, DataFrame]:
-    """Growth from seeds, the peaks that its surface climbs to, and the surface voxels whose peak is near a seed's."""
+def straight_growth(vox: DataFrame, seeds: DataFrame, dims, proportion: float = 2.0) -> dict[str, DataFrame]:
+    """Growth from seeds, the peaks that voxels climb to, and the surface voxels that a seed's peak dominates.
+
+    A peak dominates a surface voxel if more than `proportion` times as many of its neighbours climb to it as to the next one.
+    """
     depth = depth_of(vox, dims)
     growth = cut(P.waves(depth, seeds, S.offsets(3), lambda a, b: b < a, "d", first=1), "growth")
     peaks = cut(P.climb(depth, S.offsets(3), "d", dims), "peaks")
     own = peaks.join(seeds.select(*KEY), KEY, "left_semi").select("vol_id", "peak").distinct()
     edge = S.surface(depth, 3).join(peaks, KEY)
-    return {"growth": growth, "peaks": peaks, "selected": edge.join(own, ["vol_id", "peak"], "left_semi"), "surface": edge}
+    ruled = Q.dominant_labels(Q.neighbour_labels(edge, peaks.withColumnRenamed("peak", "label")), KEY, proportion)
+    selected = ruled.withColumnRenamed("label", "peak").join(own, ["vol_id", "peak"], "left_semi")
+    return {"growth": growth, "peaks": peaks, "selected": selected, "surface": edge}
 
 
 def core_partition(vox: DataFrame, dims, least: int = 1) -> dict[str, DataFrame]:
     """cores (peaks with enough voxels), and labels: each voxel the core it climbs to, numbered in index order."""
     peaks = cut(P.climb(depth_of(vox, dims), S.offsets(3), "d", dims), "peaks")
     cores = peaks.groupBy("vol_id", "peak").agg(F.count("*").alias("size")).where(F.col("size") >= least)
-    cores = cores.withColumn("label", F.row_number().over(Window.partitionBy("vol_id").orderBy("peak")))
+    cores = numbered(cores, ["vol_id"], ["peak"], "label")
     return {"cores": cores, "labels": peaks.join(cores, ["vol_id", "peak"]).select(*KEY, "label")}
 
 

@@ -5,17 +5,17 @@ from __future__ import annotations
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Narrow rows up to which a counted side may be broadcast.
 BROADCAST_ROWS = 200_000
 
 
-def shared_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the folder that driver and executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """This application's own folder in the one that driver and executors share.
 
-    The cluster names it in spark.checkpoint.dir. Only where that is unset (a
+    The cluster names that in spark.checkpoint.dir. Only where that is unset (a
     single machine, tests) a temporary folder is made and set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -24,7 +24,18 @@ def shared_path(spark: SparkSession, tag: str) -> str:
 
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="voxelith-"))
         base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/voxelith-{spark.sparkContext.applicationId}"
+
+
+def shared_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the application's shared folder."""
+    return f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes all tables that this application has written to the shared folder; results that still read them are lost."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 #: Lets Spark remove a query's shuffle files as soon as the query has ended.
@@ -81,3 +92,19 @@ def maybe_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
     if rows is None:
         rows = df.limit(BROADCAST_ROWS + 1).count()
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def numbered(df: DataFrame, group: list[str], order: list, name: str, first: int = 1) -> DataFrame:
+    """df with whole numbers first, first + 1, .. within each group, in order.
+
+    Ranges of (group, order) are numbered apart and shifted by the counts of the
+    ranges before, so a group of any size is spread over tasks. order names
+    columns that tell the rows of a group apart.
+    """
+    part = cut(df.repartitionByRange(*group, *order).withColumn("range_", F.spark_partition_id()), "ranges")
+    counts = part.groupBy(*group, "range_").agg(F.count("*").alias("n_"))  # at most a row for each group and range
+    before = F.sum("n_").over(Window.partitionBy(*group).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1))
+    shift = counts.select(*group, "range_", F.coalesce(before, F.lit(0)).alias("before_"))
+    own = F.row_number().over(Window.partitionBy(*group, "range_").orderBy(*order))
+    keys = [*group, "range_"]
+    return part.withColumn("own_", own).join(maybe_broadcast(shift), keys).withColumn(name, (F.col("own_") + F.col("before_") - (1 - first)).cast("int")).drop("own_", "before_", "range_")

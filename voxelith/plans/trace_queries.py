@@ -17,7 +17,7 @@ from ..sources import arrays as A
 from ..sources import grids as G
 from .descent_queries import GEN, _gen
 from .field_queries import C0, _c0, _level
-from .fixpoint_queries import BD, BDIMS, BFG, SEEDS, _balls, _deep, _seeds
+from .fixpoint_queries import BD, BDIMS, BFG, SEEDS, UP, _balls, _deep, _seeds
 from .grid_queries import FACE, FULL
 from .registry import query
 
@@ -223,3 +223,35 @@ FIX = "CASE WHEN a.z = 0 THEN a.c ELSE least(greatest(a.c + 0.25 * (a.c * (a.c -
 def p02f(spark, sf):
     """The first slice keeps its values."""
     return R.react_diffuse(_c0(spark, sf).withColumn("keep", (F.col("z") == 0).cast("int")), "c", rounds=2, fixed="keep").select("x", "y", "z", F.round("c", 5).alias("c"))
+
+
+CORE28 = "core AS (SELECT x, y, z, CAST(x // 6 AS INT) AS label FROM dist WHERE d >= 4), w(x, y, z, layer) USING KEY (x, y, z) AS (SELECT a.x, a.y, a.z, 1 FROM (SELECT a.x, a.y, a.z FROM bfg a CROSS JOIN face LEFT JOIN bfg b ON b.x = a.x + dx AND b.y = a.y + dy AND b.z = a.z + dz GROUP BY ALL HAVING count(b.x) < 6) a ANTI JOIN core USING (x, y, z) UNION SELECT DISTINCT b.x, b.y, b.z, w.layer + 1 FROM w CROSS JOIN face JOIN bfg b ON b.x = w.x + dx AND b.y = w.y + dy AND b.z = w.z + dz WHERE NOT EXISTS (SELECT 1 FROM core c WHERE c.x = b.x AND c.y = b.y AND c.z = b.z) AND NOT EXISTS (SELECT 1 FROM recurring.w r WHERE r.x = b.x AND r.y = b.y AND r.z = b.z))"
+
+
+@query("fx28_protected_erosion", f"WITH RECURSIVE {G.BALLS}, {BFG}, {FACE}, {BD}, {CORE28} SELECT bfg.x, bfg.y, bfg.z, layer FROM bfg LEFT JOIN w USING (x, y, z)")
+def fx28(spark, sf):
+    """Layers of erosion that leaves the deep voxels."""
+    deep = P.cut(_deep(spark, sf), "depth")
+    return Q.erode_until_apart(deep, deep.where("d >= 4")).select("x", "y", "z", "layer")
+
+
+@query("fx28_separation_rounds")
+def fx28r(spark, sf):
+    """The erosion that parts the deep voxels of two ranges of x."""
+    deep = P.cut(_deep(spark, sf), "depth")
+    cores = deep.where("d >= 9").withColumn("label", F.floor(F.col("x") / 4).cast("int"))
+    return Q.separation_rounds(Q.erode_until_apart(deep, cores), cores, BDIMS)
+
+
+@query("g12_particle_kinds", f"WITH RECURSIVE {GEN}, dn AS (SELECT a AS i, count(DISTINCT b) AS k FROM down GROUP BY a), u AS (SELECT b AS i, count(DISTINCT a) AS k FROM down GROUP BY b) SELECT w.x, w.y, w.z, s.x IS NOT NULL AS surface, coalesce(u.k, 0) >= 4 OR dn.k IS NULL AS medial, s.x IS NOT NULL AND coalesce(dn.k, 0) >= 2 AS inflection FROM w LEFT JOIN s USING (x, y, z) LEFT JOIN dn ON dn.i = {IDX.replace('x', 'w.x').replace('y', 'w.y').replace('z', 'w.z')} LEFT JOIN u ON u.i = {IDX.replace('x', 'w.x').replace('y', 'w.y').replace('z', 'w.z')}")
+def g12k(spark, sf):
+    gen = _gen(spark, sf)
+    return Q.particle_kinds(gen, Q.descent_links(gen, BDIMS, fill=False), BDIMS).select("x", "y", "z", "surface", "medial", "inflection")
+
+
+@query("fx26_dominance", f"WITH RECURSIVE {G.BALLS}, {BFG}, {FULL}, {FACE}, {BD}, {UP}, walk(i, p, k) AS (SELECT i, p, 0 FROM up UNION ALL SELECT walk.i, up.p, k + 1 FROM walk JOIN up ON up.i = walk.p WHERE up.p <> walk.p), ends AS (SELECT i, arg_max(p, k) AS peak FROM walk GROUP BY i), s AS (SELECT a.x, a.y, a.z FROM bfg a CROSS JOIN face LEFT JOIN bfg b ON b.x = a.x + dx AND b.y = a.y + dy AND b.z = a.z + dz GROUP BY ALL HAVING count(b.x) < 6), c AS (SELECT s.x, s.y, s.z, peak, count(*) AS n FROM s CROSS JOIN full26 JOIN bfg b ON b.x = s.x + dx AND b.y = s.y + dy AND b.z = s.z + dz JOIN ends ON i = b.x + 24 * (b.y + 24 * b.z) GROUP BY ALL), r AS (SELECT *, row_number() OVER v AS k, lead(n) OVER v AS second FROM c WINDOW v AS (PARTITION BY x, y, z ORDER BY n DESC, peak)) SELECT x, y, z, CAST(CASE WHEN n > 2 * coalesce(second, 0) THEN peak ELSE -1 END AS BIGINT) AS label FROM r WHERE k = 1")
+def fx26d(spark, sf):
+    """The peak that twice as many neighbours of a surface voxel climb to as to the next; -1 where none does."""
+    deep = P.cut(_deep(spark, sf), "depth")
+    peaks = P.climb(deep, S.offsets(3), "d", BDIMS).withColumnRenamed("peak", "label")
+    return Q.dominant_labels(Q.neighbour_labels(S.surface(deep, 3), peaks), S.KEY, 2.0).select("x", "y", "z", "label")
