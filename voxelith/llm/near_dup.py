@@ -214,7 +214,7 @@ class JaccardJoin:
         def run(batches):
             for b in batches:
                 ids = b.column(0).to_numpy(zero_copy_only=False)
-                for i, j, data, off in text_chunks(b.column(1), 1 << 20):
+                for i, j, data, off in text_chunks(b.column(1), 1 << 19):
                     row, gram = self.sets(data, off)
                     r, s, plan, spare = self.signatures(row, gram, j - i)
                     if filter_ is not None:
@@ -272,9 +272,8 @@ class JaccardJoin:
         single = texts.where("doc_id IS NOT NULL").join(maybe_broadcast(others), "doc_id", "left_anti")
         rows = self._signature_rows(single)
         found = cut(rows.groupBy("sig").agg(F.count("*").alias("k")).where("k > 1").select("sig", "k"), "jaccard-signatures")
-        several = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found.hint("shuffle_hash")
         filter_ = self._filter(found)
-        kept = cut(self._signature_rows(single, filter_).join(several, "sig"), "jaccard-rows")
+        kept = cut(self._signature_rows(single, filter_).join(maybe_broadcast(found), "sig"), "jaccard-rows")
         if filter_ is not None:
             filter_.unpersist()
         drop(found)
