@@ -214,7 +214,7 @@ class JaccardJoin:
         def run(batches):
             for b in batches:
                 ids = b.column(0).to_numpy(zero_copy_only=False)
-                for i, j, data, off in text_chunks(b.column(1), 1 << 19):
+                for i, j, data, off in text_chunks(b.column(1), 1 << 18):
                     row, gram = self.sets(data, off)
                     r, s, plan, spare = self.signatures(row, gram, j - i)
                     if filter_ is not None:
