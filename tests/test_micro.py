@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from voxelith.operators import fixpoint as P
 from voxelith.operators import graphs as R
+from voxelith.operators import images, segments
 from voxelith.operators import statistics as A
 from voxelith.operators import stencil as S
 from voxelith.operators.distance import distance
@@ -200,3 +201,26 @@ def test_whole_inputs_are_registered(spark):
     sf = "/root/testdata/sf0.01"
     assert {tuple(r) for r in queries["app_convexify"](spark, sf).collect()} == {tuple(r) for r in grids.balls(spark, sf).where("mask = 1").select(*keys).collect()}
     assert queries["gr15_agglomeration"](spark, sf).select("root").distinct().count() == 90
+
+
+def test_line_borders(spark):
+    vox = spark.createDataFrame([(0, x, 0, 0, 0, float(x * x)) for x in range(4)], "vol_id long, x int, y int, z int, t int, val double")
+    line = lambda policy: [r[0] for r in images.extend(vox, "x", 4, 2, policy, default=9.0).orderBy("x").select("val").collect()]
+    assert line("extrapolate") == [-4, -1, 0, 1, 4, 9, 14, 17]
+    assert line("constant") == [9, 9, 0, 1, 4, 9, 9, 9]
+    assert line("mirror") == [4, 1, 0, 1, 4, 9, 4, 1]
+    assert line("wrap") == [4, 9, 0, 1, 4, 9, 0, 1]
+    assert line("clamp") == [0, 0, 0, 1, 4, 9, 9, 9]
+    with pytest.raises(ValueError):
+        images.extend(vox, "x", 4, 4, "wrap")
+    assert images.extend(vox.limit(0), "x", 4, 2, "constant").isEmpty()
+
+
+def test_collisions(spark):
+    assert len(set(segments._crossings(2))) == 4 and len(set(segments._crossings(3))) == 14
+    node = spark.createDataFrame([(0, i, 0, 0, 0) for i in range(4)], "vol_id long, x int, y int, z int, t int")
+    ways = {0: [(1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0)], 1: [(1, 0, 0), (-1, 0, 0), (0, 1, 0)], 2: [(0, 0, 1), (0, 0, -1), (1, 1, 0), (-1, -1, 0)]}
+    links = spark.createDataFrame([(0, i, 0, 0, 0, *d) for i, ds in ways.items() for d in ds], "vol_id long, x int, y int, z int, t int, dx int, dy int, dz int")
+    got = lambda ndim: [r[0] for r in segments.collisions(node, links, ndim).orderBy("x").select("collides").collect()]
+    assert got(3) == [True, False, False, False]
+    assert got(2) == [True, True, True, False]

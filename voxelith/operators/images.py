@@ -27,6 +27,38 @@ def border(index: Column, n: int, policy: str) -> Column:
     return F.when(index.between(0, n - 1), index)
 
 
+def extend(vox: DataFrame, axis: str, n: int, margin: int, policy: str, value: str = "val", default: float = 0.0) -> DataFrame:
+    """KEY, value: lines of n cells along an axis, with margin < n more at both ends.
+
+    mirror, wrap and clamp repeat the cell that border() names, each cell being
+    sent to the places that read it, without a shuffle. extrapolate goes on
+    linearly: twice the edge's value less that of the mirrored cell; places
+    whose cells are missing are left out. constant gives default, on each line
+    that has a cell.
+    """
+    if not 0 <= margin < n:
+        raise ValueError("the margin is at least 0 and less than the line")
+    rows = vox.select(*KEY, F.col(value).alias(value))
+    outside = [*range(-margin, 0), *range(n, n + margin)]
+    if not outside:
+        return rows
+    others = [k for k in KEY if k != axis]
+    if policy == "constant":
+        lines = rows.select(*others).distinct().withColumn(axis, F.explode(F.array(*map(F.lit, outside))))
+        return rows.unionByName(lines.withColumn(value, F.lit(default).cast(rows.schema[value].dataType)))
+    if policy in ("mirror", "wrap", "clamp"):
+        place = F.sequence(F.lit(-margin), F.lit(n - 1 + margin))
+        reads = F.filter(place, lambda j: border(j, n, policy) == F.col(axis))
+        return rows.withColumn(axis, F.explode(reads))
+    if policy != "extrapolate":
+        raise ValueError(policy)
+    places = F.array(*(F.struct(F.lit(j).alias("j"), F.lit(-j if j < 0 else 2 * n - 2 - j).alias("far"), F.lit(0 if j < 0 else n - 1).alias("edge")) for j in outside))
+    sent = rows.withColumn("p_", F.explode(F.filter(places, lambda p: (p["far"] == F.col(axis)) | (p["edge"] == F.col(axis)))))
+    weight = F.when(F.col("p_.edge") == F.col(axis), 2).otherwise(-1)
+    made = sent.select(*others, F.col("p_.j").alias(axis), (weight * F.col(value)).alias("v_")).groupBy(*KEY).agg(F.sum("v_").alias(value), F.count("v_").alias("k_"))
+    return rows.unionByName(made.where("k_ = 2").drop("k_"))
+
+
 def crop(vox: DataFrame, **bounds: tuple[int, int]) -> DataFrame:
     """Rows with low <= axis <= high for each axis=(low, high), moved to start at 0. Bounds reach the scan as filters."""
     for a, (low, high) in bounds.items():

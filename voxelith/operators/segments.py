@@ -84,6 +84,31 @@ def opposite_contacts(fg: DataFrame, ndim: int) -> DataFrame:
     return g.select(*KEY, both.alias("opposite"))
 
 
+def _crossings(ndim: int) -> list[int]:
+    """Bits of the directions that must all be there: opposite pairs in 2-D; in 3-D two opposite pairs in a plane, which two
+    vectors span: themselves, or their sum and difference. The planes are those of two axes, and of x or y and a diagonal
+    of the two other axes."""
+    bit = lambda d: 1 << sum((c + 1) * 3**k for k, c in enumerate(d))
+    pair = lambda d: bit(d) | bit(tuple(-c for c in d))
+    if ndim == 2:
+        return sorted({pair(d[:2]) for d in offsets(2)})
+    x, y, z = (1, 0, 0), (0, 1, 0), (0, 0, 1)
+    add = lambda u, v, k=1: tuple(a + k * b for a, b in zip(u, v))
+    spans = [(x, y), (x, z), (y, z), *((a, add(b, z, k)) for a, b in ((x, y), (y, x)) for k in (1, -1))]
+    return [pair(a) | pair(b) for u, v in spans for a, b in ((u, v), (add(u, v), add(u, v, -1)))]
+
+
+def collisions(nodes: DataFrame, links: DataFrame, ndim: int) -> DataFrame:
+    """KEY, collides: whether links (KEY, dx, dy, dz) of a node lead from opposite sides: an opposite pair in 2-D, one of 14
+    planar quadruples in 3-D. Nodes without links don't collide; one partial aggregate of bits for each node."""
+    place = sum((F.col(f"d{a}") + 1) * 3**k for k, a in enumerate(AXES[:ndim]))
+    bits = links.groupBy(*KEY).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place.cast("int"))).alias("bits"))
+    found = F.lit(False)
+    for m in _crossings(ndim):
+        found = found | (F.col("bits").bitwiseAND(m) == m)
+    return nodes.select(*KEY).join(bits, KEY, "left").select(*KEY, F.coalesce(found, F.lit(False)).alias("collides"))
+
+
 def depth_first(edges: DataFrame, graph: str = "graph_id") -> DataFrame:
     """graph_id, node, found, done: discovery and finishing times, nodes and targets in ascending order; one group per graph."""
 

@@ -128,6 +128,25 @@ def sc11(spark, sf):
     return i.select("i", *(I.border(F.col("i"), 8, p).alias(p) for p in ("clamp", "wrap", "mirror", "zero")))
 
 
+def _line(spark, sf, policy):
+    """The quantities 1 to 50, moved to 0 to 49, with two places more at both ends."""
+    lines = I.crop(G.grid3(spark, sf), x=(1, 50))
+    return I.extend(lines, "x", 50, 2, policy, default=-1.0).select("x", "y", "z", "val")
+
+
+LINE = f"WITH {G.GRID3}, l AS (SELECT x - 1 AS x, y, z, val FROM grid3 WHERE x BETWEEN 1 AND 50)"
+
+
+@query("sc11_extrapolate", f"{LINE}, o(j, edge, far) AS (VALUES (-2, 0, 2), (-1, 0, 1), (50, 49, 48), (51, 49, 47)) SELECT * FROM l UNION ALL SELECT o.j, a.y, a.z, 2 * a.val - b.val FROM o JOIN l a ON a.x = o.edge JOIN l b ON b.x = o.far AND b.y = a.y AND b.z = a.z")
+def sc11_extrapolate(spark, sf):
+    return _line(spark, sf, "extrapolate")
+
+
+@query("sc11_constant", f"{LINE}, o(j) AS (VALUES (-2), (-1), (50), (51)) SELECT * FROM l UNION ALL SELECT o.j, k.y, k.z, -1.0 FROM o CROSS JOIN (SELECT DISTINCT y, z FROM l) k")
+def sc11_constant(spark, sf):
+    return _line(spark, sf, "constant")
+
+
 @query("sc12_crop_scale_roll", f"WITH {G.GRID3}, c AS (SELECT x - 10 AS x, y - 2 AS y, n FROM grid3 WHERE x BETWEEN 10 AND 19 AND y BETWEEN 2 AND 6 AND z = 4), k AS (SELECT CAST(range AS INT) AS k FROM range(2)), u AS (SELECT x * 2 + a.k AS x, y * 2 + b.k AS y, n FROM c, k a, k b) SELECT (x - 3 + 20) % 20 AS x, y, n FROM u")
 def sc12(spark, sf):
     c = I.crop(G.grid3(spark, sf).where("z = 4"), x=(10, 19), y=(2, 6))

@@ -89,6 +89,17 @@ def hp06(spark, sf):
     return M.opposite_contacts(_balls(spark, sf), 3).select("x", "y", "z", "opposite")
 
 
+RISES = "r AS (SELECT a.x, a.y, a.z, b.x - a.x AS dx, b.y - a.y AS dy, b.z - a.z AS dz FROM grid3 a JOIN grid3 b ON abs(b.x - a.x) <= 1 AND abs(b.y - a.y) <= 1 AND abs(b.z - a.z) <= 1 AND b.n > a.n)"
+
+
+@query("hp06_collisions", f"WITH {G.GRID3}, {RISES}, s(k, ux, uy, uz, vx, vy, vz) AS (VALUES (0, 1, 0, 0, 0, 1, 0), (1, 1, 0, 0, 0, 0, 1), (2, 0, 1, 0, 0, 0, 1), (3, 1, 0, 0, 0, 1, 1), (4, 1, 0, 0, 0, 1, -1), (5, 0, 1, 0, 1, 0, 1), (6, 0, 1, 0, 1, 0, -1)), q AS (SELECT * FROM s UNION ALL SELECT k + 7, ux + vx, uy + vy, uz + vz, ux - vx, uy - vy, uz - vz FROM s), d AS (SELECT k, ux AS dx, uy AS dy, uz AS dz FROM q UNION ALL SELECT k, -ux, -uy, -uz FROM q UNION ALL SELECT k, vx, vy, vz FROM q UNION ALL SELECT k, -vx, -vy, -vz FROM q), h AS (SELECT x, y, z FROM r JOIN d USING (dx, dy, dz) GROUP BY x, y, z, k HAVING count(*) = 4) SELECT x, y, z, (x, y, z) IN (SELECT (x, y, z) FROM h) AS collides FROM grid3")
+def hp06_collisions(spark, sf):
+    """Links lead to the neighbours with more rows (n), as to ascendants."""
+    g = G.grid3(spark, sf)
+    sent = S.shifted(g, S.offsets(3), ["n"]).select(*S.KEY, F.col("n").alias("more"), "o.dx", "o.dy", "o.dz")
+    return M.collisions(g, g.select(*S.KEY, "n").join(sent, S.KEY).where("more > n"), 3).select("x", "y", "z", "collides")
+
+
 @query("fe06_pseudo_divergence", f"WITH {G.GRID3}, n1 AS (SELECT a.x, a.y, a.z, a.n AS w, coalesce(e.val, a.val) - coalesce(v.val, a.val) AS gx, coalesce(f.val, a.val) - coalesce(b.val, a.val) AS gy FROM grid3 a LEFT JOIN grid3 e ON e.x = a.x + 1 AND e.y = a.y AND e.z = a.z LEFT JOIN grid3 v ON v.x = a.x - 1 AND v.y = a.y AND v.z = a.z LEFT JOIN grid3 f ON f.x = a.x AND f.y = a.y + 1 AND f.z = a.z LEFT JOIN grid3 b ON b.x = a.x AND b.y = a.y - 1 AND b.z = a.z) SELECT round(atan(0.00001 * -sum(w * (gx * (x - 25) + gy * (y - 5)))), 6) AS score FROM n1")
 def fe06(spark, sf):
     return M.pseudo_divergence(G.grid3(spark, sf), "val", "n", {"x": 25, "y": 5}, "xy").select(F.round("score", 6).alias("score"))
