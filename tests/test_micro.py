@@ -192,15 +192,25 @@ def test_relocation_keeps_ties(spark):
 
 
 def test_whole_inputs_are_registered(spark):
-    """The hull is that of all foreground, and suppliers merge to 90 clusters."""
-    from voxelith.plans import catalog
+    """Every supplier's volume is carved, to a part of its foreground that holds the trace; suppliers merge to 90 clusters."""
+    from voxelith.operators import extraction as X
+    from voxelith.plans import applications, catalog, extraction_queries
     from voxelith.sources import grids
 
     queries = catalog.queries()
-    keys = ("x", "y", "z")
-    sf = "/root/testdata/sf0.01"
-    assert {tuple(r) for r in queries["app_convexify"](spark, sf).collect()} == {tuple(r) for r in grids.balls(spark, sf).where("mask = 1").select(*keys).collect()}
-    assert queries["gr15_agglomeration"](spark, sf).select("root").distinct().count() == 90
+    sf = "/root/testdata/sf0.001"
+    scans = grids.scans(spark, sf).selectExpr("*", "CAST(val > 250 AS INT) AS mask")
+    fg = {tuple(r) for r in scans.where("mask = 1").select("vol_id", "x", "y", "z").collect()}
+    got = [tuple(r) for r in queries["app_convexify"](spark, sf).collect()]
+    depth = applications.depth_of(scans, extraction_queries.SIDES).selectExpr("vol_id", "x", "y", "z", "t", "sqrt(d) AS d")
+    trace, _ = X.bounded_trace(depth, extraction_queries._clicks(spark, sf).selectExpr("*", "0 AS trial"), 1.01, X.downhill)
+    traced = {}
+    for r in trace.collect():
+        traced.setdefault(r.vol_id, set()).add((r.vol_id, r.x, r.y, r.z))
+    carved = {r[0] for r in got}
+    assert len(got) == len(set(got)) and set(got) < fg and carved == {r[0] for r in fg}
+    assert all(t <= set(got) for v, t in traced.items() if v in carved)
+    assert queries["gr15_agglomeration"](spark, "/root/testdata/sf0.01").select("root").distinct().count() == 90
 
 
 def test_line_borders(spark):

@@ -83,7 +83,7 @@ def carve(vox: DataFrame, planes: DataFrame, tolerance: float = 0.01) -> DataFra
     """
     packed = planes.groupBy("vol_id").agg(F.collect_list(F.struct("nx", "ny", "nz", "offset")).alias("ps"))
     inside = F.forall("ps", lambda p: p["nx"] * F.col("x") + p["ny"] * F.col("y") + p["nz"] * F.col("z") - p["offset"] <= tolerance)
-    return vox.join(maybe_broadcast(packed), "vol_id").where(inside).select(*vox.columns)
+    return vox.join(maybe_broadcast(packed, planes.count()), "vol_id").where(inside).select(*vox.columns)
 
 
 def refine_boundary(segment: DataFrame, label: DataFrame, ndim: int = 3) -> DataFrame:

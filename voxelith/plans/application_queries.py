@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from ..operators import fixpoint as P
 from ..operators import segments as M
 from ..operators import stencil as S
+from ..operators.extraction import bounded_trace, downhill
 from ..sources import grids as G
 from . import applications as W
+from .extraction_queries import SIDES, _clicks
 from .field_queries import C0, RD, _c0, _level
 from .fixpoint_queries import BDIMS, _seeds
 from .grid_queries import DIMS
@@ -37,8 +39,11 @@ def figure(spark, sf):
 
 @query("app_convexify")
 def convex(spark, sf):
-    """Voxels of the balls inside the hull of their own surface."""
-    return W.convexify(G.balls(spark, sf).where("mask = 1").select(*W.KEY)).select("x", "y", "z")
+    """Foreground of each supplier's volume within the hull of what its first spot traces strictly downhill."""
+    scans = P.cut(G.scans(spark, sf).withColumn("mask", (F.col("val") > 250).cast("int")), "scans")
+    depth = W.depth_of(scans, SIDES).withColumn("d", F.sqrt("d"))
+    trace, _ = bounded_trace(depth, _clicks(spark, sf).withColumn("trial", F.lit(0)), 1.01, downhill)
+    return W.convexify(depth.select(*W.KEY), S.surface(trace.select(*W.KEY), 3)).select("vol_id", "x", "y", "z")
 
 
 @query("app_core_partition", f"WITH RECURSIVE {ENDS}, c AS (SELECT peak, count(*) AS size FROM pk GROUP BY peak HAVING count(*) >= 20), l AS (SELECT peak, CAST(row_number() OVER (ORDER BY peak) AS INT) AS label FROM c) SELECT x, y, z, label FROM pk JOIN l USING (peak)")

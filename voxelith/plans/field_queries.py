@@ -66,9 +66,10 @@ def p05(spark, sf):
 @query("h01_hull")
 def h01(spark, sf):
     """Facets of the hull of the largest component of the balls."""
-    lab = P.keep_sizes(P.components(_balls(spark, sf), S.offsets(3, "face"), (24, 24, 24, 1)), 200)
-    first = lab.where("label = 1").select(*S.KEY)
-    return H.hull_facets(S.surface(first, 3))
+    lab = P.cut(P.components(_balls(spark, sf), S.offsets(3, "face"), (24, 24, 24, 1)), "hull-parts")
+    sizes = lab.groupBy("vol_id", "label").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("vol_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("m")).select("vol_id", F.col("m.label").alias("label"))
+    return H.hull_facets(S.surface(lab.join(largest, ["vol_id", "label"], "left_semi").select(*S.KEY), 3))
 
 
 PLANES = [(1.0, 1.0, 0.0, 28.0), (-1.0, 0.0, 1.0, -4.0), (0.0, 0.0, -1.0, -2.0), (0.5, -1.0, 0.0, 10.0)]

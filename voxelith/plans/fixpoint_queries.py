@@ -74,16 +74,17 @@ def fx02s(spark, sf):
     return distance(G.grid3(spark, sf), "mask = 0", (0.5, 1.0, 2.0, 1.0), dims=DIMS).select("x", "y", "z", F.round("d", 6).alias("d"))
 
 
-@query("fx02_distance_4d", f"WITH {G.GRID4}, seed AS (SELECT x, y, z, t FROM grid4 WHERE mask = 0 AND z < 3), v AS (SELECT x, y, z, t FROM grid4 WHERE z < 3) SELECT a.x, a.y, a.z, a.t, CAST(min({DIST['euclid']} + (a.t - b.t) * (a.t - b.t)) AS DOUBLE) AS d FROM v a JOIN seed b ON abs(a.x - b.x) <= 60 GROUP BY 1, 2, 3, 4")
+@query("fx02_distance_4d", f"WITH {G.GRID4}, seed AS (SELECT x, y, z, t FROM grid4 WHERE mask = 0), v AS (SELECT x, y, z, t FROM grid4) SELECT a.x, a.y, a.z, a.t, CAST(min({DIST['euclid']} + (a.t - b.t) * (a.t - b.t)) AS DOUBLE) AS d FROM v a JOIN seed b ON abs(a.x - b.x) <= 60 GROUP BY 1, 2, 3, 4")
 def fx02d(spark, sf):
-    return distance(G.grid4(spark, sf).where("z < 3"), "mask = 0", dims=(*DIMS[:3], 8)).select("x", "y", "z", "t", "d")
+    return distance(G.grid4(spark, sf), "mask = 0", dims=(*DIMS[:3], 8)).select("x", "y", "z", "t", "d")
 
 
-SEEDS = "seed AS (SELECT n_nationkey * 7 % 24 AS x, n_nationkey * 11 % 24 AS y, n_nationkey * 5 % 24 AS z FROM nation WHERE n_nationkey < 4)"
+SEEDS = "seed AS (SELECT n_nationkey * 7 % 24 AS x, n_nationkey * 11 % 24 AS y, n_nationkey * 5 % 24 AS z FROM nation)"
 BFG = "bfg AS (SELECT x, y, z FROM balls WHERE mask = 1)"
 
 
-def _seeds(spark, sf, n=4):
+def _seeds(spark, sf, n=25):
+    """A seed for each nation."""
     k = F.col("n_nationkey")
     return spark.read.parquet(f"{sf}/nation.parquet").where(k < n).select(F.lit(0).cast("long").alias("vol_id"), (k * 7 % 24).alias("x"), (k * 11 % 24).alias("y"), (k * 5 % 24).alias("z"), F.lit(0).alias("t"), (k + 1).cast("int").alias("label"))
 
@@ -118,7 +119,7 @@ def fx16(spark, sf):
     return P.waves(_deep(spark, sf), _seeds(spark, sf), S.offsets(3), lambda a, b: b < a, "d", first=1).select("x", "y", "z", "wave")
 
 
-@query("fx25_competition", f"WITH RECURSIVE {G.BALLS}, {BFG}, {FACE}, seed AS (SELECT n_nationkey * 7 % 24 AS x, n_nationkey * 11 % 24 AS y, n_nationkey * 5 % 24 AS z, CAST(n_nationkey + 1 AS INT) AS label FROM nation WHERE n_nationkey < 4), w(x, y, z, label, wave) USING KEY (x, y, z) AS (SELECT x, y, z, CASE WHEN min(label) = max(label) THEN min(label) ELSE -1 END, 0 FROM bfg JOIN seed USING (x, y, z) GROUP BY x, y, z UNION SELECT b.x, b.y, b.z, CASE WHEN min(w.label) = max(w.label) THEN min(w.label) ELSE -1 END, max(w.wave) + 1 FROM w CROSS JOIN face JOIN bfg b ON b.x = w.x + dx AND b.y = w.y + dy AND b.z = w.z + dz WHERE w.label <> -1 AND NOT EXISTS (SELECT 1 FROM recurring.w r WHERE r.x = b.x AND r.y = b.y AND r.z = b.z) GROUP BY b.x, b.y, b.z) SELECT x, y, z, label, wave FROM w")
+@query("fx25_competition", f"WITH RECURSIVE {G.BALLS}, {BFG}, {FACE}, seed AS (SELECT n_nationkey * 7 % 24 AS x, n_nationkey * 11 % 24 AS y, n_nationkey * 5 % 24 AS z, CAST(n_nationkey + 1 AS INT) AS label FROM nation), w(x, y, z, label, wave) USING KEY (x, y, z) AS (SELECT x, y, z, CASE WHEN min(label) = max(label) THEN min(label) ELSE -1 END, 0 FROM bfg JOIN seed USING (x, y, z) GROUP BY x, y, z UNION SELECT b.x, b.y, b.z, CASE WHEN min(w.label) = max(w.label) THEN min(w.label) ELSE -1 END, max(w.wave) + 1 FROM w CROSS JOIN face JOIN bfg b ON b.x = w.x + dx AND b.y = w.y + dy AND b.z = w.z + dz WHERE w.label <> -1 AND NOT EXISTS (SELECT 1 FROM recurring.w r WHERE r.x = b.x AND r.y = b.y AND r.z = b.z) GROUP BY b.x, b.y, b.z) SELECT x, y, z, label, wave FROM w")
 def fx25(spark, sf):
     return P.compete(_balls(spark, sf), _seeds(spark, sf), S.offsets(3, "face")).select("x", "y", "z", "label", "wave")
 

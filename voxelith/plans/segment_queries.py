@@ -16,15 +16,15 @@ from .grid_queries import FACE, FULL
 from .registry import query
 
 
-@query("fx19_weighted_partition", f"WITH {G.BALLS}, {BFG}, s AS (SELECT n_nationkey * 7 % 24 AS x, n_nationkey * 11 % 24 AS y, n_nationkey * 5 % 24 AS z, CAST(n_nationkey + 1 AS INT) AS label, CAST(2 + n_nationkey % 3 AS DOUBLE) AS reach FROM nation WHERE n_nationkey < 8), r AS (SELECT b.x, b.y, b.z, label, row_number() OVER (PARTITION BY b.x, b.y, b.z ORDER BY round(sqrt(CAST((b.x - s.x) * (b.x - s.x) + (b.y - s.y) * (b.y - s.y) + (b.z - s.z) * (b.z - s.z) AS DOUBLE)) / reach, 9), label) AS k FROM bfg b, s) SELECT x, y, z, label FROM r WHERE k = 1")
+@query("fx19_weighted_partition", f"WITH {G.BALLS}, {BFG}, s AS (SELECT n_nationkey * 7 % 24 AS x, n_nationkey * 11 % 24 AS y, n_nationkey * 5 % 24 AS z, CAST(n_nationkey + 1 AS INT) AS label, CAST(2 + n_nationkey % 3 AS DOUBLE) AS reach FROM nation), r AS (SELECT b.x, b.y, b.z, label, row_number() OVER (PARTITION BY b.x, b.y, b.z ORDER BY round(sqrt(CAST((b.x - s.x) * (b.x - s.x) + (b.y - s.y) * (b.y - s.y) + (b.z - s.z) * (b.z - s.z) AS DOUBLE)) / reach, 9), label) AS k FROM bfg b, s) SELECT x, y, z, label FROM r WHERE k = 1")
 def fx19(spark, sf):
-    seeds = _seeds(spark, sf, 8).withColumn("reach", (2 + (F.col("label") - 1) % 3).cast("double"))
+    seeds = _seeds(spark, sf).withColumn("reach", (2 + (F.col("label") - 1) % 3).cast("double"))
     return M.partition_by_weight(_balls(spark, sf), seeds).select("x", "y", "z", "label")
 
 
-@query("fx20_bounded_trace", f"WITH RECURSIVE {G.BALLS}, {BFG}, {FACE}, seed AS (SELECT CAST(n_nationkey + 1 AS INT) AS origin, n_nationkey * 7 % 24 AS ox, n_nationkey * 11 % 24 AS oy, n_nationkey * 5 % 24 AS oz FROM nation WHERE n_nationkey < 6), near_ AS (SELECT origin, x, y, z FROM bfg, seed WHERE (x - ox) * (x - ox) + (y - oy) * (y - oy) + (z - oz) * (z - oz) < 12.25), w(origin, x, y, z) AS (SELECT origin, x, y, z FROM near_ JOIN seed USING (origin) WHERE x = ox AND y = oy AND z = oz UNION SELECT w.origin, b.x, b.y, b.z FROM w CROSS JOIN face JOIN near_ b ON b.origin = w.origin AND b.x = w.x + dx AND b.y = w.y + dy AND b.z = w.z + dz) SELECT origin, count(*) AS n FROM w GROUP BY origin")
+@query("fx20_bounded_trace", f"WITH RECURSIVE {G.BALLS}, {BFG}, {FACE}, seed AS (SELECT CAST(n_nationkey + 1 AS INT) AS origin, n_nationkey * 7 % 24 AS ox, n_nationkey * 11 % 24 AS oy, n_nationkey * 5 % 24 AS oz FROM nation), near_ AS (SELECT origin, x, y, z FROM bfg, seed WHERE (x - ox) * (x - ox) + (y - oy) * (y - oy) + (z - oz) * (z - oz) < 12.25), w(origin, x, y, z) AS (SELECT origin, x, y, z FROM near_ JOIN seed USING (origin) WHERE x = ox AND y = oy AND z = oz UNION SELECT w.origin, b.x, b.y, b.z FROM w CROSS JOIN face JOIN near_ b ON b.origin = w.origin AND b.x = w.x + dx AND b.y = w.y + dy AND b.z = w.z + dz) SELECT origin, count(*) AS n FROM w GROUP BY origin")
 def fx20(spark, sf):
-    seeds = _seeds(spark, sf, 6).withColumnRenamed("label", "origin")
+    seeds = _seeds(spark, sf).withColumnRenamed("label", "origin")
     return M.grow_within(_balls(spark, sf), seeds, 3.5, S.offsets(3, "face")).groupBy("origin").agg(F.count("*").alias("n"))
 
 
@@ -111,11 +111,11 @@ def gr03(spark, sf):
     return M.depth_first(arcs(spark, sf).select(F.lit(0).cast("long").alias("graph_id"), "a", "b"))
 
 
-@query("gr13_cover", f"WITH RECURSIVE {MINIMAX}, term AS (SELECT id AS node FROM pts WHERE id % 20 = 1), n2 AS (SELECT a, b FROM mst UNION ALL SELECT b, a FROM mst), side(a, b, node) AS (SELECT a, b, b FROM n2 UNION SELECT s.a, s.b, e.b FROM side s JOIN n2 e ON e.a = s.node AND e.b <> s.a), ok AS (SELECT DISTINCT a, b FROM side JOIN term USING (node)) SELECT mst.a, mst.b FROM mst JOIN ok p ON p.a = mst.a AND p.b = mst.b JOIN ok q ON q.a = mst.b AND q.b = mst.a")
+@query("gr13_cover", f"WITH RECURSIVE {MINIMAX}, term AS (SELECT s_suppkey AS node FROM supplier WHERE s_acctbal < 0), n2 AS (SELECT a, b FROM mst UNION ALL SELECT b, a FROM mst), side(a, b, node) AS (SELECT a, b, b FROM n2 UNION SELECT s.a, s.b, e.b FROM side s JOIN n2 e ON e.a = s.node AND e.b <> s.a), ok AS (SELECT DISTINCT a, b FROM side JOIN term USING (node)) SELECT mst.a, mst.b FROM mst JOIN ok p ON p.a = mst.a AND p.b = mst.b JOIN ok q ON q.a = mst.b AND q.b = mst.a")
 def gr13(spark, sf):
-    """Edges of the spanning forest between every twentieth supplier."""
+    """Edges of the spanning forest between suppliers with debts."""
     forest = R.spanning_forest(net(spark, sf))
-    return M.cover(forest, spark.read.parquet(f"{sf}/supplier.parquet").where("s_suppkey % 20 = 1").select(F.col("s_suppkey").alias("node"))).select("a", "b")
+    return M.cover(forest, spark.read.parquet(f"{sf}/supplier.parquet").where("s_acctbal < 0").select(F.col("s_suppkey").alias("node"))).select("a", "b")
 
 
 @query("gr15_agglomeration")

@@ -62,6 +62,28 @@ def balls(spark: SparkSession, sf_dir: str, side: int = SIDE) -> DataFrame:
     return cube.join(painted, ["x", "y", "z"], "left").select(F.lit(0).cast("long").alias("vol_id"), "x", "y", "z", F.lit(0).alias("t"), F.coalesce("mask", F.lit(0)).alias("mask"))
 
 
+#: A dense volume of side 12 for each supplier: three balls, bright within and fading outside, the first always solid.
+SCAN = 12
+SCANS = f"""spot AS (SELECT s_suppkey AS vol_id, CAST(range AS INT) AS k, CAST((s_suppkey * 7 + range * 5) % {SCAN} AS INT) AS cx, CAST((s_suppkey * 11 + range * 3) % {SCAN} AS INT) AS cy, CAST((s_suppkey * 5 + range * 7) % {SCAN} AS INT) AS cz, CAST(1 + (s_suppkey + range) % 3 AS INT) AS r, CASE WHEN range = 0 THEN 1000 ELSE CAST(350 + s_suppkey % 7 * 100 AS INT) END AS peak FROM supplier, range(3)),
+scan_line AS (SELECT CAST(range AS INT) AS i FROM range({SCAN})),
+scans AS (SELECT vol_id, a.i AS x, b.i AS y, c.i AS z, 0 AS t, max(greatest(0, peak - 90 * greatest(0, (a.i - cx) * (a.i - cx) + (b.i - cy) * (b.i - cy) + (c.i - cz) * (c.i - cz) - r * r))) AS val FROM spot, scan_line a, scan_line b, scan_line c GROUP BY ALL)"""
+
+
+def scans(spark: SparkSession, sf_dir: str, side: int = SCAN) -> DataFrame:
+    """vol_id (a supplier), x, y, z, t, val of every cell: as many volumes as suppliers."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("s"))
+    s = s.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    centre = {a: ((F.col("s") * m + F.col("k") * n) % side).cast("int") for a, m, n in (("x", 7, 5), ("y", 11, 3), ("z", 5, 7))}
+    spot = s.select("s", *(c.alias(f"c{a}") for a, c in centre.items()), (1 + (F.col("s") + F.col("k")) % 3).cast("int").alias("r"), F.when(F.col("k") == 0, 1000).otherwise(350 + F.col("s") % 7 * 100).cast("int").alias("peak"))
+    packed = spot.groupBy(F.col("s").alias("vol_id")).agg(F.collect_list(F.struct("cx", "cy", "cz", "r", "peak")).alias("spots"))  # three a volume
+    cells = packed
+    for a in "xyz":
+        cells = cells.withColumn(a, F.explode(F.sequence(F.lit(0), F.lit(side - 1))))
+    beyond = lambda p: F.greatest(F.lit(0), sum((F.col(a) - p[f"c{a}"]) * (F.col(a) - p[f"c{a}"]) for a in "xyz") - p["r"] * p["r"])
+    val = F.array_max(F.transform("spots", lambda p: F.greatest(F.lit(0), p["peak"] - 90 * beyond(p))))
+    return cells.select("vol_id", "x", "y", "z", F.lit(0).alias("t"), val.alias("val"))
+
+
 #: 24 hourly sums (in cents, exact) of each user's event values; hours without events are 0.
 SERIES = """hourly AS (SELECT user_id AS key, CAST(hour(ts) AS INT) AS h, CAST(sum(CAST(round(100 * value) AS BIGINT)) AS BIGINT) AS c FROM events GROUP BY ALL),
 hours AS (SELECT CAST(range AS INT) AS h FROM range(24)),
