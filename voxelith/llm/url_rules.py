@@ -9,6 +9,8 @@ each rule's rarest token finds the rules that a URL may satisfy.
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -68,20 +70,38 @@ def url_tokens(url: Column) -> Column:
     return F.coalesce(F.array_sort(F.array_distinct(F.concat(*parts))), F.array().cast("array<string>"))
 
 
+def alike_tokens(items: DataFrame, least: int) -> DataFrame:
+    """token, same, n: for the tokens of at least `least` rows (id, tokens), the sorted tokens that have exactly the same rows.
+
+    Sets of rows are compared by their size and two 64-bit sums of row hashes.
+    """
+    each = items.select("id", F.explode("tokens").alias("token"))
+    marks = [F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("h1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("h2")]
+    tokens = cut(each.groupBy("token").agg(*marks).where(F.col("n") >= least), "url-tokens-frequent")
+    same = tokens.groupBy("n", "h1", "h2").agg(F.array_sort(F.collect_set("token")).alias("same"))
+    return same.select("same", "n", F.explode("same").alias("token"))
+
+
 def mine_rules(labelled: DataFrame, min_support: float = 0.01, min_confidence: float = 0.8) -> DataFrame:
-    """antecedent (sorted tokens), label, confidence, support of the rules that hold in labelled (tokens, label).
+    """antecedent (sorted tokens), same, label, confidence, support of the rules that hold in labelled (tokens, label).
 
-    Rules have a label alone on the right. One that a rule with one token less
+    Tokens that always occur together are one item, named by the first of them;
+    same lists, for each token of the antecedent, those that may stand in its place. Rules have a
+    label alone on the right. One that a rule with one token less
     and the same label equals in confidence or exceeds is dropped. No rows in,
     no rules out. Frequent tokens number at most the mean tokens of a URL over
     min_support, whatever the size of the table.
     """
     mark = "label:"
-    items = labelled.where(F.col("label").isNotNull()).select(F.concat(F.transform("tokens", lambda t: F.concat(F.lit("t:"), t)), F.array(F.concat(F.lit(mark), "label"))).alias("items"))
-    items = cut(items, "url-items")
-    if items.isEmpty():
-        return labelled.sparkSession.createDataFrame([], "antecedent array<string>, label string, confidence double, support double")
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
+    items = cut(labelled.where(F.col("label").isNotNull()).select(F.monotonically_increasing_id().alias("id"), "tokens", "label"), "url-items")
+    rows = items.count()
+    if not rows:
+        return labelled.sparkSession.createDataFrame([], "antecedent array<string>, same array<array<string>>, label string, confidence double, support double")
+    alike = cut(alike_tokens(items, max(1, ceil(min_support * rows))), "url-alike")
+    heads = sorted(r[0] for r in alike.select(F.col("same")[0]).distinct().collect())  # bounded, see above
+    kept = F.array_intersect("tokens", F.lit(heads).cast("array<string>"))
+    baskets = items.select(F.concat(F.transform(kept, lambda t: F.concat(F.lit("t:"), t)), F.array(F.concat(F.lit(mark), "label"))).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
     rules = model.associationRules.where(F.col("consequent")[0].startswith(mark) & F.forall("antecedent", lambda t: t.startswith("t:")))
     rules = rules.select(
         F.array_sort(F.transform("antecedent", lambda t: F.substr(t, F.lit(3)))).alias("antecedent"),
@@ -93,28 +113,40 @@ def mine_rules(labelled: DataFrame, min_support: float = 0.01, min_confidence: f
     shorter = rules.select(F.col("antecedent").alias("part"), "label", F.col("confidence").alias("c"))
     parts = rules.select("antecedent", "label", "confidence", F.explode("antecedent").alias("t")).select("antecedent", "label", "confidence", F.array_remove("antecedent", F.col("t")).alias("part"))
     idle = parts.join(shorter, ["part", "label"]).where("c >= confidence").select("antecedent", "label").distinct()
-    return rules.join(idle, ["antecedent", "label"], "left_anti")
+    rules = rules.join(idle, ["antecedent", "label"], "left_anti")
+    names = maybe_broadcast(alike.where(F.col("token") == F.col("same")[0]).select("token", "same"))
+    named = rules.select("*", F.explode("antecedent").alias("token")).join(names, "token")
+    same = F.transform(F.array_sort(F.collect_list(F.struct("token", "same"))), lambda x: x["same"])
+    return named.groupBy("antecedent", "label", "confidence", "support").agg(same.alias("same")).select("antecedent", "same", "label", "confidence", "support")
 
 
 def judge_by_rules(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
-    """pages (with tokens) and mined: the label of the best rule whose tokens the page has, else default.
+    """pages (with tokens) and mined: the label of the best rule that the page fits, else default.
 
-    Best: highest confidence, then support, then the smaller antecedent and label in order. Pages are reduced to the
+    A page fits a rule if it has, for each token of the antecedent, that or one
+    of the same. Best: highest confidence, then support, then the smaller tokens that fit and label in order. Pages are reduced to the
     tokens that rules have; each distinct set is judged once, and the verdict
     goes back to its pages, so a hot host is one row in the matching.
     """
     rules = cut(rules, "url-kept-rules")
-    known = sorted(r[0] for r in rules.select(F.explode("antecedent")).distinct().collect())  # bounded, see mine_rules
+    head = rules.select(F.explode(F.arrays_zip("antecedent", "same")).alias("z")).select(F.col("z.antecedent").alias("item"), F.explode("z.same").alias("token")).distinct()
+    head = cut(head, "url-rule-tokens")
+    known = sorted(r[0] for r in head.select("token").collect())  # bounded, see mine_rules
     if not known:
         return pages.withColumn("mined", F.lit(default)).withColumn("mined_rule", F.lit(None).cast("string"))
-    counts = rules.select(F.explode("antecedent").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    anchors = rules.select("*", F.explode("antecedent").alias("token")).join(counts, "token")
-    rarest = Window.partitionBy("antecedent", "label").orderBy("n", "token")
-    index = anchors.withColumn("k", F.row_number().over(rarest)).where("k = 1").drop("k", "n")
+    counts = rules.select(F.explode("antecedent").alias("item")).groupBy("item").agg(F.count("*").alias("n"))
+    anchors = rules.select("*", F.explode("antecedent").alias("item")).join(counts, "item")
+    rarest = Window.partitionBy("antecedent", "label").orderBy("n", "item")
+    index = anchors.withColumn("k", F.row_number().over(rarest)).where("k = 1").drop("k", "n", "same")
     seen = pages.withColumn("seen_tokens", F.array_intersect("tokens", F.lit(known)))
     sets = seen.select("seen_tokens").distinct()
-    hits = sets.select("seen_tokens", F.explode("seen_tokens").alias("token")).join(maybe_broadcast(index), "token").where(F.size(F.array_except("antecedent", "seen_tokens")) == 0)
-    best = hits.groupBy("seen_tokens").agg(F.min(F.struct((-F.col("confidence")).alias("c"), (-F.col("support")).alias("s"), F.array_join("antecedent", " ").alias("a"), "label")).alias("best"))
+    # Of tokens that are the same to the rules, the first that a page has stands for them.
+    own = sets.select("seen_tokens", F.explode("seen_tokens").alias("token")).join(maybe_broadcast(head), "token").groupBy("seen_tokens", "item").agg(F.min("token").alias("token"))
+    own = own.groupBy("seen_tokens").agg(F.map_from_entries(F.collect_list(F.struct("item", "token"))).alias("own"))
+    own = cut(own.withColumn("items", F.map_keys("own")), "url-sets")
+    hits = own.select("*", F.explode("items").alias("item")).join(maybe_broadcast(index), "item").where(F.size(F.array_except("antecedent", "items")) == 0)
+    shown = F.array_join(F.array_sort(F.transform("antecedent", lambda t: F.try_element_at("own", t))), " ")
+    best = hits.groupBy("seen_tokens").agg(F.min(F.struct((-F.col("confidence")).alias("c"), (-F.col("support")).alias("s"), shown.alias("a"), "label")).alias("best"))
     best = cut(best.select("seen_tokens", F.col("best.label").alias("mined"), F.col("best.a").alias("mined_rule")), "url-verdicts")
     out = seen.join(maybe_broadcast(best), "seen_tokens", "left").drop("seen_tokens")
     return out.withColumn("mined", F.coalesce("mined", F.lit(default)))
