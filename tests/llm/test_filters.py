@@ -209,6 +209,34 @@ def test_wrapped_sentence(make):
     assert {i for _, ids in L.RULES for i in ids} <= {i for i, _ in L.SENTENCES}
 
 
+def test_licence_heads(make):
+    t = dict(L.SENTENCES)
+    bsd3 = [t[i] for i in ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")]
+    grant = t["mit-grant"].replace('"Software"', "\u201cSoftware\u201d")
+    cases = [
+        ("\n".join(bsd3), ["BSD-3-Clause"]),
+        ("\n".join(bsd3[:3]), ["BSD-2-Clause"]),
+        ("\n".join(bsd3 + ["other text"] + bsd3), ["BSD-3-Clause"]),
+        ("\n".join(bsd3 + bsd3[:3]), ["BSD-2-Clause", "BSD-3-Clause"]),
+        (f"Copyright 2020\n{grant}\n{t['mit-notice']}", ["MIT"]),
+        ("// SPDX-License-Identifier: MIT OR Apache-2.0", ["Apache-2.0", "MIT"]),
+        ("/* SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) AND BSD-3-Clause */\nint x;", ["BSD-3-Clause", "GPL-2.0"]),
+        ("# SPDX-License-Identifier: LGPL-2.1-or-later OR MIT OR (ISC AND Zlib) OR CC0-1.0 OR EPL-2.0", ["CC0-1.0", "EPL-2.0", "ISC", "LGPL-2.1", "MIT", "Zlib"]),
+        (t["gpl-free"], ["GPL-3.0"]),
+        (t["gpl2-free"] + "\n" + t["gpl-warranty"], ["GPL-2.0"]),
+        (t["agpl3-free"], ["AGPL-3.0"]),
+        ("The words MIT or Apache-2.0 alone", []),
+    ]
+    rows = [(k, text) for k, (text, _) in enumerate(cases)]
+    got = {r.doc_id: r for r in L.scan_licences(make(rows)).collect()}
+    assert [got[k].licences for k in range(len(cases))] == [want for _, want in cases]
+    import duckdb
+    import pandas as pd
+
+    documents = pd.DataFrame(rows, columns=["doc_id", "text"])  # noqa: F841
+    assert {r[0]: r[2] for r in duckdb.sql(L.ORACLE_SQL).fetchall()} == {k: ",".join(r.licences) for k, r in got.items()}
+
+
 def test_every_sentence_and_rule_in_original_form(make):
     texts = dict(L.SENTENCES)
     wrap = lambda t, end: re.sub(r"(.{20,40}?) ", lambda m: m[1] + end, t)
@@ -270,6 +298,24 @@ def test_mined_rules_equal_counting(spark):
         assert judged[i] == (min(fit)[3] if fit else "allow")
 
 
+def test_tokens_that_always_occur_together(spark):
+    """100,000 URLs that share 25 path segments: one item, not 2 ** 25 sets; a page with some of them fits."""
+    import time
+
+    shared = "/".join(f"s{k}" for k in range(8))
+    query = "&".join(f"q{k}={k}" for k in range(17))
+    pages = spark.range(100_000).selectExpr("id AS page_id", f"concat('http://', IF(id % 3 = 0, 'bad', 'good'), '.example.org/{shared}/', id, '?{query}') AS url")
+    labels = spark.range(100_000).selectExpr("id", "IF(id % 3 = 0, 'block', 'allow') AS label")
+    more = spark.createDataFrame([(100_000, "http://bad.example.org/other?q3=1"), (100_001, "http://x.org/" + "a/" * 3000), (100_002, None)], "page_id long, url string")
+    began = time.time()
+    got = {r.verdict: r.n for r in U.judge_urls(pages.unionByName(more), labels, rules=()).groupBy("verdict").agg(F.count("*").alias("n")).collect()}
+    assert got == {"block": 33_335, "allow": 66_668}
+    assert time.time() - began < 150
+    rules = U.mine_rules(pages.join(labels.withColumnRenamed("id", "page_id"), "page_id").select(U.url_tokens(F.col("url")).alias("tokens"), "label")).collect()
+    assert all(len(r.antecedent) == 1 for r in rules) and {r.label for r in rules} == {"block", "allow"}
+    assert all(list(r.antecedent) == [x[0] for x in r.same] for r in rules)
+
+
 # --- quality ------------------------------------------------------------------
 
 

@@ -80,6 +80,21 @@ SENTENCES = (
     ("spdx-bsd3", "SPDX-License-Identifier: BSD-3-Clause"),
     ("spdx-mpl2", "SPDX-License-Identifier: MPL-2.0"),
     ("spdx-isc", "SPDX-License-Identifier: ISC"),
+    ("spdx-gpl2-later", "SPDX-License-Identifier: GPL-2.0-or-later"),
+    ("spdx-gpl3-only", "SPDX-License-Identifier: GPL-3.0-only"),
+    ("spdx-lgpl21", "SPDX-License-Identifier: LGPL-2.1-only"),
+    ("spdx-lgpl21-later", "SPDX-License-Identifier: LGPL-2.1-or-later"),
+    ("spdx-lgpl3", "SPDX-License-Identifier: LGPL-3.0-only"),
+    ("spdx-lgpl3-later", "SPDX-License-Identifier: LGPL-3.0-or-later"),
+    ("spdx-agpl3", "SPDX-License-Identifier: AGPL-3.0-only"),
+    ("spdx-agpl3-later", "SPDX-License-Identifier: AGPL-3.0-or-later"),
+    ("spdx-epl2", "SPDX-License-Identifier: EPL-2.0"),
+    ("spdx-bsl1", "SPDX-License-Identifier: BSL-1.0"),
+    ("spdx-zlib", "SPDX-License-Identifier: Zlib"),
+    ("spdx-unlicense", "SPDX-License-Identifier: Unlicense"),
+    ("spdx-cc0", "SPDX-License-Identifier: CC0-1.0"),
+    ("spdx-cc-by", "SPDX-License-Identifier: CC-BY-4.0"),
+    ("spdx-cc-by-sa", "SPDX-License-Identifier: CC-BY-SA-4.0"),
 )
 
 #: Licence and the identifiers that name it, in order; other known sentences may stand between.
@@ -141,10 +156,32 @@ RULES = (
     ("BSD-3-Clause", ("spdx-bsd3",)),
     ("MPL-2.0", ("spdx-mpl2",)),
     ("ISC", ("spdx-isc",)),
+    ("GPL-3.0", ("gpl-free",)),
+    ("GPL-2.0", ("gpl2-free",)),
+    ("GPL-2.0", ("spdx-gpl2-later",)),
+    ("GPL-3.0", ("spdx-gpl3-only",)),
+    ("LGPL-2.1", ("spdx-lgpl21",)),
+    ("LGPL-2.1", ("spdx-lgpl21-later",)),
+    ("LGPL-3.0", ("spdx-lgpl3",)),
+    ("LGPL-3.0", ("spdx-lgpl3-later",)),
+    ("AGPL-3.0", ("spdx-agpl3",)),
+    ("AGPL-3.0", ("spdx-agpl3-later",)),
+    ("EPL-2.0", ("spdx-epl2",)),
+    ("BSL-1.0", ("spdx-bsl1",)),
+    ("Zlib", ("spdx-zlib",)),
+    ("Unlicense", ("spdx-unlicense",)),
+    ("CC0-1.0", ("spdx-cc0",)),
+    ("CC-BY-4.0", ("spdx-cc-by",)),
+    ("CC-BY-SA-4.0", ("spdx-cc-by-sa",)),
 )
 
-#: ASCII characters that aren't letters or digits; a run of them is one space in the normal form.
-MARKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: ASCII characters that aren't letters or digits, no-break spaces, dashes and curly quotes; a run of them is one space in the normal form.
+CURLY = "\xa0\u2010\u2011\u2013\u2014\u2018\u2019\u201c\u201d"
+MARKS = rf"[\x00-\x2F\x3A-\x60\x7B-\x7F{CURLY}]+"
+
+#: SPDX expressions: the operands of OR and AND are declarations of their own; what WITH adds is left out.
+SPDX = "spdx-license-identifier:"
+OPERATORS, EXCEPTION = r"[ \t()]+(?:or|and)[ \t()]+", r"[ \t]+with[ \t]+[^ \t()]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -162,8 +199,12 @@ def _longest_wrap(sentences) -> int:
 
 def _fragments(text: Column) -> Column:
     """Normal forms of the parts of a text between line ends and end marks, without empty ones."""
-    plain = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), r"[.!?:][ \t]+|\r\n?", "\n")
-    plain = F.regexp_replace(plain, r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+", " ")
+    plain = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
+    operands = lambda line: F.regexp_replace(F.regexp_replace(line, EXCEPTION, ""), OPERATORS, f"\n{SPDX} ")
+    lines = F.transform(F.split(plain, "\n"), lambda line: F.when(line.contains(SPDX), operands(line)).otherwise(line))
+    plain = F.when(plain.contains(SPDX), F.array_join(lines, "\n")).otherwise(plain)
+    plain = F.regexp_replace(plain, r"[.!?:][ \t]+|\r\n?", "\n")
+    plain = F.regexp_replace(plain, rf"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F{CURLY}]+", " ")
     return F.filter(F.split(F.regexp_replace(plain, r" *\n[ \n]*", "\n"), "\n"), lambda f: F.trim(f) != "")
 
 
@@ -192,14 +233,44 @@ def licence_sentences(text: Column, sentences=SENTENCES) -> Column:
     return F.element_at(F.transform(F.array(trimmed), identify), 1)
 
 
+def _within(short, long) -> bool:
+    """Whether a sequence is part of a longer one, in order."""
+    rest = iter(long)
+    return len(short) < len(long) and all(x in rest for x in short)
+
+
+def _longer(name: str, sequence, rules) -> list[tuple]:
+    """Rules of other licences that a rule gives way to, as it is part of them."""
+    return [s for n, s in rules if n != name and _within(sequence, s)]
+
+
 def matched_licences(ids: Column, rules=RULES) -> Column:
-    """Sorted, distinct licences whose rules' identifiers occur in ids in their order."""
+    """Sorted, distinct licences whose rules' identifiers occur in ids in their order.
 
-    def fits(sequence):
-        wanted = F.array(*(F.lit(x) for x in sequence))
-        return F.aggregate(ids, F.lit(0), lambda k, x: F.when(F.get(wanted, k) == x, k + 1).otherwise(k)) == len(sequence)
+    A rule that is part of another licence's doesn't count over sentences that the longer one has taken.
+    """
 
-    found = F.array_compact(F.array(*(F.when(fits(s), F.lit(name)) for name, s in rules)))
+    def fits(sequence, of):
+        wanted = F.array(*(F.lit(x) for x in sequence))
+        return F.aggregate(of, F.lit(0), lambda k, x: F.when(F.get(wanted, k) == x, k + 1).otherwise(k)) == len(sequence)
+
+    def left(sequence, of):
+        """of without the sentences of whole runs of the sequence; each run begins after the one before."""
+        wanted, n = F.array(*(F.lit(x) for x in sequence)), len(sequence)
+        start = F.struct(F.lit(0).alias("k"), F.array().cast("array<struct<x: string, run: int>>").alias("out"))
+        goes_on = lambda acc, x: F.get(wanted, acc["k"] % n) == x
+        add = lambda acc, x: F.array_append(acc["out"], F.struct(x.alias("x"), F.when(goes_on(acc, x), F.floor(acc["k"] / n)).otherwise(-1).cast("int").alias("run")))
+        step = lambda acc, x: F.struct((acc["k"] + goes_on(acc, x).cast("int")).alias("k"), add(acc, x).alias("out"))
+        done = lambda acc: F.transform(F.filter(acc["out"], lambda o: (o["run"] < 0) | (o["run"] >= F.floor(acc["k"] / n))), lambda o: o["x"])
+        return F.aggregate(of, start, step, done)
+
+    def counts(name, sequence):
+        of = ids
+        for s in _longer(name, sequence, rules):
+            of = F.when(fits(s, of), left(s, of)).otherwise(of)
+        return fits(sequence, of)
+
+    found = F.array_compact(F.array(*(F.when(counts(n, s), F.lit(n)) for n, s in rules)))
     return F.when(F.size(ids) == 0, F.array().cast("array<string>")).otherwise(F.array_sort(F.array_distinct(found)))
 
 
@@ -223,16 +294,30 @@ def _quoted(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
+def _rules_sql() -> str:
+    """name, pattern, and what the longer rule takes out of ',id,,id,' lists (its runs, by the expression and what it leaves)."""
+    rows = []
+    for name, sequence in RULES:
+        longer = _longer(name, sequence, RULES)
+        assert len(longer) < 2
+        take = "".join(f",{x},(.*?)" for x in longer[0])[: -len("(.*?)")] if longer else "^$"
+        leave = "".join(f"\\{k}" for k in range(1, len(longer[0]))) if longer else ""
+        rows.append(f"({_quoted(name)}, {_quoted('%,' + ',%,'.join(sequence) + ',%')}, {_quoted(take)}, {_quoted(leave)})")
+    return ", ".join(rows)
+
+
 #: The same result in SQL: fragments as rows, each compared with the known sentences of its first word; rules as patterns.
 ORACLE_SQL = f"""
 WITH known(id, s) AS (VALUES {", ".join(f"({_quoted(i)}, {_quoted(normal(s))})" for i, s in SENTENCES)}),
- rules(name, pattern) AS (VALUES {", ".join(f"({_quoted(n)}, {_quoted('%,' + ',%,'.join(s) + ',%')})" for n, s in RULES)}),
- plain AS (SELECT doc_id, regexp_replace(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.!?:][ \t]+|\r\n?', chr(10), 'g') AS x FROM documents),
- f AS (SELECT doc_id, list_filter(list_transform(string_split(x, chr(10)), lambda y: trim(regexp_replace(y, '[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' ')), lambda y: y <> '') AS fs FROM plain),
+ rules(name, pattern, take, leave) AS (VALUES {_rules_sql()}),
+ low AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS x FROM documents),
+ spdx AS (SELECT doc_id, CASE WHEN contains(x, '{SPDX}') THEN array_to_string(list_transform(string_split(x, chr(10)), lambda y: CASE WHEN contains(y, '{SPDX}') THEN regexp_replace(regexp_replace(y, '{EXCEPTION}', '', 'g'), '{OPERATORS}', chr(10) || '{SPDX} ', 'g') ELSE y END), chr(10)) ELSE x END AS x FROM low),
+ plain AS (SELECT doc_id, regexp_replace(x, '[.!?:][ \t]+|\r\n?', chr(10), 'g') AS x FROM spdx),
+ f AS (SELECT doc_id, list_filter(list_transform(string_split(x, chr(10)), lambda y: trim(regexp_replace(y, '[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F{CURLY}]+', ' ', 'g'), ' ')), lambda y: y <> '') AS fs FROM plain),
  p AS (SELECT doc_id, fs, unnest(fs) AS fragment, unnest(range(len(fs))) AS i FROM f),
  q AS (SELECT doc_id, i, split_part(fragment, ' ', 1) AS word, array_to_string(fs[i + 1 : i + {_longest_wrap(SENTENCES)}], chr(10)) AS run FROM p WHERE split_part(fragment, ' ', 1) IN (SELECT split_part(s, ' ', 1) FROM known)),
  hit AS (SELECT doc_id, i, id, length(s) AS size FROM q JOIN known ON split_part(s, ' ', 1) = word AND replace(substr(run, 1, length(s)), chr(10), ' ') = s AND substr(run, length(s) + 1, 1) IN ('', chr(10))),
  ids AS (SELECT doc_id, string_agg(id, ',' ORDER BY i, size) AS sentence_ids FROM hit GROUP BY doc_id),
- lic AS (SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS licences FROM ids JOIN rules ON (',' || replace(sentence_ids, ',', ',,') || ',') LIKE pattern GROUP BY doc_id)
+ lic AS (SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS licences FROM ids JOIN rules ON regexp_replace(',' || replace(sentence_ids, ',', ',,') || ',', take, leave, 'g') LIKE pattern GROUP BY doc_id)
 SELECT doc_id, coalesce(sentence_ids, '') AS sentence_ids, coalesce(licences, '') AS licences FROM documents LEFT JOIN ids USING (doc_id) LEFT JOIN lic USING (doc_id)
 """
