@@ -72,12 +72,12 @@ class NeighbourGraph:
     """
 
     k: int = 32
-    trees: int = 3
+    trees: int = 2
     block: int = 64
     rounds: int = 12
     settled: float = 0.1
     beam: int = 256
-    open_: int = 64
+    open_: int = 128
     entries: int = 32
 
     # -- the graph ----------------------------------------------------------
@@ -166,11 +166,10 @@ class NeighbourGraph:
             known = nodes.join(worst, "node", "left").select(F.col("node").alias("member"), "small", F.coalesce("worst", F.lit(-2.0).cast("float")).alias("worst"))
             back = self._best(edges, ["other"], k)
             ends = edges.select(F.col("node").alias("at"), F.col("other").alias("member"), "new").unionByName(back.select(F.col("other").alias("at"), F.col("node").alias("member"), "new"))
-            ends = ends.groupBy("at", "member").agg(F.max("new").alias("new"))
             around = ends.join(known, "member").groupBy("at").agg(F.collect_list(F.struct("member", "new", "worst", "small")).alias("m")).where("exists(m, x -> x.new)")
             found = around.select(*(F.col("m")[c].alias(c) for c in ("member", "new", "worst", "small"))).mapInArrow(self._meet, "node bigint, other bigint, sim float")
             both = found.withColumn("new", F.lit(True)).unionByName(edges.withColumn("new", F.lit(False)))
-            both = both.groupBy("node", "other").agg(F.max("sim").alias("sim"), F.min("new").alias("new"))
+            both = both.repartition("node").groupBy("node", "other").agg(F.max("sim").alias("sim"), F.min("new").alias("new"))  # one shuffle serves this and the ranks
             seen = Observation()
             after = cut(self._best(both, ["node"], k).observe(seen, F.count("*").alias("all"), F.count(F.when(F.col("new"), 1)).alias("new")), "graph")
             drop(edges)
@@ -187,7 +186,13 @@ class NeighbourGraph:
             flat = [members.flatten().to_numpy(), news.flatten().to_numpy(zero_copy_only=False).astype(bool), worsts.flatten().to_numpy()]
             if not len(flat[0]):
                 continue
-            vectors = self._vectors(small.flatten())
+            # A node that comes forwards and backwards counts once, as new if either edge is.
+            row = np.repeat(np.arange(len(size)), size)
+            order = np.lexsort((~flat[1], flat[0], row))
+            first = np.append(True, (np.diff(row[order]) != 0) | (np.diff(flat[0][order]) != 0))
+            order = order[first]
+            size, flat = np.bincount(row[order], minlength=len(size)), [x[order] for x in flat]
+            vectors = self._vectors(small.flatten())[order]
             starts = np.concatenate([[0], np.cumsum(size)])
             out = [[], [], []]
             for n in np.unique(size):
@@ -253,7 +258,8 @@ class NeighbourGraph:
             least = beam.groupBy("query").agg(F.min("sim").alias("worst"), F.count("*").alias("n")).where(F.col("n") >= self.beam).toArrow()
             worst = np.full(len(ids), -2, np.float32)
             worst[np.searchsorted(ids, least.column("query").to_numpy())] = least.column("worst").to_numpy()
-            pairs = beam.where("next").select("query", "node").join(adjacent, "node").select("query", F.explode("others").alias("node"))
+            opened = maybe_broadcast(beam.where("next").select("query", "node"))
+            pairs = adjacent.join(opened, "node").select("query", F.explode("others").alias("node"))
 
     @staticmethod
     def _nearer(pairs: DataFrame, nodes: DataFrame, asked, limit) -> DataFrame:
@@ -280,7 +286,8 @@ class NeighbourGraph:
     def _beams(self, found: DataFrame, held: DataFrame | None) -> DataFrame:
         """The `beam` nearest nodes of each query; next marks those to be opened."""
         found = found.withColumn("opened", F.lit(False))
-        both = found if held is None else held.unionByName(found).groupBy("query", "node").agg(F.max("sim").alias("sim"), F.max("opened").alias("opened"))
+        both = found if held is None else held.unionByName(found)
+        both = both.repartition("query").groupBy("query", "node").agg(F.max("sim").alias("sim"), F.max("opened").alias("opened"))  # one shuffle serves this and the ranks
         turn = F.row_number().over(Window.partitionBy("query").orderBy("opened", F.desc("sim"), "node"))
         return self._best(both, ["query"], self.beam).withColumn("next", ~F.col("opened") & (turn <= self.open_))
 
