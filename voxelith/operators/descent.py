@@ -195,3 +195,58 @@ def plane_sides(surface: DataFrame, origin: dict[str, float], normal: dict[str,
     """surface with side: 1 where normal . (p - origin) > 0, else 0."""
     dot = sum(F.lit(float(normal.get(a, 0))) * (F.col(a) - F.lit(float(origin.get(a, 0)))) for a in AXES)
     return surface.withColumn("side", (dot > 0).cast("int"))
+
+
+def link_scores(links: DataFrame, dims) -> DataFrame:
+    """links (a, b) with score: 27 t + 9 z + 3 y + x of the digits 3 (equal), 2 (a is less) or 1 of each coordinate of a against b."""
+    from .stencil import subscripts
+
+    total = F.lit(0)
+    for k, (p, q) in enumerate(zip(subscripts(F.col("a"), dims), subscripts(F.col("b"), dims))):
+        total = total + 3**k * F.when(p == q, 3).when(p < q, 2).otherwise(1)
+    return links.withColumn("score", total)
+
+
+def prune_links(links: DataFrame) -> DataFrame:
+    """links (a, b, score) after removal, until no rule applies.
+
+    A link of a node with several is idle if its target also has a link from a
+    node with no other (key 0), or one of a greater score (key: its own score).
+    Of a node's idle links those of the least key, then target, go, but never its last link. A round takes
+    the nodes with idle links that come before all such others with a link to one of their targets; nodes
+    come in the order of a * 2654435761 modulo 2^32, so that rounds are few. No two of a round touch.
+    """
+    turn = (F.col("a") * F.lit(2654435761)) % F.lit(1 << 32)
+    now = cut(links.select("a", "b", "score", turn.alias("turn")), "prune")
+    while True:
+        degree = F.count("*").over(Window.partitionBy("a"))
+        of_target = Window.partitionBy("b")
+        rows = now.withColumn("n", degree).withColumn("single", F.max((F.col("n") == 1).cast("int")).over(of_target)).withColumn("top", F.max("score").over(of_target))
+        key = F.when(F.col("n") > 1, F.when(F.col("single") == 1, 0).when(F.col("score") < F.col("top"), F.col("score")))
+        rows = rows.withColumn("key", key).withColumn("idle", F.max(F.col("key").isNotNull()).over(Window.partitionBy("a")))
+        rows = rows.withColumn("first", F.min(F.when(F.col("idle"), F.struct("turn", "a"))).over(of_target))
+        rows = rows.withColumn("free", F.min((F.col("first") == F.struct("turn", "a")).cast("int")).over(Window.partitionBy("a")) == 1)
+        place = F.row_number().over(Window.partitionBy("a").orderBy(F.col("key").isNull(), "key", "b"))
+        gone = F.col("idle") & F.col("free") & F.col("key").isNotNull() & (place < F.col("n"))
+        after = cut(rows.withColumn("gone", gone).select("a", "b", "score", "turn", "gone"), "prune")
+        if after.where("gone").isEmpty():
+            return now.select("a", "b")
+        now = after.where("NOT gone").drop("gone")
+
+
+def straightest_in_generation(gen: DataFrame, links: DataFrame, dims, ndim: int = 3) -> DataFrame:
+    """a, b (linear indices): for each voxel with an ascendant, the neighbours of its own generation that go straightest on.
+
+    links (a, b) lead from ascendants a to b. Straightest: the least distance of
+    neighbour and the point opposite to an ascendant; all equal ones of a greater index than the voxel's own.
+    """
+    from .stencil import subscripts
+
+    rows = gen.select(*KEY, "wave", linear_index(dims).alias("i"))
+    up = links.select(F.col("b").alias("i"), *(c.alias(f"r{a}") for a, c in zip(AXES, subscripts(F.col("a"), dims))))
+    sent = shifted(rows, offsets(ndim), ["wave", "i"]).select(*KEY, F.col("wave").alias("nw"), F.col("i").alias("n"), *(F.col(f"o.d{a}").alias(f"d{a}") for a in AXES))
+    side = rows.join(sent, KEY).where("nw = wave").drop("nw")
+    off = sum((F.col(a) - F.col(f"r{a}") - F.col(f"d{a}")) * (F.col(a) - F.col(f"r{a}") - F.col(f"d{a}")) for a in AXES)
+    near = side.join(up, "i").groupBy("i", "n").agg(F.min(off).alias("off"))
+    best = near.withColumn("least", F.min("off").over(Window.partitionBy("i"))).where("off = least AND n > i")
+    return best.select(F.col("i").alias("a"), F.col("n").alias("b"))

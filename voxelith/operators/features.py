@@ -35,6 +35,49 @@ def symmetric_eigenvalues(m: pd.Series) -> pd.Series:
     return pd.Series(list(np.linalg.eigvalsh(np.stack(m.to_list()).reshape(-1, 3, 3))))
 
 
+def eigenvalues3(xx, xy, xz, yy, yz, zz) -> list:
+    """Ascending eigenvalues of a symmetric 3 x 3 matrix of columns, in closed form (the trigonometric roots)."""
+    q = (xx + yy + zz) / 3
+    p2 = (xx - q) * (xx - q) + (yy - q) * (yy - q) + (zz - q) * (zz - q) + 2 * (xy * xy + xz * xz + yz * yz)
+    p = F.sqrt(p2 / 6)
+    a, b, c = (xx - q) / p, (yy - q) / p, (zz - q) / p
+    d, e, f = xy / p, xz / p, yz / p
+    half = (a * (b * c - f * f) - d * (d * c - f * e) + e * (d * f - b * e)) / 2
+    phi = F.acos(F.greatest(F.least(half, F.lit(1.0)), F.lit(-1.0))) / 3
+    most, least = q + 2 * p * F.cos(phi), q + 2 * p * F.cos(phi + 2 * np.pi / 3)
+    flat = p2 <= 0
+    return [F.when(flat, q).otherwise(x) for x in (least, 3 * q - most - least, most)]
+
+
+#: Fixed value: the scale of the squared small eigenvalues.
+ISOTROPY_SCALE = 5000.0
+
+
+def isotropy_shares(vox: DataFrame, value: str, width: int = 2) -> DataFrame:
+    """KEY, wall, vessel, nodule: shares by the eigenvalues of the structure tensor about each voxel.
+
+    The tensor adds up products of central differences (the centre's value at
+    borders) over the voxels of a window of 2 * width + 1 cells: one stencil pass for
+    the differences, one for the sums. With absolute eigenvalues e1 <= e2 <= e3, a wall
+    has both small ones near 0, a nodule both near e3 / 2, a vessel one of each; null where e3 is 0.
+    """
+    from .stencil import gradient, offsets, shifted
+
+    g = gradient(vox.select(*KEY, F.col(value).cast("double").alias(value)), "xyz", value)
+    pairs = [("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z")]
+    g = g.select(*KEY, *((F.col(f"g_{a}") * F.col(f"g_{b}")).alias(f"t{a}{b}") for a, b in pairs))
+    sent = shifted(g, [(0, 0, 0, 0), *box_offsets(width, width, width)], [f"t{a}{b}" for a, b in pairs])
+    sums = sent.groupBy(*KEY).agg(*(F.sum(f"t{a}{b}").alias(f"t{a}{b}") for a, b in pairs)).join(vox.select(*KEY), KEY)
+    e1, e2, e3 = (F.col(f"e{k}") for k in (1, 2, 3))
+    ev = F.array_sort(F.array(*(F.abs(e) for e in eigenvalues3(*(F.col(f"t{a}{b}") for a, b in pairs)))))
+    rows = sums.withColumn("ev", ev).select(*KEY, *(F.col("ev")[k].alias(f"e{k + 1}") for k in range(3)))
+    small = lambda e: e * e / ISOTROPY_SCALE
+    half = lambda e: (e - e3 / 2) * (e - e3 / 2) / (e3 * e3)
+    shares = {"wall": F.exp(-(small(e1) + small(e2))), "vessel": F.exp(-(small(e1) + half(e2))), "nodule": F.exp(-(half(e1) + half(e2)))}
+    total = shares["wall"] + shares["vessel"] + shares["nodule"]
+    return rows.select(*KEY, *(F.when(e3 > 0, s / total).alias(k) for k, s in shares.items()))
+
+
 def least_squares(df: DataFrame, names: list[str], target: str) -> np.ndarray:
     """Coefficients (intercept first) from the normal equations; sums are one distributed aggregate, the small system is solved here."""
     cols = [F.lit(1.0), *(F.col(n).cast("double") for n in names)]

@@ -82,3 +82,27 @@ def upscale(vox: DataFrame, factor: int, axes: str = "xy") -> DataFrame:
 def roll(vox: DataFrame, axis: str, shift: int, n: int) -> DataFrame:
     """out[i] = in[(i + shift) mod n] along one axis."""
     return vox.withColumn(axis, F.pmod(F.col(axis) - shift, F.lit(n)).cast("int"))
+
+
+def resample(vox: DataFrame, value: str, sides: dict[str, int], spacing: dict[str, float], centre: dict[str, float], new_centre: dict[str, float]) -> DataFrame:
+    """vol_id, axes of sides, value: each volume on a new grid about a centre, by linear interpolation; 0 outside.
+
+    Cell n of an axis reads at (n - new_centre) * spacing + centre: a spacing above 1 shrinks, below 1 stretches. The
+    cells of the new grid are a range; each asks for its corners (two an axis, one where it falls on a voxel) and adds up what is
+    there, weighted: a join on places and one aggregate.
+    """
+    cells = 1
+    for n in sides.values():
+        cells *= n
+    grid = vox.select("vol_id").distinct().withColumn("i_", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
+    index, weight = F.col("i_"), F.lit(1.0)
+    for a, n in sides.items():
+        grid, index = grid.withColumn(f"n_{a}", (index % n).cast("int")), F.floor(index / n)
+    for a in sides:
+        at = (F.col(f"n_{a}") - float(new_centre[a])) * float(spacing[a]) + float(centre[a])
+        low = F.floor(at).cast("int")
+        grid = grid.withColumn(f"p_{a}", at).withColumn(a, F.explode(F.when(at == low, F.array(low)).otherwise(F.array(low, low + 1))))
+        weight = weight * (1 - F.abs(F.col(f"p_{a}") - F.col(a)))
+    found = grid.join(vox.select("vol_id", *sides, F.col(value).cast("double").alias("v_")), ["vol_id", *sides], "left")
+    out = found.groupBy("vol_id", *(f"n_{a}" for a in sides)).agg(F.coalesce(F.sum(weight * F.col("v_")), F.lit(0.0)).alias(value))
+    return out.select("vol_id", *(F.col(f"n_{a}").alias(a) for a in sides), value)

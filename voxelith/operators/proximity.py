@@ -73,14 +73,14 @@ def nearest(points: DataFrame, cores: DataFrame) -> DataFrame:
     return best.where("best IS NOT NULL").select("id", F.col("best.core").alias("core"), F.sqrt("best.d2").alias("dist"))
 
 
-def in_balls(vox: DataFrame, seeds: DataFrame) -> DataFrame:
+def in_balls(vox: DataFrame, seeds: DataFrame, ndim: int = 3) -> DataFrame:
     """vox keys and seed for voxels nearer to a seed (vol_id, seed, x, y, z, t, r) than its radius.
 
     Each seed paints its own box: the rows grow with the balls' volume and meet the voxels in an equi-join.
     """
     box = seeds
     for a in AXES:
-        r = F.ceil("r").cast("int") if a != "t" else F.lit(0)
+        r = F.ceil("r").cast("int") if a in AXES[:ndim] else F.lit(0)
         box = box.withColumn(f"p{a}", F.explode(F.sequence(F.col(a) - r, F.col(a) + r)))
     inside = sum((F.col(f"p{a}") - F.col(a)) * (F.col(f"p{a}") - F.col(a)) for a in AXES) < F.col("r") * F.col("r")
     painted = box.where(inside).select("vol_id", *(F.col(f"p{a}").cast("int").alias(a) for a in AXES), "seed")

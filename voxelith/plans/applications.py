@@ -54,34 +54,34 @@ def depth_of(vox: DataFrame, dims, spacing=(1.0, 1.0, 1.0, 1.0)) -> DataFrame:
     return cut(vox.where("mask = 1").select(*KEY).join(distance(vox, "mask = 0", spacing, dims=dims), KEY), "depth")
 
 
-def relocate_clicks(vox: DataFrame, clicks: DataFrame, dims) -> DataFrame:
-    """click, KEY: where clicks climb to in the depth."""
-    return Q.relocate(depth_of(vox, dims), clicks)
+def relocate_clicks(vox: DataFrame, clicks: DataFrame, dims, box=(1, 1, 1, 0)) -> DataFrame:
+    """click, KEY: where clicks climb to in the depth, box cells a step on each axis."""
+    return Q.relocate(depth_of(vox, dims), clicks, box=box)
 
 
-def free_growth_check(vox: DataFrame, seeds: DataFrame, dims, spacing=(1.0, 1.0, 1.0, 1.0)) -> dict[str, DataFrame]:
+def free_growth_check(vox: DataFrame, seeds: DataFrame, dims, spacing=(1.0, 1.0, 1.0, 1.0), ndim: int = 3) -> dict[str, DataFrame]:
     """depth, growth (waves down from the seeds' balls), surface of the growth, and the part of it that validates."""
     depth = depth_of(vox, dims, spacing)
     reach = seeds.join(depth, KEY).select("vol_id", F.monotonically_increasing_id().alias("seed"), "x", "y", "z", "t", F.sqrt("d").alias("r"))
-    ball = cut(in_balls(depth, reach).select(*KEY).distinct(), "ball")
-    front = S.surface(ball, 3)
-    growth = cut(P.waves(depth, front, S.offsets(3), lambda a, b: b < a, "d", first=1), "growth")
-    edge = S.surface(depth, 3).join(growth, KEY, "left_semi")
-    valid = Q.validate_growth(edge, depth, growth)
+    ball = cut(in_balls(depth, reach, ndim).select(*KEY).distinct(), "ball")
+    front = S.surface(ball, ndim)
+    growth = cut(P.waves(depth, front, S.offsets(ndim), lambda a, b: b < a, "d", first=1), "growth")
+    edge = S.surface(depth, ndim).join(growth, KEY, "left_semi")
+    valid = Q.validate_growth(edge, depth, growth, ndim=ndim)
     return {"depth": depth, "growth": growth, "surface": edge, "valid": valid}
 
 
-def straight_growth(vox: DataFrame, seeds: DataFrame, dims, proportion: float = 2.0) -> dict[str, DataFrame]:
+def straight_growth(vox: DataFrame, seeds: DataFrame, dims, proportion: float = 2.0, ndim: int = 3) -> dict[str, DataFrame]:
     """Growth from seeds, the peaks that voxels climb to, and the surface voxels that a seed's peak dominates.
 
     A peak dominates a surface voxel if more than `proportion` times as many of its neighbours climb to it as to the next one.
     """
     depth = depth_of(vox, dims)
-    growth = cut(P.waves(depth, seeds, S.offsets(3), lambda a, b: b < a, "d", first=1), "growth")
-    peaks = cut(P.climb(depth, S.offsets(3), "d", dims), "peaks")
+    growth = cut(P.waves(depth, seeds, S.offsets(ndim), lambda a, b: b < a, "d", first=1), "growth")
+    peaks = cut(P.climb(depth, S.offsets(ndim), "d", dims), "peaks")
     own = peaks.join(seeds.select(*KEY), KEY, "left_semi").select("vol_id", "peak").distinct()
-    edge = S.surface(depth, 3).join(peaks, KEY)
-    ruled = Q.dominant_labels(Q.neighbour_labels(edge, peaks.withColumnRenamed("peak", "label")), KEY, proportion)
+    edge = S.surface(depth, ndim).join(peaks, KEY)
+    ruled = Q.dominant_labels(Q.neighbour_labels(edge, peaks.withColumnRenamed("peak", "label"), ndim), KEY, proportion)
     selected = ruled.withColumnRenamed("label", "peak").join(own, ["vol_id", "peak"], "left_semi")
     return {"growth": growth, "peaks": peaks, "selected": selected, "surface": edge}
 
