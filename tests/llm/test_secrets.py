@@ -203,3 +203,53 @@ def test_random_nestings_equal_recursion():
             S.base_spans = original
         assert peeled(text) <= values
         assert all(0 <= a < b <= len(text) for _, a, b in spans)
+
+
+def test_runs_after_paths_labels_and_letters():
+    data = b"password=hunter2hunter2abc"
+    before = ["key=", "key:", '"', "?d=", "Basic ", "abc/", "a/", "ab/", "abcd/", "https://h.com/d/", "x", "abc", "-", "_", "/", "blob-", "data_", "some-long_label/of/many-parts_", "Zm9vYmFy"]
+    for p in before:
+        assert found(p + base64.b64encode(data).decode()), p
+        assert found(p + base64.urlsafe_b64encode(data * 3).decode().rstrip("=") + ".x"), p
+        for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress, lambda d: zstandard.ZstdCompressor().compress(d)):
+            assert found(p + base64.b64encode(pack(data)).decode()), (p, pack)
+        assert found(p + base64.b64encode(data.decode().encode("utf-16-le")).decode()), p
+        assert found(p + base64.b64encode(base64.b64encode(data)).decode()), p
+
+
+def test_text_within_bytes():
+    data = b"password=hunter2hunter2abc"
+    rng = random.Random(1)
+    odd = bytes(rng.randrange(128, 256) for _ in range(60))
+    for whole in (odd + data, odd + data + odd, b"\x00" * 40 + data + b"\x00" * 40, b"head!" + gzip.compress(data), odd + zlib.compress(data) + odd, odd + lzma.compress(data), gzip.compress(odd + data + odd), odd + data.decode().encode("utf-16-be") + odd):
+        text = "id: " + base64.b64encode(whole).decode() + " end"
+        assert found(text), whole[:8]
+        assert S.scan(text)[2] == 0
+
+
+def test_wrapped_runs_after_a_label():
+    data = b"A" * 70 + b" password=hunter2hunter2abc " + b"B" * 90
+    for head in ("label-", "a/b_", "xyz"):
+        lines = base64.b64encode(data).decode()
+        assert found(head + "\n".join(lines[k : k + 64] for k in range(0, len(lines), 64)))
+
+
+def test_clean_paths_stay_clean():
+    for text in ("https://example.com/a/very/long/path/with_many-parts/and/more/of/them", "some_long_identifier_name_of_a_function", "x" * 400, "-" * 300, "a/b-c_d" * 60):
+        assert S.scan(text)[1:] == ([], 0)
+
+
+def test_unread_layers_are_masked(monkeypatch):
+    monkeypatch.setattr(S, "LAYER_BYTES", 3000)
+    monkeypatch.setattr(S, "SHARED", 1000)
+    monkeypatch.setattr(S, "CHUNK", 500)
+    run = base64.b64encode(bytes(random.Random(2).randrange(256) for _ in range(9000))).decode()
+    text = "before " + base64.b64encode(gzip.compress(run.encode())).decode() + " after"
+    assert S.scan(text)[2] == 1
+    assert S.masked(text) == "before [SECRET] after"
+
+
+def test_compressed_content_that_holds_itself_ends(monkeypatch):
+    monkeypatch.setattr(S, "LAYER_BYTES", 10)
+    monkeypatch.setattr(S, "inflated", lambda data, depth, bare=False: iter([b"\x1f\x8b" + b"z" * 50]))
+    assert list(S.opened(S.Raw(b"any", (0, 3)), [])) == []

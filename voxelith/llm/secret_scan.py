@@ -51,11 +51,16 @@ PIECE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 LAYER_BYTES, SHARED = 16 << 20, 4 << 20
 #: Bytes read at once.
 CHUNK = 1 << 20
-#: Compressions straight within one another, each of them over LAYER_BYTES, that are followed; more are counted in n_unopened.
-MOST_DEPTH = 64
-#: Bytes that aren't UTF-8 are text with up to one in so many characters replaced.
+#: Bytes that aren't UTF-8 are text with up to one in so many characters replaced. In others, stretches of characters are text:
+#: no secret and no encoded run is shorter than 16 of them.
 LOSSY = 8
-#: What ends an encoded run. If the characters that two blocks share have none, a run may be cut: counted in n_unopened.
+STRETCH = re.compile(rb"[\t\n\r\x20-\x7e]{16,}|(?:[\t\n\r\x20-\x7e]\x00){16,}")
+#: Where compressed content may begin within other bytes: heads of gzip, zlib, bzip2, xz and zstandard.
+HEADS = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]1AY&SY|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
+#: Characters of a run over several lines from which on it is decoded at all four alignments.
+LONG_RUN = 64
+#: What ends an encoded run. If the characters that two blocks share have none, a run may be cut. What is plain in it is found all
+#: the same, as runs are read at every alignment; a compressed layer in such a run isn't: counted in n_unopened.
 BREAK = re.compile(r"[^A-Za-z0-9+/_%\\{}\s-]|\S[ \t]+[^\s]")
 
 
@@ -183,35 +188,64 @@ def _head(chunks: Iterator[bytes], size: int) -> bytes:
     return bytes(out)
 
 
-def opened(raw: Raw, unopened: list[int]) -> Iterator[Raw | Layer]:
-    """The layers straight below bytes: their content if they are compressed, else their text."""
+def _digest(chunks: Iterator[bytes]) -> bytes:
+    state = hashlib.blake2b(digest_size=16)
+    for chunk in chunks:
+        state.update(chunk)
+    return state.digest()
+
+
+def stretches(data: bytes, span: tuple[int, int]) -> Iterator[Raw | Layer]:
+    """Text and compressed content within bytes that are neither as a whole."""
+    for m in STRETCH.finditer(data):
+        yield Layer(m[0].replace(b"\0", b"").decode("ascii"), span=span)
+    for m in HEADS.finditer(data, 1):
+        if next(content([data[m.start() :]]), b""):
+            yield Raw(data[m.start() :], span)
+
+
+def opened(raw: Raw, unopened: list[tuple[int, int]]) -> Iterator[Raw | Layer]:
+    """The layers straight below bytes: their content if they are compressed, else their text, else what text and compressed content is in them."""
     data, span = raw.data, raw.span
     bare = False
-    inner = _head(inflated(data, 1), LAYER_BYTES)
+    inner = b"" if raw.shifted else _head(inflated(data, 1), LAYER_BYTES)
     if not inner:
-        if (text := as_text(data)) is not None:
+        if not raw.shifted and (text := as_text(data)) is not None:
             yield Layer(text, span=span)
-            return
-        bare = _is_bare(data)
+            if "\ufffd" not in text:
+                return
+        bare = not raw.shifted and _is_bare(data)
         inner = _head(inflated(data, 1, True), LAYER_BYTES) if bare else b""
-    depth = 1
+    if not inner:
+        yield from stretches(data, span)
+        return
+    depth, passed = 1, set()
     while len(inner) > LAYER_BYTES:
         below = _head(inflated(data, depth + 1, bare), LAYER_BYTES)
         if not below:
-            if as_text(inner) is not None:
-                del inner
-                for block in _blocks(inflated(data, depth, bare), unopened):
-                    yield Layer(block, span=span)
+            for block in _blocks(inflated(data, depth, bare), unopened, span) if as_text(inner) is not None else _byte_blocks(inflated(data, depth, bare)):
+                yield Layer(block, span=span) if isinstance(block, str) else Raw(block, span, True)
             return
-        inner, depth = below, depth + 1
-        if depth > MOST_DEPTH:
-            unopened[0] += 1
+        if (mark := _digest(inflated(data, depth, bare))) in passed:  # content that holds itself
             return
+        passed.add(mark)
+        inner, depth = below, depth + 1
     if inner:
         yield Raw(inner, span)
 
 
-def _blocks(chunks: Iterator[bytes], unopened: list[int]) -> Iterator[str]:
+def _byte_blocks(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """Overlapping blocks of bytes that are no text."""
+    held = b""
+    for chunk in chunks:
+        held += chunk
+        if len(held) >= LAYER_BYTES:
+            yield held
+            held = held[-SHARED:]
+    yield held
+
+
+def _blocks(chunks: Iterator[bytes], unopened: list[tuple[int, int]], span: tuple[int, int]) -> Iterator[str]:
     first = next(chunks, b"")
     decoder, parts, size, cut = codecs.getincrementaldecoder(codec_of(first[:1024]))("replace"), [], 0, False
     for chunk in chain([first], chunks):
@@ -224,7 +258,8 @@ def _blocks(chunks: Iterator[bytes], unopened: list[int]) -> Iterator[str]:
             cut = cut or not BREAK.search(parts[0])
             yield text
     yield "".join(parts)
-    unopened[0] += cut
+    if cut:
+        unopened.append(span)
 
 
 def wrapped_runs(text: str) -> Iterator[tuple[str, int, int]]:
@@ -251,13 +286,13 @@ def wrapped_runs(text: str) -> Iterator[tuple[str, int, int]]:
 
 
 class Raw:
-    """Decoded bytes and the span that they come from."""
+    """Decoded bytes and the span that they come from; shifted: they may begin with bytes that aren't of the content."""
 
-    def __init__(self, data: bytes, span: tuple[int, int]):
-        self.data, self.span = data, span
+    def __init__(self, data: bytes, span: tuple[int, int], shifted: bool = False):
+        self.data, self.span, self.shifted = data, span, shifted
 
     def mark(self) -> tuple:
-        return hashlib.blake2b(self.data, digest_size=16).digest(), self.span, "bytes"
+        return hashlib.blake2b(self.data, digest_size=16).digest(), self.span, self.shifted
 
 
 class Layer:
@@ -317,20 +352,34 @@ def unwrapped(layer: Layer) -> Iterator[Layer | Raw]:
                 parts.append((*m.span(), new.decode("utf-16-be", "replace")))
         if parts:
             yield layer.replaced(parts)
-    runs = ((m[0], *m.span()) for m in BASE64.finditer(text))
-    for run, start, end in chain(runs, wrapped_runs(text) if "\n" in text else ()):
+    # What stands straight before an encoding (a path, a label with - or _, letters) is of its alphabet: its groups of four
+    # may begin at any character, so a run is read from each of its first four. From the right one on the bytes are right.
+    runs = ((m[0], *m.span(), 4) for m in BASE64.finditer(text))
+    lines = ((run, a, b, 4 if len(run) >= LONG_RUN else 1) for run, a, b in wrapped_runs(text)) if "\n" in text else ()
+    for run, start, end, ways in chain(runs, lines):
         run = run.rstrip("=").replace("-", "+").replace("_", "/")
-        run = run[: len(run) - (len(run) % 4 == 1)]
-        yield Raw(base64.b64decode(run + "=" * (-len(run) % 4)), layer.place(start, end))
+        for k in range(ways):
+            part = run[k : len(run) - ((len(run) - k) % 4 == 1)]
+            data = base64.b64decode(part + "=" * (-len(part) % 4))
+            if k == 0 or STRETCH.search(data) or HEADS.search(data):
+                yield Raw(data, layer.place(start, end), k > 0)
+                if k and HEADS.match(data):
+                    yield Raw(data, layer.place(start, end))
 
 
 def scan(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], int]:
-    """Spans in the text itself, all spans, and layers not read whole; each list by start, then kind, then end."""
+    """Spans in the text itself, all spans, and how many layers weren't read whole; each list by start, then kind, then end."""
+    base, spans, unopened = searched(text)
+    return base, spans, len(unopened)
+
+
+def searched(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], list[tuple[int, int]]]:
+    """As scan, with the spans of the layers that weren't read whole."""
     if not text:
-        return [], [], 0
+        return [], [], []
     order = lambda s: (s[1], KINDS.index(s[0]), s[2])
     base = sorted(base_spans(text), key=order)
-    found, unopened, seen = set(base), [0], set()
+    found, unopened, seen = set(base), [], set()
     work = [unwrapped(Layer(text))]  # depth first: of a large layer only one block is held
     seen.add((hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), None))
     while work:
@@ -343,14 +392,12 @@ def scan(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
         seen.add(mark)
         if isinstance(x, Raw):
             below = opened(x, unopened)
-            first, x = next(below, None), None
-            if isinstance(first, Raw):  # the only one: bytes in bytes hold no more than the last
-                below, first = iter((first,)), None
-            work.append(chain((first,), below) if first is not None else below)
+            x = None  # of nested bytes only the last are held
+            work.append(below)
         elif x.text:
             found.update((k, *x.place(a, b)) for k, a, b in base_spans(x.text))
             work.append(unwrapped(x))
-    return base, sorted(found, key=order), unopened[0]
+    return base, sorted(found, key=order), unopened
 
 
 def redacted(text: str, spans: list[tuple[str, int, int]], mask: str = "[SECRET]") -> str:
@@ -368,6 +415,13 @@ def redacted(text: str, spans: list[tuple[str, int, int]], mask: str = "[SECRET]
     return "".join([*out, text[at:]])
 
 
+def masked(text: str) -> str:
+    """The text without secrets, and without encoded runs that weren't read whole."""
+    _, spans, unopened = searched(text)
+    spans = spans + [("unopened", *s) for s in unopened]
+    return redacted(text, spans) if spans else text
+
+
 SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 SCAN_SCHEMA = T.StructType(
     [
@@ -399,13 +453,16 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """docs with every secret masked in the text, and length_col (if there) the new length. All rows and columns stay."""
+    """docs with every secret masked in the text, and length_col (if there) the new length. All rows and columns stay.
+
+    An encoded run that can't be read whole (see scan) is masked too.
+    """
     at = docs.columns.index(text_col)
     schema = docs.schema
 
     def run(batches):
         for b in batches:
-            texts = [None if (t := x.as_py()) is None else redacted(t, found) if (found := scan(t)[1]) else t for x in b.column(at)]
+            texts = [None if (t := x.as_py()) is None else masked(t) for x in b.column(at)]
             columns = list(b.columns)
             columns[at] = pa.array(texts, columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, b.schema.names)
