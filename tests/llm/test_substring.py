@@ -1,3 +1,4 @@
+import pytest
 import random
 
 from voxelith.llm.substring_dedup import FingerprintIndex, drop_repeats
@@ -112,3 +113,38 @@ def test_repeated_ids(make):
 
 def test_empty(make):
     assert drop_repeats(make([(1, "a")]).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("stage", ["_save", "_remove", "compact"])
+def test_broken_calls_leave_the_last_whole_index(spark, make, tmp_path, monkeypatch, stage):
+    """A call that breaks before or after the manifest is written; the index opens, and the batch can go in again."""
+    from voxelith.llm import substring_dedup as D
+
+    path = f"file://{tmp_path}/index"
+    passage = " ".join(f"p{k}" for k in range(25))
+    batch = [make([(k, f"{passage} own{k} " + " ".join(f"w{k}x{j}" for j in range(30)))]) for k in range(4)]
+    for k in range(3):
+        index = D.FingerprintIndex(spark, most_runs=2, buckets=2, path=path)
+        if k == 2:
+            whole = getattr(D.FingerprintIndex, stage)
+
+            def broken(self, *args):
+                if stage == "_remove" and not args[0]:
+                    return None
+                if stage == "compact":
+                    whole(self, *args)
+                raise OSError("broken off")
+
+            monkeypatch.setattr(D.FingerprintIndex, stage, broken)
+            with pytest.raises(OSError):
+                D.drop_repeats(batch[k], batches=1, index=index)
+            monkeypatch.setattr(D.FingerprintIndex, stage, whole)
+        else:
+            D.drop_repeats(batch[k], batches=1, index=index).count()
+    again = D.FingerprintIndex(spark, most_runs=2, buckets=2, path=path)
+    assert again.texts().select("doc_id").distinct().count() == (3 if stage == "_remove" else 2)
+    row = D.drop_repeats(batch[3], batches=1, index=again).first()
+    assert (row.n_words, row.n_removed) == (56, 25)
+    kept = {f.name for f in (tmp_path / "index").iterdir()}
+    named = {p.rsplit("/", 1)[-1] for p in [*again.sources, *(q for r in again.runs for q in (r["keys"], *r["places"]))]}
+    assert {f for f in kept if not f.startswith(("manifest", "."))} == named

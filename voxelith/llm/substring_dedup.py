@@ -80,7 +80,9 @@ class FingerprintIndex:
 
     With keep_texts the batches themselves are stored too: later calls compare
     their windows with those of the earlier texts, which fingerprints can't tell.
-    With a path, the index is one that an earlier session left there, if there is one.
+    With a path, the index is one that an earlier session left there, if there is one. An
+    index has one writer at a time. Files are written first, then the manifest that names them, then files that it no longer
+    names go: a session that breaks off anywhere leaves the index of its last whole call, and the next one clears the rest.
     """
 
     def __init__(self, spark: SparkSession, most_runs: int = 4, buckets: int | None = None, keep_texts: bool = True, path: str | None = None):
@@ -105,6 +107,12 @@ class FingerprintIndex:
             return
         state = json.loads(self.spark.read.text(f"{self.path}/{versions[-1]}").first()[0])
         self.version, self.runs, self.sources = state["version"], state["runs"], state["sources"]
+        # What a call that didn't end has left: no manifest names it.
+        named = {p.rsplit("/", 1)[-1] for p in [*self.sources, *(q for r in self.runs for q in (r["keys"], *r["places"]))]}
+        for name in found:
+            if name.startswith(("texts-", "places-", "fingerprints_")) and name not in named:
+                self.spark.sql(f"DROP TABLE IF EXISTS {name}" if name.startswith("fingerprints_") else "SELECT 1")
+                files.delete(self._files(name)[0], True)
         for run in self.runs:
             if not self.spark.catalog.tableExists(run["keys"]):
                 self.spark.sql(f"CREATE TABLE {run['keys']} (h BIGINT, n BIGINT) USING parquet CLUSTERED BY (h) SORTED BY (h) INTO {run['buckets']} BUCKETS LOCATION '{self.path}/{run['keys']}'")
@@ -145,11 +153,11 @@ class FingerprintIndex:
 
         The joined keys are bucketed alike: runs meet bucket by bucket.
         """
+        stored = []
         if self.keep_texts:
-            path = f"{self.path}/texts-{uuid.uuid4().hex}"
-            write_parquet(docs, path)
-            docs = self.spark.read.parquet(path)
-            self.sources.append(path)
+            stored = [f"{self.path}/texts-{uuid.uuid4().hex}"]
+            write_parquet(docs, stored[0])
+            docs = self.spark.read.parquet(*stored)
         folder = f"{self.path}/places-{uuid.uuid4().hex}"
         write_parquet(fingerprints(docs), folder)
         run = self._write_keys(self.spark.read.schema(PLACES).parquet(folder).groupBy("h").agg(F.count("*").alias("n")))
@@ -166,19 +174,21 @@ class FingerprintIndex:
         out = cut(reduce(DataFrame.unionByName, found), "fingerprint-found")
         drop(known)
         self.runs.append(run)
-        self.compact()
+        self.sources += stored
+        old = self.compact()
         self._save()
+        self._remove(old)  # only now does no manifest name them
         return out
 
-    def compact(self) -> None:
-        """Merges the keys of all runs into one run if there are more than most_runs; the old runs' tables go. Places stay."""
+    def compact(self) -> list[dict]:
+        """Merges the keys of all runs into one run if there are more than most_runs. Gives the runs that it took the place of; places stay."""
         if len(self.runs) <= self.most_runs:
-            return
+            return []
         rows = reduce(DataFrame.unionByName, (self.spark.table(r["keys"]) for r in self.runs))
         merged = self._write_keys(rows.groupBy("h").agg(F.sum("n").alias("n")))
         merged["places"] = [p for r in self.runs for p in r["places"]]
-        self._remove(self.runs)
-        self.runs = [merged]
+        old, self.runs = self.runs, [merged]
+        return old
 
     def _remove(self, runs: list[dict]) -> None:
         for run in runs:
