@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from math import prod
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.tables import maybe_broadcast
+from ..plans.tables import cut, maybe_broadcast
 from .stencil import AXES, KEY, shifted
 
 
@@ -56,21 +59,34 @@ def relative_pairs(points: DataFrame, proportion: float) -> DataFrame:
 def nearest(points: DataFrame, cores: DataFrame) -> DataFrame:
     """id, core, dist: the nearest core of each point, the smaller id on ties.
 
-    Cores are a query set: their number is counted, and they are broadcast in
-    blocks of 1,000; each block keeps one best core per point.
+    Points meet the cores of their own and the adjoining cells. The best of these
+    is the nearest if it isn't farther than a cell is wide; points without such a
+    one go on with cells of twice the width. The first width gives a cell about one core, so
+    a round joins few cores to a point, and the rounds are the logarithm of the greatest distance in cells.
     """
-    block = 1000
-    n = cores.count()
-    best = None
-    for k in range(max(1, -(-n // block))):
-        part = cores if n <= block else cores.where(F.pmod(F.xxhash64("id"), F.lit(-(-n // block))) == k)
-        packed = part.agg(F.collect_list(F.struct("id", "px", "py", "pz")).alias("cs"))
-        d2 = lambda c: sum((F.col(p) - c[p]) * (F.col(p) - c[p]) for p in ("px", "py", "pz"))
-        found = points.crossJoin(F.broadcast(packed)).select("id", F.array_min(F.transform("cs", lambda c: F.struct(d2(c).alias("d2"), c["id"].alias("core")))).alias("best"))  # one row
-        best = found if best is None else best.unionByName(found)
-    if n > block:
-        best = best.groupBy("id").agg(F.min("best").alias("best"))
-    return best.where("best IS NOT NULL").select("id", F.col("best.core").alias("core"), F.sqrt("best.d2").alias("dist"))
+    axes = ("px", "py", "pz")
+    box = cores.agg(F.count("*"), *(f(c) for c in axes for f in (F.min, F.max))).first()
+    if not box[0]:
+        return points.select("id", F.lit(None).cast(cores.schema["id"].dataType).alias("core"), F.lit(None).cast("double").alias("dist")).limit(0)
+    spans = [float(b) - float(a) for a, b in zip(box[1::2], box[2::2])]
+    wide = [x for x in spans if x > 0]
+    width = max((prod(wide) / box[0]) ** (1 / len(wide)), max(wide) / 2**20) if wide else 1.0
+    side = cores.select(F.col("id").alias("core"), *(F.col(c).alias(f"q{c}") for c in axes))
+    d2 = sum((F.col(c) - F.col(f"q{c}")) * (F.col(c) - F.col(f"q{c}")) for c in axes)
+    left, found = cut(points.select("id", *axes), "nearest"), []
+    while True:
+        cell = lambda c: F.floor(F.col(c) / F.lit(width)).cast("long")
+        around = left
+        for c in axes:
+            around = around.withColumn(f"c{c}", F.explode(F.array(*(cell(c) + k for k in (-1, 0, 1)))))
+        homes = side.select("*", *(cell(f"q{c}").alias(f"c{c}") for c in axes))
+        best = around.join(homes, [f"c{c}" for c in axes]).groupBy("id").agg(F.min(F.struct(d2.alias("d2"), "core")).alias("m"))
+        level = cut(left.join(best, "id", "left").withColumn("near", F.coalesce(F.col("m.d2") <= F.lit(width * width), F.lit(False))), "nearest")
+        found.append(level.where("near").select("id", F.col("m.core").alias("core"), F.sqrt("m.d2").alias("dist")))
+        left = level.where("NOT near").select("id", *axes)
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        width *= 2
 
 
 def in_balls(vox: DataFrame, seeds: DataFrame, ndim: int = 3) -> DataFrame:
