@@ -250,3 +250,66 @@ def straightest_in_generation(gen: DataFrame, links: DataFrame, dims, ndim: int
     near = side.join(up, "i").groupBy("i", "n").agg(F.min(off).alias("off"))
     best = near.withColumn("least", F.min("off").over(Window.partitionBy("i"))).where("off = least AND n > i")
     return best.select(F.col("i").alias("a"), F.col("n").alias("b"))
+
+
+def generation_links(gen: DataFrame, dims, kind: str = "full", steepest: str | None = None, ndim: int = 3) -> DataFrame:
+    """a, b (linear indices): links from each voxel to its neighbours (offsets `kind`) of the next generation.
+
+    With steepest, a column of gen, only to that of its greatest value, the smaller index on ties.
+    """
+    value = [steepest] if steepest else []
+    rows = gen.select(*KEY, "wave", *value, linear_index(dims).alias("i"))
+    sent = shifted(rows, offsets(ndim, kind), ["wave", "i", *value]).select(*KEY, F.col("wave").alias("nw"), F.col("i").alias("n"), *(F.col(v).alias("nv") for v in value))
+    pairs = rows.join(sent, KEY).where("nw = wave + 1")
+    if steepest:
+        best = pairs.groupBy("i").agg(F.min(F.struct((-F.col("nv")).alias("v"), "n")).alias("m"))
+        return best.select(F.col("i").alias("a"), F.col("m.n").alias("b"))
+    return pairs.select(F.col("i").alias("a"), F.col("n").alias("b"))
+
+
+def filter_cores(gen: DataFrame, cores: DataFrame, dims, least: float, ndim: int = 3) -> DataFrame:
+    """KEY, label of the clusters of cores (KEY) of which more than `least` of the voxels next to them are of an earlier generation than theirs.
+
+    A voxel next to a cluster counts once on each side: as later if it isn't earlier than one of the cluster's that it touches, as earlier if it is.
+    """
+    from .fixpoint import components
+
+    lab = cut(components(cores.select(*KEY), offsets(ndim), dims), "core-clusters")
+    rest = gen.select(*KEY, "wave").join(cores.select(*KEY), KEY, "left_anti")
+    own = lab.join(gen.select(*KEY, "wave"), KEY)
+    sent = shifted(own, offsets(ndim), ["label", "wave"]).select(*KEY, "label", F.col("wave").alias("cw"))
+    sides = rest.join(sent, KEY).select(*KEY, "label", (F.col("wave") < F.col("cw")).alias("down")).distinct()
+    share = sides.groupBy("vol_id", "label").agg((F.count_if("down") / F.count("*")).alias("share")).where(F.col("share") > least)
+    return lab.join(share, ["vol_id", "label"], "left_semi").select(*KEY, "label")
+
+
+def merge_cores(gen: DataFrame, links: DataFrame, cores: DataFrame, dims, ndim: int = 3) -> DataFrame:
+    """KEY, label, core, hops of the voxels that links (a, b) lead to clusters of cores: the cluster before merging, and the one after.
+
+    Labels run up the links in step, the smaller label where several meet at
+    once; hops are the steps from the core. Two clusters whose voxels touch merge
+    if the hops on both sides of their nearest contacts, added up, are less than the generations of both; so do chains of such. One volume a run, as links name linear indices.
+    """
+    from .components import component_of
+    from .fixpoint import components
+
+    lab = cut(components(cores.select(*KEY), offsets(ndim), dims), "core-clusters")
+    front = seen = cut(lab.select(linear_index(dims).alias("node"), "label", F.lit(0).alias("hops")), "core-hops")
+    rounds = 0
+    while True:
+        rounds += 1
+        up = links.select(F.col("b").alias("node"), "a").join(front.select("node", "label"), "node").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("label"))
+        front = cut(up.join(seen.select("node"), "node", "left_anti").withColumn("hops", F.lit(rounds)), "core-hops")
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+        if rounds % 8 == 0:
+            seen = cut(seen, "core-hops")
+    placed = cut(gen.select(*KEY, "wave", linear_index(dims).alias("node")).join(seen, "node"), "core-regions")
+    sent = shifted(placed, offsets(ndim), ["label", "hops"]).select(*KEY, F.col("label").alias("nl"), F.col("hops").alias("nh"))
+    touch = placed.join(sent, KEY).where("label < nl").groupBy("label", "nl").agg((F.min("hops") + F.min("nh")).alias("gap"))
+    born = placed.where("hops = 0").groupBy("label").agg(F.max("wave").alias("born"))
+    near = touch.join(born, "label").join(born.select(F.col("label").alias("nl"), F.col("born").alias("nb")), "nl").where("gap < born AND gap < nb")
+    labels = born.select(F.col("label").cast("long").alias("node"))
+    merged = component_of(labels, near.select(F.col("label").cast("long").alias("a"), F.col("nl").cast("long").alias("b")))
+    return placed.join(merged.select(F.col("node").cast("int").alias("label"), F.col("root").cast("int").alias("core")), "label").select(*KEY, "label", "core", "hops")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import descent as Q
 from ..operators import features as E
+from ..operators import fixpoint as P
 from ..operators import images as I
 from ..operators import races as R
 from ..operators import stencil as S
@@ -126,3 +127,42 @@ def clicks3(spark, sf):
 def clicks4(spark, sf):
     """Where a place of each supplier climbs to in four dimensions."""
     return W.relocate_clicks(_four(spark, sf), _four_seeds(spark, sf), FOUR, box=(1, 1, 1, 1)).select("click", "x", "y", "z", "t")
+
+
+NEAR_SURFACE = "w2(x, y, z, d, wave) USING KEY (x, y, z) AS (SELECT x, y, z, d, 1 FROM dist WHERE d <= 1.21 UNION SELECT DISTINCT b.x, b.y, b.z, b.d, w2.wave + 1 FROM w2 CROSS JOIN full26 JOIN dist b ON b.x = w2.x + dx AND b.y = w2.y + dy AND b.z = w2.z + dz WHERE NOT EXISTS (SELECT 1 FROM recurring.w2 r WHERE r.x = b.x AND r.y = b.y AND r.z = b.z)), l AS (SELECT a.x + 24 * (a.y + 24 * a.z) AS a, b.x + 24 * (b.y + 24 * b.z) AS b, b.d FROM w2 a CROSS JOIN full26 JOIN w2 b ON b.x = a.x + dx AND b.y = a.y + dy AND b.z = a.z + dz WHERE b.wave = a.wave + 1)"
+
+
+def _near_surface(spark, sf):
+    deep = cut(_deep(spark, sf), "depth")
+    waves = P.waves(deep, deep.where("d <= 1.21"), S.offsets(3), first=1)
+    return cut(waves.join(deep, S.KEY), "generations")
+
+
+@query("fx11_steepest_links", f"WITH RECURSIVE {G.BALLS}, {BFG}, {FULL}, {BD}, {NEAR_SURFACE} SELECT CAST(a AS BIGINT) AS a, CAST(arg_min(b, struct_pack(v := -d, i := b)) AS BIGINT) AS b FROM l GROUP BY a")
+def fx11_steepest(spark, sf):
+    """Generations from the depth of 1 inwards; each voxel's deepest neighbour of the next one."""
+    return Q.generation_links(_near_surface(spark, sf), BDIMS, steepest="d")
+
+
+@query("fx11_all_links", f"WITH RECURSIVE {G.BALLS}, {BFG}, {FULL}, {BD}, {NEAR_SURFACE} SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b FROM l")
+def fx11_all(spark, sf):
+    """All links to the next of those generations."""
+    return Q.generation_links(_near_surface(spark, sf), BDIMS)
+
+
+MAXIMA = "mx AS (SELECT i FROM nb GROUP BY i HAVING max(ng) <= any_value(g)), me AS (SELECT nb.i AS a, nb.n AS b FROM nb WHERE i IN (SELECT i FROM mx) AND n IN (SELECT i FROM mx)), mc(node, root) USING KEY (node) AS (SELECT i, i FROM mx UNION SELECT e.b, min(c.root) FROM mc c JOIN me e ON e.a = c.node JOIN recurring.mc r ON r.node = e.b WHERE c.root < r.root GROUP BY e.b), cl AS (SELECT node AS i, CAST(dense_rank() OVER (ORDER BY root) AS INT) AS label FROM mc)"
+
+
+@query("fx30_filtered_cores", f"WITH RECURSIVE {GEN}, {MAXIMA}, sd AS (SELECT DISTINCT cl.label, nb.n, nb.ng < nb.g AS down FROM cl JOIN nb ON nb.i = cl.i WHERE nb.n NOT IN (SELECT i FROM mx)), ok AS (SELECT label FROM sd GROUP BY label HAVING count(*) FILTER (down) > 0.6 * count(*)) SELECT g.x, g.y, g.z, cl.label FROM cl JOIN g ON g.i = cl.i WHERE label IN (SELECT label FROM ok)")
+def fx30_filtered(spark, sf):
+    """Clusters of generation maxima, without those that less than 0.6 of their neighbours lead to."""
+    gen = _gen(spark, sf)
+    return Q.filter_cores(gen, Q.local_generation_maxima(gen), BDIMS, 0.6).select("x", "y", "z", "label")
+
+
+@query("fx30_merged_cores", f"WITH RECURSIVE {GEN}, {MAXIMA}, h(node, label, hops) USING KEY (node) AS (SELECT i, label, 0 FROM cl UNION SELECT down.a, min(h.label), max(h.hops) + 1 FROM h JOIN down ON down.b = h.node WHERE NOT EXISTS (SELECT 1 FROM recurring.h r WHERE r.node = down.a) GROUP BY down.a), tc AS (SELECT p.label AS la, q.label AS lb, min(p.hops) + min(q.hops) AS gap FROM h p JOIN nb ON nb.i = p.node JOIN h q ON q.node = nb.n WHERE p.label < q.label GROUP BY 1, 2), bn AS (SELECT label, max(g.wave) AS born FROM cl JOIN g ON g.i = cl.i GROUP BY 1), mg AS (SELECT la, lb FROM tc JOIN bn p ON p.label = la JOIN bn q ON q.label = lb WHERE gap < p.born AND gap < q.born), mb AS (SELECT la AS a, lb AS b FROM mg UNION ALL SELECT lb, la FROM mg), rt(label, root) USING KEY (label) AS (SELECT label, label FROM bn UNION SELECT mb.b, min(c.root) FROM rt c JOIN mb ON mb.a = c.label JOIN recurring.rt r ON r.label = mb.b WHERE c.root < r.root GROUP BY mb.b) SELECT g.x, g.y, g.z, h.label, rt.root AS core, h.hops FROM h JOIN g ON g.i = h.node JOIN rt ON rt.label = h.label")
+def fx30_merged(spark, sf):
+    """Regions of generation maxima, and what they merge to."""
+    gen = _gen(spark, sf)
+    links = Q.descent_links(gen, BDIMS, fill=False)
+    return Q.merge_cores(gen, links, Q.local_generation_maxima(gen), BDIMS).select("x", "y", "z", "label", "core", "hops")
