@@ -71,16 +71,18 @@ def _pass(f: np.ndarray, positions: np.ndarray, spacing: float, metric: str) ->
     return out
 
 
-def _passes(axes: tuple[str, str], spacing: dict[str, float], metric: str):
+def _grid(along: str, axes: str, speed: dict[str, float], metric: str):
+    """Passes along some of the axes of a group, which has a value for each of its places."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = axes
-        pa, ia = np.unique(pdf[a].to_numpy(), return_inverse=True)
-        pb, ib = np.unique(pdf[b].to_numpy(), return_inverse=True)
-        grid = np.full((len(pa), len(pb)), INF)
-        grid[ia, ib] = pdf["f_"].to_numpy()
-        grid = _pass(grid, pa.astype(float), spacing[a], metric)
-        grid = _pass(grid.T, pb.astype(float), spacing[b], metric).T
-        return pdf.assign(f_=grid[ia, ib])
+        at = [np.unique(pdf[a].to_numpy(), return_inverse=True) for a in axes]
+        grid = np.full([len(p) for p, _ in at], INF)
+        place = tuple(i for _, i in at)
+        grid[place] = pdf["f_"].to_numpy()
+        for k, a in enumerate(axes):
+            if a in along and len(at[k][0]) > 1:
+                grid = np.moveaxis(_pass(np.ascontiguousarray(np.moveaxis(grid, k, 0)), at[k][0].astype(float), speed[a], metric), 0, k)
+        return pdf.assign(f_=grid[place])
 
     return run
 
@@ -97,35 +99,21 @@ def dense(vox: DataFrame, dims) -> DataFrame:
     return out.drop("id")
 
 
-def distance(vox: DataFrame, seed: str, spacing=(1.0, 1.0, 1.0, 1.0), metric: str = "euclid", dims=None) -> DataFrame:
+def distance(vox: DataFrame, seed: str, spacing=(1.0, 1.0, 1.0, 1.0), metric: str = "euclid", dims=None, by_volume: bool = False) -> DataFrame:
     """KEY and d of every voxel: distance to the nearest voxel where `seed` is true; squared for 'euclid'.
 
     metric: euclid, city (sum) or chess (largest axis). d is null where the
     volume has no seed. Passes carry values through all cells, so give dims
-    where cells may be absent; they are neither seeds nor obstacles.
+    where cells may be absent; they are neither seeds nor obstacles. by_volume is for many small volumes: each is one group and does all passes.
     """
     speed = dict(zip("xyzt", spacing))
     rows = vox.select(*KEY, F.when(F.expr(seed), 0.0).otherwise(F.lit(INF)).alias("f_"))
     if dims is not None:
         rows = dense(vox, dims).join(rows, KEY, "left").select(*KEY, F.coalesce("f_", F.lit(INF)).alias("f_"))
-    for group, axes in ((("vol_id", "z", "t"), ("x", "y")), (("vol_id", "x", "y"), ("z", "t"))):
-        if axes == ("z", "t"):
-            group = ("vol_id", "y")
-            rows = rows.groupBy(*group).applyInPandas(_slab(speed, metric), rows.schema)
-        else:
-            rows = rows.groupBy(*group).applyInPandas(_passes(axes, speed, metric), rows.schema)
+    if by_volume:
+        rows = rows.groupBy("vol_id").applyInPandas(_grid("xyzt", "xyzt", speed, metric), rows.schema)
+    else:
+        rows = rows.groupBy("vol_id", "z", "t").applyInPandas(_grid("xy", "xy", speed, metric), rows.schema)
+        rows = rows.groupBy("vol_id", "y").applyInPandas(_grid("zt", "ztx", speed, metric), rows.schema)
     rows = rows.select(*KEY, F.when(F.col("f_") < F.lit(INF), F.col("f_")).alias("d"))
     return rows if dims is None else rows.join(vox.select(*KEY), KEY, "left_semi")
-
-
-def _slab(speed: dict[str, float], metric: str):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = [np.unique(pdf[a].to_numpy(), return_inverse=True) for a in "ztx"]
-        grid = np.full([len(p) for p, _ in at], INF)
-        place = tuple(i for _, i in at)
-        grid[place] = pdf["f_"].to_numpy()
-        grid = _pass(grid, at[0][0].astype(float), speed["z"], metric)
-        grid = np.moveaxis(_pass(np.moveaxis(grid, 1, 0), at[1][0].astype(float), speed["t"], metric), 0, 1)
-        return pdf.assign(f_=grid[place])
-
-    return run

@@ -156,6 +156,9 @@ MODELS = {
     "nonsolid_low": {"low": 100.0, "mid": 300.0, "high": 700.0, "weight": 0.2, "boost": 1.1, "instead": None},
 }
 
+#: Cells up to which a volume's distances are made in one group.
+SMALL = 1 << 18
+
 #: The least sphericity that counts, the share of the best value, and the threshold of seeds.
 LEAST_SPHERICITY, NEAR_BEST, SEED_THRESHOLD = 0.1, 0.9, 0.5
 
@@ -209,7 +212,7 @@ def extract_foreground(vox: DataFrame, clicks: DataFrame, dims, models=("solid",
     q = react_diffuse(cut(q, "memberships"), "q", rounds, speed=(1.0, 1.0, 0.5, 0.0), rate=1.0, mix=mix)
     filled = fill_holes(cut(q.select(*KEY, (F.col("q") > 0.5).cast("int").alias("mask")), "foregrounds"), 15, dims)
     mask = cut(filled.select(*KEY, F.col("filled").alias("mask")), "foregrounds")
-    depth = cut(mask.where("mask = 1").select(*KEY).join(distance(mask, "mask = 0"), KEY).select(*KEY, F.sqrt("d").alias("d")), "foreground-depth")
+    depth = cut(mask.where("mask = 1").select(*KEY).join(distance(mask, "mask = 0", by_volume=dims[0] * dims[1] * dims[2] <= SMALL), KEY).select(*KEY, F.sqrt("d").alias("d")), "foreground-depth")
     at = clicks.select(*KEY, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k")).select((F.col("vol_id") * n + F.col("k")).alias("vol_id"), *AXES)
     seeds = cut(seeds_near_clicks(depth.select(*KEY), depth, at, width), "foreground-seeds")
     scores = seeds.groupBy("vol_id").agg(F.max("value").alias("best"))

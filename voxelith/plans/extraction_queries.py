@@ -76,4 +76,4 @@ NEAREST = "CAST(min((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z
 def fx02_volumes(spark, sf):
     """Squared distance to the background in every supplier's volume."""
     v = cut(G.scans(spark, sf), "scans")
-    return distance(v, "val <= 250").join(v.where("val > 250").select(*S.KEY), S.KEY).select("vol_id", "x", "y", "z", "d")
+    return distance(v, "val <= 250", by_volume=True).join(v.where("val > 250").select(*S.KEY), S.KEY).select("vol_id", "x", "y", "z", "d")
