@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.tables import cut, numbered
+from ..plans.tables import cut, maybe_broadcast, numbered
 from .fixpoint import components, voxel_edges, waves
 from .stencil import AXES, KEY, gather, linear_index, near, offsets, shifted
 
@@ -19,7 +19,7 @@ def partition_by_weight(vox: DataFrame, seeds: DataFrame) -> DataFrame:
     packed = seeds.groupBy("vol_id").agg(F.collect_list(F.struct("label", "reach", *AXES)).alias("ss"))
     weight = lambda s: F.round(F.sqrt(sum((F.col(a) - s[a]) * (F.col(a) - s[a]) for a in AXES)) / s["reach"], 9)
     best = F.array_min(F.transform("ss", lambda s: F.struct(weight(s).alias("w"), s["label"].alias("label"))))
-    return vox.select(*KEY).join(F.broadcast(packed), "vol_id").select(*KEY, best["label"].alias("label"))
+    return vox.select(*KEY).join(maybe_broadcast(packed, seeds.count()), "vol_id").select(*KEY, best["label"].alias("label"))
 
 
 def grow_within(fg: DataFrame, seeds: DataFrame, radius: float, offs) -> DataFrame:

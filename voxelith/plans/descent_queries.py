@@ -12,6 +12,7 @@ from ..sources import grids as G
 from .fixpoint_queries import BD, BDIMS, BFG, SEEDS, _balls, _deep, _seeds
 from .grid_queries import FACE, FULL
 from .registry import query
+from .tables import numbered
 
 GEN = f"{G.BALLS}, {BFG}, {FACE}, {FULL}, s AS (SELECT a.x, a.y, a.z FROM bfg a CROSS JOIN face LEFT JOIN bfg b ON b.x = a.x + dx AND b.y = a.y + dy AND b.z = a.z + dz GROUP BY ALL HAVING count(b.x) < 6), w(x, y, z, wave) USING KEY (x, y, z) AS (SELECT x, y, z, 1 FROM s UNION SELECT DISTINCT b.x, b.y, b.z, w.wave + 1 FROM w CROSS JOIN face JOIN bfg b ON b.x = w.x + dx AND b.y = w.y + dy AND b.z = w.z + dz WHERE NOT EXISTS (SELECT 1 FROM recurring.w r WHERE r.x = b.x AND r.y = b.y AND r.z = b.z)), g AS (SELECT x + 24 * (y + 24 * z) AS i, * FROM w), nb AS (SELECT a.i AS i, a.wave AS g, b.i AS n, b.wave AS ng, dx * dx + dy * dy + dz * dz AS len2 FROM g a CROSS JOIN full26 JOIN g b ON b.x = a.x + dx AND b.y = a.y + dy AND b.z = a.z + dz), down AS (SELECT i AS a, n AS b FROM (SELECT *, rank() OVER (PARTITION BY i ORDER BY len2) AS r FROM nb WHERE ng = g + 1) WHERE r = 1)"
 
@@ -46,11 +47,9 @@ def fx14(spark, sf):
 
 @query("fx15_core_labels", f"WITH RECURSIVE {GEN}, cores AS (SELECT DISTINCT b AS node FROM down WHERE b NOT IN (SELECT a FROM down)), c AS (SELECT node, row_number() OVER (ORDER BY node) AS label FROM cores), l(node, label) USING KEY (node) AS (SELECT node, label FROM c UNION SELECT down.a, min(l.label) FROM l JOIN down ON down.b = l.node WHERE NOT EXISTS (SELECT 1 FROM recurring.l r WHERE r.node = down.a) GROUP BY down.a) SELECT CAST(node AS BIGINT) AS node, CAST(label AS INT) AS label FROM l")
 def fx15(spark, sf):
-    from pyspark.sql import Window
-
     links = P.cut(Q.descent_links(_gen(spark, sf), BDIMS, fill=False), "links")
     ends = links.select(F.col("b").alias("node")).distinct().join(links.select(F.col("a").alias("node")).distinct(), "node", "left_anti")
-    return Q.core_labels(links, ends.withColumn("label", F.row_number().over(Window.orderBy("node")))).select("node", "label")
+    return Q.core_labels(links, numbered(ends, [], ["node"], "label")).select("node", "label")
 
 
 @query("s08_generation_maxima", f"WITH RECURSIVE {GEN} SELECT CAST(i % 24 AS INT) AS x, CAST(i // 24 % 24 AS INT) AS y, CAST(i // 576 AS INT) AS z, any_value(g) AS wave FROM nb GROUP BY i HAVING max(ng) <= any_value(g)")

@@ -9,6 +9,7 @@ from ..operators.components import component_of
 from ..operators.proximity import epsilon_pairs
 from .grid_queries import D2, POINTS, points
 from .registry import query
+from .tables import numbered
 
 #: Suppliers as nodes, pairs nearer than 12 as edges; weights in whole hundredths, so sums are exact.
 NET = f"{POINTS}, net AS (SELECT a.id AS a, b.id AS b, CAST(round(100 * sqrt({D2})) AS DOUBLE) AS w FROM pts a JOIN pts b ON a.id < b.id AND {D2} < 144)"
@@ -34,9 +35,8 @@ def _nodes(spark, sf):
 @query("gr02_listing", f"WITH {NET} SELECT b AS src, a AS dst, w, CAST(row_number() OVER (ORDER BY w, b, a) AS INT) AS place FROM net")
 def gr02(spark, sf):
     """Edges turned around and numbered by weight."""
-    from pyspark.sql import Window
-
-    return net(spark, sf).select(F.col("b").alias("src"), F.col("a").alias("dst"), "w", F.row_number().over(Window.orderBy("w", "b", "a")).alias("place"))
+    turned = net(spark, sf).select(F.col("b").alias("src"), F.col("a").alias("dst"), "w")
+    return numbered(turned, [], ["w", "src", "dst"], "place").select("src", "dst", "w", "place")
 
 
 @query("gr05_clusters", f"WITH RECURSIVE {NET}, nb AS (SELECT a, b FROM net UNION ALL SELECT b, a FROM net), cc(node, root) USING KEY (node) AS (SELECT id, id FROM pts UNION SELECT e.b, min(c.root) FROM cc c JOIN nb e ON e.a = c.node JOIN recurring.cc r ON r.node = e.b WHERE c.root < r.root GROUP BY e.b) SELECT node, root FROM cc")

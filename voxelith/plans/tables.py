@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from contextlib import contextmanager
 
@@ -15,13 +16,16 @@ BROADCAST_ROWS = 200_000
 def shared_folder(spark: SparkSession) -> str:
     """This application's own folder in the one that driver and executors share.
 
-    The cluster names that in spark.checkpoint.dir. Only where that is unset (a
-    single machine, tests) a temporary folder is made and set.
+    The cluster names that in spark.checkpoint.dir. Only where that is unset on a
+    single machine (tests) a temporary folder is made and set; elsewhere that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         import tempfile
 
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="voxelith-"))
         base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/voxelith-{spark.sparkContext.applicationId}"
