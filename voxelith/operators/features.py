@@ -103,6 +103,99 @@ def size_features(fg: DataFrame, spacing=(1.0, 1.0, 1.0)) -> DataFrame:
     return best.select("vol_id", (F.col("cells") * vx * vy * vz).alias("volume"), F.col("m.a").alias("length"), F.col("m.b").alias("width"), ratio.alias("ratio"), (-F.col("m.mz")).alias("slice"))
 
 
+def slice_diameters(fg: DataFrame, spacing=(1.0, 1.0, 1.0)) -> DataFrame:
+    """vol_id, z, major, minor, e_major, e_minor of each slice with voxels: diameters between voxels, and radii of the covariance's ellipse.
+
+    major is the greatest distance of two voxels plus 1, minor the extent across
+    it plus 1 (of equal distances, the pair that comes first by y and x counts). Both
+    are reached at the first or last voxel of a row, so at most two places a row are compared. A single voxel has 1 throughout.
+    """
+    vx, vy = float(spacing[0]), float(spacing[1])
+    row = fg.groupBy("vol_id", "z", "y").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
+    ends = F.flatten(F.collect_list(F.array_distinct(F.array(F.struct("y", F.col("x0").alias("x")), F.struct("y", F.col("x1").alias("x"))))))
+    rows = row.groupBy("vol_id", "z").agg(F.array_sort(ends).alias("ps"))  # two a row
+    d2 = lambda p, q: vx * vx * (p["x"] - q["x"]) * (p["x"] - q["x"]) + vy * vy * (p["y"] - q["y"]) * (p["y"] - q["y"])
+    pair = lambda p, q: F.struct(F.round(d2(p, q), 9).alias("d"), (-p["y"]).alias("a"), (-p["x"]).alias("b"), (-q["y"]).alias("c"), (-q["x"]).alias("e"))
+    none = F.struct(F.lit(0.0).alias("d"), *(F.lit(0).alias(c) for c in "abce"))
+    best = F.aggregate("ps", none, lambda acc, p: F.greatest(acc, F.array_max(F.transform("ps", lambda q: pair(p, q)))))
+    rows = rows.withColumn("m", best).withColumn("long", F.sqrt("m.d"))
+    ux, uy = vx * (F.col("m.e") - F.col("m.b")) / F.col("long"), vy * (F.col("m.c") - F.col("m.a")) / F.col("long")
+    off = F.transform("ps", lambda p: -(vx * (p["x"] + F.col("m.b"))) * uy + vy * (p["y"] + F.col("m.a")) * ux)
+    across = F.greatest(F.array_max(off), F.lit(0.0)) - F.least(F.array_min(off), F.lit(0.0))
+    single = F.size("ps") == 1
+    direct = rows.select("vol_id", "z", F.when(single, 1.0).otherwise(F.col("long") + 1).alias("major"), F.when(single, 1.0).otherwise(across + 1).alias("minor"))
+    x, y = F.col("x") * vx, F.col("y") * vy
+    by = fg.groupBy("vol_id", "z").agg(F.count("*").alias("n"), F.var_pop(x).alias("xx"), F.var_pop(y).alias("yy"), F.covar_pop(x, y).alias("xy"))
+    ee = F.sqrt((F.col("xx") - F.col("yy")) * (F.col("xx") - F.col("yy")) + 4 * F.col("xy") * F.col("xy"))
+    radius = lambda sign: F.when(F.col("n") == 1, 1.0).otherwise(F.sqrt(F.greatest(0.5 * (F.col("xx") + F.col("yy") + sign * ee), F.lit(0.0))))
+    return direct.join(by.select("vol_id", "z", radius(1).alias("e_major"), radius(-1).alias("e_minor")), ["vol_id", "z"])
+
+
+def _widest(major: str, minor: str):
+    """By volume, the two diameters of the slice of their greatest product, the first such."""
+    return F.max(F.struct(F.round(F.col(major) * F.col(minor), 9).alias("p"), (-F.col("z")).alias("mz"), major, minor))
+
+
+def size_vector(fg: DataFrame, spacing=(1.0, 1.0, 1.0)) -> DataFrame:
+    """vol_id and seven sizes: volume; mean (less 1) and ratio of the diameters of the widest slice; mean and ratio of the
+    radii of the ellipse of its widest slice; the least eigenvalue of the covariance over the greatest and over the middle one (0 for flat ones)."""
+    slices = slice_diameters(fg, spacing)
+    wide = slices.groupBy("vol_id").agg(_widest("major", "minor").alias("m"), _widest("e_major", "e_minor").alias("e"))
+    at = {a: F.col(a) * float(s) for a, s in zip("xyz", spacing)}
+    cov = [F.covar_pop(at[a], at[b]).alias(f"c{a}{b}") for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")]
+    whole = fg.groupBy("vol_id").agg((F.count("*") * float(spacing[0] * spacing[1] * spacing[2])).alias("volume"), *cov)
+    whole = whole.select("vol_id", "volume", F.array(*eigenvalues3(*(F.col(f"c{p}") for p in ("xx", "xy", "xz", "yy", "yz", "zz")))).alias("ev"))
+    low, mid, high = (F.col("ev")[k] for k in range(3))
+    share = lambda a, b: F.when(F.round(b, 9) > 0, F.greatest(a, F.lit(0.0)) / b).otherwise(0.0)
+    whole = whole.select("vol_id", "volume", share(low, high).alias("ellipsoid_ratio_1"), share(low, mid).alias("ellipsoid_ratio_2"))
+    return whole.join(wide, "vol_id").select(
+        "vol_id",
+        "volume",
+        ((F.col("m.major") + F.col("m.minor")) / 2 - 1).alias("diameter_mean"),
+        (F.col("m.minor") / F.col("m.major")).alias("diameter_ratio"),
+        ((F.col("e.e_major") + F.col("e.e_minor")) / 2).alias("ellipse_mean"),
+        F.when(F.col("e.e_major") > 0, F.col("e.e_minor") / F.col("e.e_major")).otherwise(0.0).alias("ellipse_ratio"),
+        "ellipsoid_ratio_1",
+        "ellipsoid_ratio_2",
+    )
+
+
+def fitness_vector(depth: DataFrame, spacing=(1.0, 1.0, 1.0)) -> DataFrame:
+    """vol_id and thirteen scores of each volume's foreground (KEY, d): voxels, volume; sphericity in windows of 5 where that
+    in windows of 3 is greatest, and where the depth is; the greatest depth; mean and greatest diameter, and mean
+    and greatest radius of the ellipse, of the widest slice and then of the slice of the greatest depth. Of equal places the first in raster order counts.
+    """
+    first = lambda v: F.min(F.struct((-F.round(v, 9)).alias("v"), "t", "z", "y", "x"))
+    small = sphericity(depth, "d").select(*KEY, F.col("d"), "sp")
+    tops = small.groupBy("vol_id").agg(F.count("*").alias("n"), F.max("d").alias("top"), first(F.col("sp")).alias("s"), first(F.col("d")).alias("m"))
+    wide = sphericity(depth, "d", (2, 2, 2)).select(*KEY, F.col("sp").alias("wide"))
+    out = tops
+    for column, name in (("s", "sphericity_1"), ("m", "sphericity_2")):
+        places = wide.select("vol_id", *(F.col(a).alias(f"{column}_{a}") for a in "tzyx"), F.col("wide").alias(name))
+        out = out.withColumns({f"{column}_{a}": F.col(f"{column}.{a}") for a in "tzyx"}).join(places, ["vol_id", *(f"{column}_{a}" for a in "tzyx")])
+    slices = slice_diameters(depth, spacing)
+    best = slices.groupBy("vol_id").agg(_widest("major", "minor").alias("w"), _widest("e_major", "e_minor").alias("e"))
+    here = slices.select("vol_id", F.col("z").alias("m_z"), *(F.col(c).alias(f"h_{c}") for c in ("major", "minor", "e_major", "e_minor")))
+    out = out.join(best, "vol_id").join(here, ["vol_id", "m_z"])
+    mean = lambda a, b: (F.col(a) + F.col(b)) / 2
+    return out.select(
+        "vol_id",
+        F.col("n").alias("voxels"),
+        (F.col("n") * float(spacing[0] * spacing[1] * spacing[2])).alias("volume"),
+        "sphericity_1",
+        "sphericity_2",
+        F.col("top").alias("depth"),
+        mean("w.major", "w.minor").alias("diameter_mean"),
+        F.col("w.major").alias("diameter"),
+        mean("e.e_major", "e.e_minor").alias("radius_mean"),
+        F.col("e.e_major").alias("radius"),
+        mean("h_major", "h_minor").alias("deep_diameter_mean"),
+        F.col("h_major").alias("deep_diameter"),
+        mean("h_e_major", "h_e_minor").alias("deep_radius_mean"),
+        F.col("h_e_major").alias("deep_radius"),
+    )
+
+
 def shells(vox: DataFrame, d2: str, bins: int) -> DataFrame:
     """vox with shell 1..bins: d2 values in order of size, cut so that shells hold near-equal counts; equal values share one.
 

@@ -166,3 +166,28 @@ def fx30_merged(spark, sf):
     gen = _gen(spark, sf)
     links = Q.descent_links(gen, BDIMS, fill=False)
     return Q.merge_cores(gen, links, Q.local_generation_maxima(gen), BDIMS).select("x", "y", "z", "label", "core", "hops")
+
+
+@query("fe01_size_vector")
+def fe01_vector(spark, sf):
+    """Seven sizes of the foreground of each supplier's volume."""
+    fg = G.scans(spark, sf).where("val > 250").select(*S.KEY)
+    f = E.size_vector(fg)
+    return f.select("vol_id", *(F.round(c, 5).alias(c) for c in f.columns if c != "vol_id"))
+
+
+@query("fe10_fitness")
+def fe10(spark, sf):
+    """Thirteen scores of the foreground of each supplier's volume."""
+    f = E.fitness_vector(cut(_depths(spark, sf), "depth"))
+    return f.select("vol_id", "voxels", *(F.round(c, 5).alias(c) for c in f.columns if c not in ("vol_id", "voxels")))
+
+
+@query("s04_geodesic_seeds", f"WITH {DEPTHS}, {FULL}, sp AS (SELECT a.vol_id, a.x, a.y, a.z, count(*) FILTER (b.d > 0 AND b.d < a.d) / 26.0 AS sp FROM dep a CROSS JOIN full26 LEFT JOIN dep b ON b.vol_id = a.vol_id AND b.x = a.x + dx AND b.y = a.y + dy AND b.z = a.z + dz GROUP BY 1, 2, 3, 4), r AS (SELECT sp.* FROM sp JOIN spot ON spot.vol_id = sp.vol_id AND k = 0 AND (x - cx) * (x - cx) + (y - cy) * (y - cy) + (z - cz) * (z - cz) <= 2) SELECT vol_id, x, y, z, round(sp, 6) AS sp FROM r WHERE sp > 0.95 * greatest((SELECT max(q.sp) FROM r q WHERE q.vol_id = r.vol_id), 0)")
+def s04_geodesic(spark, sf):
+    """Voxels within a path of 1.5 of the first spot whose sphericity is more than 0.95 of the best there."""
+    deep = cut(_depths(spark, sf), "depth")
+    region = P.geodesic(deep, _clicks(spark, sf), S.offsets(3), 1.5).select(*S.KEY)
+    sp = cut(E.sphericity(deep, "d").join(region, S.KEY), "region-sphericity")
+    best = sp.groupBy("vol_id").agg(F.max("sp").alias("best"))
+    return sp.join(best, "vol_id").where("sp > 0.95 * best").select("vol_id", "x", "y", "z", F.round("sp", 6).alias("sp"))
