@@ -197,6 +197,62 @@ def plane_sides(surface: DataFrame, origin: dict[str, float], normal: dict[str,
     return surface.withColumn("side", (dot > 0).cast("int"))
 
 
+def distribute_mass(gen: DataFrame, links: DataFrame, dims) -> DataFrame:
+    """KEY, wave, mass: voxels of the first wave have 1 and pass equal shares of what they get on along their links (a, b).
+
+    Links lead from a wave to the next; what a voxel without links gets stays there. One job for each wave.
+    """
+    rows = cut(gen.select(*KEY, "wave", linear_index(dims).alias("i")), "mass")
+    degree = links.groupBy("a").agg(F.count("*").alias("n"))
+    shares = cut(links.join(degree, "a").select("a", "b", "n"), "mass-links")
+    first, last = rows.agg(F.min("wave"), F.max("wave")).first()
+    if first is None:
+        return rows.select(*KEY, "wave", F.lit(1.0).alias("mass"))
+    out = front = rows.where(F.col("wave") == first).select("i", F.lit(1.0).alias("mass"))
+    for n in range(first + 1, last + 1):  # the depth of the volume
+        got = front.join(shares, front["i"] == shares["a"]).groupBy(F.col("b").alias("i")).agg(F.sum(F.col("mass") / F.col("n")).alias("mass"))
+        here = rows.where(F.col("wave") == n).select("i")
+        front = cut(here.join(got, "i", "left").na.fill(0.0, ["mass"]), "mass")
+        out = out.unionByName(front)
+    return rows.join(out, "i").select(*KEY, "wave", "mass")
+
+
+def cut_surface(surface: DataFrame, planes: DataFrame, dims) -> DataFrame:
+    """surface (KEY) with side and chosen (0 or 1): what a plane cuts off a surface in three dimensions.
+
+    planes: vol_id, o (place), u, v, w (places beside it), structs of x, y, z; one
+    for each volume, copies of a volume for more. The plane holds o, u and v; its
+    normal points away from w. Voxels are before, on or behind it (side 1, 0, -1), and
+    parts are full-connected voxels of one side. The base is the part on the
+    plane with the voxel nearest o; of the parts of side 1 with a face on the base that one
+    is chosen which has the greatest share of voxels toward u plus that toward v
+    (none if all are 0, unless it is alone). Voxels of the base are chosen too
+    where their projections on u and v add up to more than 0. Ties go to the smaller part.
+    """
+    from .fixpoint import components
+
+    part = {k: [(F.col(f"{k}.{a}") - F.col(f"o.{a}")).cast("double") for a in "xyz"] for k in "uvw"}
+    cross = lambda p, q: [p[i] * q[j] - p[j] * q[i] for i, j in ((1, 2), (2, 0), (0, 1))]
+    dot = lambda p, q: sum(a * b for a, b in zip(p, q))
+    normal = cross(part["u"], part["v"])
+    turn = F.when(dot(normal, part["w"]) > 0, -1.0).otherwise(1.0)
+    near = planes.select("vol_id", *(F.col(f"o.{a}").cast("double").alias(f"o{a}") for a in "xyz"), *(c.alias(f"{k}{a}") for k in "uv" for c, a in zip(part[k], "xyz")), *((turn * c).alias(f"n{a}") for c, a in zip(normal, "xyz")))
+    off = [F.col(a) - F.col(f"o{a}") for a in "xyz"]
+    along = {k: dot(off, [F.col(f"{k}{a}") for a in "xyz"]) for k in "uvn"}
+    rows = surface.select(*KEY).join(near, "vol_id")
+    rows = rows.select(*KEY, F.signum(along["n"]).cast("int").alias("side"), along["u"].alias("u"), along["v"].alias("v"), dot(off, off).alias("far"))
+    parts = cut(components(rows, offsets(3), dims, same=["side"]), "cut-parts")
+    base = parts.where("side = 0").groupBy("vol_id").agg(F.min(F.struct("far", "label")).alias("m")).select("vol_id", F.col("m.label").alias("base"))
+    ground = cut(parts.join(base, "vol_id").where("label = base"), "cut-base")
+    next_to = shifted(ground, offsets(3, "face"), []).select(*KEY).distinct()
+    touching = parts.where("side = 1").join(next_to, KEY, "left_semi").select("vol_id", "label").distinct()
+    score = parts.join(touching, ["vol_id", "label"], "left_semi").groupBy("vol_id", "label").agg(((F.count_if(F.col("u") > 0) + F.count_if(F.col("v") > 0)) / F.count("*")).alias("score"))
+    best = score.groupBy("vol_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "label")).alias("m"), F.count("*").alias("n")).where("n = 1 OR m.s < 0").select("vol_id", F.col("m.label").alias("label"), F.lit(1).alias("picked"))
+    chosen = parts.join(best, ["vol_id", "label"], "left").join(base, "vol_id", "left")
+    taken = F.col("picked").isNotNull() | F.coalesce((F.col("label") == F.col("base")) & (F.col("u") + F.col("v") > 0), F.lit(False))
+    return chosen.select(*KEY, "side", taken.cast("int").alias("chosen"))
+
+
 def link_scores(links: DataFrame, dims) -> DataFrame:
     """links (a, b) with score: 27 t + 9 z + 3 y + x of the digits 3 (equal), 2 (a is less) or 1 of each coordinate of a against b."""
     from .stencil import subscripts

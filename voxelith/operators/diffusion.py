@@ -21,11 +21,12 @@ def reaction(c: Column, k=(1.0, 0.0, 0.0, 1.0)) -> Column:
     return c * (f1 - (c * f1 + (1 - c) * f2))
 
 
-def react_diffuse(vox: DataFrame, value: str, rounds: int = 4, k=(1.0, 0.0, 0.0, 1.0), speed=(0.125, 0.125, 0.125, 0.125), rate: float = 0.25, ndim: int = 3, order: str = "jacobi", mix: float | None = None, fixed: str | None = None) -> DataFrame:
+def react_diffuse(vox: DataFrame, value: str, rounds: int = 4, k=(1.0, 0.0, 0.0, 1.0), speed=(0.125, 0.125, 0.125, 0.125), rate: float = 0.25, ndim: int = 3, order: str = "jacobi", mix: float | None = None, fixed: str | None = None, split: bool = False) -> DataFrame:
     """KEY and value after `rounds` steps of c += rate * (reaction + sum of speed * (neighbour - c)), kept in [0, 1]. Absent neighbours count as the centre.
 
     With mix, the step is rate * (mix * reaction + (1 - mix) * diffusion by mean
-    speed). Voxels whose column `fixed` isn't 0 keep their value.
+    speed). With split, the whole diffusion is added first, and rate * reaction of
+    the outcome then. Voxels whose column `fixed` isn't 0 keep their value.
     """
     if order == "raster":
         return _raster(vox, value, rounds, k, speed, rate, ndim)
@@ -37,7 +38,8 @@ def react_diffuse(vox: DataFrame, value: str, rounds: int = 4, k=(1.0, 0.0, 0.0,
         g = gather(vox.select(*KEY, value, *also), faces, {"pulled": F.coalesce(F.sum(near(pull * F.col(value))), F.lit(0.0)), "weight": F.coalesce(F.sum(near(pull)), F.lit(0.0))}, [value, *also])
         c = F.col(value)
         spread = F.col("pulled") - F.col("weight") * c
-        new = c + rate * (reaction(c, k) + spread if mix is None else mix * reaction(c, k) + (1 - mix) / total * spread)
+        base, spread = (c + spread, F.lit(0.0)) if split else (c, spread)
+        new = base + rate * (reaction(base, k) + spread if mix is None else mix * reaction(base, k) + (1 - mix) / total * spread)
         new = F.least(F.greatest(new, F.lit(0.0)), F.lit(1.0))
         vox = g.select(*KEY, (F.when(F.col(fixed) != 0, c).otherwise(new) if fixed else new).alias(value), *also)
         if n % 4 == 3 and n + 1 < rounds:

@@ -56,8 +56,10 @@ def relative_pairs(points: DataFrame, proportion: float) -> DataFrame:
     return joined.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b"), F.sqrt(d2).alias("dist"))
 
 
-def nearest(points: DataFrame, cores: DataFrame) -> DataFrame:
-    """id, core, dist: the nearest core of each point, the smaller id on ties.
+def nearest(points: DataFrame, cores: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """id, core, dist: the nearest core of each point, the smaller id on ties; with `by`, among those that agree in these columns.
+
+    Points that no core agrees with have no row.
 
     Points meet the cores of their own and the adjoining cells. The best of these
     is the nearest if it isn't farther than a cell is wide; points without such a
@@ -71,19 +73,21 @@ def nearest(points: DataFrame, cores: DataFrame) -> DataFrame:
     spans = [float(b) - float(a) for a, b in zip(box[1::2], box[2::2])]
     wide = [x for x in spans if x > 0]
     width = max((prod(wide) / box[0]) ** (1 / len(wide)), max(wide) / 2**20) if wide else 1.0
-    side = cores.select(F.col("id").alias("core"), *(F.col(c).alias(f"q{c}") for c in axes))
+    side = cores.select(*by, F.col("id").alias("core"), *(F.col(c).alias(f"q{c}") for c in axes))
     d2 = sum((F.col(c) - F.col(f"q{c}")) * (F.col(c) - F.col(f"q{c}")) for c in axes)
-    left, found = cut(points.select("id", *axes), "nearest"), []
+    if by:
+        points = points.join(cores.select(*by).distinct(), list(by), "left_semi")
+    left, found = cut(points.select("id", *by, *axes), "nearest"), []
     while True:
         cell = lambda c: F.floor(F.col(c) / F.lit(width)).cast("long")
         around = left
         for c in axes:
             around = around.withColumn(f"c{c}", F.explode(F.array(*(cell(c) + k for k in (-1, 0, 1)))))
         homes = side.select("*", *(cell(f"q{c}").alias(f"c{c}") for c in axes))
-        best = around.join(homes, [f"c{c}" for c in axes]).groupBy("id").agg(F.min(F.struct(d2.alias("d2"), "core")).alias("m"))
+        best = around.join(homes, [*by, *(f"c{c}" for c in axes)]).groupBy("id").agg(F.min(F.struct(d2.alias("d2"), "core")).alias("m"))
         level = cut(left.join(best, "id", "left").withColumn("near", F.coalesce(F.col("m.d2") <= F.lit(width * width), F.lit(False))), "nearest")
         found.append(level.where("near").select("id", F.col("m.core").alias("core"), F.sqrt("m.d2").alias("dist")))
-        left = level.where("NOT near").select("id", *axes)
+        left = level.where("NOT near").select("id", *by, *axes)
         if left.isEmpty():
             return reduce(DataFrame.unionByName, found)
         width *= 2

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..plans.tables import cut, maybe_broadcast, numbered
 from .fixpoint import components, voxel_edges, waves
+from .proximity import nearest
 from .stencil import AXES, KEY, gather, linear_index, near, offsets, shifted
 
 
@@ -50,6 +51,55 @@ def cluster_graph(gen: DataFrame, offs, dims) -> tuple[DataFrame, DataFrame]:
     return lab, links
 
 
+def split_clusters(clusters: DataFrame, links: DataFrame, dims) -> DataFrame:
+    """KEY, wave, label, child, piece: clusters cut until each has one descendant at most.
+
+    clusters and links as from cluster_graph(). From the last wave backwards, the voxels
+    of a cluster with several descendants go to that with the nearest voxel (the
+    smaller piece on ties), and all ascendants of the cluster are ascendants of each of its
+    pieces. A piece is named by the least linear index of its voxels, child is its
+    descendant's name or null. One search of nearest voxels for each wave; the waves are
+    the depth of the volume. One volume a run, of up to three axes.
+    """
+    rows = cut(clusters.select(*KEY, "wave", "label", linear_index(dims).alias("id")), "split-clusters")
+    links = cut(links.select("la", "lb").distinct(), "split-links")
+    place = [F.col(a).cast("double").alias(f"p{a}") for a in "xyz"]
+    out, below = None, None
+    for g in sorted((r[0] for r in rows.select("wave").distinct().collect()), reverse=True):  # as many as the volume is deep
+        now = rows.where(F.col("wave") == g)
+        if below is None:
+            now = now.withColumn("child", F.lit(None).cast("long"))
+        else:
+            of = links.join(below.select(F.col("label").alias("lb"), "piece").distinct(), "lb").select(F.col("la").alias("label"), "piece").distinct()
+            several = cut(of.groupBy("label").agg(F.count("*").alias("n_"), F.min("piece").alias("only_")), "split-children")
+            wide = several.where("n_ > 1").select("label")
+            ends = of.join(wide, "label", "left_semi").join(below.select("piece", *place), "piece").select("label", F.col("piece").alias("id"), *(f"p{a}" for a in "xyz"))
+            found = nearest(now.join(wide, "label", "left_semi").select("id", "label", *place), cut(ends, "split-ends"), by=("label",))
+            now = now.join(several, "label", "left").join(found.select("id", "core"), "id", "left").withColumn("child", F.when(F.col("n_") > 1, F.col("core")).otherwise(F.col("only_")))
+        names = now.groupBy("label", "child").agg(F.min("id").alias("piece"))
+        named = now.join(names.withColumnRenamed("child", "child_").withColumnRenamed("label", "label_"), (F.col("label") == F.col("label_")) & F.col("child").eqNullSafe(F.col("child_")))
+        below = cut(named.select(*KEY, "wave", "label", "child", "piece"), "split-wave")
+        out = below if out is None else out.unionByName(below)
+    return out if out is not None else rows.select(*KEY, "wave", "label", F.lit(None).cast("long").alias("child"), F.col("id").alias("piece"))
+
+
+def cluster_coreness(clusters: DataFrame, links: DataFrame, offs, limit: float) -> DataFrame:
+    """label, coreness, core: clusters by how little leads on from them.
+
+    coreness is the count of their descendants' voxels next to them over that of their
+    ascendants'; null without ascendants. A core has less than limit and no descendant with less.
+    """
+    own = clusters.select(*KEY, "wave", "label")
+    sent = shifted(own, offs, ["label", "wave"]).select(*KEY, F.col("label").alias("of"), F.col("wave").alias("ow"))
+    touching = own.join(sent, KEY).where("abs(wave - ow) = 1").select(*KEY, "of", (F.col("wave") > F.col("ow")).alias("down")).distinct()
+    sides = touching.groupBy(F.col("of").alias("label")).agg(F.count_if("down").alias("n_down"), F.count_if(~F.col("down")).alias("n_up"))
+    score = clusters.select("label").distinct().join(sides, "label", "left").na.fill(0, ["n_down", "n_up"])
+    score = cut(score.select("label", F.when(F.col("n_up") > 0, F.col("n_down") / F.col("n_up")).alias("coreness")), "coreness")
+    low = score.where(F.col("coreness") < limit).select(F.col("label").alias("lb"))
+    over = links.select("la", "lb").distinct().join(low, "lb", "left_semi").select(F.col("la").alias("label"), F.lit(True).alias("over_")).distinct()
+    return score.join(over, "label", "left").select("label", "coreness", (F.coalesce(F.col("coreness") < limit, F.lit(False)) & F.col("over_").isNull()).alias("core"))
+
+
 def convexity(fg: DataFrame, dims, ndim: int = 3) -> DataFrame:
     """vol_id, measure: greatest difference of path length and city-block distance from the voxel nearest the centroid, over the longest path."""
     mean = fg.groupBy("vol_id").agg(*(F.avg(a).alias(f"m{a}") for a in AXES))
