@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxelith.operators import descent, diffusion, patches, segments
+from voxelith.operators import descent, diffusion, hulls, patches, segments
 from voxelith.operators.stencil import KEY, offsets
 
 SIDE = 5
@@ -208,3 +208,61 @@ def test_plane_cuts(spark):
     got = descent.cut_surface(spark.createDataFrame(rows, "vol_id long, x int, y int, z int, t int"), spark.createDataFrame(planes, f"vol_id long, o {place}, u {place}, v {place}, w {place}"), DIMS)
     assert {(r.vol_id, r.x, r.y, r.z): (r.side, r.chosen) for r in got.collect()} == want
     assert KEY == got.columns[:5]
+
+
+@pytest.mark.parametrize("seed, least", [(1, 0.0), (2, 0.5), (3, -1.0)])
+def test_straight_walks(spark, seed, least):
+    rng = random.Random(seed)
+    waves = {c: sum(c) // 2 + rng.randint(0, 1) for c in cells(seed)}
+    links = [(c, shift(c, d)) for c in waves for d in offsets(3) if waves.get(shift(c, d)) == waves[c] + 1]
+    ends = set(rng.sample(sorted(waves), 8))
+    got = descent.straight_walks(spark.createDataFrame([(index(a), index(b)) for a, b in links], "a long, b long"), DIMS, spark.createDataFrame([(index(c),) for c in ends], "node long"), least)
+    after = {}
+    for a, b in links:
+        after.setdefault(a, []).append(b)
+
+    def walk(a, b):
+        steps = 1
+        while b not in ends and after.get(b):
+            d = np.subtract(b, a)
+            k, _, c = min((-round(float(d @ np.subtract(c, b) / np.sqrt((d @ d) * (np.subtract(c, b) @ np.subtract(c, b)))), 9), index(c), c) for c in after[b])
+            if -k < least:
+                break
+            a, b, steps = b, c, steps + 1
+        return index(b), steps
+
+    assert {(r.a, r.b): (r["last"], r.steps) for r in got.collect()} == {(index(a), index(b)): walk(a, b) for a, b in links}
+    assert descent.straight_walks(got.select("a", "b").limit(0), DIMS).count() == 0
+
+
+def test_axis_ascents(spark):
+    rng = random.Random(4)
+    waves = {c: rng.randint(1, 4) for c in cells(4, 0.7)}
+    starts = [c for c in waves if waves[c] == 1]
+    want = set()
+    for s in starts:
+        p, seen = s, 0
+        for d in offsets(3, "face"):
+            while waves.get(shift(p, d), 0) > waves[p]:
+                p = shift(p, d)
+            if waves[p] > 1:
+                want.add(p)
+                seen += 1
+        if not seen:
+            want.add(s)
+    gen = table(spark, {c: (w,) for c, w in waves.items()}, "wave int")
+    got = descent.axis_ascents(gen, gen.where("wave = 1"))
+    assert sorted((r.x, r.y, r.z) for r in got.collect()) == sorted(want)
+    assert descent.axis_ascents(gen.limit(0), gen.limit(0)).count() == 0
+
+
+def test_carve_in_four_dimensions(spark):
+    """A simplex of five facets, one of them without extent besides; the second volume has such a one alone, so its box counts."""
+    corners = [(0, 0, 0, 0), (4, 0, 0, 0), (0, 4, 0, 0), (0, 0, 4, 0), (0, 0, 0, 4)]
+    points = [(v, i, *c) for v in (0, 1) for i, c in enumerate(corners)]
+    facets = [(0, *(k for k in range(5) if k != skip)) for skip in range(5)] + [(0, 1, 1, 2, 3), (1, 0, 0, 1, 2)]
+    rows = [(v, x, y, z, t) for v in (0, 1) for x in range(-1, 6) for y in range(6) for z in range(6) for t in range(6)]
+    vox = spark.createDataFrame(rows, "vol_id long, x int, y int, z int, t int")
+    got = hulls.carve_hull(vox, spark.createDataFrame(points, "vol_id long, idx int, x int, y int, z int, t int"), spark.createDataFrame(facets, "vol_id long, p0 int, p1 int, p2 int, p3 int"))
+    want = {r for r in rows if all(0 <= c <= 4 for c in r[1:]) and (r[0] or sum(r[1:]) <= 4)}
+    assert {tuple(r) for r in got.collect()} == want

@@ -308,6 +308,63 @@ def straightest_in_generation(gen: DataFrame, links: DataFrame, dims, ndim: int
     return best.select(F.col("i").alias("a"), F.col("n").alias("b"))
 
 
+def straight_successors(links: DataFrame, dims, ends: DataFrame | None = None, least: float = 0.0) -> DataFrame:
+    """a, b, c: where each link (a, b) goes on from b: the link (b, c) nearest its own direction, the smaller c on ties.
+
+    Links whose best cosine is below `least`, or that lead to a node of `ends`, don't go on.
+    """
+    from .stencil import subscripts
+
+    rows = links.select("a", "b", *((q - p).alias(f"d{x}") for p, q, x in zip(subscripts(F.col("a"), dims), subscripts(F.col("b"), dims), AXES)))
+    after = rows.select(F.col("a").alias("b"), F.col("b").alias("c"), *(F.col(f"d{x}").alias(f"e{x}") for x in AXES))
+    if ends is not None:
+        after = after.join(ends.select(F.col("node").alias("b")), "b", "left_anti")
+    dot = lambda p, q: sum(F.col(f"{p}{x}") * F.col(f"{q}{x}") for x in AXES)
+    cosine = F.round(dot("d", "e") / F.sqrt(dot("d", "d") * dot("e", "e")), 9)
+    best = rows.join(after, "b").where(cosine >= least).groupBy("a", "b").agg(F.min(F.struct((-cosine).alias("k"), "c")).alias("m"))
+    return best.select("a", "b", F.col("m.c").alias("c"))
+
+
+def straight_walks(links: DataFrame, dims, ends: DataFrame | None = None, least: float = 0.0) -> DataFrame:
+    """a, b, last, steps: where the walk that starts with each link (a, b) ends by straight_successors(), and how many links it has.
+
+    All walks at once by pointer doubling: the rounds are the logarithm of the
+    longest. Links must lead to later generations, so that no walk runs in a circle.
+    """
+    on = straight_successors(links, dims, ends, least)
+    goes = F.col("c").isNotNull()
+    now = links.select("a", "b").join(on, ["a", "b"], "left")
+    now = cut(now.select("a", "b", F.when(goes, F.col("b")).otherwise(F.col("a")).alias("ta"), F.coalesce("c", "b").alias("tb"), goes.cast("long").alias("hops"), goes.alias("open")), "walks")
+    while True:
+        jump = now.select(F.col("a").alias("ta"), F.col("b").alias("tb"), F.col("ta").alias("ua"), F.col("tb").alias("ub"), F.col("hops").alias("more"), F.col("open").alias("goes"))
+        now = cut(now.join(jump, ["ta", "tb"]).select("a", "b", F.col("ua").alias("ta"), F.col("ub").alias("tb"), (F.col("hops") + F.when(F.col("open"), F.col("more")).otherwise(0)).alias("hops"), (F.col("open") & F.col("goes")).alias("open")), "walks")
+        if now.where("open").isEmpty():
+            return now.select("a", "b", F.col("tb").alias("last"), (F.col("hops") + 1).alias("steps"))
+
+
+def axis_ascents(gen: DataFrame, starts: DataFrame, ndim: int = 3) -> DataFrame:
+    """KEY of the places that starts climb to along the axes, one direction after the other.
+
+    The directions come in the order of offsets(ndim, 'face'). In each a start goes
+    on from where it stands while the next voxel is of a later wave; where it then stands
+    counts if that is past wave 1. Starts that have no such place count themselves.
+    """
+    place = starts.select(*KEY).distinct().join(gen.select(*KEY, "wave"), KEY).withColumn("home", F.struct(*KEY))
+    found = None
+    for d in offsets(ndim, "face"):
+        axis, way = next((a, c) for a, c in zip(AXES, d) if c)
+        line = Window.partitionBy("vol_id", *(a for a in AXES if a != axis)).orderBy(F.col(axis) * way)
+        rises = F.coalesce((F.lead(axis).over(line) == F.col(axis) + way) & (F.lead("wave").over(line) > F.col("wave")), F.lit(False))
+        runs = gen.select(*KEY, "wave").withColumn("stop", F.when(~rises, F.struct(F.col(axis).alias("p"), F.col("wave").alias("w"))))
+        ends = runs.withColumn("to_", F.first("stop", ignorenulls=True).over(line.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
+        moved = place.select(*KEY, "home").join(ends.select(*KEY, "to_"), KEY)
+        place = cut(moved.select(*(F.col("to_.p").alias(a) if a == axis else F.col(a) for a in KEY), F.col("to_.w").alias("wave"), "home"), "ascents")
+        here = place.where("wave > 1").select("home", *KEY)
+        found = here if found is None else found.unionByName(here)
+    alone = place.select("home").join(found.select("home"), "home", "left_anti").select(*(F.col(f"home.{k}").alias(k) for k in KEY))
+    return found.select(*KEY).unionByName(alone).distinct()
+
+
 def generation_links(gen: DataFrame, dims, kind: str = "full", steepest: str | None = None, ndim: int = 3) -> DataFrame:
     """a, b (linear indices): links from each voxel to its neighbours (offsets `kind`) of the next generation.
 

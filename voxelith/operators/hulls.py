@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.tables import maybe_broadcast
-from .stencil import KEY, gather, near, offsets
+from .stencil import AXES, KEY, gather, near, offsets
 
 HULL_SCHEMA = "vol_id bigint, facet int, nx double, ny double, nz double, offset double, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double, x2 double, y2 double, z2 double"
 
@@ -77,15 +77,49 @@ def hull_facets(points: DataFrame) -> DataFrame:
 
 
 def carve(vox: DataFrame, planes: DataFrame, tolerance: float = 0.01) -> DataFrame:
-    """vox rows inside all half-spaces (vol_id, nx, ny, nz, offset): n . p - offset at most tolerance.
+    """vox rows inside all half-spaces (vol_id, nx, ny, nz, perhaps nt, offset): n . p - offset at most tolerance.
 
     Planes are packed into one row by volume, so each voxel is read once and no pairs are made.
     """
-    packed = planes.groupBy("vol_id").agg(F.collect_list(F.struct("nx", "ny", "nz", "offset")).alias("ps"))
-    inside = F.forall("ps", lambda p: p["nx"] * F.col("x") + p["ny"] * F.col("y") + p["nz"] * F.col("z") - p["offset"] <= tolerance)
+    axes = [a for a in AXES if f"n{a}" in planes.columns]
+    packed = planes.groupBy("vol_id").agg(F.collect_list(F.struct(*(f"n{a}" for a in axes), "offset")).alias("ps"))
+    inside = F.forall("ps", lambda p: sum(p[f"n{a}"] * F.col(a) for a in axes) - p["offset"] <= tolerance)
     return vox.join(maybe_broadcast(packed, planes.count()), "vol_id").where(inside).select(*vox.columns)
 
 
+def facet_planes(points: DataFrame, facets: DataFrame) -> DataFrame:
+    """vol_id, nx, ny, nz, nt, offset: unit normals of four-dimensional facets, away from the mean of the volume's points.
+
+    points: vol_id, idx, x, y, z, t; facets: vol_id, p0, p1, p2, p3 (idx). Facets
+    without extent, or whose plane holds the mean, have no row.
+    """
+    mean = points.groupBy("vol_id").agg(*(F.avg(a).alias(f"m{a}") for a in AXES))
+    rows = facets.select("vol_id", "p0", "p1", "p2", "p3")
+    for k in range(4):
+        corner = points.select("vol_id", F.col("idx").alias(f"p{k}"), *(F.col(a).cast("double").alias(f"{a}{k}") for a in AXES))
+        rows = rows.join(corner, ["vol_id", f"p{k}"])
+    edge = [[F.col(f"{a}{k}") - F.col(f"{a}0") for a in AXES] for k in (1, 2, 3)]
+
+    def minor(skip: int):
+        u, v, w = ([e[j] for j in range(4) if j != skip] for e in edge)
+        return u[0] * (v[1] * w[2] - v[2] * w[1]) - u[1] * (v[0] * w[2] - v[2] * w[0]) + u[2] * (v[0] * w[1] - v[1] * w[0])
+
+    rows = rows.join(mean, "vol_id").select("vol_id", *(f"{a}0" for a in AXES), *(f"m{a}" for a in AXES), *((minor(j) if j % 2 == 0 else -minor(j)).alias(f"c{a}") for j, a in enumerate(AXES)))
+    outward = sum(F.col(f"c{a}") * (F.col(f"{a}0") - F.col(f"m{a}")) for a in AXES)
+    rows = rows.withColumn("way", F.signum(outward) / F.sqrt(sum(F.col(f"c{a}") * F.col(f"c{a}") for a in AXES))).where(outward != 0)
+    rows = rows.select("vol_id", *(f"{a}0" for a in AXES), *((F.col("way") * F.col(f"c{a}")).alias(f"n{a}") for a in AXES))
+    return rows.select("vol_id", *(f"n{a}" for a in AXES), sum(F.col(f"n{a}") * F.col(f"{a}0") for a in AXES).alias("offset"))
+
+
+def carve_hull(vox: DataFrame, points: DataFrame, facets: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """vox rows inside the bounding box of the volume's points and on the inner side of all its facets, in four dimensions."""
+    box = points.groupBy("vol_id").agg(*(f(a).alias(f"{n}{a}") for a in AXES for n, f in (("l", F.min), ("g", F.max))))
+    held = vox.join(maybe_broadcast(box), "vol_id").where(" AND ".join(f"{a} BETWEEN l{a} AND g{a}" for a in AXES)).select(*vox.columns)
+    planes = facet_planes(points, facets)
+    flat = held.join(planes.select("vol_id").distinct(), "vol_id", "left_anti")  # no facet: the box alone
+    return carve(held, planes, tolerance).unionByName(flat)
+
+
 def refine_boundary(segment: DataFrame, label: DataFrame, ndim: int = 3) -> DataFrame:
     """KEY of label voxels outside the segment that lie between a segment voxel and a background place on opposite sides."""
     both = label.select(*KEY).join(segment.select(*KEY).withColumn("s", F.lit(1)), KEY, "left").withColumn("s", F.coalesce("s", F.lit(0)))

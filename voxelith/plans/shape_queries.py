@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import descent as Q
 from ..operators import diffusion as D
+from ..operators import hulls as H
 from ..operators import patches as T
 from ..operators import segments as M
 from ..operators import stencil as S
@@ -111,3 +112,41 @@ def gr16_cuts(spark, sf):
     """What a plane through its first spot cuts off the surface of each supplier's volume."""
     fg = cut(G.scans(spark, sf).where("val > 250").select(*S.KEY), "scan-foreground")
     return Q.cut_surface(S.surface(fg, 3), _planes(spark, sf), SIDES).select("vol_id", "x", "y", "z", "side", "chosen")
+
+
+@query("fx14_straight_walks", f"WITH RECURSIVE {GEN}, ln AS (SELECT down.a, down.b, q.x - p.x AS dx, q.y - p.y AS dy, q.z - p.z AS dz FROM down JOIN g p ON p.i = a JOIN g q ON q.i = b), cs AS (SELECT m.a, m.b, n.b AS c, round((m.dx * n.dx + m.dy * n.dy + m.dz * n.dz) / sqrt(CAST((m.dx * m.dx + m.dy * m.dy + m.dz * m.dz) * (n.dx * n.dx + n.dy * n.dy + n.dz * n.dz) AS DOUBLE)), 9) AS k FROM ln m JOIN ln n ON n.a = m.b), nx AS (SELECT a, b, min(struct_pack(k := -k, c := c)).c AS c FROM cs WHERE k >= 0 GROUP BY 1, 2), wk(a, b, fa, fb, steps) AS (SELECT a, b, a, b, 1 FROM ln UNION ALL SELECT wk.a, wk.b, wk.fb, nx.c, steps + 1 FROM wk JOIN nx ON nx.a = wk.fa AND nx.b = wk.fb) SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, CAST(arg_max(fb, steps) AS BIGINT) AS last, CAST(max(steps) AS BIGINT) AS steps FROM wk GROUP BY a, b")
+def fx14_walks(spark, sf):
+    """Where the straightest walk from each link ends."""
+    links = cut(Q.descent_links(_gen(spark, sf), BDIMS, fill=False), "links")
+    return Q.straight_walks(links, BDIMS)
+
+
+def _ascent_sql() -> str:
+    """Six steps; in each the place moves to the end of the run of rising waves."""
+    steps = ["t0 AS (SELECT i AS home, x, y, z, wave FROM g WHERE (x, y, z) IN (SELECT (x, y, z) FROM s))"]
+    for n, d in enumerate(S.offsets(3, "face"), 1):
+        axis, way = next((a, c) for a, c in zip("xyz", d) if c)
+        rest = ", ".join(a for a in "xyz" if a != axis)
+        stop = f"CASE WHEN lead({axis}) OVER w = {axis} + {way} AND lead(wave) OVER w > wave THEN NULL ELSE struct_pack(p := {axis}, w := wave) END"
+        steps.append(f"run{n} AS (SELECT x, y, z, first_value(stop IGNORE NULLS) OVER (PARTITION BY {rest} ORDER BY {axis} * {way} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS e FROM (SELECT x, y, z, wave, {stop} AS stop FROM g WINDOW w AS (PARTITION BY {rest} ORDER BY {axis} * {way})))")
+        steps.append(f"t{n} AS (SELECT home, {', '.join(f'e.p AS {a}' if a == axis else f't.{a}' for a in 'xyz')}, e.w AS wave FROM t{n - 1} t JOIN run{n} r ON r.x = t.x AND r.y = t.y AND r.z = t.z)")
+    every = " UNION ALL ".join(f"SELECT home, x, y, z FROM t{n} WHERE wave > 1" for n in range(1, 7))
+    return f"WITH RECURSIVE {GEN}, {', '.join(steps)}, every AS ({every}) SELECT x, y, z FROM every UNION SELECT x, y, z FROM t0 WHERE home NOT IN (SELECT home FROM every)"
+
+
+@query("fx14_axis_ascents", _ascent_sql())
+def fx14_ascents(spark, sf):
+    """Where the surface climbs to along the axes."""
+    gen = _gen(spark, sf)
+    return Q.axis_ascents(gen, gen.where("wave = 1")).select("x", "y", "z")
+
+
+@query("h04_carve_4d", f"WITH {G.GRID4}, f AS (SELECT * FROM grid4 WHERE mask = 1), b AS (SELECT {', '.join(f'min({a}) AS l{a}, max({a}) AS g{a}' for a in 'xyzt')} FROM f) SELECT x, y, z, t FROM f, b WHERE {' + '.join(f'abs(2 * {a} - l{a} - g{a}) / CAST(g{a} - l{a} AS DOUBLE)' for a in 'xyzt')} <= 1 + 1e-9")
+def h04_four(spark, sf):
+    """The foreground inside the cross-polytope between the middles of its bounding box's sides, given by points and facets."""
+    fg = cut(G.grid4(spark, sf).where("mask = 1").select(*S.KEY), "foreground")
+    box = fg.groupBy("vol_id").agg(*(f(a).alias(f"{n}{a}") for a in S.AXES for n, f in (("l", F.min), ("g", F.max))))
+    tip = lambda k, side: F.struct(F.lit(2 * k + (side == "g")).alias("idx"), *((F.col(f"{side}{a}").cast("double") if j == k else (F.col(f"l{a}") + F.col(f"g{a}")) / 2).alias(a) for j, a in enumerate(S.AXES)))
+    points = box.select("vol_id", F.inline(F.array(*(tip(k, side) for k in range(4) for side in "lg"))))
+    facets = box.select("vol_id", F.inline(F.array(*(F.struct(*(F.lit(2 * k + (n >> k & 1)).alias(f"p{k}") for k in range(4))) for n in range(16)))))
+    return H.carve_hull(fg, points, facets).select("x", "y", "z", "t")
