@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from voxelith.operators import descent, diffusion, hulls, patches, segments
 from voxelith.operators.stencil import KEY, offsets
+from voxelith.plans import applications
 
 SIDE = 5
 DIMS = (SIDE, SIDE, SIDE, 1)
@@ -266,3 +267,37 @@ def test_carve_in_four_dimensions(spark):
     got = hulls.carve_hull(vox, spark.createDataFrame(points, "vol_id long, idx int, x int, y int, z int, t int"), spark.createDataFrame(facets, "vol_id long, p0 int, p1 int, p2 int, p3 int"))
     want = {r for r in rows if all(0 <= c <= 4 for c in r[1:]) and (r[0] or sum(r[1:]) <= 4)}
     assert {tuple(r) for r in got.collect()} == want
+
+
+def test_branches_apart_are_cut_off(spark):
+    """A bar with a long spur and a short one: the long one's voxels from the fourth step on are cut off, one edge is type 0."""
+    way = [(x, 1, 1) for x in range(1, 10)]
+    spur = [(5, y, 1) for y in range(2, 9)]
+    short = [(7, 2, 1), (7, 3, 1)]
+    fg = set(way + spur + short)
+    dims = (11, 11, 3, 1)
+    vox = spark.createDataFrame([(0, x, y, z, 0, int((x, y, z) in fg)) for x in range(11) for y in range(11) for z in range(3)], "vol_id long, x int, y int, z int, t int, mask int")
+    found = applications.branch_structure(vox, {"x": 1, "y": 1, "z": 1}, {"x": 9, "y": 1, "z": 1}, dims)
+    at = lambda c: c[0] + 11 * (c[1] + 11 * c[2])
+    rows = {(r.a, r.b): (r.w100, r.type) for r in found["tree"].collect()}
+    want = {(at(p), at(q)): (100, 2) for p, q in zip(way, way[1:])}
+    want |= {(at(p), at(q)): (100, 0 if q == (5, 5, 1) else 1) for p, q in zip([(5, 1, 1), *spur], spur)}
+    want |= {(at(p), at(q)): (100, 1) for p, q in zip([(7, 1, 1), *short], short)}
+    assert rows == want
+    labels = {(r.x, r.y, r.z): r.label for r in found["labels"].collect()}
+    cut_off = {c for c in spur if c[1] >= 5}
+    assert labels == {c: at((5, 5, 1)) if c in cut_off else at((1, 1, 1)) for c in fg}
+
+
+def test_strong_cores_part_a_dumbbell(spark):
+    """Two cubes joined by a bar fall into two parts, one around each middle."""
+    fg = {(x + k, y, z) for k in (1, 9) for x in range(5) for y in range(1, 6) for z in range(1, 6)} | {(x, 3, 3) for x in range(6, 9)}
+    dims = (15, 7, 7, 1)
+    vox = spark.createDataFrame([(0, x, y, z, 0, int((x, y, z) in fg)) for x in range(15) for y in range(7) for z in range(7)], "vol_id long, x int, y int, z int, t int, mask int")
+    found = applications.strong_core_partition(vox, dims, 2)
+    cores = {(r.x, r.y, r.z) for r in found["cores"].collect()}
+    assert {(3, 3, 3), (11, 3, 3)} <= cores
+    parts = {(r.x, r.y, r.z): r.part for r in found["parts"].collect()}
+    assert parts.keys() == fg and len(set(parts.values())) >= 2
+    assert parts[3, 3, 3] != parts[11, 3, 3]
+    assert all(parts[c] == parts[3, 3, 3] for c in fg if c[0] <= 5) and all(parts[c] == parts[11, 3, 3] for c in fg if c[0] >= 9)

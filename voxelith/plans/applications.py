@@ -9,13 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import cores as C
 from ..operators import descent as Q
 from ..operators import diffusion as D
 from ..operators import fixpoint as P
 from ..operators import graphs as R
 from ..operators import hulls as H
 from ..operators import segments as M
+from ..operators import separation as B
 from ..operators import stencil as S
+from ..operators.components import component_of
 from ..operators.distance import distance
 from ..operators.proximity import in_balls
 from ..operators.series import dtw
@@ -116,6 +119,59 @@ def core_descent(vox: DataFrame, dims, parts: int = 2) -> dict[str, DataFrame]:
     return {"labels": part, "tree": tree, "parts": part.join(groups.select(F.col("node").alias("peak"), F.col("root").alias("part")), "peak").select(*KEY, "part")}
 
 
+def strong_core_partition(vox: DataFrame, dims, parts: int = 2, ndim: int = 3) -> dict[str, DataFrame]:
+    """generations from the surface and links to the depth, strong cores, the regions that descend to their clusters, and parts.
+
+    Strong cores that are neighbours are one cluster (label); a region holds the voxels
+    whose links lead to it first. Regions are joined by a spanning tree of their
+    contacts (weight 1 / contacts), and its heaviest edges are cut until `parts` are left. One volume a run.
+    """
+    fg = cut(vox.where("mask = 1").select(*KEY), "foreground")
+    outer = cut(S.surface(fg, ndim), "surface")
+    gen = cut(P.waves(fg, outer, S.offsets(ndim, "face"), first=1), "generations")
+    links = cut(Q.descent_links(gen, dims, ndim), "descent")
+    rows = gen.select(*KEY, S.linear_index(dims).alias("node")).join(outer.withColumn("on_surface", F.lit(True)), KEY, "left")
+    nodes = cut(rows.select(*KEY, "node", F.coalesce("on_surface", F.lit(False)).alias("on_surface")), "nodes")
+    strong = C.strong_cores(nodes, links, P.voxel_edges(outer, S.offsets(ndim), dims), ndim)
+    cores = cut(P.components(nodes.join(strong, "node").select(*KEY), S.offsets(ndim), dims), "strong-cores")
+    found = Q.core_labels(links, cores.select(S.linear_index(dims).alias("node"), "label"))
+    regions = cut(nodes.join(found, "node").select(*KEY, "label"), "core-regions")
+    contacts = M.catchment_links(regions.withColumn("peak", F.col("label").cast("long")), S.offsets(ndim, "face"))
+    tree = cut(R.spanning_forest(contacts.select(F.col("pa").alias("a"), F.col("pb").alias("b"), (1.0 / F.col("n")).alias("w"))), "core-tree")
+    ids = cores.select(F.col("label").cast("long").alias("node")).distinct()
+    groups = R.cut_tree(ids, tree, parts - 1) if parts > 1 else component_of(ids, tree)
+    out = regions.join(groups.select(F.col("node").cast("int").alias("label"), F.col("root").cast("int").alias("part")), "label").select(*KEY, "label", "part")
+    return {"generations": gen, "links": links, "cores": cores, "tree": tree, "parts": out}
+
+
+def branch_structure(vox: DataFrame, source: dict[str, int], sink: dict[str, int], dims, rule=None) -> dict[str, DataFrame]:
+    """Shortest paths through the voxels from the source, what is cut off as apart from the way to the sink, and labels of the rest.
+
+    A step costs 1 over the lesser depth of its ends. tree: a (predecessor), b,
+    w100 (hundredfold cost, cut to a whole number) and type: 2 on the way from source to sink, 0 where
+    rule(tree, main) names b (the first voxel further than 3 from that way, if no other rule is given),
+    else 1. labels: voxels that hang together by edges that are left, by least index; voxels out of the
+    source's reach are parts of their own. One volume a run; places must be foreground.
+    """
+    at = lambda p: int(p["x"] + dims[0] * (p["y"] + dims[1] * (p["z"] + dims[2] * p.get("t", 0))))
+    deep = depth_of(vox, dims)
+    place = cut(deep.select(S.linear_index(dims).alias("node"), *KEY, F.sqrt("d").alias("depth")), "places")
+    edges = P.voxel_edges(deep, S.offsets(3, "face"), dims)
+    slow = lambda c: place.select(F.col("node").alias(c), F.col("depth").alias(f"d{c}"))
+    edges = edges.join(slow("a"), "a").join(slow("b"), "b").select("a", "b", F.round(1.0 / F.least("da", "db"), 6).alias("w"))
+    both = cut(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")), "voxel-graph")
+    paths = cut(R.shortest_paths(both, at(source)), "voxel-paths")
+    main = cut(R.path_to(paths, at(sink)).select("node"), "main-path")
+    up = paths.select(F.col("node").alias("pred"), F.col("dist").alias("before"))
+    tree = cut(paths.join(place, "node").join(up, "pred", "left").select("node", "pred", *S.AXES, "depth", F.coalesce(F.col("dist") - F.col("before"), F.lit(0.0)).alias("w")), "branch-tree")
+    gone = (rule or (lambda t, m: B.cut_by_distance(t, m, 3.0)))(tree, main).select("node").distinct()
+    typed = tree.where("pred IS NOT NULL").join(main.withColumn("on_way", F.lit(True)), "node", "left").join(gone.withColumn("gone", F.lit(True)), "node", "left")
+    typed = typed.select(F.col("pred").alias("a"), F.col("node").alias("b"), F.floor(100 * F.col("w")).cast("int").alias("w100"), F.when(F.col("gone"), 0).when(F.col("on_way"), 2).otherwise(1).alias("type"))
+    typed = cut(typed, "typed-tree")
+    labels = component_of(place.select("node", *KEY), typed.where("type > 0").select("a", "b"))
+    return {"tree": typed, "labels": labels.select(*KEY, F.col("root").alias("label"))}
+
+
 def make_graph_structure(vox: DataFrame, source: dict[str, int], sink: dict[str, int], dims) -> dict[str, DataFrame]:
     """The graph of catchments, shortest paths from the source's catchment, and the path to the sink's."""
     part = cut(P.climb(depth_of(vox, dims), S.offsets(3), "d", dims), "catchments")

@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from ..operators import descent as Q
 from ..operators import diffusion as D
+from ..operators import fixpoint as P
 from ..operators import hulls as H
 from ..operators import patches as T
 from ..operators import segments as M
 from ..operators import stencil as S
 from ..sources import grids as G
+from . import applications as W
 from .descent_queries import GEN, _gen
 from .extraction_queries import BRIGHT, SIDES, _clicks
 from .field_queries import C0, _c0, _level
@@ -150,3 +152,22 @@ def h04_four(spark, sf):
     points = box.select("vol_id", F.inline(F.array(*(tip(k, side) for k in range(4) for side in "lg"))))
     facets = box.select("vol_id", F.inline(F.array(*(F.struct(*(F.lit(2 * k + (n >> k & 1)).alias(f"p{k}") for k in range(4))) for n in range(16)))))
     return H.carve_hull(fg, points, facets).select("x", "y", "z", "t")
+
+
+@query("app_strong_core_descent")
+def app_strong(spark, sf):
+    """Regions of the strong cores, in eight parts."""
+    return W.strong_core_partition(G.balls(spark, sf), BDIMS, 8)["parts"].select("x", "y", "z", "label", "part")
+
+
+@query("app_branch_structure")
+def app_branches(spark, sf):
+    """The typed tree of shortest ways from the second nation's seed to the voxel farthest from it by place, with branches apart cut off."""
+    cube = cut(G.balls(spark, sf), "balls")
+    fg = cube.where("mask = 1").select(*S.KEY)
+    lab = cut(P.components(fg, S.offsets(3, "face"), BDIMS), "parts")
+    source = {"x": 7, "y": 11, "z": 5}
+    own = lab.join(lab.where("x = 7 AND y = 11 AND z = 5").select("vol_id", "label"), ["vol_id", "label"], "left_semi")
+    far = sum((F.col(a) - v) * (F.col(a) - v) for a, v in source.items())
+    sink = own.orderBy(F.desc(far), "z", "y", "x").first().asDict()
+    return W.branch_structure(cube, source, sink, BDIMS)["tree"]
