@@ -38,6 +38,6 @@ def test_query(spark, duck, name):
     assert rows == want
 
 
-def test_all_queries_have_rows_and_schema(spark):
+def test_other_queries_have_a_schema(spark):
     for name in set(catalog.queries()) - set(catalog.oracle_sql()):
         assert catalog.queries()[name](spark, SF).columns
