@@ -71,7 +71,7 @@ def _pass(f: np.ndarray, positions: np.ndarray, spacing: float, metric: str) ->
     return out
 
 
-def _grid(along: str, axes: str, speed: dict[str, float], metric: str):
+def _grid(along: str, axes, speed: dict[str, float], metric: str):
     """Passes along some of the axes of a group, which has a value for each of its places."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -87,6 +87,10 @@ def _grid(along: str, axes: str, speed: dict[str, float], metric: str):
     return run
 
 
+#: Small volumes whose passes are made together.
+TOGETHER = 16
+
+
 def dense(vox: DataFrame, dims) -> DataFrame:
     """KEY of every cell of each volume of vox."""
     cells = 1
@@ -104,14 +108,16 @@ def distance(vox: DataFrame, seed: str, spacing=(1.0, 1.0, 1.0, 1.0), metric: st
 
     metric: euclid, city (sum) or chess (largest axis). d is null where the
     volume has no seed. Passes carry values through all cells, so give dims
-    where cells may be absent; they are neither seeds nor obstacles. by_volume is for many small volumes: each is one group and does all passes.
+    where cells may be absent; they are neither seeds nor obstacles. by_volume is for many small volumes: a few are one group, which does all their passes.
     """
     speed = dict(zip("xyzt", spacing))
     rows = vox.select(*KEY, F.when(F.expr(seed), 0.0).otherwise(F.lit(INF)).alias("f_"))
     if dims is not None:
         rows = dense(vox, dims).join(rows, KEY, "left").select(*KEY, F.coalesce("f_", F.lit(INF)).alias("f_"))
     if by_volume:
-        rows = rows.groupBy("vol_id").applyInPandas(_grid("xyzt", "xyzt", speed, metric), rows.schema)
+        few = rows.withColumn("few", F.floor(F.col("vol_id") / TOGETHER))
+        make = _grid("xyzt", ("vol_id", *"xyzt"), speed, metric)
+        rows = few.groupBy("few").applyInPandas(lambda pdf: make(pdf.drop(columns="few")), rows.schema)
     else:
         rows = rows.groupBy("vol_id", "z", "t").applyInPandas(_grid("xy", "xy", speed, metric), rows.schema)
         rows = rows.groupBy("vol_id", "y").applyInPandas(_grid("zt", "ztx", speed, metric), rows.schema)

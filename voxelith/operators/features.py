@@ -11,20 +11,64 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from .stencil import KEY, gather, near
+from ..plans.tables import cut
+from .stencil import KEY
 
 
 def box_offsets(wx: int, wy: int, wz: int):
     return [(x, y, z, 0) for x, y, z in product(range(-wx, wx + 1), range(-wy, wy + 1), range(-wz, wz + 1)) if (x, y, z) != (0, 0, 0)]
 
 
+#: Cells along the side of a block, and volumes whose blocks of one place are compared in one group.
+BLOCK, TOGETHER = 16, 16
+
+
+def in_blocks(vox: DataFrame, width: int) -> DataFrame:
+    """vox with bx, by, bz and own: each voxel in its block, and in those beside it that are at most width cells away.
+
+    The first block of an axis begins width cells before 0, so a small volume lies in one.
+    """
+    out = vox
+    for a in "xyz":
+        out = out.withColumn(f"b{a}", F.explode(F.sequence(F.floor(F.col(a) / BLOCK), F.floor((F.col(a) + 2 * width) / BLOCK))))
+    own = F.lit(True)
+    for a in "xyz":
+        own = own & (F.col(f"b{a}") == F.floor((F.col(a) + width) / BLOCK))
+    return out.withColumn("own", own)
+
+
+def sphericities(vox: DataFrame, value: str, windows: dict[str, tuple[int, int, int]]) -> DataFrame:
+    """KEY, value and a column for each window: the share of the window's other cells with 0 < value < the centre's.
+
+    Voxels meet by blocks, about once or twice each, not once for each cell of a window; a group is a block with its rim, of a few volumes.
+    """
+    width = max(n for w in windows.values() for n in w)
+    kind = dict(vox.dtypes)[value]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = [pdf["vol_id"].to_numpy() % TOGETHER, *(pdf[a].to_numpy() - pdf[a].min() + width for a in "xyz")]
+        values = pdf[value].to_numpy(dtype=float, na_value=np.nan)
+        grid = np.zeros([p.max() + width + 1 for p in at])
+        grid[tuple(at)] = np.nan_to_num(values, posinf=np.inf)
+        own = pdf["own"].to_numpy()
+        centre, v = [p[own] for p in at], values[own]
+        out = pdf.loc[own, [*KEY, value]]
+        for name, w in windows.items():
+            offs, n = box_offsets(*w), np.zeros(len(v))
+            for d in offs:
+                near_ = grid[centre[0], *(p + c for p, c in zip(centre[1:], d))]
+                n += (near_ > 0) & (near_ < v)
+            out[name] = n / len(offs)
+        return out
+
+    rows = in_blocks(vox.select(*KEY, value), width).withColumn("few", F.floor(F.col("vol_id") / TOGETHER))
+    fields = ", ".join(f"`{name}` double" for name in windows)
+    return rows.groupBy("few", "t", "bx", "by", "bz").applyInPandas(run, f"vol_id bigint, x int, y int, z int, t int, `{value}` {kind}, {fields}")
+
+
 def sphericity(vox: DataFrame, value: str, w=(1, 1, 1)) -> DataFrame:
     """KEY, value, sp: the share of the window's other cells with 0 < value < the centre's."""
-    offs = box_offsets(*w)
-    v = F.col(value)
-    # The centre's value isn't known while neighbours gather, so their positive values come as a list of at most the window's cells.
-    g = gather(vox, offs, {"vs": F.collect_list(near(F.when(v > 0, v)))}, [value])
-    return g.select(*KEY, value, (F.size(F.filter("vs", lambda x: x < v)) / F.lit(float(len(offs)))).alias("sp"))
+    return sphericities(vox, value, {"sp": w})
 
 
 @pandas_udf(T.ArrayType(T.DoubleType()))
@@ -166,12 +210,11 @@ def fitness_vector(depth: DataFrame, spacing=(1.0, 1.0, 1.0)) -> DataFrame:
     and greatest radius of the ellipse, of the widest slice and then of the slice of the greatest depth. Of equal places the first in raster order counts.
     """
     first = lambda v: F.min(F.struct((-F.round(v, 9)).alias("v"), "t", "z", "y", "x"))
-    small = sphericity(depth, "d").select(*KEY, F.col("d"), "sp")
-    tops = small.groupBy("vol_id").agg(F.count("*").alias("n"), F.max("d").alias("top"), first(F.col("sp")).alias("s"), first(F.col("d")).alias("m"))
-    wide = sphericity(depth, "d", (2, 2, 2)).select(*KEY, F.col("sp").alias("wide"))
+    both = cut(sphericities(depth, "d", {"sp": (1, 1, 1), "wide": (2, 2, 2)}), "sphericities")
+    tops = both.groupBy("vol_id").agg(F.count("*").alias("n"), F.max("d").alias("top"), first(F.col("sp")).alias("s"), first(F.col("d")).alias("m"))
     out = tops
     for column, name in (("s", "sphericity_1"), ("m", "sphericity_2")):
-        places = wide.select("vol_id", *(F.col(a).alias(f"{column}_{a}") for a in "tzyx"), F.col("wide").alias(name))
+        places = both.select("vol_id", *(F.col(a).alias(f"{column}_{a}") for a in "tzyx"), F.col("wide").alias(name))
         out = out.withColumns({f"{column}_{a}": F.col(f"{column}.{a}") for a in "tzyx"}).join(places, ["vol_id", *(f"{column}_{a}" for a in "tzyx")])
     slices = slice_diameters(depth, spacing)
     best = slices.groupBy("vol_id").agg(_widest("major", "minor").alias("w"), _widest("e_major", "e_minor").alias("e"))
