@@ -9,6 +9,7 @@ from voxelith.operators import features as E
 from voxelith.operators import graphs as R
 from voxelith.operators.proximity import epsilon_classes, epsilon_pairs, expand_classes
 from voxelith.plans.graph_queries import lean_edges
+from voxelith.plans.segment_queries import cluster_points
 from voxelith.plans.tables import BROADCAST_ROWS, cut
 from voxelith.sources import grids as G
 
@@ -61,3 +62,26 @@ def test_forest_of_shared_places(spark, close):
     assert sorted(R.spanning_forest(lean).collect()) == sorted(R.spanning_forest(whole).collect())
     if close > 1:
         assert lean.count() <= len(ids) + len(places) ** 2 < whole.count()
+
+
+@pytest.mark.parametrize("clusters", [4, 20])  # fewer and more than places
+def test_clusters_of_shared_places_merge_as_one_pair_at_a_time(spark, clusters):
+    rng = random.Random(3)
+    places = [(5.0 * rng.randint(0, 5), 5.0 * rng.randint(0, 5) + 40 * rng.randint(0, 1)) for _ in range(14)]
+    xy = {i: rng.choice(places) for i in range(1, 41)}
+    touch = {(a, b): (round(100 * d), 1) for a in xy for b in xy if a < b and (d := sum((p - q) ** 2 for p, q in zip(xy[a], xy[b])) ** 0.5) < 12}
+    root, size = {i: i for i in xy}, dict.fromkeys(xy, 1)
+    while len(size) > clusters and touch:
+        _, a, b = min((w / n * min(size[a], size[b]), a, b) for (a, b), (w, n) in touch.items())
+        size[a] += size.pop(b)
+        root = {k: a if r == b else r for k, r in root.items()}
+        after = {}
+        for (p, q), (w, n) in touch.items():
+            p, q = sorted((a if p == b else p, a if q == b else q))
+            if p != q:
+                v, m = after.get((p, q), (w, 0))
+                after[p, q] = (min(v, w), m + n)
+        touch = after
+    at = spark.createDataFrame([(i, *p, 0.0) for i, p in xy.items()], "id bigint, px double, py double, pz double")
+    nodes = at.select(F.col("id").alias("node"), F.lit(1).cast("long").alias("size"))
+    assert {r.node: r.root for r in cluster_points(at, nodes, clusters).collect()} == root

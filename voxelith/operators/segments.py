@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from heapq import heapify, heappop, heappush
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.tables import cut, maybe_broadcast, numbered
+from .components import component_of
 from .fixpoint import components, voxel_edges, waves
 from .proximity import nearest
 from .stencil import AXES, KEY, gather, linear_index, near, offsets, shifted
@@ -198,26 +201,50 @@ def cover(tree: DataFrame, terminals: DataFrame) -> DataFrame:
         now = cut(now.join(leaves.withColumnRenamed("node", "a"), "a", "left_anti").join(leaves.withColumnRenamed("node", "b"), "b", "left_anti"), "cover")
 
 
+def _merges(pdf: pd.DataFrame) -> pd.DataFrame:
+    """All merges of one connected part in order, with the greatest (cost, ra, rb) up to each."""
+    near_: dict[int, dict[int, tuple[float, int]]] = {}
+    size: dict[int, int] = {}
+    for a, b, w, cut_, sa, sb in zip(*(pdf[c].tolist() for c in ("a", "b", "w", "cut", "sa", "sb"))):
+        size[a], size[b] = sa, sb
+        near_.setdefault(a, {})[b] = near_.setdefault(b, {})[a] = (w, cut_)
+    cost = lambda a, b: (near_[a][b][0] / near_[a][b][1] * min(size[a], size[b]), min(a, b), max(a, b))
+    heap = [cost(a, b) for a in near_ for b in near_[a] if a < b]
+    heapify(heap)
+    rows, most = [], None
+    while heap:
+        best = heappop(heap)
+        _, a, b = best
+        if b not in near_.get(a, ()) or cost(a, b) != best:
+            continue  # one of them is merged, or grew
+        most = best if most is None else max(most, best)
+        rows.append((*most, len(rows), a, b))
+        size[a] += size.pop(b)
+        for c, (w, cut_) in near_.pop(b).items():
+            del near_[c][b]
+            if c != a:
+                v, n = near_[a].get(c, (w, 0))
+                near_[a][c] = near_[c][a] = (min(v, w), n + cut_)
+        for c in near_[a]:
+            heappush(heap, cost(a, c))
+    return pd.DataFrame(rows, columns=["mc", "ma", "mb", "step", "a", "b"])
+
+
 def agglomerate(sizes: DataFrame, contacts: DataFrame, clusters: int) -> DataFrame:
     """node, root after merging, one pair at a time, the pair of least w / cut * min(size), until `clusters` are left.
 
-    sizes (node, size), contacts (a, b, w, cut): small tables of clusters, not of voxels. Ties go to the smaller pair.
+    sizes (node, size), contacts (a, b, w, cut): small tables of clusters, not of voxels. Ties go to the smaller pair. A merge
+    changes costs of its own connected part alone, so each part is one group that merges to its end.
+    Taking the least first over all parts is the order of the greatest merge of a part so far, then of its own steps.
     """
-    member = cut(sizes.select("node", F.col("node").alias("root")), "agglomerate")
-    size = sizes.select(F.col("node").alias("root"), "size")
-    left = sizes.count()
-    while left > clusters:
-        s = cut(member.join(size.withColumnRenamed("root", "node"), "node").groupBy("root").agg(F.sum("size").alias("size")), "agglomerate-size")
-        m = member.select("node", "root")
-        pairs = contacts.join(m.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(m.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b").where("ra <> rb")
-        pairs = pairs.groupBy(F.least("ra", "rb").alias("ra"), F.greatest("ra", "rb").alias("rb")).agg(F.min("w").alias("w"), F.sum("cut").alias("cut"))
-        cost = pairs.join(s.select(F.col("root").alias("ra"), F.col("size").alias("sa")), "ra").join(s.select(F.col("root").alias("rb"), F.col("size").alias("sb")), "rb")
-        best = cost.select(F.struct((F.col("w") / F.col("cut") * F.least("sa", "sb")).alias("c"), "ra", "rb").alias("p")).agg(F.min("p").alias("p")).first()["p"]
-        if best is None:
-            break
-        member = cut(member.withColumn("root", F.when(F.col("root") == best["rb"], F.lit(best["ra"])).otherwise(F.col("root"))), "agglomerate")
-        left -= 1
-    return member
+    pairs = contacts.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("w").cast("double").alias("w"), F.sum("cut").alias("cut"))
+    pairs = cut(pairs, "agglomerate")
+    part = component_of(sizes.select("node"), pairs.select("a", "b"))
+    side = lambda n: sizes.join(part, "node").select(F.col("node").alias(n), F.col("size").alias(f"s{n}"), *([F.col("root").alias("part")] if n == "a" else []))
+    rows = pairs.join(side("a"), "a").join(side("b"), "b")
+    merges = rows.groupBy("part").applyInPandas(_merges, "mc double, ma bigint, mb bigint, step int, a bigint, b bigint")
+    taken = numbered(merges, [], ["mc", "ma", "mb", "step"], "place").where(F.col("place") <= sizes.count() - clusters)
+    return component_of(sizes.select("node"), taken.select("a", "b"))
 
 
 def particles(fg: DataFrame, dims) -> DataFrame:
