@@ -5,9 +5,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from voxelith.operators import descent as Q
 from voxelith.operators import features as E
 from voxelith.operators import graphs as R
+from voxelith.operators.distance import distance, few_volumes
 from voxelith.operators.proximity import epsilon_classes, epsilon_pairs, expand_classes
+from voxelith.operators.stencil import KEY
 from voxelith.plans.graph_queries import lean_edges
 from voxelith.plans.segment_queries import cluster_points
 from voxelith.plans.tables import BROADCAST_ROWS, cut
@@ -85,3 +88,26 @@ def test_clusters_of_shared_places_merge_as_one_pair_at_a_time(spark, clusters):
     at = spark.createDataFrame([(i, *p, 0.0) for i, p in xy.items()], "id bigint, px double, py double, pz double")
     nodes = at.select(F.col("id").alias("node"), F.lit(1).cast("long").alias("size"))
     assert {r.node: r.root for r in cluster_points(at, nodes, clusters).collect()} == root
+
+
+def test_depths_of_dealt_out_scans_need_no_shuffle_of_cells(spark, tmp_path):
+    spark.range(1, 41).select(F.col("id").alias("s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    scans = G.scans(spark, str(tmp_path), deal=few_volumes()).withColumn("mask", (F.col("val") > 250).cast("int"))
+    far = distance(scans, "mask = 0", by_volume=True, only="mask = 1")
+    plan = far._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan  # that of the suppliers
+    some = scans.where("vol_id IN (3, 17) AND (x + y) % 5 <> 0")  # cells may be absent
+    want = distance(some, "mask = 0", dims=(G.SCAN, G.SCAN, G.SCAN, 1)).join(some.where("mask = 1").select(*KEY), KEY)
+    got = distance(some, "mask = 0", by_volume=True, only="mask = 1")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
+
+
+def test_clicks_at_one_place_climb_as_one(spark):
+    depth = spark.createDataFrame([(0, x, 0, 0, 0, float(d)) for x, d in enumerate([1, 2, 2, 1, 5, 6, 5])], "vol_id bigint, x int, y int, z int, t int, d double")
+    at = [(k, 0, k % 7, 0, 0, 0) for k in range(70)] + [(7, 0, 0, 0, 0, 0), (100, 0, 0, 0, 0, 0), (100, 0, 6, 0, 0, 0), (101, 0, 9, 0, 0, 0)]
+    clicks = spark.createDataFrame(at, "click bigint, vol_id bigint, x int, y int, z int, t int")
+    found = Q.relocate(depth, clicks, box=(1, 0, 0, 0))
+    ends = {0: [1, 2], 1: [1, 2], 2: [1, 2], 3: [5], 4: [5], 5: [5], 6: [5]}
+    assert sorted((r.click, r.x) for r in found.collect()) == sorted([(k, x) for k in range(70) for x in ends[k % 7]] + [(100, 5)])
+    written = next(p for p in found.inputFiles() if "relocate" in p).rsplit("/", 1)[0]
+    assert spark.read.parquet(written).select("click").distinct().count() <= 8  # places, not clicks

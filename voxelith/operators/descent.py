@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.tables import cut
+from ..plans.tables import cut, maybe_broadcast, rows_of
 from .stencil import AXES, KEY, linear_index, offsets, shifted
 
 
@@ -91,21 +91,26 @@ def validate_growth(surface: DataFrame, depth: DataFrame, waves: DataFrame, valu
 
 
 def relocate(depth: DataFrame, clicks: DataFrame, value: str = "d", box=(1, 1, 1, 0)) -> DataFrame:
-    """click, KEY: each click climbs to the largest value in its box until none is larger; equal ones are all kept."""
+    """click, KEY: each click climbs to the largest value in its box until none is larger; equal ones are all kept.
+
+    Clicks at one place climb as one, so the rounds join no more than the places.
+    """
     from itertools import product
 
     offs = [d for d in product(*(range(-b, b + 1) for b in box))]
-    front = cut(clicks.select("click", *KEY).join(depth.select(*KEY, F.col(value).alias("v")), KEY), "relocate")
+    depth = depth.select(*KEY, F.col(value).alias("v"))
+    own = clicks.groupBy("click").agg(F.sort_array(F.collect_set(F.struct(*KEY))).alias("from_"))  # a click has one place, as a rule
+    start = own.select(F.col("from_").alias("click")).distinct().select("click", F.explode("click").alias("p")).select("click", "p.*")
+    front = cut(maybe_broadcast(start).join(depth, KEY), "relocate")
     while True:
         around = shifted(front, offs, ["click", "v"]).select(*KEY, "click", F.col("v").alias("old"))
-        seen = around.join(depth.select(*KEY, F.col(value).alias("v")), KEY)
+        seen = maybe_broadcast(around, rows_of(front) * len(offs)).join(depth, KEY)
         best = seen.withColumn("top", F.max("v").over(Window.partitionBy("click"))).where("v = top")
         new = cut(best.groupBy("click", *KEY, "v").agg(F.max("old").alias("old")), "relocate")
         moved = new.where("v > old").limit(1).count()
-        rest = new.select("click", *KEY, "v")
         if not moved:
-            return rest.select("click", *KEY)
-        front = rest
+            return own.join(new.select(F.col("click").alias("from_"), *KEY), "from_").select("click", *KEY)
+        front = new
 
 
 def separation_wave(labels: DataFrame, waves_of: DataFrame, ndim: int = 3) -> DataFrame:

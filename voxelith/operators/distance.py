@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .stencil import KEY
@@ -103,23 +103,28 @@ def dense(vox: DataFrame, dims) -> DataFrame:
     return out.drop("id")
 
 
-def distance(vox: DataFrame, seed: str, spacing=(1.0, 1.0, 1.0, 1.0), metric: str = "euclid", dims=None, by_volume: bool = False) -> DataFrame:
+def few_volumes() -> Column:
+    """Number of the group of small volumes that vol_id goes with."""
+    return F.floor(F.col("vol_id") / TOGETHER)
+
+
+def distance(vox: DataFrame, seed: str, spacing=(1.0, 1.0, 1.0, 1.0), metric: str = "euclid", dims=None, by_volume: bool = False, only: str | None = None) -> DataFrame:
     """KEY and d of every voxel: distance to the nearest voxel where `seed` is true; squared for 'euclid'.
 
     metric: euclid, city (sum) or chess (largest axis). d is null where the
     volume has no seed. Passes carry values through all cells, so give dims
-    where cells may be absent; they are neither seeds nor obstacles. by_volume is for many small volumes: a few are one group, which does all their passes.
+    where cells may be absent; they are neither seeds nor obstacles. by_volume is for many small volumes: a few are one group, which does all their passes and needs no
+    dims. A table that is dealt out by few_volumes() isn't shuffled for that. only: a condition on vox; other voxels get no row, without a join.
     """
     speed = dict(zip("xyzt", spacing))
-    rows = vox.select(*KEY, F.when(F.expr(seed), 0.0).otherwise(F.lit(INF)).alias("f_"))
+    wanted = F.lit(True) if only is None else F.coalesce(F.expr(only), F.lit(False))
+    rows = vox.select(*KEY, F.when(F.expr(seed), 0.0).otherwise(F.lit(INF)).alias("f_"), wanted.alias("only_"))
     if dims is not None:
-        rows = dense(vox, dims).join(rows, KEY, "left").select(*KEY, F.coalesce("f_", F.lit(INF)).alias("f_"))
+        rows = dense(vox, dims).join(rows, KEY, "left").select(*KEY, F.coalesce("f_", F.lit(INF)).alias("f_"), F.coalesce("only_", F.lit(False)).alias("only_"))
     if by_volume:
-        few = rows.withColumn("few", F.floor(F.col("vol_id") / TOGETHER))
         make = _grid("xyzt", ("vol_id", *"xyzt"), speed, metric)
-        rows = few.groupBy("few").applyInPandas(lambda pdf: make(pdf.drop(columns="few")), rows.schema)
+        rows = rows.withColumn("few", few_volumes()).groupBy("few").applyInPandas(lambda pdf: make(pdf)[pdf["only_"]].drop(columns="few"), rows.schema)
     else:
         rows = rows.groupBy("vol_id", "z", "t").applyInPandas(_grid("xy", "xy", speed, metric), rows.schema)
         rows = rows.groupBy("vol_id", "y").applyInPandas(_grid("zt", "ztx", speed, metric), rows.schema)
-    rows = rows.select(*KEY, F.when(F.col("f_") < F.lit(INF), F.col("f_")).alias("d"))
-    return rows if dims is None else rows.join(vox.select(*KEY), KEY, "left_semi")
+    return rows.where("only_").select(*KEY, F.when(F.col("f_") < F.lit(INF), F.col("f_")).alias("d"))

@@ -52,14 +52,14 @@ def convexify(fg: DataFrame, surface_of: DataFrame | None = None) -> DataFrame:
     return H.carve(fg, H.hull_facets(points).select("vol_id", "nx", "ny", "nz", "offset"))
 
 
-def depth_of(vox: DataFrame, dims, spacing=(1.0, 1.0, 1.0, 1.0)) -> DataFrame:
-    """KEY, d of the foreground (mask = 1): squared distance to the background."""
-    return cut(vox.where("mask = 1").select(*KEY).join(distance(vox, "mask = 0", spacing, dims=dims), KEY), "depth")
+def depth_of(vox: DataFrame, dims, spacing=(1.0, 1.0, 1.0, 1.0), by_volume: bool = False) -> DataFrame:
+    """KEY, d of the foreground (mask = 1): squared distance to the background. by_volume is for many small volumes, as in distance()."""
+    return cut(distance(vox, "mask = 0", spacing, dims=None if by_volume else dims, by_volume=by_volume, only="mask = 1"), "depth")
 
 
-def relocate_clicks(vox: DataFrame, clicks: DataFrame, dims, box=(1, 1, 1, 0)) -> DataFrame:
+def relocate_clicks(vox: DataFrame, clicks: DataFrame, dims, box=(1, 1, 1, 0), by_volume: bool = False) -> DataFrame:
     """click, KEY: where clicks climb to in the depth, box cells a step on each axis."""
-    return Q.relocate(depth_of(vox, dims), clicks, box=box)
+    return Q.relocate(depth_of(vox, dims, by_volume=by_volume), clicks, box=box)
 
 
 def free_growth_check(vox: DataFrame, seeds: DataFrame, dims, spacing=(1.0, 1.0, 1.0, 1.0), ndim: int = 3) -> dict[str, DataFrame]:

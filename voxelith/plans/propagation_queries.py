@@ -10,7 +10,7 @@ from ..operators import fixpoint as P
 from ..operators import images as I
 from ..operators import races as R
 from ..operators import stencil as S
-from ..operators.distance import distance
+from ..operators.distance import distance, few_volumes
 from ..sources import grids as G
 from . import applications as W
 from .descent_queries import GEN, _gen
@@ -24,8 +24,8 @@ DEPTHS = f"{G.SCANS}, {BRIGHT}, bg AS (SELECT vol_id, x, y, z FROM scans WHERE v
 
 
 def _depths(spark, sf):
-    v = cut(G.scans(spark, sf), "scans")
-    return distance(v, "val <= 250", by_volume=True).join(v.where("val > 250").select(*S.KEY), S.KEY).select(*S.KEY, F.sqrt("d").alias("d"))
+    v = G.scans(spark, sf, deal=few_volumes())
+    return distance(v, "val <= 250", by_volume=True, only="val > 250").select(*S.KEY, F.sqrt("d").alias("d"))
 
 
 @query("fx19_race", f"WITH RECURSIVE {G.BALLS}, {BFG}, {FACE}, {BD}, seed AS (SELECT n_nationkey * 7 % 24 AS x, n_nationkey * 11 % 24 AS y, n_nationkey * 5 % 24 AS z, CAST(min(n_nationkey) + 1 AS INT) AS label FROM nation GROUP BY ALL), w(x, y, z, d, arrival, label) USING KEY (x, y, z) AS (SELECT x, y, z, d, CAST(0 AS DOUBLE), label FROM dist JOIN seed USING (x, y, z) UNION SELECT x, y, z, d, m.a, m.l FROM (SELECT b.x, b.y, b.z, any_value(b.d) AS d, min(struct_pack(a := round(w.arrival + 2 / (sqrt(w.d) + sqrt(b.d)), 9), l := w.label)) AS m FROM w CROSS JOIN face JOIN dist b ON b.x = w.x + dx AND b.y = w.y + dy AND b.z = w.z + dz GROUP BY 1, 2, 3) o WHERE NOT EXISTS (SELECT 1 FROM recurring.w r WHERE r.x = o.x AND r.y = o.y AND r.z = o.z AND (r.arrival < m.a OR (r.arrival = m.a AND r.label <= m.l)))) SELECT x, y, z, label, arrival FROM w")
@@ -118,9 +118,9 @@ def straight4(spark, sf):
 @query("app_relocate_clicks")
 def clicks3(spark, sf):
     """Where the first spots of the suppliers' volumes climb to in the depth."""
-    v = cut(G.scans(spark, sf).withColumn("mask", (F.col("val") > 250).cast("int")), "scans")
+    v = G.scans(spark, sf, deal=few_volumes()).withColumn("mask", (F.col("val") > 250).cast("int"))
     clicks = _clicks(spark, sf).withColumn("click", F.col("vol_id"))
-    return W.relocate_clicks(v, clicks, SIDES).select("click", "x", "y", "z")
+    return W.relocate_clicks(v, clicks, SIDES, by_volume=True).select("click", "x", "y", "z")
 
 
 @query("app_relocate_clicks_4d")
