@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from voxelith.operators import descent as Q
 from voxelith.operators import features as E
 from voxelith.operators import graphs as R
+from voxelith.operators import hulls as H
 from voxelith.operators.distance import distance, few_volumes
 from voxelith.operators.proximity import epsilon_classes, epsilon_pairs, expand_classes
 from voxelith.operators.stencil import KEY
@@ -111,3 +112,9 @@ def test_clicks_at_one_place_climb_as_one(spark):
     assert sorted((r.click, r.x) for r in found.collect()) == sorted([(k, x) for k in range(70) for x in ends[k % 7]] + [(100, 5)])
     written = next(p for p in found.inputFiles() if "relocate" in p).rsplit("/", 1)[0]
     assert spark.read.parquet(written).select("click").distinct().count() <= 8  # places, not clicks
+
+
+def test_hulls_are_dealt_out_by_points(spark):
+    cells = spark.range(H.POINTS_A_TASK * 3).select((F.col("id") % 1000).alias("vol_id"), *(F.pmod(F.xxhash64("id", F.lit(a)), F.lit(9)).cast("int").alias(a) for a in "xyz"))
+    plan = H.hull_facets(cells)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan  # so that few bytes aren't one task

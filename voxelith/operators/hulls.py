@@ -9,9 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.tables import maybe_broadcast
+from ..plans.tables import cut, maybe_broadcast, rows_of
 from .stencil import AXES, KEY, gather, near, offsets
 
+#: Points whose hulls one task makes, about.
+POINTS_A_TASK = 10_000
+
 HULL_SCHEMA = "vol_id bigint, facet int, nx double, ny double, nz double, offset double, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double, x2 double, y2 double, z2 double"
 
 
@@ -19,7 +22,7 @@ def hull3(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | Non
     """Facets (three point numbers), outward unit normals and offsets of the hull, or None for flat or few points.
 
     Points are added one by one; facets that see the new point are replaced by
-    the cone from it over their horizon.
+    the cone from it over their horizon. All facets of a step are made at once, and points within the hull so far are passed over at once.
     """
     pts = np.unique(points.astype(float), axis=0)
     if len(pts) < 4:
@@ -34,35 +37,35 @@ def hull3(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | Non
         return None
     centre = pts[[a, b, c, d]].mean(0)
 
-    def plane(f):
-        p, q, r = pts[list(f)]
-        m = np.cross(q - p, r - p)
-        m = m / np.linalg.norm(m)
-        if m @ (centre - p) > 0:
-            return (f[0], f[2], f[1]), -m, -m @ p
-        return tuple(f), m, m @ p
-
-    faces = [plane(f) for f in combinations((a, b, c, d), 3)]
-    for i in range(len(pts)):
-        normals, offs = np.array([f[1] for f in faces]), np.array([f[2] for f in faces])
-        seen = normals @ pts[i] - offs > 1e-9
-        if not seen.any():
-            continue
-        edges: dict[tuple[int, int], int] = {}
-        for f in (faces[k][0] for k in np.flatnonzero(seen)):
-            for e in ((f[0], f[1]), (f[1], f[2]), (f[2], f[0])):
-                edges[e] = 1
-        horizon = [e for e in edges if (e[1], e[0]) not in edges]
-        faces = [faces[k] for k in np.flatnonzero(~seen)]
-        for u, v in horizon:
-            m = np.cross(pts[v] - pts[u], pts[i] - pts[u])
-            if np.linalg.norm(m) > 1e-12:
-                faces.append(plane((u, v, i)))
-    return pts, np.array([f[0] for f in faces]), np.array([[*f[1], f[2]] for f in faces])
+    def facets(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The facets with extent, turned outward, and their planes."""
+        p, u, v = pts[f[:, 0]], pts[f[:, 1]] - pts[f[:, 0]], pts[f[:, 2]] - pts[f[:, 0]]
+        m = u[:, [1, 2, 0]] * v[:, [2, 0, 1]] - u[:, [2, 0, 1]] * v[:, [1, 2, 0]]
+        size = np.sqrt((m * m).sum(1))
+        some = size > 1e-12
+        f, p, m = f[some], p[some], m[some] / size[some, None]
+        turn = (m * (centre - p)).sum(1) > 0
+        m[turn] = -m[turn]
+        f[turn] = f[turn][:, [0, 2, 1]]
+        return f, np.column_stack([m, (m * p).sum(1)])
+
+    faces, planes = facets(np.array(list(combinations((a, b, c, d), 3))))
+    i = 0
+    while len(out := np.flatnonzero((pts[i:] @ planes[:, :3].T - planes[:, 3] > 1e-9).any(axis=1))):
+        i += int(out[0])
+        seen = planes[:, :3] @ pts[i] - planes[:, 3] > 1e-9
+        edges = dict.fromkeys(e for f in faces[seen].tolist() for e in ((f[0], f[1]), (f[1], f[2]), (f[2], f[0])))
+        cone = facets(np.array([(*e, i) for e in edges if (e[1], e[0]) not in edges]))
+        faces, planes = np.concatenate([faces[~seen], cone[0]]), np.concatenate([planes[~seen], cone[1]])
+        i += 1
+    return pts, faces, planes
 
 
 def hull_facets(points: DataFrame) -> DataFrame:
-    """HULL_SCHEMA rows of the hull of each volume's points (x, y, z). Give surface points: a volume's are one group."""
+    """HULL_SCHEMA rows of the hull of each volume's points (x, y, z). Give surface points: a volume's are one group.
+
+    Hulls take long for their few bytes, so the volumes are dealt out by the count of points.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         made = hull3(pdf[["x", "y", "z"]].to_numpy())
@@ -73,7 +76,8 @@ def hull_facets(points: DataFrame) -> DataFrame:
         corner = pts[faces].reshape(len(faces), 9)
         return pd.DataFrame(np.column_stack([np.full(len(faces), pdf["vol_id"].iloc[0]), np.arange(len(faces)), planes, corner]), columns=names).astype({"vol_id": int, "facet": int})
 
-    return points.select("vol_id", "x", "y", "z").distinct().groupBy("vol_id").applyInPandas(run, HULL_SCHEMA)
+    points = cut(points.select("vol_id", "x", "y", "z").distinct(), "hull-points")
+    return points.repartition(1 + rows_of(points) // POINTS_A_TASK, "vol_id").groupBy("vol_id").applyInPandas(run, HULL_SCHEMA)
 
 
 def carve(vox: DataFrame, planes: DataFrame, tolerance: float = 0.01) -> DataFrame:

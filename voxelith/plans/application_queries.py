@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import fixpoint as P
 from ..operators import segments as M
 from ..operators import stencil as S
+from ..operators.distance import few_volumes
 from ..operators.extraction import bounded_trace, downhill
 from ..sources import grids as G
 from . import applications as W
@@ -40,8 +41,8 @@ def figure(spark, sf):
 @query("app_convexify")
 def convex(spark, sf):
     """Foreground of each supplier's volume within the hull of what its first spot traces strictly downhill."""
-    scans = P.cut(G.scans(spark, sf).withColumn("mask", (F.col("val") > 250).cast("int")), "scans")
-    depth = W.depth_of(scans, SIDES).withColumn("d", F.sqrt("d"))
+    scans = G.scans(spark, sf, deal=few_volumes()).withColumn("mask", (F.col("val") > 250).cast("int"))
+    depth = W.depth_of(scans, SIDES, by_volume=True).withColumn("d", F.sqrt("d"))
     trace, _ = bounded_trace(depth, _clicks(spark, sf).withColumn("trial", F.lit(0)), 1.01, downhill)
     return W.convexify(depth.select(*W.KEY), S.surface(trace.select(*W.KEY), 3)).select("vol_id", "x", "y", "z")
 

@@ -49,7 +49,7 @@ def figure_ground(vox: DataFrame, value: str, dims, rounds: int = 4, k=(1.0, 0.0
 def convexify(fg: DataFrame, surface_of: DataFrame | None = None) -> DataFrame:
     """KEY of foreground voxels inside the hull of given points, or of the foreground's own surface."""
     points = S.surface(fg, 3) if surface_of is None else surface_of
-    return H.carve(fg, H.hull_facets(points).select("vol_id", "nx", "ny", "nz", "offset"))
+    return H.carve(fg, cut(H.hull_facets(points).select("vol_id", "nx", "ny", "nz", "offset"), "hulls"))
 
 
 def depth_of(vox: DataFrame, dims, spacing=(1.0, 1.0, 1.0, 1.0), by_volume: bool = False) -> DataFrame:
