@@ -3,7 +3,9 @@ import re
 
 import pytest
 
+from voxelith.llm import near_dup
 from voxelith.llm.near_dup import JaccardJoin
+from voxelith.plans.tables import cut
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -122,3 +124,19 @@ def test_signatures_lose_no_pair():
                 continue
             # the shared signatures of some plan are more than what either set can spare there
             assert any(len([x for x in both if x[0] == p]) > max(own[0][x], own[1][x]) for p, x0 in both for x in [(p, x0)])
+
+
+def test_signatures_are_counted_after_the_shuffle_alone(spark, monkeypatch):
+    plans = {}
+
+    def seen(df, tag, **options):
+        plans[tag] = df._jdf.queryExecution().executedPlan().toString()
+        return cut(df, tag, **options)
+
+    monkeypatch.setattr(near_dup, "cut", seen)
+    texts = [" ".join(f"w{i}" for i in range(n, n + 30)) for n in (0, 0, 1, 50)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r.doc_id: r.component_id for r in near_dup.JaccardJoin(words=5, num=80, den=100).components(docs).collect()}
+    assert found == {0: 0, 1: 0, 2: 0, 3: 3}
+    before = plans["jaccard-signatures"].split("Exchange hashpartitioning", 1)[1]
+    assert "HashAggregate(keys=[sig" not in before  # a task's signatures, mostly different ones, would be held there

@@ -271,7 +271,8 @@ class JaccardJoin:
         # keep the rows of these. That takes less disk than to keep them all.
         single = texts.where("doc_id IS NOT NULL").join(maybe_broadcast(others), "doc_id", "left_anti")
         rows = self._signature_rows(single)
-        found = cut(rows.groupBy("sig").agg(F.count("*").alias("k")).where("k > 1").select("sig", "k"), "jaccard-signatures")
+        # Almost every signature is there once in a task, so counting before the shuffle would hold a task's signatures in memory for nothing.
+        found = cut(rows.select("sig").repartition("sig").groupBy("sig").agg(F.count("*").alias("k")).where("k > 1").select("sig", "k"), "jaccard-signatures")
         filter_ = self._filter(found)
         kept = cut(self._signature_rows(single, filter_).join(maybe_broadcast(found), "sig"), "jaccard-rows")
         if filter_ is not None:
