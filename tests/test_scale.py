@@ -118,3 +118,20 @@ def test_hulls_are_dealt_out_by_points(spark):
     cells = spark.range(H.POINTS_A_TASK * 3).select((F.col("id") % 1000).alias("vol_id"), *(F.pmod(F.xxhash64("id", F.lit(a)), F.lit(9)).cast("int").alias(a) for a in "xyz"))
     plan = H.hull_facets(cells)._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan  # so that few bytes aren't one task
+
+
+def test_diameters_of_many_slices_are_compared_in_batches(spark):
+    rng = random.Random(5)
+    cells = {(v, rng.randint(0, 9), rng.randint(0, 9), z) for v in range(4) for z in range(3) for _ in range((v + 1) * 4)} | {(9, 5, 5, 0)}
+    fg = spark.createDataFrame([(*c, 0) for c in cells], "vol_id bigint, x int, y int, z int, t int")
+    found = E.slice_diameters(fg, (1.0, 2.0, 1.0))
+    assert "lambdafunction" not in found._jdf.queryExecution().optimizedPlan().toString().lower()  # pairs in interpreted lambdas took the time
+    for r in found.collect():
+        ps = sorted((y * 2.0, x * 1.0) for v, x, y, z in cells if (v, z) == (r.vol_id, r.z))
+        if len(ps) == 1:
+            assert (r.major, r.minor) == (1.0, 1.0)
+            continue
+        d, p, q = max(((a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2, [-c for c in a], [-c for c in b]) for a in ps for b in ps)
+        p, q, long = [-c for c in p], [-c for c in q], d**0.5
+        off = [((c[0] - p[0]) * (p[1] - q[1]) - (c[1] - p[1]) * (p[0] - q[0])) / long for c in ps]
+        assert (r.major, r.minor) == pytest.approx((long + 1, max(off) - min(off) + 1))

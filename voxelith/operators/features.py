@@ -147,6 +147,39 @@ def size_features(fg: DataFrame, spacing=(1.0, 1.0, 1.0)) -> DataFrame:
     return best.select("vol_id", (F.col("cells") * vx * vy * vz).alias("volume"), F.col("m.a").alias("length"), F.col("m.b").alias("width"), ratio.alias("ratio"), (-F.col("m.mz")).alias("slice"))
 
 
+#: Pairs of places that are compared at once.
+PAIRS = 1 << 20
+
+
+def _widths(vx: float, vy: float):
+    """The major and minor of slices from their places in the order of y and x, many slices at once."""
+
+    @pandas_udf("major double, minor double")
+    def run(ys: pd.Series, xs: pd.Series) -> pd.DataFrame:
+        size = ys.map(len).to_numpy(dtype=int)
+        out, order, at = np.ones((len(size), 2)), np.argsort(size, kind="stable"), 0
+        while at < len(order):
+            end = at + 1
+            while end < len(order) and (end + 1 - at) * size[order[end]] ** 2 <= PAIRS:
+                end += 1
+            now, at = order[at:end], end
+            held = np.arange(size[now].max()) < size[now, None]
+            x, y = np.zeros(held.shape), np.zeros(held.shape)
+            x[held], y[held] = (v * np.concatenate([c.iloc[i] for i in now]) for v, c in ((vx, xs), (vy, ys)))
+            dx, dy = x[:, :, None] - x[:, None], y[:, :, None] - y[:, None]
+            d2 = np.where(held[:, :, None] & held[:, None], np.round(dx * dx + dy * dy, 9), -1.0).reshape(len(now), -1)
+            best, k = d2.argmax(axis=1), np.arange(len(now))
+            p, q = np.divmod(best, held.shape[1])
+            long = np.sqrt(d2[k, best])
+            unit = np.where(long > 0, long, 1.0)
+            ux, uy = (x[k, p] - x[k, q]) / unit, (y[k, p] - y[k, q]) / unit
+            off = np.where(held, (y - y[k, p, None]) * ux[:, None] - (x - x[k, p, None]) * uy[:, None], 0.0)
+            out[now] = np.where((size[now] == 1)[:, None], 1.0, np.column_stack([long, np.maximum(off.max(axis=1), 0.0) - np.minimum(off.min(axis=1), 0.0)]) + 1)
+        return pd.DataFrame(out, columns=["major", "minor"])
+
+    return run
+
+
 def slice_diameters(fg: DataFrame, spacing=(1.0, 1.0, 1.0)) -> DataFrame:
     """vol_id, z, major, minor, e_major, e_minor of each slice with voxels: diameters between voxels, and radii of the covariance's ellipse.
 
@@ -157,17 +190,8 @@ def slice_diameters(fg: DataFrame, spacing=(1.0, 1.0, 1.0)) -> DataFrame:
     vx, vy = float(spacing[0]), float(spacing[1])
     row = fg.groupBy("vol_id", "z", "y").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
     ends = F.flatten(F.collect_list(F.array_distinct(F.array(F.struct("y", F.col("x0").alias("x")), F.struct("y", F.col("x1").alias("x"))))))
-    rows = row.groupBy("vol_id", "z").agg(F.array_sort(ends).alias("ps"))  # two a row
-    d2 = lambda p, q: vx * vx * (p["x"] - q["x"]) * (p["x"] - q["x"]) + vy * vy * (p["y"] - q["y"]) * (p["y"] - q["y"])
-    pair = lambda p, q: F.struct(F.round(d2(p, q), 9).alias("d"), (-p["y"]).alias("a"), (-p["x"]).alias("b"), (-q["y"]).alias("c"), (-q["x"]).alias("e"))
-    none = F.struct(F.lit(0.0).alias("d"), *(F.lit(0).alias(c) for c in "abce"))
-    best = F.aggregate("ps", none, lambda acc, p: F.greatest(acc, F.array_max(F.transform("ps", lambda q: pair(p, q)))))
-    rows = rows.withColumn("m", best).withColumn("long", F.sqrt("m.d"))
-    ux, uy = vx * (F.col("m.e") - F.col("m.b")) / F.col("long"), vy * (F.col("m.c") - F.col("m.a")) / F.col("long")
-    off = F.transform("ps", lambda p: -(vx * (p["x"] + F.col("m.b"))) * uy + vy * (p["y"] + F.col("m.a")) * ux)
-    across = F.greatest(F.array_max(off), F.lit(0.0)) - F.least(F.array_min(off), F.lit(0.0))
-    single = F.size("ps") == 1
-    direct = rows.select("vol_id", "z", F.when(single, 1.0).otherwise(F.col("long") + 1).alias("major"), F.when(single, 1.0).otherwise(across + 1).alias("minor"))
+    rows = row.groupBy("vol_id", "z").agg(F.sort_array(ends).alias("ps"))  # two a row
+    direct = rows.select("vol_id", "z", _widths(vx, vy)(F.col("ps.y"), F.col("ps.x")).alias("m")).select("vol_id", "z", "m.major", "m.minor")
     x, y = F.col("x") * vx, F.col("y") * vy
     by = fg.groupBy("vol_id", "z").agg(F.count("*").alias("n"), F.var_pop(x).alias("xx"), F.var_pop(y).alias("yy"), F.covar_pop(x, y).alias("xy"))
     ee = F.sqrt((F.col("xx") - F.col("yy")) * (F.col("xx") - F.col("yy")) + 4 * F.col("xy") * F.col("xy"))
