@@ -12,6 +12,7 @@ from voxelith.operators import hulls as H
 from voxelith.operators.distance import distance, few_volumes
 from voxelith.operators.proximity import epsilon_classes, epsilon_pairs, expand_classes
 from voxelith.operators.stencil import KEY
+from voxelith.plans import propagation_queries
 from voxelith.plans.graph_queries import lean_edges
 from voxelith.plans.segment_queries import cluster_points
 from voxelith.plans.tables import BROADCAST_ROWS, cut
@@ -135,3 +136,13 @@ def test_diameters_of_many_slices_are_compared_in_batches(spark):
         p, q, long = [-c for c in p], [-c for c in q], d**0.5
         off = [((c[0] - p[0]) * (p[1] - q[1]) - (c[1] - p[1]) * (p[0] - q[0])) / long for c in ps]
         assert (r.major, r.minor) == pytest.approx((long + 1, max(off) - min(off) + 1))
+
+
+def test_geodesic_seeds_take_the_cells_about_the_spots_alone(spark, tmp_path, monkeypatch):
+    spark.range(1, 21).select(F.col("id").alias("s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    written = {}
+    monkeypatch.setattr(propagation_queries, "cut", lambda df, tag: written.setdefault(tag, cut(df, tag)))
+    found = propagation_queries.s04_geodesic(spark, str(tmp_path))
+    assert found.select("vol_id").distinct().count() <= 20
+    deep = written["depth"].groupBy("vol_id").agg(*(F.max(a) - F.min(a) for a in "xyz"), F.count("*").alias("n"))
+    assert all(max(r[1:4]) <= 4 and r.n <= 125 for r in deep.collect())  # five cells a side, not the volume

@@ -18,7 +18,7 @@ from .extraction_queries import BRIGHT, NEAREST, SIDES, _clicks
 from .fixpoint_queries import BD, BDIMS, BFG, FACE, FULL, _deep, _seeds
 from .grid_queries import DIMS
 from .registry import query
-from .tables import cut
+from .tables import cut, maybe_broadcast
 
 DEPTHS = f"{G.SCANS}, {BRIGHT}, bg AS (SELECT vol_id, x, y, z FROM scans WHERE val <= 250), dep AS (SELECT a.vol_id, a.x, a.y, a.z, sqrt({NEAREST}) AS d FROM fg a JOIN bg b USING (vol_id) GROUP BY ALL)"
 
@@ -186,8 +186,11 @@ def fe10(spark, sf):
 @query("s04_geodesic_seeds", f"WITH {DEPTHS}, {FULL}, sp AS (SELECT a.vol_id, a.x, a.y, a.z, count(*) FILTER (b.d > 0 AND b.d < a.d) / 26.0 AS sp FROM dep a CROSS JOIN full26 LEFT JOIN dep b ON b.vol_id = a.vol_id AND b.x = a.x + dx AND b.y = a.y + dy AND b.z = a.z + dz GROUP BY 1, 2, 3, 4), r AS (SELECT sp.* FROM sp JOIN spot ON spot.vol_id = sp.vol_id AND k = 0 AND (x - cx) * (x - cx) + (y - cy) * (y - cy) + (z - cz) * (z - cz) <= 2) SELECT vol_id, x, y, z, round(sp, 6) AS sp FROM r WHERE sp > 0.95 * greatest((SELECT max(q.sp) FROM r q WHERE q.vol_id = r.vol_id), 0)")
 def s04_geodesic(spark, sf):
     """Voxels within a path of 1.5 of the first spot whose sphericity is more than 0.95 of the best there."""
-    deep = cut(_depths(spark, sf), "depth")
-    region = P.geodesic(deep, _clicks(spark, sf), S.offsets(3), 1.5).select(*S.KEY)
+    clicks = _clicks(spark, sf)
+    home = clicks.select("vol_id", *(F.col(a).alias(f"c{a}") for a in "xyz"))
+    about = " AND ".join(f"abs({a} - c{a}) <= 2" for a in "xyz")  # a path of 1.5 is one step, and a window goes one further
+    deep = cut(_depths(spark, sf).join(maybe_broadcast(home), "vol_id").where(about).select(*S.KEY, "d"), "depth")
+    region = P.geodesic(deep, clicks, S.offsets(3), 1.5).select(*S.KEY)
     sp = cut(E.sphericity(deep, "d").join(region, S.KEY), "region-sphericity")
     best = sp.groupBy("vol_id").agg(F.max("sp").alias("best"))
     return sp.join(best, "vol_id").where("sp > 0.95 * best").select("vol_id", "x", "y", "z", F.round("sp", 6).alias("sp"))
