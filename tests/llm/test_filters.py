@@ -3,11 +3,13 @@ import math
 import random
 import re
 import textwrap
+import tracemalloc
 import unicodedata
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,6 +42,20 @@ def toxic_corpus(n=900):
     return rows, labels, {i: int(any(b.title() in t for b in bad)) for i, t in rows}
 
 
+def test_toxicity_memory_bounded_by_chunks():
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefghij", k=8)) for _ in range(2000)]
+    texts = pa.array([" ".join(rng.choices(words, k=200)) for _ in range(2300)])  # 4 MB
+    scores, tables = T._scorer(T.ToxicityModel(np.arange(100), np.ones(100), 0.0, 0.1)), []
+    scores(tables, texts[:1])
+    tracemalloc.start()
+    whole = scores(tables, texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40e6
+    assert whole.tolist() == [scores(tables, texts[i : i + 1])[0] for i in range(len(texts))]
+
+
 @pytest.fixture(scope="module")
 def labels_of(spark):
     return lambda rows: spark.createDataFrame(rows, "doc_id long, toxic int")

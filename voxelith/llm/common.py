@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from ..plans.tables import BROADCAST_ROWS, cut, drop, maybe_broadcast, shared_path, write_parquet  # noqa: F401
+from ..plans.tables import BROADCAST_ROWS, cut, drop, maybe_broadcast, settings, shared_path, write_parquet  # noqa: F401
 
 #: Whitespace that separates words: U+0020 and U+0009 to U+000D, nothing else.
 WORD_SPACE = " \t\n\x0b\x0c\r"

@@ -17,11 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, text_chunks
+from .common import mix64, settings, text_chunks
 
 BUCKET_BITS = 21
 #: Bytes of word starts that are features beside the whole word.
 STARTS = (4, 5, 6, 7)
+#: Bytes of text whose features are made at once; hashing takes about 40 times as much memory.
+CHUNK_BYTES = 1 << 19
 
 #: Bounds of the training sample: rows by the order of a hash of their ids, so it's the same for any layout.
 MOST_POSITIVE, MOST_UNLABELLED = 2000, 6000
@@ -153,7 +155,7 @@ def _collect_features(texts: DataFrame) -> list[np.ndarray]:
     def run(batches):
         for b in batches:
             out = []
-            for i, j, data, off in text_chunks(b.column(0)):
+            for i, j, data, off in text_chunks(b.column(0), CHUNK_BYTES):
                 pairs = _FEATURES.pairs(data, off)
                 rows = pairs >> BUCKET_BITS
                 cuts = np.searchsorted(rows, np.arange(j - i + 1))
@@ -161,7 +163,8 @@ def _collect_features(texts: DataFrame) -> list[np.ndarray]:
                 out += [buckets[a:e].tobytes() for a, e in zip(cuts[:-1], cuts[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["f"])
 
-    return [np.frombuffer(r[0], "<u4").astype(np.int64) for r in texts.mapInArrow(run, "f binary").collect()]
+    with settings(texts.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch="1000"):  # batches of a few MB of text
+        return [np.frombuffer(r[0], "<u4").astype(np.int64) for r in texts.mapInArrow(run, "f binary").collect()]
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column | None = None, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
@@ -198,7 +201,7 @@ def _scorer(model: ToxicityModel):
             tables += [table, wanted]
         table, wanted = tables
         z = np.full(len(column), bias)
-        for i, j, data, off in text_chunks(column):
+        for i, j, data, off in text_chunks(column, CHUNK_BYTES):
             pairs = _FEATURES.pairs(data, off, wanted)
             z[i:j] += np.bincount(pairs >> BUCKET_BITS, table[pairs & ((1 << BUCKET_BITS) - 1)], j - i)
         return 0.5 * (1 + np.tanh(0.5 * z))
