@@ -1,6 +1,7 @@
 """How much work large inputs make: who is broadcast, how rows are dealt out."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from voxelith.operators import descent as Q
 from voxelith.operators import features as E
 from voxelith.operators import graphs as R
 from voxelith.operators import hulls as H
+from voxelith.operators import proximity
 from voxelith.operators.distance import distance, few_volumes
 from voxelith.operators.proximity import epsilon_classes, epsilon_pairs, expand_classes
 from voxelith.operators.stencil import KEY
@@ -159,3 +161,13 @@ def test_equal_volumes_are_made_once(spark, tmp_path):
     back = G.each_of(few, classes)
     assert back.count() == every.count() and back.exceptAll(every).isEmpty()
     assert {r.vol_id: r.rep for r in G.alike(spark, str(tmp_path), also=(F.col("vol_id") % 10,)).collect()} == rep | {89: 89, 173: 173}
+
+
+def test_pairs_of_one_place_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(proximity, "BLOCK", 8)
+    monkeypatch.setattr(proximity, "PAIRS_A_TASK", 256)
+    at = spark.range(100).selectExpr("id", "1D AS px", "2D AS py", "0D AS pz").unionByName(spark.createDataFrame([(100, 4.0, 6.0, 0.0)], "id bigint, px double, py double, pz double"))
+    pairs = expand_classes(*epsilon_classes(at, 12.0))
+    got = pairs.withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r.a, r.b, r.dist) for r in got) == [(a, b, 5.0 if b == 100 else 0.0) for a in range(101) for b in range(a + 1, 101)]
+    assert max(Counter(r.task for r in got).values()) < 1500  # of 5,050

@@ -63,7 +63,7 @@ def _nodes(spark, sf):
 def gr02(spark, sf):
     """Edges turned around and numbered by weight."""
     turned = net(spark, sf).select(F.col("b").alias("src"), F.col("a").alias("dst"), "w")
-    return numbered(turned, [], ["w", "src", "dst"], "place").select("src", "dst", "w", "place")
+    return numbered(turned, [], ["w", "src", "dst"], "place", rows=turned.count()).select("src", "dst", "w", "place")
 
 
 @query("gr05_clusters", f"WITH RECURSIVE {NET}, nb AS (SELECT a, b FROM net UNION ALL SELECT b, a FROM net), cc(node, root) USING KEY (node) AS (SELECT id, id FROM pts UNION SELECT e.b, min(c.root) FROM cc c JOIN nb e ON e.a = c.node JOIN recurring.cc r ON r.node = e.b WHERE c.root < r.root GROUP BY e.b) SELECT node, root FROM cc")
