@@ -117,6 +117,36 @@ def test_clicks_at_one_place_climb_as_one(spark):
     assert spark.read.parquet(written).select("click").distinct().count() <= 8  # places, not clicks
 
 
+def test_many_clicks_do_not_each_spread_over_the_cells(spark, monkeypatch):
+    rng = random.Random(8)
+    v = {(0, x, y): 1 + (x == y == 0) for x in range(9) for y in range(9)}  # flat but for a corner
+    v |= {(1, x, y): rng.choice([1, 1, 1, 1, 2, 2, 3]) for x in range(8) for y in range(8) if rng.random() < 0.8}
+    box = lambda c: [q for i in (-1, 0, 1) for j in (-1, 0, 1) if (q := (c[0], c[1] + i, c[2] + j)) in v]
+
+    def ends(fronts):
+        rose = True
+        while rose:  # a round takes all clicks; the first in which none rises is the last
+            after = {k: {q for c in f for q in box(c)} for k, f in fronts.items()}
+            after = {k: {q for q in f if v[q] == max(map(v.get, f))} for k, f in after.items()}
+            rose = any(v[q] > max(v[c] for c in box(q) if c in fronts[k]) for k, f in after.items() for q in f)
+            fronts = after
+        return sorted((k, *c) for k, f in fronts.items() for c in f)
+
+    def found(at):
+        clicks = spark.createDataFrame([(k, *c, 0, 0) for k, f in at.items() for c in f], "click bigint, vol_id bigint, x int, y int, z int, t int")
+        return sorted((r.click, r.vol_id, r.x, r.y) for r in Q.relocate(depth, clicks, box=(1, 1, 0, 0)).collect())
+
+    written, cut = [], Q.cut
+    monkeypatch.setattr(Q, "cut", lambda *a: written.append(cut(*a)) or written[-1])
+    depth = spark.createDataFrame([(*c, 0, 0, float(d)) for c, d in v.items()], "vol_id bigint, x int, y int, z int, t int, d double")
+    every = {k: {c} for k, c in enumerate(sorted(v))} | {1000: {(0, 0, 0), (0, 8, 8)}, 1001: {(0, 3, 3), max(v)}}
+    assert found(every) == ends(every)
+    assert max(df._rows for df in written) <= 9 * len(v)  # a box about each place
+    few = {k: every[k] for k in (3, 30, 90, 120, 1000)}
+    monkeypatch.setattr(Q, "_risen_by_cells", None)  # their boxes hold fewer than all cells
+    assert found(few) == ends(few)
+
+
 def test_hulls_are_dealt_out_by_points(spark):
     cells = spark.range(H.POINTS_A_TASK * 3).select((F.col("id") % 1000).alias("vol_id"), *(F.pmod(F.xxhash64("id", F.lit(a)), F.lit(9)).cast("int").alias(a) for a in "xyz"))
     plan = H.hull_facets(cells)._jdf.queryExecution().executedPlan().toString()

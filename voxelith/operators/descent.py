@@ -93,24 +93,71 @@ def validate_growth(surface: DataFrame, depth: DataFrame, waves: DataFrame, valu
 def relocate(depth: DataFrame, clicks: DataFrame, value: str = "d", box=(1, 1, 1, 0)) -> DataFrame:
     """click, KEY: each click climbs to the largest value in its box until none is larger; equal ones are all kept.
 
-    Clicks at one place climb as one, so the rounds join no more than the places.
+    A round takes all clicks; the last is the first in which none rises, and until then clicks at rest spread over equal cells.
+    Clicks at one place climb as one, so the rounds join no more than the places. If the boxes about the places
+    hold more than all cells, what lies ahead is told once for each cell. Cells without a value count as absent.
     """
     from itertools import product
 
     offs = [d for d in product(*(range(-b, b + 1) for b in box))]
-    depth = depth.select(*KEY, F.col(value).alias("v"))
+    depth = depth.select(*KEY, F.col(value).alias("v")).where("v IS NOT NULL")
     own = clicks.groupBy("click").agg(F.sort_array(F.collect_set(F.struct(*KEY))).alias("from_"))  # a click has one place, as a rule
     start = own.select(F.col("from_").alias("click")).distinct().select("click", F.explode("click").alias("p")).select("click", "p.*")
     front = cut(maybe_broadcast(start).join(depth, KEY), "relocate")
+    cells = depth.count()
+    many = rows_of(front) * len(offs) > cells
+    front = _risen(front, depth, offs)
+    while not front.where("v > old").isEmpty():
+        if many:
+            front = _risen_by_cells(front, depth, cells, offs)
+            break
+        front = _risen(front, depth, offs)
+    return own.join(front.select(F.col("click").alias("from_"), *KEY), "from_").select("click", *KEY)
+
+
+def _risen(front: DataFrame, depth: DataFrame, offs) -> DataFrame:
+    """click, KEY, v, old: the largest cells in the boxes about each click's front (click, KEY, v), and the value they are reached from."""
+    around = shifted(front, offs, ["click", "v"]).select(*KEY, "click", F.col("v").alias("old"))
+    seen = maybe_broadcast(around, rows_of(front) * len(offs)).join(depth, KEY)
+    best = seen.withColumn("top", F.max("v").over(Window.partitionBy("click"))).where("v = top")
+    return cut(best.groupBy("click", *KEY, "v").agg(F.max("old").alias("old")), "relocate")
+
+
+def _risen_by_cells(front: DataFrame, depth: DataFrame, cells: int, offs) -> DataFrame:
+    """click, KEY: where the rounds of _risen() end. The cells of a click's front must be equal.
+
+    A front spreads over equal cells, a step a round, until a larger one is next to it. So it rises
+    after as many rounds as its cells are steps away from a larger one (hop), at the least, and to the
+    largest that are so near (to_). Both are told cell by cell, a hop a round, and meet the fronts as
+    they last rose; only the last fronts are spread, by the rounds since then.
+    """
+    front = front.select("click", *KEY, "v", F.lit(0).alias("since"))
+    sent = depth.select(*KEY, "v", F.struct(*KEY).alias("to_"), F.col("v").alias("to_v"))
+    free, left, ahead, n = depth, cells, None, 0
     while True:
-        around = shifted(front, offs, ["click", "v"]).select(*KEY, "click", F.col("v").alias("old"))
-        seen = maybe_broadcast(around, rows_of(front) * len(offs)).join(depth, KEY)
-        best = seen.withColumn("top", F.max("v").over(Window.partitionBy("click"))).where("v = top")
-        new = cut(best.groupBy("click", *KEY, "v").agg(F.max("old").alias("old")), "relocate")
-        moved = new.where("v > old").limit(1).count()
-        if not moved:
-            return own.join(new.select(F.col("click").alias("from_"), *KEY), "from_").select("click", *KEY)
-        front = new
+        n += 1
+        near = shifted(sent, offs, ["v", "to_", "to_v"]).select(*KEY, F.col("v").alias("by"), "to_", "to_v")
+        near = near.join(maybe_broadcast(free, left), KEY).where("to_v > v" if n == 1 else "by = v").select(*KEY, "v", "to_", "to_v").distinct()
+        best = near.withColumn("top", F.max("to_v").over(Window.partitionBy(*KEY))).where("to_v = top").drop("top")
+        sent = cut(best.withColumn("hop", F.lit(n)), "ahead")
+        free = cut(free.join(sent.select(*KEY).distinct(), KEY, "left_anti"), "nothing-ahead")
+        left = rows_of(free)
+        ahead = sent if ahead is None else ahead.unionByName(sent)
+        if n % 8 == 0:
+            ahead = cut(ahead, "ahead")
+        met = front.select("click", *KEY, "since").join(ahead.drop("v"), KEY).where(F.col("hop") == n - F.col("since")).select("click", "to_", "to_v").distinct()
+        rise = met.withColumn("top", F.max("to_v").over(Window.partitionBy("click"))).where("to_v = top")
+        rise = cut(rise.select("click", "to_.*", F.col("to_v").alias("v"), F.lit(n).alias("since")), "rise")
+        if not rows_of(rise):
+            break
+        front = cut(front.join(rise.select("click").distinct(), "click", "left_anti").unionByName(rise), "front")
+    rim = found = cut(front.select("click", *KEY, "v", (n - F.col("since")).alias("steps")), "spread")
+    while rows_of(rim):
+        near = shifted(rim.where("steps > 0"), offs, ["click", "v", "steps"]).select(*KEY, "click", F.col("v").alias("by"), (F.col("steps") - 1).alias("steps"))
+        near = near.join(maybe_broadcast(depth, cells), KEY).where("by = v").select("click", *KEY, "v", "steps").distinct()
+        rim = cut(near.join(found.select("click", *KEY), ["click", *KEY], "left_anti"), "spread")
+        found = found.unionByName(rim)
+    return cut(found.select("click", *KEY), "relocate")
 
 
 def separation_wave(labels: DataFrame, waves_of: DataFrame, ndim: int = 3) -> DataFrame:
