@@ -91,7 +91,7 @@ class PieceEncoder(dict):
         return ids
 
     def encode(self, text: str) -> bytes:
-        if not self.by_unit:
+        if not self.by_unit or "▁" in text:  # it stands for a space, and merges with those of the next word
             return self._ids(text)
         if len(self) > self.half:
             self.older = dict(self)
